@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.llm import class_lm
 from tapewright.llm.common import read
 from tapewright.llm.line_dedup import dedup_lines
 from tapewright.llm.mixing import mix_sources
 from tapewright.llm.near_dedup import near_duplicate_classes
 from tapewright.llm.packing import pack_documents
+from tapewright.llm.toxicity import fit, fold, score_toxicity
 from tapewright.llm.url_filter import judge_urls, parse_rule
 
 #: The fixed rules of op7.
@@ -46,8 +48,19 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return class_lm.score(docs, *class_lm.fit(docs))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op4_packing, op5_near_dedup, op6_mixing, op7_url_filter)
+    f.__name__: f for f in (op2_line_dedup, op4_packing, op5_near_dedup, op6_mixing, op7_url_filter, op8_class_lm, op9_toxicity)
 }
 
 #: Common table expressions from documents (doc_id, text) to deduplicated (doc_id, text, n_lines, n_removed).
