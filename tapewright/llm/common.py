@@ -77,4 +77,4 @@ def ranked(df: DataFrame, keys: list[str], id_col: str, ties: list[str], name: s
     df = df.withColumn("_block", F.shiftright(id_col, bits))
     offsets = block_offsets(df.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n")), keys, "_block", "_n").drop("_n")
     w = W.partitionBy(*keys, "_block").orderBy(id_col, *ties)
-    return df.withColumn("_r", F.row_number().over(w)).join(offsets, [*keys, "_block"]).withColumn(name, F.col("offset") + F.col("_r") - 1).drop("_block", "_r", "offset")
+    return df.withColumn("_in_block", F.row_number().over(w)).join(offsets, [*keys, "_block"]).withColumn(name, F.col("offset") + F.col("_in_block") - 1).drop("_block", "_in_block", "offset")

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import class_lm
+from tapewright.llm import ann, class_lm
+from tapewright.llm.chat_quotes import link_conversations
 from tapewright.llm.common import read
+from tapewright.llm.fingerprints import compare_versions
 from tapewright.llm.line_dedup import dedup_lines
 from tapewright.llm.mixing import mix_sources
 from tapewright.llm.near_dedup import near_duplicate_classes
@@ -27,10 +29,18 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_versions(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -59,8 +69,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op4_packing, op5_near_dedup, op6_mixing, op7_url_filter, op8_class_lm, op9_toxicity)
+    f.__name__: f for f in (op1_chat_quotes, op2_line_dedup, op3_fingerprints, op4_packing, op5_near_dedup, op6_mixing, op7_url_filter, op8_class_lm, op9_toxicity, op10_ann)
 }
 
 #: Common table expressions from documents (doc_id, text) to deduplicated (doc_id, text, n_lines, n_removed).
@@ -108,8 +123,17 @@ best as (select page_id, arg_max(rhost || rpath, length(rhost || rpath)) as rule
 select q.page_id, host, path, rule, coalesce(v, 'allow') as verdict from q left join best using (page_id)
 """
 
+OP10_SQL = """
+with v as (select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, v.vec_id, list_sum(list_transform(range(1, len(v.e) + 1), lambda i: v.e[i] * q.e[i])) as score from v join v q on q.vec_id % 20 = 0 and v.vec_id <> q.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
+select * from r where rank <= 20
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": f"with {LINES_SQL.format(docs='documents')} select doc_id, text, n_lines, cast(n_removed as bigint) as n_removed from deduplicated",
     "op6_mixing": OP6_SQL,
     "op7_url_filter": OP7_SQL,
+    "op10_ann": OP10_SQL,
 }
