@@ -1,0 +1,173 @@
+"""Runs as manifests: phases and their transitions, artefacts with checksums, review gates, checks before applying, next actions.
+
+A manifest is a JSON-like dict on the driver; nothing here touches tables.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import os
+from dataclasses import asdict, dataclass, field
+from pathlib import Path
+
+#: Phases and what may follow each.
+TRANSITIONS = {
+    "created": ("inventory_ready", "plan_ready", "review_required", "failed", "complete"), "inventory_ready": ("metadata_extracted", "failed"),
+    "metadata_extracted": ("review_required", "plan_ready", "failed"), "review_required": ("metadata_reviewed", "plan_ready", "blocked", "failed"),
+    "metadata_reviewed": ("plan_ready", "review_required", "failed"), "plan_ready": ("applied", "review_required", "failed"), "applied": ("complete", "failed"),
+    "blocked": (), "failed": (), "complete": (),
+}
+TERMINAL = tuple(p for p, n in TRANSITIONS.items() if not n)
+GATE_STATUS = ("open", "approved", "rejected", "superseded", "cancelled")
+
+
+class WorkflowError(ValueError):
+    """Refusal with a code."""
+
+    def __init__(self, code: str, message: str = ""):
+        super().__init__(f"{code}: {message}" if message else code)
+        self.code = code
+
+
+@dataclass
+class Artifact:
+    id: str
+    type: str
+    path: str
+    sha256: str
+    created_at: str
+    producer: str
+    status: str = "current"
+    input_ids: list[str] = field(default_factory=list)
+
+
+@dataclass
+class Gate:
+    id: str
+    type: str
+    artifact_ids: list[str]
+    opened_at: str
+    status: str = "open"
+    resolved_at: str | None = None
+    resolution: dict = field(default_factory=dict)
+
+
+@dataclass
+class Run:
+    run_id: str
+    flow: str
+    phase: str = "created"
+    artifacts: dict[str, Artifact] = field(default_factory=dict)
+    gates: dict[str, Gate] = field(default_factory=dict)
+    diagnostics: list[dict] = field(default_factory=list)
+    history: list[tuple[str, str]] = field(default_factory=list)
+
+    def advance(self, phase: str, at: str) -> None:
+        if phase not in TRANSITIONS[self.phase]:
+            raise WorkflowError("invalid_transition", f"{self.phase} to {phase}")
+        self.history.append((self.phase, at))
+        self.phase = phase
+
+    def register(self, id: str, type: str, path: str, producer: str, at: str, inputs: list[str] | None = None) -> Artifact:
+        if id in self.artifacts:
+            raise WorkflowError("duplicate_artifact", id)
+        for x in self.artifacts.values():
+            if x.type == type:
+                x.status = "superseded"
+        self.artifacts[id] = made = Artifact(id, type, path, file_sha256(path), at, producer, "current", inputs or [])
+        return made
+
+    def open_gate(self, id: str, type: str, artifact_ids: list[str], at: str) -> Gate:
+        if unknown := [x for x in artifact_ids if x not in self.artifacts]:
+            raise WorkflowError("unknown_artifact", ", ".join(unknown))
+        self.gates[id] = gate = Gate(id, type, artifact_ids, at)
+        return gate
+
+    def resolve_gate(self, id: str, status: str, at: str, **resolution) -> None:
+        gate = self.gates.get(id) or _refuse("unknown_gate", id)
+        if gate.status != "open" or status not in GATE_STATUS[1:]:
+            raise WorkflowError("gate_not_open", id)
+        gate.status, gate.resolved_at, gate.resolution = status, at, resolution
+
+    def check_apply(self, artifact_id: str, flow: str, plan_type: str) -> Artifact:
+        """The plan, if it may be applied now; refuses by the first check that fails. Gates that are open or rejected block, others don't."""
+        if self.flow != flow:
+            raise WorkflowError("wrong_flow", self.flow)
+        if self.phase != "plan_ready":
+            raise WorkflowError("wrong_phase", self.phase)
+        if blocking := [g.id for g in self.gates.values() if g.status in ("open", "rejected")]:
+            raise WorkflowError("blocking_gate", ", ".join(blocking))
+        plan = self.artifacts.get(artifact_id) or _refuse("unknown_artifact", artifact_id)
+        if plan.type != plan_type:
+            raise WorkflowError("wrong_artifact_type", plan.type)
+        if plan.status != "current":
+            raise WorkflowError("stale_artifact", plan.id)
+        if not os.path.exists(plan.path):
+            raise WorkflowError("artifact_missing", plan.path)
+        if file_sha256(plan.path) != plan.sha256:
+            raise WorkflowError("checksum_mismatch", plan.path)
+        return plan
+
+    def next_actions(self) -> list[dict]:
+        if self.phase in TERMINAL:
+            return []
+        if waiting := [g for g in self.gates.values() if g.status == "open"]:
+            return [{"action": "resolve_gate", "gate_id": g.id, "requires_human": True} for g in waiting]
+        if self.phase == "plan_ready":
+            return [{"action": "apply_plan", "artifact_id": x.id, "requires_human": True} for x in self.artifacts.values() if x.status == "current" and x.type.endswith("plan")]
+        return [{"action": "resume", "requires_human": False}]
+
+
+def _refuse(code: str, message: str):
+    raise WorkflowError(code, message)
+
+
+def file_sha256(path: str) -> str:
+    return hashlib.sha256(Path(path).read_bytes()).hexdigest()
+
+
+class Store:
+    """Manifests in a folder, one file for each run, written beside and renamed."""
+
+    def __init__(self, folder: str):
+        self.folder = Path(folder)
+        self.folder.mkdir(parents=True, exist_ok=True)
+
+    def save(self, run: Run) -> None:
+        beside = self.folder / f".{run.run_id}.json"
+        beside.write_text(json.dumps(asdict(run), ensure_ascii=False, sort_keys=True))
+        beside.replace(self.folder / f"{run.run_id}.json")
+
+    def load(self, run_id: str) -> Run:
+        path = self.folder / f"{run_id}.json"
+        if not path.exists():
+            raise WorkflowError("unknown_run", run_id)
+        raw = json.loads(path.read_text())
+        raw["artifacts"] = {k: Artifact(**v) for k, v in raw["artifacts"].items()}
+        raw["gates"] = {k: Gate(**v) for k, v in raw["gates"].items()}
+        raw["history"] = [tuple(x) for x in raw["history"]]
+        return Run(**raw)
+
+    def recent(self, limit: int = 20) -> list[Run]:
+        newest = sorted(self.folder.glob("[!.]*.json"), key=lambda p: (-p.stat().st_mtime, p.name))[:limit]
+        return [self.load(p.stem) for p in newest]
+
+    def inspect(self, run_id: str, artifact_id: str, preview_bytes: int = 0) -> dict:
+        run = self.load(run_id)
+        found = run.artifacts.get(artifact_id) or _refuse("unknown_artifact", artifact_id)
+        out = asdict(found) | {"exists": os.path.exists(found.path)}
+        if preview_bytes and out["exists"]:
+            with open(found.path, "rb") as f:
+                out["preview"] = f.read(min(preview_bytes, 65536)).decode("utf-8", "replace")
+        return out
+
+
+def rotate(folder: str, prefix: str, keep: int) -> list[str]:
+    """Deletes all but the newest ``keep`` snapshots of a prefix; gives the names that went."""
+    import shutil
+
+    old = sorted((p for p in Path(folder).iterdir() if p.name.startswith(prefix)), key=lambda p: p.name, reverse=True)[keep:]
+    for p in old:
+        shutil.rmtree(p) if p.is_dir() else p.unlink()
+    return [p.name for p in old]
