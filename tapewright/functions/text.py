@@ -26,18 +26,9 @@ def empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def _series(form):
-    def apply(s):
-        return s.map(lambda x: None if x is None else form(x))
-
-    return apply
-
-
 def nfkc(c: Column) -> Column:
     """NFKC; for ASCII it is the identity, so prefer ``normalized_map`` on tables."""
-    import pandas as pd
-
-    def apply(s: pd.Series) -> pd.Series:
+    def apply(s):
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
     return F.pandas_udf(apply, T.StringType())(c)
@@ -45,9 +36,7 @@ def nfkc(c: Column) -> Column:
 
 def casefold(c: Column) -> Column:
     """NFKC, case folding and strip: the form in which titles are compared."""
-    import pandas as pd
-
-    def apply(s: pd.Series) -> pd.Series:
+    def apply(s):
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold().strip())
 
     return F.pandas_udf(apply, T.StringType())(c)

@@ -15,7 +15,11 @@ def extensions(given: list[str]) -> list[str]:
 
 def listing(spark: SparkSession, roots: list[str], exts: list[str] | None = None, quick_hash: bool = False) -> DataFrame:
     """(path, dir, name, ext, size, mtime, corrupt, corrupt_reason[, quick_hash]) of all files below the roots; of paths that differ in case the first."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    df = read.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    # The reader gives no rows for empty files; its index, which the driver holds anyway, has them.
+    known = spark.createDataFrame([(p,) for p in read.inputFiles()], "path string").withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    df = known.join(df.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")), "path", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     p = F.regexp_replace("path", "^file:(//)?", "")
     df = df.select(p.alias("path"), F.regexp_extract(p, "^(.*)/[^/]*$", 1).alias("dir"), F.element_at(F.split(p, "/"), -1).alias("name"), "size", "mtime").withColumn("ext", F.lower(F.regexp_extract("name", r"[^.](\.[^.]*)$", 1)))
     if exts:

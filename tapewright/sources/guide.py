@@ -83,7 +83,7 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds ``guide``, the parsed struct, null where the text has under three lines or no date range. Sections need a fold and NFKC, hence batches in Python."""
     import pandas as pd
 
-    def fold(s: pd.Series) -> pd.DataFrame:
+    def fold(s):
         names = [x.split(" ")[0] for x in ("air_date", "start_time", "end_time", "broadcaster", "official_title", "title_raw", "annotations", "is_rebroadcast_flag", "description", "epg_genres", "detail_sections", "network_ids")]
         rows = [_fold(x or "") or dict.fromkeys(names) for x in s]
         return pd.DataFrame(rows, columns=names)
