@@ -19,10 +19,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import id_key, materialize, ranked
+from tapewright.llm.common import id_key, materialize, ranked, text_batches
 
 #: Ids of so many white-space separated strings are kept by a Python worker.
-CACHE = 300_000
+CACHE = 500_000
 _loaded: dict = {}
 
 
@@ -35,10 +35,31 @@ class _Ids(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        made = Tokenizer.from_file(path)
+        self.encode, self.word = made.encode, made.model.tokenize
+        # Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        self.alphabet = {b: chr(b if b in shown else next(other)) for b in range(256)}
+        plain = all(self.by_word(w) == self.whole(w) for w in ("a", "zebra", "naïve", "straße", "niño"))
+        self.marks = {m: self.whole(m) for m in ".,"} if plain and all(self.whole(f"zebra{m}") == self.whole("zebra") + self.whole(m) for m in ".,") else None
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def by_word(self, word: str) -> bytes:
+        """A lower-case word of letters is one piece to the tokenizer, which goes to its merges straight."""
+        if not word.isascii():
+            word = "".join(map(self.alphabet.__getitem__, word.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.word(word)])
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        word = chunk.lower()
+        mark = b""
+        if self.marks and word[-1] in self.marks:
+            word, mark = word[:-1], self.marks[word[-1]]
+        # Letters below U+0250 are in NFC and alike in case mapping everywhere.
+        ids = self.by_word(word) + mark if self.marks and word.isalpha() and (word.isascii() or max(word) < "\u0250") else self.whole(chunk)
         if len(chunk) < 64:
             if len(self) >= CACHE:
                 self.clear()
@@ -73,7 +94,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)][: len(names)] if rows else [pa.array([], k) for k in kinds[: len(names)]], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
 def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
