@@ -78,6 +78,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_quotes, op2_line_dedup, op3_fingerprints, op4_packing, op5_near_dedup, op6_mixing, op7_url_filter, op8_class_lm, op9_toxicity, op10_ann)
 }
 
+OP1_SQL = r"""
+with recursive messages as (select *, row_number() over (order by conv_id, turn, role, text) as id from conversations),
+split as (select id, conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) as l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from messages),
+marked as (select *, regexp_extract(l, '^(?:[ \t]{0,3}>)+') as mark from split),
+leveled as (select id, conv_id, turn, i, length(regexp_replace(mark, '[^>]', '', 'g')) as level, case when mark = '' then l else trim(substr(l, length(mark) + 1)) end as body from marked),
+stepped as (select *, case when lag(level) over (partition by id order by i) = level then 0 else 1 end as step from leveled),
+numbered as (select *, sum(step) over (partition by id order by i) - 1 as run from stepped),
+runs as (select id, conv_id, turn, run, level, list(body order by i) as bodies from numbered group by all),
+quoting as (select id, string_agg(body, chr(10) order by i) filter (level = 0) as own from leveled group by id having max(level) > 0),
+cleaned as (select m.*, case when q.id is null then coalesce(text, '') else regexp_replace(coalesce(own, ''), '^\n+|\n+$', '', 'g') end as clean from messages m left join quoting q using (id)),
+held as (select conv_id, turn, unnest(list_concat([clean], string_split_regex(clean, '\n\s*\n'), string_split(clean, chr(10)))) as x from cleaned
+  union all select conv_id, turn, array_to_string(bodies, ' ') from runs where level = 0 and id in (select id from quoting)),
+firsts as (select conv_id, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) as x, min(turn) as source from held group by 1, 2 having x <> ''),
+passages as (select distinct conv_id, turn, run, level, bodies from runs where level > 0),
+probes as (select conv_id, turn, run, level, array_to_string(bodies, ' ') as x, len(bodies) + 1 as w from passages union all select conv_id, turn, run, level, unnest(bodies), 1 from passages),
+met as (select p.conv_id, p.turn, run, level, source, sum(w) as w from probes p join firsts f on f.conv_id = p.conv_id and f.x = lower(trim(regexp_replace(p.x, '\s+', ' ', 'g'))) and source < p.turn group by all),
+best as (select conv_id, turn, run, level, arg_max(source, struct_pack(w := w, s := source)) as source from met group by all),
+parents as (select conv_id, turn, arg_min(source, struct_pack(d := level > 1, a := run)) as parent, count(*) as n_linked from best group by all),
+chains as (select conv_id, turn, parent as root, 1 as depth from parents union all select c.conv_id, c.turn, p.parent, depth + 1 from chains c join parents p on p.conv_id = c.conv_id and p.turn = c.root),
+ends as (select conv_id, turn, arg_max(root, depth) as root, max(depth) as depth from chains group by all),
+quotes as (select conv_id, turn, count(*) as n_quotes from (select distinct conv_id, turn, run from passages) group by all)
+select c.conv_id, c.turn, role, text, clean as clean_text, coalesce(n_quotes, 0) as n_quotes, coalesce(n_linked, 0) as n_linked, parent as parent_turn, coalesce(root, c.turn) as root_turn, cast(coalesce(depth, 0) as bigint) as reply_depth,
+  row_number() over (partition by c.conv_id order by coalesce(root, c.turn), c.turn, role, text) - 1 as position
+from cleaned c left join parents p on p.conv_id = c.conv_id and p.turn = c.turn left join ends e on e.conv_id = c.conv_id and e.turn = c.turn left join quotes q on q.conv_id = c.conv_id and q.turn = c.turn
+"""
+
 #: Common table expressions from documents (doc_id, text) to deduplicated (doc_id, text, n_lines, n_removed).
 LINES_SQL = """
 lines as (select doc_id, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as l from {docs}),
@@ -132,6 +158,7 @@ select * from r where rank <= 20
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_quotes": OP1_SQL,
     "op2_line_dedup": f"with {LINES_SQL.format(docs='documents')} select doc_id, text, n_lines, cast(n_removed as bigint) as n_removed from deduplicated",
     "op6_mixing": OP6_SQL,
     "op7_url_filter": OP7_SQL,

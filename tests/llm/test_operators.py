@@ -343,6 +343,15 @@ def test_quotes(spark):
         (1, 1, "unrelated", 0, 0, None, 1, 0, 3), (1, 4, "yes", 1, 1, 1, 1, 1, 4), (1, 5, "", 0, 0, None, 5, 0, 5), (2, 0, "", 1, 0, None, 0, 0, 0),
         (3, 1, "same", 0, 0, None, 1, 0, 0), (3, 1, "same", 0, 0, None, 1, 0, 1), (3, 2, "", 1, 1, 1, 1, 1, 2),
     ]
+    # The SQL that the query is compared with, on rows that quote.
+    import duckdb
+
+    from tapewright.llm.queries import ORACLE_SQL
+
+    conversations = spark.createDataFrame([r for r in rows if None not in r[:2]], "conv_id long, turn long, role string, text string").toPandas()  # noqa: F841
+    names = ["conv_id", "turn", "clean_text", "n_quotes", "n_linked", "parent_turn", "root_turn", "reply_depth", "position"]
+    asked = duckdb.sql(f"select {', '.join(names)} from ({ORACLE_SQL['op1_chat_quotes']}) order by conv_id, position").fetchall()
+    assert asked == got[2:]
     chain = spark.createDataFrame([(1, i, "u", f"m{i}" if not i else f"> m{i - 1}\nm{i}") for i in range(40)], "conv_id long, turn long, role string, text string")
     assert [r.reply_depth for r in chat_quotes.link_conversations(chain).orderBy("position").collect()] == list(range(40))
     assert chat_quotes.link_conversations(df.limit(0)).count() == 0
