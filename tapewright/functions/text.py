@@ -183,6 +183,15 @@ def drop_labels(c: Column) -> Column:
     return F.regexp_replace(F.replace(F.regexp_replace(c, "名作選|傑作選", ""), F.lit("選"), F.lit("")), "^[ _-]+|[ _-]+$", "")
 
 
+#: Forms of a file's base name, by precedence, and the titles that two of them stand for; label words; lengths.
+LOCAL_FORM, LOCAL_TITLE = "^【NHK地域局発】(.+)$", "NHK地域局発"
+HEART_FORM, HEART_TITLE = r"(?U)^【ハートネット(?:TV|tv|ｔｖ)】\s*虹クロ[_\s]*(.+)$", "虹クロ"
+ANOTHER_FORM, ANOTHER_TITLE = "アナザーストーリーズ(?:選)?(.+)$", "アナザーストーリーズ"
+QUOTED_FORM = "^[『「]([^』」]+)[』」](.*)$"
+TAGGED_FORM, SPECIAL_TAG = r"(?U)^【([^】]+)】\s*(.+)?$", "特選"
+SUBTITLE_LENGTH, TITLE_LENGTH = 120, 80
+
+
 def program_and_subtitle(base: Column) -> Column:
     """struct(program, subtitle) of a file's base name, by the first rule that fits."""
     nul = lambda x: F.nullif(x, F.lit(""))
@@ -191,21 +200,21 @@ def program_and_subtitle(base: Column) -> Column:
     head = lambda x: F.split(F.split(x, " ", 2)[0], "_", 2)[0]
     cut = lambda x: F.split(x, "[▼▽]", 2)[0]
     null = F.lit(None).cast("string")
-    local = F.regexp_extract(base, "^【NHK地域局発】(.+)$", 1)
-    heart = edge(F.regexp_extract(base, r"(?U)^【ハートネット(?:TV|tv|ｔｖ)】\s*虹クロ[_\s]*(.+)$", 1))
-    another = F.regexp_replace(F.regexp_extract(base, "アナザーストーリーズ(?:選)?(.+)$", 1), "^選+", "")
-    q_title, q_rest = drop_labels(strip(F.regexp_extract(base, "^[『「]([^』」]+)[』」](.*)$", 1))), drop_labels(edge(F.regexp_extract(base, "^[『「]([^』」]+)[』」](.*)$", 2)))
+    local = F.regexp_extract(base, LOCAL_FORM, 1)
+    heart = edge(F.regexp_extract(base, HEART_FORM, 1))
+    another = F.regexp_replace(F.regexp_extract(base, ANOTHER_FORM, 1), "^選+", "")
+    q_title, q_rest = drop_labels(strip(F.regexp_extract(base, QUOTED_FORM, 1))), drop_labels(edge(F.regexp_extract(base, QUOTED_FORM, 2)))
     q_sub = F.coalesce(quoted_subtitle(q_rest), quoted_subtitle(base))
-    tag, rest = drop_labels(strip(F.regexp_extract(base, r"(?U)^【([^】]+)】\s*(.+)?$", 1))), drop_labels(edge(F.regexp_extract(base, r"(?U)^【([^】]+)】\s*(.+)?$", 2)))
+    tag, rest = drop_labels(strip(F.regexp_extract(base, TAGGED_FORM, 1))), drop_labels(edge(F.regexp_extract(base, TAGGED_FORM, 2)))
     tok = head(rest)
-    special = F.startswith(tag, F.lit("特選")) & (rest != "") | (rest != "") & (F.length(tok) >= 2) & ~F.startswith(tok, F.lit("▼"))
+    special = F.startswith(tag, F.lit(SPECIAL_TAG)) & (rest != "") | (rest != "") & (F.length(tok) >= 2) & ~F.startswith(tok, F.lit("▼"))
     return (
-        F.when(local != "", pair(F.lit("NHK地域局発"), nul(drop_labels(edge(local)))))
-        .when(heart != "", pair(F.lit("虹クロ"), nul(F.substring(F.coalesce(quoted_subtitle(heart), edge(cut(heart))), 1, 120))))
-        .when(F.contains(base, F.lit("アナザーストーリーズ")), pair(F.lit("アナザーストーリーズ"), nul(F.substring(F.trim(cut(F.translate(another, "_", " "))), 1, 120))))
+        F.when(local != "", pair(F.lit(LOCAL_TITLE), nul(drop_labels(edge(local)))))
+        .when(heart != "", pair(F.lit(HEART_TITLE), nul(F.substring(F.coalesce(quoted_subtitle(heart), edge(cut(heart))), 1, SUBTITLE_LENGTH))))
+        .when(F.contains(base, F.lit(ANOTHER_TITLE)), pair(F.lit(ANOTHER_TITLE), nul(F.substring(F.trim(cut(F.translate(another, "_", " "))), 1, SUBTITLE_LENGTH))))
         .when(base.rlike("^[『「][^』」]+[』」]"), pair(q_title, F.when(q_sub != q_title, q_sub)))
         .when(base.rlike("^【[^】]+】"), F.when(special, pair(tok, quoted_subtitle(rest))).otherwise(pair(tag, null)))
-        .otherwise(pair(F.substring(strip(head(base)), 1, 80), quoted_subtitle(base)))
+        .otherwise(pair(F.substring(strip(head(base)), 1, TITLE_LENGTH), quoted_subtitle(base)))
     )
 
 

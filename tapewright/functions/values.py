@@ -21,7 +21,7 @@ def confidence(c: Column) -> Column:
 
 def flag(c: Column, default: bool) -> Column:
     s = F.lower(F.trim(c.cast("string")))
-    return F.when(s.isin("1", "true", "yes", "y", "on"), True).when(s.isin("0", "false", "no", "n", "off"), False).otherwise(default)
+    return F.when(s.isin("1", "true", "yes", "on"), True).when(s.isin("0", "false", "no", "off"), False).otherwise(default)
 
 
 def json_flag(data: Column, key: str) -> Column:

@@ -79,21 +79,39 @@ def first_alias(norm: Column, aliases: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(F.contains(norm, F.lit(a)), F.lit(t)) for a, t in aliases], F.lit(None).cast("string"))
 
 
+#: An episode number at a title's end; marks that end a series' name; marks that a whole title doesn't end in.
+EPISODE_SUFFIX = r"(?U)\s+(?:第\d+話|#\d+).*$"
+SERIES_END = "[▽▼◇「#＃]"
+UNFINISHED = "[【「『▽▼◇#＃、。]$"
+
+
 def series_name(df: DataFrame, title: str, aliases: DataFrame) -> DataFrame:
-    """Alias (alias, canonical) of the title; or of the title without its episode; or of what stands before a separator or colon; else null."""
-    full = X.single_spaces(F.lower(title))
-    bare = F.regexp_replace(full, r"(?U)\s*(第\s*\d+\s*[話回]|#\s*\d+|\(\d+\))\s*$", "")
-    head = X.strip(F.split(full, r"[▽▼◇「:：]|\s[-–]\s", 2)[0])
+    """``series``: by alias (alias in the form of programme keys, canonical) of the title, of the title without its episode, of what stands before a mark; else that, or the title.
+
+    Titles are in NFKC; empty ones are UNKNOWN.
+    """
+    full = X.strip(X.empty(F.col(title)))
+    bare = X.strip(F.regexp_replace(full, EPISODE_SUFFIX, ""))
+    head = X.strip(F.split(full, SERIES_END, 2)[0])
     out = df
     for i, form in enumerate((full, bare, head)):
         one = aliases.groupBy(F.col("alias").alias(f"_k{i}")).agg(F.min("canonical").alias(f"_a{i}"))
-        out = out.withColumn(f"_k{i}", form).join(one, f"_k{i}", "left")
-    return out.withColumn("series", F.coalesce("_a0", "_a1", "_a2")).drop(*[f"_{x}{i}" for x in "ka" for i in range(3)])
+        out = out.withColumn(f"_k{i}", X.program_key(form)).join(one, f"_k{i}", "left")
+    series = F.when(full == "", "UNKNOWN").otherwise(F.coalesce("_a0", F.when(bare != "", F.col("_a1")), F.when(head != "", F.coalesce("_a2", head)), full))
+    return out.withColumn("series", series).drop(*[f"_{x}{i}" for x in "ka" for i in range(3)])
+
+
+def long_title_fix(df: DataFrame, title: str, aliases: DataFrame, known: DataFrame, longest: int = 25, extra: int = 3) -> DataFrame:
+    """``fixed`` for titles over ``longest`` characters: a shorter series name, else the longest known title they begin with and exceed by ``extra``; else null."""
+    out = series_name(df.withColumn("_id", F.col(title)), title, aliases)
+    best = longest_prefix(df.where(F.length(title) > longest).select(F.col(title).alias("_id"), F.col(title).alias("_norm")).distinct(), "_id", "_norm", known.select(F.col("title").alias("norm"), "title"), extra)
+    shorter = (F.col("series") != F.col(title)) & (F.length("series") < F.length(title))
+    return out.join(best.withColumnRenamed("title", "_known"), "_id", "left").withColumn("fixed", F.when(F.length(title) > longest, F.when(shorter, F.col("series")).otherwise(F.col("_known")))).drop("_id", "_known", "series")
 
 
 def known_titles(df: DataFrame, title: str, most_length: int = 25, least: int = 2) -> DataFrame:
-    """Short titles that occur ``least`` times or more and don't end in a digit or mark."""
-    return df.where((F.length(title) <= most_length) & ~F.col(title).rlike(r"[0-9#(（▽▼]$")).groupBy(title).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    """Short titles that occur ``least`` times or more and don't end in a mark."""
+    return df.where((F.length(title) <= most_length) & (X.empty(F.col(title)) != "") & ~F.col(title).rlike(UNFINISHED)).groupBy(title).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def top_titles(df: DataFrame, title: str, n: int = 30) -> DataFrame:

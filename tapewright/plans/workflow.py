@@ -13,15 +13,25 @@ from pathlib import Path
 
 #: Phases and what may follow each.
 TRANSITIONS = {
-    "created": ("inventory_ready", "plan_ready", "review_required", "failed", "complete"), "inventory_ready": ("metadata_extracted", "failed"),
-    "metadata_extracted": ("review_required", "plan_ready", "failed"), "review_required": ("metadata_reviewed", "plan_ready", "blocked", "failed"),
-    "metadata_reviewed": ("plan_ready", "review_required", "failed"), "plan_ready": ("applied", "review_required", "failed"), "applied": ("complete", "failed"),
-    "blocked": (), "failed": (), "complete": (),
-}
+    "created": ("inventory_ready", "metadata_extracted", "plan_ready", "blocked", "failed"),
+    "inventory_ready": ("metadata_extracted", "blocked", "failed"),
+    "metadata_extracted": ("review_required", "metadata_accepted", "blocked", "failed"),
+    "review_required": ("metadata_accepted", "blocked", "failed"),
+    "metadata_accepted": ("plan_ready", "blocked", "failed"),
+    "plan_ready": ("applied", "complete", "blocked", "failed"),
+    "applied": ("complete", "blocked", "failed"),
+    "complete": (),
+    "blocked": (),
+    "failed": (),
+}
 TERMINAL = tuple(p for p, n in TRANSITIONS.items() if not n)
 GATE_STATUS = ("open", "approved", "rejected", "superseded", "cancelled")
 
 
+def allowed(before: str, after: str) -> bool:
+    return after in TRANSITIONS[before]
+
+
 class WorkflowError(ValueError):
     """Refusal with a code."""
 
@@ -64,8 +74,8 @@ class Run:
     history: list[tuple[str, str]] = field(default_factory=list)
 
     def advance(self, phase: str, at: str) -> None:
-        if phase not in TRANSITIONS[self.phase]:
-            raise WorkflowError("invalid_transition", f"{self.phase} to {phase}")
+        if not allowed(self.phase, phase):
+            raise WorkflowError("terminal_phase_transition" if self.phase in TERMINAL else "invalid_transition", f"{self.phase} to {phase}; allowed: {', '.join(sorted(TRANSITIONS[self.phase]))}")
         self.history.append((self.phase, at))
         self.phase = phase
 

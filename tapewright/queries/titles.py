@@ -165,7 +165,7 @@ def reconcile_listing(t: Tables) -> DataFrame:
     return reconcile.reconcile(seen, resolve.one_per_key(base, "path", ["path_id"]).unionByName(base.join(resolve.one_per_key(base, "path", ["path_id"]).select("path_id"), "path_id", "left_anti").withColumn("path", F.lit(None).cast("string"))), observed, F.replace("path", F.lit(".net"), F.lit(".org"))).select("page_id", "status")
 
 
-@query("select p_type, count(*) as n from part where length(p_type) <= 25 and not regexp_matches(p_type, '[0-9#]$') group by 1 having count(*) >= 2")
+@query("select p_type, count(*) as n from part where length(p_type) <= 25 and p_type <> '' and not regexp_matches(p_type, '[#、。]$') group by 1 having count(*) >= 2")
 def known_titles(t: Tables) -> DataFrame:
     return resolve.known_titles(t.part, "p_type")
 

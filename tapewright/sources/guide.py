@@ -12,6 +12,7 @@ SCHEMA = (
     "air_date string, start_time string, end_time string, broadcaster string, official_title string, title_raw string, annotations array<string>, is_rebroadcast_flag boolean, "
     "description string, epg_genres array<struct<category:string,subcategory:string>>, detail_sections map<string,string>, network_ids map<string,long>"
 )
+#: Network identifiers, and below in ``_fold`` the section heads, of a sidecar.
 _IDS = re.compile(r"(OriginalNetworkID|TransportStreamID|ServiceID|EventID):(\d+)")
 
 

@@ -80,9 +80,10 @@ def test_contained_small_and_large_dictionaries(spark):
 
 
 def test_series_name(spark):
-    aliases = spark.createDataFrame([("show", "The Show"), ("other", "Other")], "alias string, canonical string")
-    df = spark.createDataFrame([("Show",), ("show 第3話",), ("Other: sub",), ("none",)], "t string")
-    assert {r.t: r.series for r in resolve.series_name(df, "t", aliases).collect()} == {"Show": "The Show", "show 第3話": "The Show", "Other: sub": "Other", "none": None}
+    aliases = spark.createDataFrame([("my_show", "The Show"), ("other", "Other")], "alias string, canonical string")
+    titles = {"My Show": "The Show", "my show 第3話 x": "The Show", "Other▽sub": "Other", "none": "none", "a▼b": "a", "▽x": "▽x", " ": "UNKNOWN"}
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert {r.t: r.series for r in resolve.series_name(df, "t", aliases).collect()} == titles
 
 
 def test_separator_suggestion(spark):
@@ -103,11 +104,17 @@ def test_hints_and_locked_rows(spark):
 
 
 def test_extraction_rows(spark):
-    df = spark.createDataFrame([("Show 2024_01_02_21_00.mp4", "D", None, None, None), ("番組▽副.mp4", None, None, None, "2024-05-06T00:00:00+00:00"), (".mp4", None, None, None, None)], "name string, d string, r string, g string, m string")
-    a, b, c = extract.build_rows(df, name="name", dictionary_title="d", rule_title="r", guide_title="g", mtime="m").collect()
-    assert (a.program_title, a.air_date, a.confidence, a.needs_review) == ("D", "2024-01-02", 0.95, False)
-    assert b.air_date == "2024-05-06" and b.needs_review_reason == "air_date_from_mtime,subtitle_separator_in_program_title,low_confidence" and b.confidence == 0.4
+    rows = [
+        ("Show 2024_01_02_21_00.mp4", "p", "D", None, None, None, None, None), ("番組▽副.mp4", "p", None, None, None, None, None, "2024-05-06T00:00:00+00:00"), (".mp4", "p", None, None, None, None, None, None),
+        ("abc 2024_01_02_21_00.mp4", "B:\\by_program\\abc\\x", None, "abc 12345678", None, "abc 12345679", "human", None), ("塚原卜伝.mp4", "p", None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "name string, path string, d string, r string, g string, s string, ms string, m string")
+    a, b, c, d, e = extract.build_rows(df, name="name", path="path", dictionary_title="d", rule_title="r", guide_title="g", suggested="s", match_source="ms", mtime="m").collect()
+    assert (a.program_title, a.air_date, a.confidence, a.needs_review) == ("D", "2024-01-02", 0.92, False)
+    assert (b.air_date, b.needs_review_reason, b.confidence, b.needs_review) == ("2024-05-06", "air_date_from_mtime,subtitle_separator_in_program_title", 0.65, True)
     assert c.needs_review and "missing_air_date" in c.needs_review_reason
+    assert (d.program_title, d.needs_review_reason, d.confidence) == ("abc 12345679", "auto_corrected_from_human,program_title_may_include_description", 0.65)
+    assert (e.program_title, e.needs_review, e.confidence) == ("塚原卜伝", False, 0.78)
 
 
 def test_review_gate_and_first_failures(spark):
@@ -234,6 +241,7 @@ def test_workflow(tmp_path):
     run.advance("applied", "t3")
     run.advance("complete", "t4")
     assert run.next_actions() == [] and set(workflow.TERMINAL) == {"complete", "failed", "blocked"}
+    assert not workflow.allowed("created", "applied") and workflow.allowed("review_required", "metadata_accepted")
 
 
 def test_rotation(tmp_path):
