@@ -7,10 +7,11 @@ cuts keeps the points below w, which is what halving it again and again comes to
 signature: two texts share it with a probability equal to their weighted Jaccard similarity. Points later than a slot can need
 are never made: a horizon is set from the number of shingles, and a text with an empty slot goes on with a longer one.
 
-Texts with equal multisets are one class representative. Bands of the signature deal representatives into buckets. In a bucket
-a few pivots are compared with all others, never all pairs: rounds go on, with more pivots each, while a bucket has members that
-were no pivots and are not yet in one class. Candidates are verified by exact multiset overlap of their texts. So each pair that
-shares a bucket is compared, or is in one class already. Classes are connected components of the verified pairs.
+Texts with equal multisets are one class representative. Bands of the signature deal representatives into buckets. All pairs of a
+small bucket are candidates; in a large one each member is compared with the least, which links the copies of one text in linear
+time. Members that this leaves outside a bucket's main component are compared with all of the bucket, in blocks of bounded size
+that give links between components alone, never pairs. Candidates are verified by exact multiset overlap of their texts, so each
+pair that shares a bucket is compared, or is in one class already. Classes are connected components of the verified pairs.
 
 Defined cases: words are lower-cased and split at white space; a text under five words is one shingle of all its words; null and
 empty texts are equal, hence one class; null ids are kept as rows and stand before others; repeated rows are copies. A class id
@@ -24,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.common import NULL_ID, id_key, materialize, without
+from tapewright.llm.common import NULL_ID, id_key, materialize, text_batches, without
 
 WORDS = 5
 SLOTS, BANDS, ROWS = 128, 25, 5
@@ -167,7 +167,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             if ids:
                 yield part(ids, bags)
 
-    return docs.select(id_key("doc_id").alias("_k"), F.col("text").cast("string")).mapInArrow(sign, "_k long, h1 long, h2 long, n_shingles long, sig binary, bands array<long>")
+    return text_batches(docs).select(id_key("doc_id").alias("_k"), F.col("text").cast("string")).mapInArrow(sign, "_k long, h1 long, h2 long, n_shingles long, sig binary, bands array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -182,89 +182,123 @@ def _agreement(a, b):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """pairs (p, q) whose texts (_k, text) have a weighted Jaccard similarity of ``threshold`` or more."""
+    """(a, b) of the pairs (p, q, a, b) whose texts (_k, text) have a weighted Jaccard similarity of ``threshold`` or more."""
     import pyarrow as pa
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict = OrderedDict()  # pivots come again and again
         for batch in batches:
-            p, q = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            p, keep = batch.column(0).to_pylist(), []
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
                 if p[i] not in known:
-                    known[p[i]] = shingles(a.as_py())
+                    known[p[i]] = shingles(x.as_py())
                     if len(known) > 64:
                         known.popitem(last=False)
-                if overlap(known[p[i]], shingles(b.as_py())) >= threshold:
+                if overlap(known[p[i]], shingles(y.as_py())) >= threshold:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (p, q)], ["p", "q"])
+            yield pa.RecordBatch.from_arrays([batch.column(j).take(pa.array(keep, pa.int64())) for j in (1, 2)], ["a", "b"])
 
     both = pairs.join(texts.select(F.col("_k").alias("q"), F.col("text").alias("tq")), "q").join(texts.select(F.col("_k").alias("p"), F.col("text").alias("tp")), "p")
-    return both.select("p", "q", "tp", "tq").mapInArrow(judge, "p long, q long")
+    return text_batches(both).select("p", "a", "b", "tp", "tq").mapInArrow(judge, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for all nodes of ``links`` (p, q); comp is the least node. Large-star and small-star steps in turn until nothing changes."""
-    edges = materialize(links.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    """(node, comp) for all nodes of ``links`` (a, b) but the least of each component, which is comp. Large-star and small-star steps in turn until only stars are left."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
+        edges = materialize(edges, "edges")
+        if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = materialize(large.join(small, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        seen = now
+        edges = large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, pivots: int = 4) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, class_id (least doc_id of its class), n_shingles, is_first (it stays if one of each class does)."""
+def rest_of_buckets(members: DataFrame, store: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): links between components of buckets (bucket, _k, comp) that hold several.
+
+    Members outside a bucket's main component are compared with all its members, blocks of ``block`` rows against each other. A task
+    gives no pairs but those that join components within its blocks. Pairs that share an earlier band are that band's.
+    """
+    import pandas as pd
+
+    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"))
+    sizes = sizes.where("top < n").select("bucket", "main", F.ceil(F.col("n") / block).cast("int").alias("nm"), F.ceil((F.col("n") - F.col("top")) / block).cast("int").alias("no"))
+    rows = members.join(sizes, "bucket")
+    place = lambda n: F.pmod(F.xxhash64("_k"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    full = lambda df: df.join(store, "_k").select("bucket", "ob", "mb", "_k", "comp", (F.array_position("bands", F.col("bucket")) - 1).cast("int").alias("band"), "bands", "sig", "text").toDF("bucket", "ob", "mb", "_k", "comp", "band", "bands", "sig", "text")
+    outer = rows.where("comp <> main").select("bucket", "_k", "comp", place("no").alias("ob"), every("nm").alias("mb"))
+    inner = rows.select("bucket", "_k", "comp", place("nm").alias("mb"), every("no").alias("ob"))
+
+    def join(o: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(o) and len(m):
+            sig, bands = ([np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1) for x in (o, m)], [np.stack(x["bands"].to_numpy()) for x in (o, m)])
+            band, comp = int(o["band"].iloc[0]), [x["comp"].to_numpy() for x in (o, m)]
+            found = []
+            for i in range(len(o)):
+                agree = (sig[1] == sig[0][i]).mean(axis=1)
+                at = np.flatnonzero((agree >= threshold - SLACK) & (comp[1] != comp[0][i]))
+                at = at[~(bands[1][at, :band] == bands[0][i, :band]).any(axis=1)]
+                found += [(-agree[j], i, j) for j in at]
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            known: dict[tuple[int, int], np.ndarray] = {}
+            for _, i, j in sorted(found):
+                a, b = find(int(comp[0][i])), find(int(comp[1][j]))
+                if a == b:
+                    continue
+                for side, x, n in ((0, o, i), (1, m, j)):
+                    if (side, n) not in known:
+                        known[side, n] = shingles(x["text"].iloc[n])
+                if overlap(known[0, i], known[1, j]) >= threshold:
+                    root[max(a, b)] = min(a, b)
+                    out.append((min(a, b), max(a, b)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    key = ["bucket", "ob", "mb"]
+    return full(outer).groupBy(*key).cogroup(full(inner).groupBy(*key)).applyInPandas(join, "a long, b long")
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 256) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, class_id (least doc_id of its class), n_shingles, is_first (it stays if one of each class does).
+
+    Members of a bucket of up to ``small`` are compared with each other, those of a larger one with its least member, which links the copies
+    of one text. What is left outside a larger bucket's main component is then compared with the whole bucket, by blocks of ``block`` rows.
+    """
     sigs = materialize(signatures(docs), "signatures")
     firsts = sigs.groupBy("h1", "h2").agg(F.min("_k").alias("rep"))
     reps = materialize(sigs.join(firsts.select(F.col("rep").alias("_k"), "h1", "h2"), ["_k", "h1", "h2"]).where("n_shingles > 0").dropDuplicates(["_k", "h1", "h2"]), "representatives")
     banded = reps.select("_k", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("first")).where("n > 1").select("bucket")
-    members = materialize(banded.join(shared, "bucket"), "buckets")
-    texts = docs.select(id_key("doc_id").alias("_k"), "text")
-    short = reps.select("_k", "sig")
-    links, comps, tried, n = None, None, None, pivots
-    while True:
-        comp = F.col("_k").alias("comp")
-        now = members.select("bucket", "_k", comp) if comps is None else members.join(comps.withColumnRenamed("node", "_k"), "_k", "left").select("bucket", "_k", F.coalesce("comp", "_k").alias("comp"))
-        if comps is not None:
-            mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-            now = materialize(now.join(mixed, "bucket"), "buckets")
-        fresh = now if tried is None else now.join(tried, ["bucket", "_k"], "left_anti")
-        chosen = fresh.withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy("_k"))).where(F.col("r") <= n).select("bucket", F.col("_k").alias("p"), F.col("comp").alias("cp"))
-        chosen = materialize(chosen, "pivots")
-        pairs = chosen.join(now, "bucket").where("cp <> comp").select(F.least("p", "_k").alias("p"), F.greatest("p", "_k").alias("q")).distinct()
-        pairs = pairs.join(short.select(F.col("_k").alias("p"), F.col("sig").alias("sp")), "p").join(short.select(F.col("_k").alias("q"), F.col("sig").alias("sq")), "q")
-        pairs = materialize(pairs.where(_agreement("sp", "sq") >= threshold - SLACK).select("p", "q"), "candidates")
-        found = verified(pairs, docs_of(texts, pairs), threshold)
-        links = materialize(found if links is None else links.unionByName(found), "links")
-        comps = materialize(components(links), "components")
-        tried = chosen.select("bucket", F.col("p").alias("_k")) if tried is None else tried.unionByName(chosen.select("bucket", F.col("p").alias("_k")))
-        left = members.join(tried, ["bucket", "_k"], "left_anti")
-        # A bucket is through when all members are in one class, or all but one were pivots.
-        open_ = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(members.join(comps.withColumnRenamed("node", "_k"), "_k", "left").groupBy("bucket").agg(F.min(F.coalesce("comp", "_k")).alias("lo"), F.max(F.coalesce("comp", "_k")).alias("hi")), "bucket").where("lo < hi and (n > 1)")
-        members = materialize(members.join(open_.select("bucket"), "bucket"), "buckets")
-        if members.isEmpty():
-            break
-        n *= 4
-    of = sigs.select("_k", "h1", "h2", "n_shingles").join(firsts, ["h1", "h2"]).join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    of = of.select("_k", "n_shingles", F.coalesce("comp", "rep").alias("class"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("first")).where("n > 1")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "_k", "n", "first"), "buckets")
+    # Signature and text of each representative that shares a bucket: the only texts that are read from here on.
+    wanted = members.select("_k").distinct()
+    texts = docs.select(id_key("doc_id").alias("_k"), "text").join(wanted, "_k").dropDuplicates(["_k"])
+    store = materialize(texts.join(reps.select("_k", "sig", "bands").join(wanted, "_k").dropDuplicates(["_k"]), "_k"), "bucket-texts")
+    sig, texts = (lambda k, s: store.select(F.col("_k").alias(k), F.col("sig").alias(s))), store.select("_k", "text")
+    few = members.where(F.col("n") <= small).select("bucket", "_k")
+    pairs = few.withColumnRenamed("_k", "p").join(few.withColumnRenamed("_k", "q"), "bucket").where("p < q").select("p", "q")
+    pairs = pairs.unionByName(members.where((F.col("n") > small) & (F.col("_k") > F.col("first"))).select(F.col("first").alias("p"), F.col("_k").alias("q"))).distinct()
+    pairs = pairs.join(sig("p", "sp"), "p").join(sig("q", "sq"), "q").where(_agreement("sp", "sq") >= threshold - SLACK).select("p", "q", F.col("p").alias("a"), F.col("q").alias("b"))
+    mappings = [components(materialize(verified(materialize(pairs, "candidates"), texts, threshold), "links"))]
+    large = members.where(F.col("n") > small).select("bucket", "_k").join(mappings[0].withColumnRenamed("node", "_k"), "_k", "left").select("bucket", "_k", F.coalesce("comp", "_k").alias("comp"))
+    mappings.append(components(materialize(rest_of_buckets(materialize(large, "large-buckets"), store, threshold, block), "links")))
+    of = sigs.select("_k", "h1", "h2", "n_shingles").join(firsts, ["h1", "h2"]).withColumn("class", F.col("rep"))
+    for mapping in mappings:
+        of = of.join(mapping.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("class", F.coalesce("comp", "class")).drop("comp")
     null = F.lit(NULL_ID)
     return of.select(F.nullif("_k", null).alias("doc_id"), F.nullif("class", null).alias("class_id"), "n_shingles", (F.col("_k") == F.col("class")).alias("is_first"))
 
 
-def docs_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts that a pair asks for, one for each id."""
-    wanted = pairs.select(F.explode(F.array("p", "q")).alias("_k")).distinct()
-    return texts.join(wanted, "_k").dropDuplicates(["_k"])
-
-
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the rows that have a class mate of a lower doc_id; of repeated rows one stays."""
     docs = without(docs)
