@@ -93,6 +93,25 @@ def validate(df: DataFrame, *, allow_review: bool = False, check_titles: bool =
     return V.first_reason(*rules)
 
 
+def plan_rows(listing: DataFrame, metadata: DataFrame, norm=None) -> DataFrame:
+    """Listed files (path_id, path, name) with their metadata (one row for each path_id) in the columns that plans read.
+
+    The contract asks for a title, a date and a review flag to be there, as columns or in the JSON. norm: the normal form in which
+    folder and title are compared; lower case and strip without it.
+    """
+    get = lambda k: F.coalesce(F.col(f"m.{k}").cast("string"), F.get_json_object("m.data_json", f"$.{k}"))
+    norm = norm or (lambda c: X.strip(F.lower(c)))
+    keys = F.coalesce(F.json_object_keys("m.data_json"), F.array().cast("array<string>"))
+    there = lambda k: F.col(f"m.{k}").isNotNull() | F.array_contains(keys, k)
+    genres = F.from_json(get("epg_genres") if "epg_genres" in metadata.columns else F.get_json_object("m.data_json", "$.epg_genres"), "array<struct<category:string,subcategory:string>>")
+    strings = F.transform(F.coalesce(genres, F.array().cast("array<struct<category:string,subcategory:string>>")), lambda g: F.when(X.empty(g["subcategory"]) != "", F.concat_ws(" - ", g["category"], g["subcategory"])).otherwise(g["category"]))
+    rows = listing.alias("l").join(metadata.alias("m"), "path_id", "left").select(
+        "path_id", "l.path", "l.name", F.col("m.source").alias("source"), F.col("m.source").isNotNull().alias("has_metadata"), (there("program_title") & there("air_date") & there("needs_review")).alias("has_contract"),
+        F.coalesce(get("needs_review").isin("1", "true"), F.lit(False)).alias("needs_review"), get("program_title").alias("program_title"), get("air_date").alias("air_date"), F.get_json_object("m.data_json", "$.genre").alias("genre"), strings.alias("epg_strings"),
+    )
+    return rows.withColumn("folder_norm", norm(X.folder_title(F.col("path")))).withColumn("title_norm", norm(F.col("program_title")))
+
+
 def move_plan(df: DataFrame, routes: Routes, *, allow_review: bool = False) -> DataFrame:
     """Rows (path, name, genre, epg_strings and those of ``validate``) with ``skip_reason``, ``dst``, ``genre_route``."""
     to = destination(routes, route_index(routes, F.col("genre"), F.col("epg_strings"), F.col("program_title")), F.col("program_title"), F.col("air_date"), F.col("name"))

@@ -85,3 +85,34 @@ def test_public_calls(tmp_path):
     for flow, options in (("x", {}), ("relocate", {"maxFilesPerRun": 9999})):
         with pytest.raises(workflow.WorkflowError):
             api.start(services, flow, "q", **options)
+
+
+def test_plan_from_tables(spark):
+    from tapewright.plans import moves
+
+    listing = spark.createDataFrame([("1", "C:\\in\\a.mp4", "a.mp4"), ("2", "C:\\in\\b.mp4", "b.mp4"), ("3", "C:\\by_program\\Show\\c.mp4", "c.mp4"), ("4", "C:\\in\\d.mp4", "d.mp4")], "path_id string, path string, name string")
+    data = [("1", "llm", '{"epg_genres":[{"category":"A","subcategory":"b"}]}', "T", "2024-01-02", 0), ("3", "llm", "{}", "Show and a long text", "2024-01-02", 0), ("4", "llm", "{}", "T", None, None)]
+    md = spark.createDataFrame([(*r, None, None, None, 0, "t") for r in data], "path_id string, source string, data_json string, program_title string, air_date string, needs_review int, episode_no string, subtitle string, broadcaster string, human_reviewed int, updated_at string")
+    routes = moves.Routes("D:", routes=(moves.Route("g", "E:", "flat", ("A - b",)),))
+    plan = {r.path_id: (r.skip_reason, r.dst) for r in moves.move_plan(moves.plan_rows(listing, md), routes).collect()}
+    assert plan == {"1": (None, "E:\\a.mp4"), "2": ("missing_metadata", None), "3": ("suspicious_program_title", None), "4": ("invalid_metadata_contract", None)}
+    assert moves.outcome(1, 0, 0, 0) == "plan_ready" and moves.outcome(0, 1, 0, 0) == "review_required" and moves.outcome(0, 0, 0, 2) == "metadata_missing"
+
+
+def test_contamination_and_guide_details(spark):
+    from tapewright.operators import extract, reconcile, resolve
+
+    df = spark.createDataFrame([(1, "Show x", "Show", "human_exact", False, False), (2, "Show x", "Show", "human_exact", False, True), (3, "Show y", "Show", "programs", False, False), (4, "Show", "Show", "human", True, False), (5, "S z", "S", "prefix_family", True, False)], "id int, title string, suggested string, match_source string, strong boolean, family boolean")
+    assert {r.id: r.confidence for r in resolve.contamination(df, F.col("strong"), F.col("family")).collect()} == {2: "high", 3: "medium", 5: "high"}
+    found = spark.createDataFrame([(1, i, f"T{i % 3}", f"0{i}:00") for i in range(1, 9)], "id int, place int, title string, start string")
+    hint = extract.hint_payload(found, "id", "title", "start").first()
+    assert hint.titles == ["T1", "T2", "T0"] and hint.start_times == [f"0{i}:00" for i in range(1, 6)]
+    guides = spark.createDataFrame([("k", [("A", "b")], True, "x" * 400)], "k string, epg_genres array<struct<category:string,subcategory:string>>, is_rebroadcast_flag boolean, description string")
+    row = extract.enrich(spark.createDataFrame([("k",), ("l",)], "k string"), guides, "k").orderBy("k").collect()
+    assert row[0].epg_genre == "A - b" and len(row[0].epg_description) == 300 and row[1].epg_genre is None
+    paths = spark.createDataFrame([("B:\\Lib\\x",), ("B:\\Library",), ("b:\\lib",)], "p string")
+    assert [r[0] for r in paths.select(reconcile.under_roots(F.col("p"), ["B:\\lib\\"])).collect()] == [True, False, True]
+    long = spark.createDataFrame([("A very long title that goes on▽more",), ("Known show and so much more text here",), ("Short",)], "t string")
+    known = spark.createDataFrame([("Known show",), ("Known",)], "title string")
+    none = spark.createDataFrame([], "alias string, canonical string")
+    assert {r.t: r.fixed for r in resolve.long_title_fix(long, "t", none, known).collect()} == {"A very long title that goes on▽more": "A very long title that goes on", "Known show and so much more text here": "Known show", "Short": None}
