@@ -3,8 +3,8 @@
 A vector o of length |o| is normalised and rotated; its code holds the sign of each coordinate, that is, the nearest vertex v of a
 cube inscribed in the sphere. With c = <o/|o|, v> and a rotated query q, <o/|o|, q> is estimated by <v, q> / c, and the error stays
 within |q| sqrt((1 - c^2) / c^2) epsilon / sqrt(dim - 1) except with a chance that falls fast in epsilon. <v, q> comes from packed bits:
-the query is rounded to ``levels`` bit planes, whose rounding error is bounded exactly and added. Vectors whose upper bound reaches the
-k-th greatest lower bound are ranked anew by the inner product of the original vectors.
+the query is rounded to ``levels`` bit planes, whose rounding error is bounded exactly and added. Vectors of the best estimates are
+ranked by the inner product of the original vectors; so are all others whose upper bound reaches the k-th of these.
 
 Queries and vectors are dealt in blocks: a task holds one block of each (at most about ``vector_block`` x ``query_block`` codes compared),
 keeps the best k of its vectors for each of its queries, and the best of all blocks are merged. Every row is indexed; nothing is sampled.
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEVELS = 6  # bits of a query's coordinate
-EPSILON = 4.0  # deviations that the error bound allows for
+LEVELS = 4  # bits of a query's coordinate
+EPSILON = 1.9  # deviations that the error bound allows for
 
 
 def rotation(dim: int, seed: int = 0) -> np.ndarray:
@@ -40,43 +40,62 @@ def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return bits.view(np.uint64), length, np.abs(y).sum(1) / np.sqrt(x.shape[1])
 
 
-def bounds(query: np.ndarray, codes: np.ndarray, length: np.ndarray, c: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of a query's inner products with coded vectors."""
-    dim, q = len(query), query @ turn
-    low, high = q.min(), q.max()
-    step = max((high - low) / (2**LEVELS - 1), 1e-300)
-    u = np.rint((q - low) / step).astype(np.int64)
-    ones = np.zeros(len(codes), np.int64)  # sum of u over the code's set bits
+def bounds(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, c: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of queries' inner products with coded vectors, query x vector."""
+    dim, q = queries.shape[1], queries @ turn
+    low = q.min(1)
+    step = np.maximum((q.max(1) - low) / (2**LEVELS - 1), 1e-300)
+    u = np.rint((q - low[:, None]) / step[:, None]).astype(np.int64)
+    ones = np.zeros((len(q), len(codes)), np.int32)  # sum of u over the code's set bits
     for j in range(LEVELS):
-        plane = np.packbits((u >> j) & 1 == 1)
-        plane = np.pad(plane, (0, -len(plane) % 8)).view(np.uint64)
-        ones += np.bitwise_count(codes & plane).sum(1, dtype=np.int64) << j
+        plane = np.packbits((u >> j) & 1 == 1, axis=1)
+        plane = np.ascontiguousarray(np.pad(plane, ((0, 0), (0, -plane.shape[1] % 8)))).view(np.uint64)
+        for w in range(codes.shape[1]):
+            ones += np.bitwise_count(codes[:, w] & plane[:, w, None]).astype(np.int32) << j
     count = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    dot = (2 * (step * ones + low * count) - (step * u.sum() + low * dim)) / np.sqrt(dim)  # <v, rounded q>
-    rounding = np.abs(q - (low + step * u)).sum() / np.sqrt(dim)
-    size = np.linalg.norm(query)
-    error = (rounding + size * np.sqrt(np.maximum(1 - c * c, 0)) * EPSILON / np.sqrt(max(dim - 1, 1))) / c
-    return (dot / c - error) * length, (dot / c + error) * length
+    fixed = step * u.sum(1) + low * dim
+    dot = (2 * (step[:, None] * ones + low[:, None] * count) - fixed[:, None]) / np.sqrt(dim)  # <v, rounded q>
+    rounding = np.abs(q - (low[:, None] + step[:, None] * u)).sum(1) / np.sqrt(dim)
+    spread = np.sqrt(np.maximum(1 - c * c, 0)) * EPSILON / np.sqrt(max(dim - 1, 1))
+    error = rounding[:, None] + np.linalg.norm(queries, axis=1)[:, None] * spread
+    scale = length / c
+    return (dot - error) * scale, (dot + error) * scale
 
 
-def best_of_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def inner_products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """In double precision, coordinate after coordinate, so that equal vectors have equal scores wherever they lie."""
+    out = np.zeros(len(x))
+    for j, y in enumerate(query):
+        out += x[:, j] * y
+    return out
+
+
+def best_of_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int, turn: np.ndarray, at_once: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, score) of the best k vectors of a block for each query."""
     codes, length, c = encode(x, turn)
+    place = {v: i for i, v in enumerate(vid.tolist())}
     out = []
-    for i, query in enumerate(q):
-        low, high = bounds(query, codes, length, c, turn)
-        other = vid != qid[i]
-        low[~other], high[~other] = -np.inf, -np.inf
-        n = int(other.sum())
-        if not n:
-            continue
-        least = np.partition(low, len(low) - min(k, n))[len(low) - min(k, n)]
-        at = np.flatnonzero((high >= least) & other)
-        s = np.zeros(len(at))
-        for j, y in enumerate(query):  # in order, so that equal vectors have equal scores
-            s += x[at, j] * y
-        at, s = (y[np.lexsort((vid[at], -s))[:k]] for y in (at, s))
-        out.append((np.full(len(at), qid[i]), vid[at], s))
+    for start in range(0, len(q), at_once):
+        lows, highs = bounds(q[start : start + at_once], codes, length, c, turn)
+        for i, (low, high) in enumerate(zip(lows, highs, strict=True), start):
+            own = place.get(int(qid[i]))
+            if own is not None:
+                low[own] = high[own] = -np.inf
+            n = min(k, len(vid) - (own is not None))
+            if not n:
+                continue
+            # The vectors of the best estimates give a k-th product; who can't reach it by the bound is out.
+            first = np.argpartition(low + high, len(low) - min(len(low), 8 * n))[len(low) - min(len(low), 8 * n) :]
+            first = first[first != own] if own is not None else first
+            near = x[first] @ q[i]  # in any order of summation: good enough to leave out what lies clearly below
+            edge = np.partition(near, len(near) - n)[len(near) - n]
+            at = np.flatnonzero(high >= edge)
+            near = x[at] @ q[i]
+            edge = max(edge, np.partition(near, len(near) - n)[len(near) - n]) if len(at) >= n else edge
+            at = at[near >= edge - 1e-9 * max(1.0, abs(edge))]
+            s = inner_products(x[at], q[i])
+            at, s = (y[np.lexsort((vid[at], -s))[:k]] for y in (at, s))
+            out.append((np.full(len(at), qid[i]), vid[at], s))
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return tuple(np.concatenate(y) for y in zip(*out, strict=True)) if out else empty
 
