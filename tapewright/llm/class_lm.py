@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import materialize
+from tapewright.llm.common import materialize, text_batches
 
 END = 0  # its unit and its class
 
@@ -90,7 +90,7 @@ def count_words(train: DataFrame) -> DataFrame:
                     found.clear()
         yield give()
 
-    return train.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return text_batches(train).select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def count_bigrams(train: DataFrame, units: _Units) -> np.ndarray:
@@ -113,9 +113,9 @@ def count_bigrams(train: DataFrame, units: _Units) -> np.ndarray:
             part = at[i : i + 500_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["code", "n"])
 
-    found = train.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    found = text_batches(train).select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
-    out[found["code"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    out[found["code"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(size, size)
 
 
@@ -171,8 +171,8 @@ def fit(docs: DataFrame, *, frequent: int = 131_072, own: int = 1024, buckets: i
     counts = materialize(count_words(train), "word-counts")
     n_docs = train.count()
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    words = [bytes(w) for w in top["word"]]
+    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    words = top["word"].to_pylist()
     units = _Units(words[:own], buckets)
     bigrams = count_bigrams(train, units)
     of = exchange(bigrams, classes)
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, *, frequent: int = 131_072, own: int = 1024, buckets: i
     transition = np.log10((g + 10 * share) / (g.sum(1, keepdims=True) + 10))
     room = np.log10(mass + 0.5 * (kinds + 1))
     room[END] = 0
-    model = ClassModel(int(total.n or 0) + n_docs, total.v + (n_docs > 0), {w: i for i, w in enumerate(words)}, np.append(top["n"].to_numpy(np.int64), n_docs), units, of, transition, room)
+    model = ClassModel(int(total.n or 0) + n_docs, total.v + (n_docs > 0), {w: i for i, w in enumerate(words)}, np.append(top["n"].to_numpy(), n_docs), units, of, transition, room)
     return model, counts
 
 
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(kinds[i]) for i in range(3)), *(pa.array(x, k) for x, k in zip(cols, kinds[3:], strict=True))], names)
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
-    part = materialize(asked.mapInArrow(judge, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, model double, n_rare long, rare array<binary>, times array<long>"), "scores")
+    part = materialize(text_batches(asked).mapInArrow(judge, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, model double, n_rare long, rare array<binary>, times array<long>"), "scores")
     rare = part.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     found = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
     room = float(np.log10(model.train_tokens + 0.5 * (model.train_words + 1)))
