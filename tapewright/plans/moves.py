@@ -171,8 +171,13 @@ def apply_stats(log: DataFrame, order: str, most: int = 20) -> tuple[DataFrame,
     return totals, failed.groupBy(X.error_class(F.col("error")).alias("error_class")).agg(F.count(F.lit(1)).alias("n")), failed.orderBy(order).limit(most)
 
 
-def title_updates(df: DataFrame, changes: DataFrame) -> DataFrame:
-    """New titles by instructions (path_pattern with % and _, new_title; the first pattern counts): reviewed by a human from then on. Case is ignored."""
+def title_updates(df: DataFrame, changes: DataFrame, most: int = 10_000) -> DataFrame:
+    """New titles by instructions (path_pattern with % and _, new_title; the first pattern counts): reviewed by a human from then on. Case is ignored.
+
+    Patterns have no key to join on, so each row is tried on each: instructions are people's, and over ``most`` are refused.
+    """
+    if changes.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} instructions")
     hit = df.join(F.broadcast(changes), F.expr("path ilike path_pattern escape '~'"))
     best = hit.groupBy("path_id").agg(F.min_by("new_title", "path_pattern").alias("new_title"))
     out = df.join(best, "path_id", "left").withColumn("_c", F.col("new_title").isNotNull())

@@ -109,7 +109,7 @@ def programs_with_broadcasts(t: Tables) -> DataFrame:
 @query("select c_custkey, o_orderkey, n_name from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'F' left join nation on n_nationkey = c_nationkey")
 def left_join_on_filter(t: Tables) -> DataFrame:
     closed = t.orders.where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey")
-    return t.customer.join(closed, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", "o_orderkey", "n_name")
+    return t.customer.join(closed, F.col("o_custkey") == F.col("c_custkey"), "left").join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", "o_orderkey", "n_name")
 
 
 @query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey) and not exists (select 1 from events where user_id = c_custkey)")

@@ -43,4 +43,4 @@ def illegal_transitions(log: DataFrame, run: str, order: str, phase: str, allowe
     from pyspark.sql import Window as W
 
     steps = log.withColumn("before", F.lag(phase).over(W.partitionBy(run).orderBy(order))).where("before is not null").withColumn("after", F.col(phase))
-    return steps.join(F.broadcast(allowed), ["before", "after"], "left_anti")
+    return steps.join(allowed, ["before", "after"], "left_anti")
