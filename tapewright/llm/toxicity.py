@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import materialize, without
+from tapewright.llm.common import materialize, text_batches, without
 
 _word = re.compile(r"\w+").findall
 STEMS = (4, 5, 6)
@@ -68,20 +68,21 @@ def _count(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
                     found.clear()
         yield give()
 
-    return rows.select("text").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return text_batches(rows).select("text").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def mine_lexicon(train: DataFrame, size: int = 512, precision: float = 0.9) -> list[str]:
     """train: (text, toxic). The entries that hold toxic rows at a smoothed rate of ``precision`` or more, most frequent first, at most ``size``.
 
-    Copies of a text count once. An entry needs so many toxic texts that chance would give a twentieth of one such entry.
+    Copies of a toxic text count once. An entry needs so many toxic texts that chance would give a twentieth of one such entry.
     """
-    train = materialize(train.groupBy(F.xxhash64("text").alias("_x"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic"), "distinct-texts")
     n = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return []
+    bad = materialize(train.where("toxic = 1").groupBy(F.xxhash64("text").alias("_x")).agg(F.first("text").alias("text")).select("text"), "toxic-texts")
+    n[1] = bad.count()
     least = max(3, n[1] // 400)
-    toxic = _count(train.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(20_000)
+    toxic = _count(bad, None).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(20_000)
     toxic = {r.entry: r.n for r in toxic.collect()}
     clean = {r.entry: r.n for r in _count(train.where("toxic = 0"), set(toxic)).collect()}
     surely = np.log(20 * max(len(toxic), 1)) / -np.log(min(0.5, n[1] / (n[0] + n[1])))
@@ -91,7 +92,7 @@ def mine_lexicon(train: DataFrame, size: int = 512, precision: float = 0.9) -> l
     for _, e in sorted(good, key=lambda y: (-y[0], y[1])):
         if not any(e.startswith(k[:-1]) for k in kept if k.endswith("*") and len(k) <= len(e) + 1):
             kept.append(e)
-    return explaining(train.where("toxic = 1"), kept[: 4 * size])[:size]
+    return explaining(bad, kept[: 4 * size])[:size]
 
 
 def explaining(toxic: DataFrame, lexicon: list[str], sample: int = 20_000, common: float = 0.03, least: float = 0.002) -> list[str]:
@@ -230,10 +231,15 @@ def logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, width: in
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int = 16, pools: int = 4, lexicon: int = 512) -> Model:
-    """Learns from the documents whose fold isn't 0 and their labels. ``sample`` bounds the rows that the classifier is fitted on."""
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int = 16, pools: int = 4, lexicon: int = 512, broadcast_rows: int = 4_000_000) -> Model:
+    """Learns from the documents whose fold isn't 0 and their labels. ``sample`` bounds the rows that the classifier is fitted on.
+
+    Labels of up to ``broadcast_rows`` documents (an id and a mark each) go to every task; more meet the texts in a shuffle.
+    """
     marks = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     train = docs.select("doc_id", "text").where(fold() != 0)
+    marks = materialize(marks, "marks")
+    marks = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
     labelled = materialize(train.join(marks, "doc_id").select("doc_id", "text", "toxic"), "labelled")
     n = labelled.agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("share")).first()
     mined = mine_lexicon(labelled, lexicon)
@@ -281,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 or more)."""
-    docs = without(docs, "score", "predicted")
+    docs = text_batches(without(docs, "score", "predicted"))
     if model.weights is None:
         return docs.withColumns({"score": F.lit(model.base), "predicted": F.lit(int(model.base >= 0.5))})
     shared = docs.sparkSession.sparkContext.broadcast(({e: i for i, e in enumerate(model.lexicon)}, model))
