@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import id_key
+from tapewright.llm.common import id_key, materialize, text_batches
 
 #: Cells of the first sketch, each part of which takes one third; retries multiply by GROWTH.
 BASE, GROWTH, PARTS = 24, 16, 3
 #: A piece ends after a word whose hash is 0 modulo PIECE_WORDS, and after MOST_WORDS words.
 PIECE_WORDS, MOST_WORDS = 5, 16
+#: Words are items too, as an edit leaves few pieces of a short text alone: all of a text of up to so many words, and a share (64 / words)^2 of the
+#: different words of a longer one, chosen by their hashes so that versions of nearly one length choose alike.
+SHORT_WORDS = 64
 _U = np.uint64
 
 
@@ -50,37 +53,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def items(text: str | None) -> np.ndarray:
-    """Distinct 64-bit keys of a text's pieces, sorted. White space at a line's ends and between words doesn't count, nor do blank lines."""
-    ends, words = [], []
-    for line in (text or "").split("\n"):
-        words += line.split()
-        ends.append(len(words))
+def items_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, owners): for each text, by its number, the distinct 64-bit keys of its pieces, ascending within a text.
+
+    White space at a line's ends and between words doesn't count, nor do blank lines.
+    """
+    words: list[str] = []
+    ends, sizes = [], []
+    for text in texts:
+        before = len(words)
+        for line in text.split("\n"):
+            words += line.split()
+            ends.append(len(words))
+        sizes.append(len(words) - before)
     n = len(words)
     if not n:
-        return np.zeros(0, _U)
+        return np.zeros(0, _U), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         h = np.fromiter(map(_hash.__getitem__, words), _U, n)
         cut = _mix(h) % _U(PIECE_WORDS) == 0
         last = np.array(ends)
         cut[last[last > 0] - 1] = True
         start = np.append(0, np.flatnonzero(cut)[:-1] + 1)
-        place = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-        place %= MOST_WORDS
+        place = (np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))) % MOST_WORDS
         start = np.flatnonzero(place == 0)
         key = _mix(np.add.reduceat(_mix(h + _mix(place.astype(_U) + _U(0x9E3779B97F4A7C15))), start) + _U(1))
-        key.sort()
-        new = np.append(True, key[1:] != key[:-1])
-        at = np.flatnonzero(new)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        share = np.minimum(1, SHORT_WORDS / np.maximum(sizes, 1)) ** 2
+        short = (_mix(h + _U(3)) >> _U(11)).astype(float) * 2.0**-53 < share[owner]
+        key, owner = np.concatenate([key, _mix(h[short] + _U(2))]), np.concatenate([owner[start], owner[short]])
+        order = np.lexsort((key, owner))
+        key, owner = key[order], owner[order]
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
         copy = np.arange(len(key)) - np.repeat(at, np.diff(np.append(at, len(key))))
-        key = np.where(copy > 0, _mix(key + copy.astype(_U) * _U(0xD1342543DE82EF95)), key)
-        return np.unique(key)
+        if copy.any():  # pieces that come again are items of their own
+            key = np.where(copy > 0, _mix(key + copy.astype(_U) * _U(0xD1342543DE82EF95)), key)
+            order = np.lexsort((key, owner))
+            key, owner = key[order], owner[order]
+    return key, owner
+
+
+def items(text: str | None) -> np.ndarray:
+    return items_of([text or ""])[0]
+
+
+def _check(keys: np.ndarray) -> np.ndarray:
+    return _mix(keys ^ _U(0x8EBC6AF09C88C6E3))
 
 
-def _places(keys: np.ndarray, cells: int) -> np.ndarray:
-    """One cell in each of the three parts, part x key."""
-    third = cells // PARTS
-    return np.stack([(_mix(keys + _U((0xA0761D6478BD642F * (p + 1)) & (2**64 - 1))) >> _U(20)) % _U(third) + _U(p * third) for p in range(PARTS)]).astype(np.int64)
+def _places(keys: np.ndarray, third: np.ndarray | int, base: np.ndarray | int) -> list[np.ndarray]:
+    """For each part the cells of keys in sketches of 3 x third cells that begin at base."""
+    third, base = np.asarray(third), np.asarray(base)
+    return [base + p * third + ((_mix(keys + _U((0xA0761D6478BD642F * (p + 1)) & (2**64 - 1))) >> _U(20)) % third.astype(_U)).astype(np.int64) for p in range(PARTS)]
 
 
 @dataclass
@@ -94,58 +118,99 @@ class Sketch:
         return Sketch(self.n - other.n, self.count - other.count, self.key ^ other.key, self.check ^ other.check)
 
 
+def _fill(keys: np.ndarray, cells: int, third, base) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        check = _check(keys)
+        count, key, sums = np.zeros(cells, np.int64), np.zeros(cells, _U), np.zeros(cells, _U)
+        for at in _places(keys, third, base):
+            count += np.bincount(at, minlength=cells)
+            np.bitwise_xor.at(key, at, keys)
+            np.bitwise_xor.at(sums, at, check)
+    return count, key, sums
+
+
 def sketch(keys: np.ndarray, cells: int = BASE) -> Sketch:
+    return Sketch(len(keys), *_fill(keys, cells, cells // PARTS, 0))
+
+
+def _peel(count: np.ndarray, key: np.ndarray, check: np.ndarray, third: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Peels the differences of many pairs at once, each in cells of its own. third: of each pair; owner: of each cell.
+
+    (keys, sides, owners) recovered and whether each pair's cells came out empty.
+    """
+    base = np.cumsum(PARTS * third) - PARTS * third
+    out: list[tuple] = []
     with np.errstate(over="ignore"):
-        at, check = _places(keys, cells), _mix(keys ^ _U(0x8EBC6AF09C88C6E3))
-    count, key, sums = np.zeros(cells, np.int64), np.zeros(cells, _U), np.zeros(cells, _U)
-    for p in at:
-        np.add.at(count, p, 1)
-        np.bitwise_xor.at(key, p, keys)
-        np.bitwise_xor.at(sums, p, check)
-    return Sketch(len(keys), count, key, sums)
+        pure = np.arange(len(count))
+        while len(pure):
+            pure = pure[(np.abs(count[pure]) == 1) & (_check(key[pure]) == check[pure])]
+            _, first = np.unique(_mix(key[pure] + owner[pure].astype(_U) * _U(0x9E3779B97F4A7C15)), return_index=True)
+            pure = pure[first]
+            found, sign, of = key[pure].copy(), count[pure].copy(), owner[pure]
+            sums, touched = _check(found), []
+            for at in _places(found, third[of], base[of]):
+                np.subtract.at(count, at, sign)
+                np.bitwise_xor.at(key, at, found)
+                np.bitwise_xor.at(check, at, sums)
+                touched.append(at)
+            out.append((found, sign, of))
+            pure = np.unique(np.concatenate(touched))
+        left = np.unique(owner[(count != 0) | (key != 0) | (check != 0)])
+    clean = np.ones(len(third), bool)
+    clean[left] = False
+    return *(np.concatenate([o[i] for o in out]) for i in range(3)), clean
 
 
 def peel(diff: Sketch) -> tuple[np.ndarray, np.ndarray] | None:
     """Keys on the first side only and on the second only; None if the difference is too large for the sketch."""
-    count, key, check, cells = diff.count.copy(), diff.key.copy(), diff.check.copy(), len(diff.count)
-    sides: tuple[list, list] = ([], [])
-    with np.errstate(over="ignore"):
-        while count.any() or key.any() or check.any():
-            pure = np.flatnonzero((np.abs(count) == 1) & (_mix(key ^ _U(0x8EBC6AF09C88C6E3)) == check))
-            if not len(pure):
-                return None
-            found, first = np.unique(key[pure], return_index=True)
-            sign = count[pure][first]
-            sums = _mix(found ^ _U(0x8EBC6AF09C88C6E3))
-            for p in _places(found, cells):
-                np.subtract.at(count, p, sign)
-                np.bitwise_xor.at(key, p, found)
-                np.bitwise_xor.at(check, p, sums)
-            sides[0].append(found[sign > 0])
-            sides[1].append(found[sign < 0])
-    return tuple(np.concatenate(s) if s else np.zeros(0, _U) for s in sides)
-
-
-def difference(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in ``a`` only and in ``b`` only, by subtracting and peeling sketches that grow until peeling works.
-
-    Sizes that can't hold the difference in the item counts are passed over.
-    """
-    cells = BASE
-    x, y = first or (sketch(a), sketch(b))
-    while True:
-        if abs(x.n - y.n) < cells and (found := peel(x - y)) is not None:
-            return found
-        cells *= GROWTH
-        while cells < abs(len(a) - len(b)):
-            cells *= GROWTH
-        x, y = sketch(a, cells), sketch(b, cells)
+    cells = len(diff.count)
+    found, sign, _, clean = _peel(diff.count.copy(), diff.key.copy(), diff.check.copy(), np.array([cells // PARTS]), np.zeros(cells, np.int64))
+    return (found[sign > 0], found[sign < 0]) if clean[0] else None
 
 
-def likeness(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None = None) -> float:
-    left, right = (len(s) for s in difference(a, b, first))
-    both = len(a) - left
-    return both / (both + left + right) if both + left + right else 1.0
+def differences(keys: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs of texts (left, right: their numbers; keys and owner as of ``items_of``) the recovered keys, their sides (1, -1) and pairs.
+
+    Sketches of BASE cells first; pairs whose peeling fails are sketched anew with GROWTH times as many. Sizes that the difference of the
+    item counts alone must overfill are passed over.
+    """
+    size = np.bincount(owner, minlength=n)
+    start = np.cumsum(size) - size
+    cells = np.full(len(left), BASE)
+    todo, out = np.arange(len(left)), []
+    while len(todo):
+        while (small := cells[todo] < np.abs(size[left[todo]] - size[right[todo]])).any():
+            cells[todo[small]] *= GROWTH
+        third = cells[todo] // PARTS
+        base = np.cumsum(PARTS * third) - PARTS * third
+        sides = []
+        for side in (left[todo], right[todo]):
+            many = size[side]
+            pick = np.repeat(start[side], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            sides.append(_fill(keys[pick], int(PARTS * third.sum()), np.repeat(third, many), np.repeat(base, many)))
+        (c, k, s), (d, l, t) = sides  # noqa: E741
+        found, sign, of, clean = _peel(c - d, k ^ l, s ^ t, third, np.repeat(np.arange(len(todo)), PARTS * third))
+        good = clean[of]
+        out.append((found[good], sign[good], todo[of[good]]))
+        todo = todo[~clean]
+        cells[todo] *= GROWTH
+    empty = (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return tuple(np.concatenate([o[i] for o in [empty, *out]]) for i in range(3))
+
+
+def difference(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ``a`` only and in ``b`` only."""
+    found, sign, _ = differences(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, np.array([0]), np.array([1]))
+    return found[sign > 0], found[sign < 0]
+
+
+def likenesses(keys: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of each pair's items."""
+    _, sign, of = differences(keys, owner, n, left, right)
+    size = np.bincount(owner, minlength=n)
+    mine, other = (np.bincount(of[sign == x], minlength=len(left)) for x in (1, -1))
+    both = size[left] - mine
+    return np.where(both + mine + other > 0, both / np.maximum(both + mine + other, 1), 1.0)
 
 
 def encode(s: Sketch) -> str:
@@ -166,9 +231,9 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_next(docs: DataFrame, bits: int = 8) -> DataFrame:
+def with_next(docs: DataFrame, bits: int = 8, broadcast_rows: int = 4_000_000) -> DataFrame:
     """(doc_id, text, _block, _k, _own): rows dealt by blocks of 2**bits ids, each block with the first row of the following one (_own false), so that a
-    row's successor by doc_id is in its block. The last block gets the very first row."""
+    row's successor by doc_id is in its block. The last block gets the very first row. Up to ``broadcast_rows`` blocks, two numbers each, go to every task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), id_key("doc_id", "text").alias("_k"))
     rows = rows.withColumn("_block", F.shiftright("_k", bits))
     firsts = rows.groupBy("_block").agg(F.min("_k").alias("_k")).withColumn("_super", F.shiftright("_block", 10))
@@ -176,6 +241,8 @@ def with_next(docs: DataFrame, bits: int = 8) -> DataFrame:
     ends = firsts.groupBy("_super").agg(F.max("_block").alias("_last"))
     ends = ends.withColumn("_before", F.coalesce(F.lag("_last").over(W.partitionBy(F.lit(0)).orderBy("_super")), F.max("_last").over(W.partitionBy(F.lit(0)))))
     firsts = firsts.join(ends.select("_super", "_before"), "_super").withColumn("_to", F.coalesce(F.lag("_block").over(W.partitionBy("_super").orderBy("_block")), "_before"))
+    firsts = materialize(firsts.select("_k", "_to"), "block-firsts")
+    firsts = F.broadcast(firsts) if firsts.count() <= broadcast_rows else firsts
     moved = rows.drop("_block").join(firsts.select("_k", "_to"), "_k").dropDuplicates(["_k"]).select("doc_id", "text", "_k", F.col("_to").alias("_block"), F.lit(False).alias("_own"))
     return rows.withColumn("_own", F.lit(True)).unionByName(moved)
 
@@ -187,19 +254,38 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
+    def compare(rows: list[tuple]) -> pa.RecordBatch:
+        """rows: (doc_id, text, following text or None if the row is there as one alone)."""
+        asked = [i for i, r in enumerate(rows) if r[2] is not None]
+        changed = [edited(rows[i][1], rows[i][2]) for i in asked]
+        n = len(rows)
+        keys, owner = items_of([r[1] for r in rows] + changed)
+        size = np.bincount(owner, minlength=n + len(asked))
+        third = np.full(len(size), BASE // PARTS)
+        base = np.arange(len(size)) * BASE
+        count, key, check = (x.reshape(-1, BASE) for x in _fill(keys, BASE * len(size), third[owner], base[owner]))
+        text = lambda i: encode(Sketch(int(size[i]), count[i], key[i], check[i]))
+        here, new = np.array(asked, int), n + np.arange(len(asked))
+        alike = likenesses(keys, owner, len(size), np.concatenate([here, here]), np.concatenate([new, here + 1])) if asked else np.zeros(0)
+        columns = [[rows[i][0] for i in asked], [len(rows[i][1]) for i in asked], [hashlib.sha256(c.encode()).hexdigest() for c in changed], [text(i) for i in asked], [text(i) for i in new], alike[: len(asked)], alike[len(asked) :]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, out = None, []
+        held: list[list] = []  # doc_id, text, following text; a row stays until its successor has come
+        block, chars = None, 0
         for batch in batches:
-            for doc_id, text, block, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                now = (doc_id, text.as_py(), block, own, x := items(text.as_py()), sketch(x))
-                if before and before[3] and before[2] == block:
-                    changed = edited(before[1], now[1])
-                    y = items(changed)
-                    z = sketch(y)
-                    out.append((before[0], len(before[1]), hashlib.sha256(changed.encode()).hexdigest(), encode(before[5]), encode(z), likeness(before[4], y, (before[5], z)), likeness(before[4], x, (before[5], now[5]))))
-                before = now
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
-            out = []
+            for doc_id, text, at, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                text = text.as_py()
+                if held and at == block and held[-1][3]:
+                    held[-1][2] = text
+                if len(held) >= 128 or chars > 400_000:
+                    held.append([doc_id, text, None, own])
+                    yield compare(held)
+                    held, chars = [], 0
+                held.append([doc_id, text, None, own])
+                block, chars = at, chars + len(text)
+        if held:
+            yield compare(held)
 
     dealt = with_next(docs).repartition("_block").sortWithinPartitions("_block", F.desc("_own"), "_k", F.xxhash64("text"))
-    return dealt.select("doc_id", "text", "_block", "_own").mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return text_batches(dealt).select("doc_id", "text", "_block", "_own").mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
