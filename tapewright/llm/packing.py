@@ -54,12 +54,15 @@ class _Ids(dict):
         return b"".join([t.id.to_bytes(4, "little") for t in self.word(word)])
 
     def __missing__(self, chunk: str) -> bytes:
-        word = chunk.lower()
-        mark = b""
-        if self.marks and word[-1] in self.marks:
-            word, mark = word[:-1], self.marks[word[-1]]
-        # Letters below U+0250 are in NFC and alike in case mapping everywhere.
-        ids = self.by_word(word) + mark if self.marks and word.isalpha() and (word.isascii() or max(word) < "\u0250") else self.whole(chunk)
+        if chunk.islower() and chunk.isalpha():
+            ids = self.by_word(chunk) if self.marks and (chunk.isascii() or max(chunk) < "\u0250") else self.whole(chunk)
+        else:
+            word = chunk.lower()
+            mark = self.marks.get(word[-1]) if self.marks else None
+            if mark:
+                word = word[:-1]
+            # Letters below U+0250 are in NFC and alike in case mapping everywhere.
+            ids = self[word] + (mark or b"") if self.marks and word != chunk and word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0250") else self.whole(chunk)
         if len(chunk) < 64:
             if len(self) >= CACHE:
                 self.clear()
