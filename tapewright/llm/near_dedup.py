@@ -14,8 +14,8 @@ that give links between components alone, never pairs. Candidates are verified b
 pair that shares a bucket is compared, or is in one class already. Classes are connected components of the verified pairs.
 
 Defined cases: words are lower-cased and split at white space; a text under five words is one shingle of all its words; null and
-empty texts are equal, hence one class; null ids are kept as rows and stand before others; repeated rows are copies. A class id
-is its least doc_id. Texts are read whole, one batch in memory at a time.
+empty texts are equal, hence one class; rows without an id stand before others, each text for itself, and a class that begins with
+one has no id; repeated rows are copies; an id names one text. A class id is its least doc_id. Texts are read whole, one batch in memory at a time.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             if ids:
                 yield part(ids, bags)
 
-    return text_batches(docs).select(id_key("doc_id").alias("_k"), F.col("text").cast("string")).mapInArrow(sign, "_k long, h1 long, h2 long, n_shingles long, sig binary, bands array<long>")
+    return text_batches(docs).select(id_key("doc_id", "text").alias("_k"), F.col("text").cast("string")).mapInArrow(sign, "_k long, h1 long, h2 long, n_shingles long, sig binary, bands array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -268,8 +268,8 @@ def rest_of_buckets(members: DataFrame, store: DataFrame, threshold: float, bloc
     return full(outer).groupBy(*key).cogroup(full(inner).groupBy(*key)).applyInPandas(join, "a long, b long")
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 256) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, class_id (least doc_id of its class), n_shingles, is_first (it stays if one of each class does).
+def _classes(docs: DataFrame, threshold: float, small: int, block: int) -> DataFrame:
+    """(_k, class, n_shingles) for each row of ``docs``; keys as of ``id_key``.
 
     Members of a bucket of up to ``small`` are compared with each other, those of a larger one with its least member, which links the copies
     of one text. What is left outside a larger bucket's main component is then compared with the whole bucket, by blocks of ``block`` rows.
@@ -282,7 +282,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, small: int =
     members = materialize(banded.join(shared, "bucket").select("bucket", "_k", "n", "first"), "buckets")
     # Signature and text of each representative that shares a bucket: the only texts that are read from here on.
     wanted = members.select("_k").distinct()
-    texts = docs.select(id_key("doc_id").alias("_k"), "text").join(wanted, "_k").dropDuplicates(["_k"])
+    texts = docs.select(id_key("doc_id", "text").alias("_k"), "text").join(wanted, "_k").dropDuplicates(["_k"])
     store = materialize(texts.join(reps.select("_k", "sig", "bands").join(wanted, "_k").dropDuplicates(["_k"]), "_k"), "bucket-texts")
     sig, texts = (lambda k, s: store.select(F.col("_k").alias(k), F.col("sig").alias(s))), store.select("_k", "text")
     few = members.where(F.col("n") <= small).select("bucket", "_k")
@@ -295,12 +295,17 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, small: int =
     of = sigs.select("_k", "h1", "h2", "n_shingles").join(firsts, ["h1", "h2"]).withColumn("class", F.col("rep"))
     for mapping in mappings:
         of = of.join(mapping.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("class", F.coalesce("comp", "class")).drop("comp")
-    null = F.lit(NULL_ID)
-    return of.select(F.nullif("_k", null).alias("doc_id"), F.nullif("class", null).alias("class_id"), "n_shingles", (F.col("_k") == F.col("class")).alias("is_first"))
+    return of.select("_k", "class", "n_shingles")
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 256) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, class_id (least doc_id of its class), n_shingles, is_first (it stays if one of each class does)."""
+    given = lambda c: F.when(F.col(c) >= NULL_ID // 2, F.col(c))  # noqa: E731  keys below stand for rows without an id
+    return _classes(docs, threshold, small, block).select(given("_k").alias("doc_id"), given("class").alias("class_id"), "n_shingles", (F.col("_k") == F.col("class")).alias("is_first"))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 256) -> DataFrame:
     """``docs`` without the rows that have a class mate of a lower doc_id; of repeated rows one stays."""
     docs = without(docs)
-    keep = near_duplicate_classes(docs, threshold).where("is_first").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"))
-    return docs.withColumn("_k", id_key("doc_id")).join(keep, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    keep = _classes(docs, threshold, small, block).where("_k = class").select("_k")
+    return docs.withColumn("_k", id_key("doc_id", "text")).join(keep, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")

@@ -45,6 +45,9 @@ def test_line_dedup(spark, docs):
     out = {(r.doc_id, r.text): r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _k", "2 as n_lines")).collect()}
     assert {k[0]: k[1] for k in out if k[0] != 8} == {1: "a\nb\nc\nd", 2: "z\ny", 3: "", 4: "a\nb", 5: "\n\n\n\n", 6: "\n\n\n", 7: "r"}
     assert out[(2, "z\ny")].removed_lines == [1, 2, 3, 4] and (8, "") in out
+    lost = [(None, "a\nb\nc"), (None, "k\nl\nm"), (3, "a\nb\nc\nd"), (3, "a\nb\nc\nd"), (4, "k\nl\nm")]
+    kept = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(lost, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a\nb\nc"), (None, "k\nl\nm"), (3, "d"), (3, "d"), (4, "")], key=str)
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     first, gone = {}, defaultdict(set)
@@ -146,6 +149,9 @@ def test_near_duplicates(spark, docs):
     kept = near_dedup.drop_near_duplicates(docs.unionAll(docs)).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(brute_classes(rows).values())) and sum(r.doc_id is None for r in kept) == 1
     assert near_dedup.near_duplicate_classes(empty(spark)).count() == 0
+    lost = spark.createDataFrame([(None, "one text here"), (None, "another text there"), (None, "one text here"), (7, "another text there")], "doc_id long, text string")
+    assert sorted(r.text for r in near_dedup.drop_near_duplicates(lost).collect()) == ["another text there", "one text here"]
+    assert sorted((r.doc_id or 0, r.class_id, r.is_first) for r in near_dedup.near_duplicate_classes(lost).collect()) == [(0, None, True)] * 3 + [(7, None, False)]
 
 
 def test_bag_minhash_is_unbiased():
