@@ -162,7 +162,7 @@ def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
         i = r - of[:, 1]
         return pd.DataFrame({"sequence_id": of[:, 4] + i // of[:, 3], "offset": of[:, 5] + i % of[:, 3] * n})
 
-    at = ranked(pieces.withColumn("_k", id_key("doc_id")), ["length"], "_k", ["piece", "ids_crc32"], "_rank")
+    at = ranked(pieces.withColumn("_k", id_key("doc_id", "ids_crc32")), ["length"], "_k", ["piece", "ids_crc32"], "_rank")
     return at.withColumn("_s", slot("length", "_rank")).select(*pieces.columns, "_s.sequence_id", "_s.offset")
 
 

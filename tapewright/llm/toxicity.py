@@ -71,10 +71,10 @@ def _count(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     return text_batches(rows).select("text").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def mine_lexicon(train: DataFrame, size: int = 512, precision: float = 0.9) -> list[str]:
+def mine_lexicon(train: DataFrame, size: int = 512, precision: float = 0.9, candidates: int = 20_000) -> list[str]:
     """train: (text, toxic). The entries that hold toxic rows at a smoothed rate of ``precision`` or more, most frequent first, at most ``size``.
 
-    Copies of a toxic text count once. An entry needs so many toxic texts that chance would give a twentieth of one such entry.
+    The ``candidates`` most frequent entries of toxic texts are looked at. Copies of a toxic text count once. An entry needs so many toxic texts that chance would give a twentieth of one such entry.
     """
     n = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
@@ -82,7 +82,7 @@ def mine_lexicon(train: DataFrame, size: int = 512, precision: float = 0.9) -> l
     bad = materialize(train.where("toxic = 1").groupBy(F.xxhash64("text").alias("_x")).agg(F.first("text").alias("text")).select("text"), "toxic-texts")
     n[1] = bad.count()
     least = max(3, n[1] // 400)
-    toxic = _count(bad, None).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(20_000)
+    toxic = _count(bad, None).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(candidates)
     toxic = {r.entry: r.n for r in toxic.collect()}
     clean = {r.entry: r.n for r in _count(train.where("toxic = 0"), set(toxic)).collect()}
     surely = np.log(20 * max(len(toxic), 1)) / -np.log(min(0.5, n[1] / (n[0] + n[1])))
@@ -183,12 +183,20 @@ def _row(found: dict[int, int], n: int, lexicon: int) -> tuple[list[int], list[f
     return at, x
 
 
-def label_model(patterns: dict[str, int], base: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rates, voices, posterior of each pattern) from the number of documents with each combination of votes."""
-    keys = list(patterns)
-    n = np.array([patterns[k] for k in keys], float)
-    v = np.array([["tc-".index(x) for x in k] for k in keys])
-    hot = np.eye(3)[v]  # pattern x voter x vote
+def _one_hot(votes: list[str]) -> np.ndarray:
+    """combination x voter x vote"""
+    return np.eye(3)[np.array([["tc-".index(x) for x in k] for k in votes])]
+
+
+def posterior(hot: np.ndarray, prior: float, rates: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Chance of toxic, given the votes; a voter's log odds count by its share."""
+    odds = np.log(prior / (1 - prior)) + (np.einsum("pjv,jv->pj", hot, np.log(rates[:, 1] / rates[:, 0])) * share).sum(1)
+    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+
+
+def label_model(patterns: dict[str, int], base: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
+    """(rates, shares, prior) from the number of documents with each combination of votes."""
+    n, hot = np.array(list(patterns.values()), float), _one_hot(list(patterns))
     voters = hot.shape[1]
     prior, share = min(max(base, 1e-3), 0.5), np.ones(voters)
     rates = np.zeros((voters, 2, 3))
@@ -197,8 +205,7 @@ def label_model(patterns: dict[str, int], base: float, rounds: int = 60) -> tupl
         rates[j, 1], rates[j, 0] = [min(0.5, 10 * some[0] + 0.05), some[1] * 0.1, 0.5], [some[0] * 0.1, some[1], 1]
     rates = (rates + 1e-4) / (rates + 1e-4).sum(2, keepdims=True)
     for step in range(rounds):
-        odds = np.log(prior / (1 - prior)) + (np.einsum("pjv,jv->pj", hot, np.log(rates[:, 1] / rates[:, 0])) * share).sum(1)
-        post = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        post = posterior(hot, prior, rates, share)
         for y, p in ((1, post), (0, 1 - post)):
             rates[:, y] = np.einsum("p,pjv->jv", n * p, hot) + 0.1
         rates /= rates.sum(2, keepdims=True)
@@ -214,7 +221,7 @@ def label_model(patterns: dict[str, int], base: float, rounds: int = 60) -> tupl
                 corr += w.sum() / n.sum() * np.clip(c / d / d[:, None], 0, 1)
             np.fill_diagonal(corr, 0)
             share = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
-    return rates, share, post
+    return rates, share, prior
 
 
 def logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, width: int, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -258,11 +265,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int
             found.update(_votes(*_hits(t.as_py(), index), m) for t in batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["votes", "n"])
 
-    # Rare combinations are many, yet no more than a sample's worth goes to the driver.
+    # Counts are over all training rows; combinations beyond ``sample`` of them, the rarest, don't weigh in the estimate of rates, yet get a posterior.
     votes = train.select("text").mapInArrow(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "votes").limit(sample)
     patterns = {r.votes: r.n for r in votes.collect()}
-    m.rates, m.share, post = label_model(patterns, m.base)
-    posterior = dict(zip(patterns, post, strict=True))
+    m.rates, m.share, prior = label_model(patterns, m.base)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, m = shared.value
@@ -274,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int
     share = min(1.0, sample / max(n.n, 1))
     some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "toxic").mapInArrow(sparse, "votes string, at array<int>, x array<double>, toxic int")
     rows = some.limit(2 * sample).collect()
-    soft = np.array([posterior.get(r.votes, m.base) for r in rows])
+    soft = posterior(_one_hot([r.votes for r in rows]), prior, m.rates, m.share)
     data, truth = [(list(r["at"]), list(r["x"])) for r in rows], np.array([r.toxic for r in rows], float)
     m.weights, m.bias = logistic(data, soft, len(mined) + len(PATTERNS) + 1)
     # Probabilities: one slope and one shift on labelled rows.
