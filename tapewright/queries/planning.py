@@ -10,9 +10,9 @@ from tapewright.plans import moves
 from tapewright.queries.base import Tables, query
 
 ROUTES = moves.Routes("D:\\lib", "by_program_year_month", (
-    moves.Route("steel", "E:\\steel\\", "by_series", ("TYPE 1 - *", "TYPE2"), ("steel",)),
-    moves.Route("brass", "F:\\brass", "flat", (), ("brass", "copper")),
-    moves.Route("tin", "G:\\tin", "by_syllabary", (), ("tin",)),
+    moves.Route("steel", "E:\\steel\\", "by_series", ("ECON - *", "SMALL"), ("red",)),
+    moves.Route("brass", "F:\\brass", "flat", (), ("ring", "bolt")),
+    moves.Route("tin", "G:\\tin", "by_syllabary", (), ("blue",)),
 ))
 
 
@@ -27,7 +27,7 @@ def _parts(t: Tables) -> DataFrame:
 _PLAN = r"""
 p as (select p_partkey as path_id, split_part(p_name, ' ', 1) as folder, concat(cast(p_partkey as varchar), '.mp4') as name, p_partkey % 11 <> 0 as has_metadata, p_partkey % 13 <> 0 as has_contract, p_partkey % 7 = 0 as needs_review, case when p_partkey % 17 <> 0 then p_name end as title,
   case when p_partkey % 19 = 0 then '' when p_partkey % 23 = 0 then '20-1' else concat('2020-', lpad(cast(p_size as varchar), 2, '0'), '-01') end as air, case when p_partkey % 5 = 0 then 'brass' end as genre, p_type from part),
-r as (select *, case when genre = 'brass' then 1 when starts_with(p_type, 'TYPE 1') or p_type = 'TYPE2' then 0 when contains(lower(coalesce(title, '')), 'steel') then 0 when contains(lower(coalesce(title, '')), 'brass') or contains(lower(coalesce(title, '')), 'copper') then 1 when contains(lower(coalesce(title, '')), 'tin') then 2 end as i from p),
+r as (select *, case when genre = 'brass' then 1 when starts_with(p_type, 'ECON') or p_type = 'SMALL' then 0 when contains(lower(coalesce(title, '')), 'red') then 0 when contains(lower(coalesce(title, '')), 'ring') or contains(lower(coalesce(title, '')), 'bolt') then 1 when contains(lower(coalesce(title, '')), 'blue') then 2 end as i from p),
 q as (select *, case when not has_metadata then 'missing_metadata' when not has_contract then 'invalid_metadata_contract' when needs_review then 'needs_review' when air = '' or title is null then 'missing_required_fields'
   when lower(title) <> lower(folder) and starts_with(lower(title), lower(folder)) and length(title) >= length(folder) + 8 then 'suspicious_program_title'
   when i is null and air = '20-1' then 'invalid_air_date' end as skip_reason, case i when 0 then 'steel' when 1 then 'brass' when 2 then 'tin' else 'default' end as genre_route from r),
@@ -109,9 +109,9 @@ def title_updates(t: Tables) -> DataFrame:
     return moves.title_updates(rows, changes).select("path_id", "program_title", F.col("human_reviewed").cast("int").alias("human_reviewed"))
 
 
-@query("select p_partkey, case when contains(p_type, 'BRASS') then 'brass' when contains(p_type, 'STEEL') then 'metal' when contains(p_name, 'a') then 'titled' end as genre from part")
+@query("select p_partkey, case when contains(p_type, 'ECONOMY') then 'plain' when contains(p_type, 'SMALL') then 'small' when contains(p_name, 'a') then 'titled' end as genre from part")
 def genre_resolution(t: Tables) -> DataFrame:
-    words = {"BRASS": "brass", "STEEL": "metal"}
+    words = {"ECONOMY": "plain", "SMALL": "small"}
     epg = F.array(F.struct(F.lit("").alias("category"), F.col("p_type").alias("subcategory")))
     title = F.when(F.contains("p_name", F.lit("a")), "titled")
     return t.part.select("p_partkey", F.coalesce(moves.genre(F.lit(None).cast("string"), epg, F.lit(""), words), title).alias("genre"))

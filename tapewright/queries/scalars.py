@@ -9,7 +9,7 @@ from tapewright.functions import dates as D
 from tapewright.functions import keys as K
 from tapewright.functions import text as X
 from tapewright.functions import values as V
-from tapewright.operators import reconcile, resolve
+from tapewright.operators import ingest, reconcile, resolve
 from tapewright.queries.base import Tables, query
 
 
@@ -188,3 +188,43 @@ def separator_split(t: Tables) -> DataFrame:
 def title_lengths(t: Tables) -> DataFrame:
     longer = F.concat(F.lower("p_name"), F.lower("p_type"))
     return t.part.select("p_partkey", X.swallowed(F.lower("p_name"), longer).alias("swallowed"), X.shortened(longer, F.lower("p_name")).alias("shortened"))
+
+
+@query("select event_id, case event_id % 4 when 0 then true when 1 then false else event_id % 4 = 2 end as flag, case when event_id % 2 = 0 then 0.5 else 0.0 end::double as confidence from events")
+def scalar_lenient(t: Tables) -> DataFrame:
+    n = F.col("event_id")
+    word = F.when(n % 4 == 0, " Yes ").when(n % 4 == 1, "off")
+    return t.events.select("event_id", F.when(n % 4 == 2, V.flag(word, True)).otherwise(V.flag(word, False)).alias("flag"), V.confidence(F.when(n % 2 == 0, "0.5").otherwise("high")).alias("confidence"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, concat('Show_', cast(o_custkey as varchar)) as stem from orders")
+def scalar_mtime_and_stem(t: Tables) -> DataFrame:
+    stem = F.concat(F.lit("Show_"), F.col("o_custkey").cast("string"))
+    name = F.concat(stem, F.date_format("o_orderdate", "_yyyy_MM_dd_'21_05'"), F.lit(".mp4"))
+    return t.orders.select("o_orderkey", D.date_of_mtime(D.utc_text(F.col("o_orderdate").cast("timestamp"))).alias("day"), X.strip_date_suffix(name).alias("stem"))
+
+
+@query("""
+with b as (select o_orderkey as id, concat('show::', lower(o_orderstatus), '::', strftime(o_orderdate, '%Y-%m-%d'), '::21:05') as k from orders)
+select id as broadcast_id, case when id % 5 = 0 then null else 'stale' end as old, k as new from b where id % 5 = 0 or id % 7 = 0
+""")
+def rematch_keys(t: Tables) -> DataFrame:
+    n, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    rows = t.orders.select(n.alias("broadcast_id"), F.lit("Show?").alias("official_title"), F.col("o_orderstatus").alias("broadcaster"), day.alias("air_date"), F.lit("21:05").alias("start_time"))
+    key = K.guide_match_key(F.col("official_title"), F.col("broadcaster"), F.col("air_date"), F.col("start_time"))
+    m = F.col("broadcast_id")
+    return ingest.rematch(rows.withColumn("match_key", F.when(m % 5 == 0, None).when(m % 7 == 0, "stale").otherwise(key)))
+
+
+@query(r"""
+with p as (select distinct lower(p_brand) as b, p_brand as w from part) select concat('D:\', b) as src, concat('D:\', w) as dst, 2 as depth from p where b <> w
+""")
+def case_renames(t: Tables) -> DataFrame:
+    tail = F.concat(F.lit("\\"), F.col("p_partkey").cast("string"))
+    rows = t.part.select(F.concat(F.lit("D:\\"), F.lower("p_brand"), tail).alias("now"), F.concat(F.lit("D:\\"), "p_brand", tail).alias("wanted"))
+    return reconcile.case_renames(rows, "now", "wanted")
+
+
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'e') and contains(lower(p_type), 'o')")
+def title_filter(t: Tables) -> DataFrame:
+    return t.part.where(F.contains(F.lower("p_name"), F.lit("e")) & F.contains(F.lower("p_type"), F.lit("o"))).select("p_partkey", "p_name")

@@ -11,10 +11,10 @@ from tapewright.queries.base import Tables, query
 
 
 def _urls(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://", "").alias("norm"))
+    return t.pages.select("page_id", F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://[^/]*", "").alias("norm"))
 
 
-URLS = "u as (select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://', '') as norm from pages)"
+URLS = "u as (select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]*', '') as norm from pages)"
 
 
 @query(f"with {URLS}, d as (select distinct norm from u where length(norm) >= 4) select distinct a.norm from d a join d b on starts_with(b.norm, a.norm) and length(b.norm) > length(a.norm)")
