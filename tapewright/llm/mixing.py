@@ -105,4 +105,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, *, temperature: fl
     w = W.partitionBy("_k", "_x").orderBy("_rank")
     at = at.withColumn("_copy", F.row_number().over(w)).drop("_rank", "_task")
     row = row.withColumn("_x", F.xxhash64("text")).withColumn("_copy", F.row_number().over(W.partitionBy("_k", "_x").orderBy("_task"))).drop("_task")
-    return row.join(at, ["_k", "_x", "_copy"]).drop("_k", "_x", "_copy")
+    # Not an equality, which would be a third join key and deal the texts out anew: they stay where the window has them.
+    at = at.withColumnsRenamed({"_k": "_ak", "_x": "_ax", "_copy": "_acopy"})
+    same = (F.col("_k") == F.col("_ak")) & (F.col("_x") == F.col("_ax")) & (F.col("_copy") <= F.col("_acopy")) & (F.col("_copy") >= F.col("_acopy"))
+    return row.join(at, same).drop("_k", "_x", "_copy", "_ak", "_ax", "_acopy")
