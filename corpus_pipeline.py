@@ -2,7 +2,8 @@
 
 1. toxicity: documents that the classifier rejects go. 2. lines: repeated three-line passages go from the later documents.
 3. near_duplicates: one document of each class stays, that of the least doc_id. 4. mix: documents are put in the order of the
-schedule that keeps sources at their target weights; files hold it as their rows' order. 5. pack: sequences of 4,096 tokens.
+schedule that keeps sources at their target weights, held by the column ``position``. 5. pack: sequences of 4,096 tokens, whose
+pieces and numbers follow ``position``.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs.select(*COLUMNS)).repartitionByRange(F.col("position")).sortWithinPartitions("position").select(*COLUMNS)
+    return mix_sources(docs.select(*COLUMNS)).repartitionByRange(F.col("position")).sortWithinPartitions("position").select(*COLUMNS, "position")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs.select("doc_id", "text"), word_tokenizer())
+    return pack_documents(docs.select("doc_id", "text", "position"), word_tokenizer(), order="position")
 
 
 STAGES = [("toxicity", toxicity_stage), ("lines", lines_stage), ("near_duplicates", near_duplicates_stage), ("mix", mix_stage), ("pack", pack_stage)]

@@ -3,6 +3,8 @@
 Documents are tokenised and cut into pieces of at most ``size`` tokens. Only the number of pieces of each length goes to the
 driver (at most ``size`` rows); best-fit decreasing runs over those counts, whole groups of equal bins at a time, and gives a
 plan of at most a few entries for each length. Pieces are ranked within their length and take the planned slot of that rank.
+With an ``order`` column (such as the schedule's position) that ranks pieces within their length, and sequences are numbered by
+the least order among their pieces, so that reading sequences in turn follows it.
 
 Defined cases: a null text is an empty one, which has the end token alone; a document longer than ``size`` is cut into full
 pieces and a shorter last one; repeated rows are packed each; null ids rank first; ties of doc_id go by piece and checksum.
@@ -78,26 +80,26 @@ def token_bytes(text: str, path: str) -> bytes:
     return b"".join(map(ids.__getitem__, text.split()))
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) for each piece of each document."""
+def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, with_ids: bool = False, order: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids][, _order]) for each piece of each document."""
     import pyarrow as pa
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, *["_order"] * bool(order)]
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, at_order in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = token_bytes(text.as_py() or "", tokenizer) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32).tolist() if with_ids else None))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)][: len(names)] if rows else [pa.array([], k) for k in kinds[: len(names)]], names)
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *[np.frombuffer(part, "<u4").astype(np.int32).tolist()] * with_ids, *[at_order] * bool(order)))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids, *[pa.int64()] * bool(order)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", _order long" * bool(order)
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(order) if order else F.lit(None)).cast("long")).mapInArrow(cut, schema)
 
 
 def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -145,8 +147,11 @@ def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int
     return plan
 
 
-def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
-    """``pieces`` (length in 1..size) with ``sequence_id`` and ``offset``; sequences have no gaps. ``pieces`` is read more than once."""
+def pack(pieces: DataFrame, size: int = 4096, order: str = "doc_id") -> DataFrame:
+    """``pieces`` (length in 1..size) with ``sequence_id`` and ``offset``; sequences have no gaps. ``pieces`` is read more than once.
+
+    Pieces of a length take their slots by ``order``.
+    """
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
     plan = np.array(sorted(best_fit_plan(counts, size)) or [(0,) * 6], np.int64)
@@ -162,10 +167,20 @@ def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
         i = r - of[:, 1]
         return pd.DataFrame({"sequence_id": of[:, 4] + i // of[:, 3], "offset": of[:, 5] + i % of[:, 3] * n})
 
-    at = ranked(pieces.withColumn("_k", id_key("doc_id", "ids_crc32")), ["length"], "_k", ["piece", "ids_crc32"], "_rank")
+    at = ranked(pieces.withColumn("_k", id_key(order, "ids_crc32")), ["length"], "_k", ["piece", "ids_crc32"], "_rank")
     return at.withColumn("_s", slot("length", "_rank")).select(*pieces.columns, "_s.sequence_id", "_s.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their places; ``with_ids`` adds the token ids."""
-    return pack(materialize(tokenized_pieces(docs, tokenizer, size, end_id, with_ids), "pieces"), size)
+def in_order(packed: DataFrame, order: str) -> DataFrame:
+    """``packed`` with sequences numbered anew, by the least ``order`` among their pieces. ``packed`` is read twice."""
+    least = packed.groupBy("sequence_id").agg(F.min(order).alias("_first")).select("sequence_id", id_key("_first", "sequence_id").alias("_first"), F.lit(0).alias("_one"))
+    numbers = ranked(materialize(least, "sequences"), ["_one"], "_first", ["sequence_id"], "_number").select("sequence_id", "_number")
+    return packed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("_number")).select(*packed.columns)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, with_ids: bool = False, order: str | None = None) -> DataFrame:
+    """Pieces of all documents with their places; ``with_ids`` adds the token ids, ``order`` names the column that sequences follow."""
+    pieces = materialize(tokenized_pieces(docs, tokenizer, size, end_id, with_ids, order), "pieces")
+    if order is None:
+        return pack(pieces, size)
+    return in_order(materialize(pack(pieces, size, "_order"), "packed"), "_order").drop("_order")

@@ -378,3 +378,24 @@ def test_pipeline(spark, docs, tmp_path):
                 gone |= {j, j + 1, j + 2}
         texts[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
     assert {r.doc_id for r in packed} == set(brute_classes(list(texts.items())).values())
+
+
+def test_pipeline_sequences_follow_the_mix(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rows = [(i, f"alone{i} " + prose(30, random.Random(i)), "en", "a" if i < 90 else "b", 0) for i in range(100)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    mixed = pipeline.mix_stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    position = {r.doc_id: r.position for r in mixed.collect()}
+    assert [d for d, _ in sorted(position.items(), key=lambda x: x[1])] != sorted(position)
+    packed = pipeline.pack_stage(spark, mixed, str(tmp_path)).collect()
+    by_length, least = defaultdict(list), {}
+    for r in packed:
+        by_length[r.length].append((position[r.doc_id], r.sequence_id, r.doc_id))
+        least[r.sequence_id] = min(least.get(r.sequence_id, 10**9), position[r.doc_id])
+    assert sorted(least) == list(range(len(least))) and [least[s] for s in sorted(least)] == sorted(least.values())
+    turned = pipeline.pack_stage(spark, mixed.selectExpr("doc_id", "text", "99 - position as position"), str(tmp_path)).collect()
+    assert {(r.doc_id, r.sequence_id, r.offset) for r in turned} != {(r.doc_id, r.sequence_id, r.offset) for r in packed}
+    for v in by_length.values():  # one sequence holds them all here: places of a length go up with position
+        at = {r.doc_id: (r.sequence_id, r.offset) for r in packed}
+        assert [at[d] for _, _, d in sorted(v)] == sorted(at[d] for *_, d in v)
