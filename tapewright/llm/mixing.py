@@ -3,14 +3,14 @@
 Each source is a periodic task whose integer weight is its share of a cycle. The k-th block of a source with share w (from 0)
 is released at floor(k / w) and due at ceil((k + 1) / w); every slot goes to the released block with the earliest deadline.
 On one processor this meets all deadlines, so after any number of slots a source is less than one block from its share.
-The schedule depends on the weights alone and repeats after one cycle, whose slots the driver lays out (at most ``max_cycle``
-rows, whatever the corpus); documents find theirs by joining on the block's number within the cycle.
+The schedule depends on the weights alone and repeats after one cycle, whose slots the driver lays out (about ``max_cycle`` and one
+for each source at most, whatever the number of documents); documents find theirs by joining on the block's number within the cycle.
 
 Defined cases: a null source is a source of its own; a source without documents has no block and its slots stay idle, as do
 those of a source that has run out: the others keep their proportions. Every row is placed once: none is dropped or repeated.
 Ties of doc_id are broken by text; equal rows are interchangeable. An empty table gives an empty schedule.
 Columns named like an output or with a leading ``_`` are dropped; others pass through.
-Sources beyond ``max_sources`` (the smallest) share one task, in which they are interleaved by doc_id.
+Every source has a task of its own. Only if ``max_sources`` is given do the smallest sources beyond it share one, interleaved by doc_id.
 """
 
 from __future__ import annotations
@@ -52,16 +52,17 @@ def integer_weights(weights: dict, max_cycle: int) -> dict:
     return {k: max(1, round(v / total * max_cycle)) for k, v in exact.items()}
 
 
-def temperature_weights(docs: DataFrame, temperature: float, max_sources: int, max_cycle: int) -> tuple[list[tuple], list[int]]:
+def temperature_weights(docs: DataFrame, temperature: float, max_sources: int | None, max_cycle: int) -> tuple[list[tuple], list[int]]:
     """(source, task, weight) rows and the weight of the shared task, if any: share of each source in proportion to its documents to the power 1 / temperature.
 
-    The largest ``max_sources`` - 1 sources have tasks of their own; the others share the last one.
+    With ``max_sources``, the largest ``max_sources`` - 1 sources have tasks of their own; the others share the last one.
     """
     counts = docs.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.orderBy(F.desc("_n"), F.asc_nulls_first("_source")).limit(max_sources - 1).collect()
-    rest = counts.agg(F.sum("_n").alias("n")).first().n or 0
-    rest -= sum(r._n for r in top)
-    power = {r._source: float(r._n) ** (1 / temperature) for r in top}
+    found = counts.toArrow()
+    sizes = sorted(zip(found["_source"].to_pylist(), found["_n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))
+    own = sizes if max_sources is None else sizes[: max_sources - 1]
+    rest = sum(n for _, n in sizes[len(own) :])
+    power = {s: float(n) ** (1 / temperature) for s, n in own}
     shared = {"": float(rest) ** (1 / temperature)} if rest else {}
     total = sum(power.values()) + sum(shared.values())
     as_int = lambda x: max(1, int(x / total * max_cycle + 0.5))
@@ -69,33 +70,39 @@ def temperature_weights(docs: DataFrame, temperature: float, max_sources: int, m
     return [(s, i, as_int(power[s])) for i, s in enumerate(order)], ([as_int(shared[""])] if shared else [])
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, *, temperature: float = 2.0, block_docs: int = 16, max_sources: int = 1024, max_cycle: int = 10_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, *, temperature: float = 2.0, block_docs: int = 16, max_sources: int | None = None, max_cycle: int = 10_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with ``block`` (of its source, from 0), ``release``, ``deadline``, ``slot`` (all in slots), ``position`` (from 0).
 
     weights: source to share; sources that it doesn't name share the key "*" (weight 1 if absent). Without weights, shares follow
     the sources' sizes to the power 1 / temperature. A block is ``block_docs`` consecutive documents of a source.
+    Sources and slots go to every task up to ``broadcast_rows`` of them; more meet the documents in a shuffle.
     """
+    import pyarrow as pa
+
     spark, docs = docs.sparkSession, without(docs, "block", "release", "deadline", "slot", "position")
     if weights is None:
         tasks, shared = temperature_weights(docs, temperature, max_sources, max_cycle)
     else:
         named = integer_weights(weights | ({} if "*" in weights else {"*": 1}), max_cycle)
         shared = [named.pop("*", 1)]
-        if len(named) >= max_sources:
+        if max_sources is not None and len(named) >= max_sources:
             raise ValueError(f"{len(named)} weights; max_sources is {max_sources}")
         tasks = [(s, i, named[s]) for i, s in enumerate(sorted(named, key=lambda s: (s is not None, s or "")))]
     shares = [w for *_, w in tasks] + shared
     cycle = sum(shares)
-    slots = spark.createDataFrame([(i, k, t, r, d) for i, k, t, r, d in pfair_cycle(shares)] or [(-1, -1, -1, -1, -1)], "_task int, _kc long, _t long, _r long, _d long")
-    names = spark.createDataFrame([(s, i) for s, i, _ in tasks], "_source string, _t0 int")
-    share = F.element_at(F.array(*[F.lit(w) for w in shares or [1]]), F.col("_task") + 1).cast("long")
-    row = docs.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_task", F.coalesce("_t0", F.lit(len(tasks)))).drop("_source", "_t0")
+    small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
+    table = lambda rows, schema: spark.createDataFrame(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.values(), strict=True)], list(schema)))
+    slots = table(pfair_cycle(shares), {"_task": pa.int32(), "_kc": pa.int64(), "_t": pa.int64(), "_r": pa.int64(), "_d": pa.int64()})
+    names = table(tasks, {"_source": pa.string(), "_t0": pa.int32(), "_w0": pa.int64()})
+    row = docs.join(small(names, len(tasks)), F.col("source").eqNullSafe(F.col("_source")), "left")
+    row = row.withColumn("_task", F.coalesce("_t0", F.lit(len(tasks)))).withColumn("_w", F.coalesce("_w0", F.lit((shared or [1])[0]).cast("long"))).drop("_source", "_t0", "_w0")
     row = row.withColumn("_k", id_key("doc_id", "text"))
-    keys = materialize(row.select("_k", "_task", F.xxhash64("text").alias("_x")), "mix-keys")
+    keys = materialize(row.select("_k", "_task", "_w", F.xxhash64("text").alias("_x")), "mix-keys")
+    row = row.drop("_w")
     at = ranked(keys, ["_task"], "_k", ["_x"], "_rank")
-    at = at.withColumn("_b", F.floor(F.col("_rank") / block_docs)).withColumn("_w", share)
+    at = at.withColumn("_b", F.floor(F.col("_rank") / block_docs))
     at = at.withColumn("_cycle", F.floor(F.col("_b") / F.col("_w"))).withColumn("_kc", F.col("_b") % F.col("_w"))
-    at = at.join(F.broadcast(slots), ["_task", "_kc"])
+    at = at.join(small(slots, cycle), ["_task", "_kc"])
     start = F.col("_cycle") * cycle
     at = at.select("_k", "_x", "_task", "_rank", F.col("_b").alias("block"), (start + F.col("_r")).alias("release"), (start + F.col("_d")).alias("deadline"), (start + F.col("_t")).alias("slot"))
     at = materialize(at, "mix-slots")

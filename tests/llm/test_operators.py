@@ -187,6 +187,20 @@ def test_mixing(spark, docs):
     assert sorted(r.position for r in twice) == list(range(2 * len(corpus())))
 
 
+def test_mixing_many_sources(spark):
+    """Every source is a task of its own: blocks count within it and slots keep its releases and deadlines."""
+    n = 1500
+    many = spark.range(2 * n).selectExpr("id as doc_id", "concat('t', id) as text", f"concat('s', id % {n}) as source")
+    out = mixing.mix_sources(many, block_docs=1).collect()
+    blocks = defaultdict(list)
+    for r in out:
+        blocks[r.source].append(r.block)
+        assert r.release <= r.slot < r.deadline
+    assert len(blocks) == n and all(sorted(b) == [0, 1] for b in blocks.values()) and sorted(r.position for r in out) == list(range(2 * n))
+    shuffled = mixing.mix_sources(many, block_docs=1, broadcast_rows=10).collect()
+    assert {(r.doc_id, r.slot, r.position) for r in shuffled} == {(r.doc_id, r.slot, r.position) for r in out}
+
+
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block"), ("x.org", "block")]
 
 
