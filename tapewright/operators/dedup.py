@@ -79,10 +79,10 @@ def skip_groups(plan: DataFrame, review: DataFrame) -> DataFrame:
     return plan.join(skipped, "group_key", "left_anti")
 
 
-def review_groups(plan: DataFrame, most: int = 200) -> DataFrame:
+def review_groups(plan: DataFrame) -> DataFrame:
     """A document row for each group with drops: its candidates by path."""
     cand = F.struct("path", "path_id", "size_bytes", "decision")
-    return plan.groupBy("group_key").agg(F.array_sort(F.collect_list(cand)).alias("candidates"), F.bool_or(F.col("decision") == DROP).alias("_d")).where("_d").drop("_d").orderBy("group_key").limit(most)
+    return plan.groupBy("group_key").agg(F.array_sort(F.collect_list(cand)).alias("candidates"), F.bool_or(F.col("decision") == DROP).alias("_d")).where("_d").drop("_d").orderBy("group_key")
 
 
 def broadcaster_answers(answers: DataFrame, known: dict[str, list[str]]) -> DataFrame:

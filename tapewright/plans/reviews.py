@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 
-def _rows(df: DataFrame, most: int) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+def _rows(df: DataFrame) -> Iterator[dict]:
+    """All rows, fetched a partition at a time."""
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())
 
 
-def write_titles(stats: DataFrame, path: str, source: str, most: int = 5000) -> int:
+def write_titles(stats: DataFrame, path: str, source: str) -> int:
     """Titles by count with samples and cohort hash, for renaming; UNKNOWN is counted by its rows but not listed. Gives the number of titles."""
     import yaml
 
-    rows = sorted(_rows(stats.where("program_title <> 'UNKNOWN'"), most), key=lambda r: (-r["n_rows"], r["program_title"]))
+    rows = sorted(_rows(stats.where("program_title <> 'UNKNOWN'")), key=lambda r: (-r["n_rows"], r["program_title"]))
     hints = [{"canonical_title": r["program_title"], "aliases": [r["program_title"]], "count": r["n_rows"], "needs_review": r["n_review"], "cohort": r["cohort"], "samples": r["samples"]} for r in rows]
     Path(path).write_text(yaml.safe_dump({"source": source, "hints": hints}, allow_unicode=True, sort_keys=False), encoding="utf-8")
     return len(hints)
@@ -35,11 +37,11 @@ def read_titles(path: str) -> tuple[dict[str, str], dict[str, str]]:
     return aliases, cohorts
 
 
-def write_groups(groups: DataFrame, path: str, most: int = 5000) -> int:
+def write_groups(groups: DataFrame, path: str) -> int:
     """Groups with their candidates and decisions, of which a reader may set any to skip."""
     import yaml
 
-    rows = _rows(groups, most)
+    rows = list(_rows(groups))
     Path(path).write_text(yaml.safe_dump({"groups": rows}, allow_unicode=True, sort_keys=False), encoding="utf-8")
     return len(rows)
 

@@ -116,3 +116,11 @@ def test_contamination_and_guide_details(spark):
     known = spark.createDataFrame([("Known show",), ("Known",)], "title string")
     none = spark.createDataFrame([], "alias string, canonical string")
     assert {r.t: r.fixed for r in resolve.long_title_fix(long, "t", none, known).collect()} == {"A very long title that goes on▽more": "A very long title that goes on", "Known show and so much more text here": "Known show", "Short": None}
+
+
+def test_review_documents_list_everything(spark, tmp_path):
+    path, n = str(tmp_path / "t.yaml"), 5001
+    stats = spark.range(n).selectExpr("concat('T', id) as program_title", "id + 1 as n_rows", "0 as n_review", "'c' as cohort", "array('s') as samples")
+    assert reviews.write_titles(stats, path, "s") == n and set(reviews.read_titles(path)[0]) == {f"T{i}" for i in range(n)}
+    plan = spark.range(402).selectExpr("concat('g', id div 2) as group_key", "string(id) as path_id", "concat('p', id) as path", "1L as size_bytes", "if(id % 2 = 0, 'keep', 'drop') as decision")
+    assert reviews.write_groups(dedup.review_groups(plan), path) == 201 and len(reviews.read_groups(path)) == 402
