@@ -50,19 +50,16 @@ def fold(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5, F.lit(1))
 
 
-def _count(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """(entry, n): documents of ``rows`` (text) that hold an entry, each entry, or the wanted ones."""
+def _count(rows: DataFrame) -> DataFrame:
+    """(entry, n): documents of ``rows`` (text) that hold an entry, for each entry."""
     import pyarrow as pa
 
-    shared = rows.sparkSession.sparkContext.broadcast(wanted)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         give = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["entry", "n"])
         for batch in batches:
             for text in batch.column(0):
-                own = entries(features(text.as_py())[0])
-                found.update(own if shared.value is None else own & shared.value)
+                found.update(entries(features(text.as_py())[0]))
                 if len(found) > 200_000:
                     yield give()
                     found.clear()
@@ -71,62 +68,67 @@ def _count(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     return text_batches(rows).select("text").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def mine_lexicon(train: DataFrame, size: int = 512, precision: float = 0.9, candidates: int = 20_000) -> list[str]:
-    """train: (text, toxic). The entries that hold toxic rows at a smoothed rate of ``precision`` or more, most frequent first, at most ``size``.
+def mine_lexicon(train: DataFrame, precision: float = 0.9) -> list[str]:
+    """train: (text, toxic). The entries that hold toxic rows at a smoothed rate of ``precision`` or more and explain some that others don't, most frequent first.
 
-    The ``candidates`` most frequent entries of toxic texts are looked at. Copies of a toxic text count once. An entry needs so many toxic texts that chance would give a twentieth of one such entry.
+    Every entry of three toxic texts is looked at. Copies of a toxic text count once. An entry needs so many toxic texts that chance would give a twentieth of one such entry.
     """
     n = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return []
     bad = materialize(train.where("toxic = 1").groupBy(F.xxhash64("text").alias("_x")).agg(F.first("text").alias("text")).select("text"), "toxic-texts")
     n[1] = bad.count()
-    least = max(3, n[1] // 400)
-    toxic = _count(bad, None).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(candidates)
-    toxic = {r.entry: r.n for r in toxic.collect()}
-    clean = {r.entry: r.n for r in _count(train.where("toxic = 0"), set(toxic)).collect()}
-    surely = np.log(20 * max(len(toxic), 1)) / -np.log(min(0.5, n[1] / (n[0] + n[1])))
+    toxic = materialize(_count(bad).where("n >= 3"), "toxic-entries")
+    surely = float(np.log(20 * max(toxic.count(), 1)) / -np.log(min(0.5, n[1] / (n[0] + n[1]))))
     odds = n[0] / n[1]  # rates as if the classes were equally large
-    good = [(x, e) for e, x in toxic.items() if x * odds / (x * odds + (clean.get(e, 0) + 0.5)) >= max(precision, 0.9) and x > 3 * clean.get(e, 0) and x >= surely]
-    kept: list[str] = []
-    for _, e in sorted(good, key=lambda y: (-y[0], y[1])):
-        if not any(e.startswith(k[:-1]) for k in kept if k.endswith("*") and len(k) <= len(e) + 1):
-            kept.append(e)
-    return explaining(bad, kept[: 4 * size])[:size]
-
-
-def explaining(toxic: DataFrame, lexicon: list[str], sample: int = 20_000, common: float = 0.03, least: float = 0.002) -> list[str]:
-    """The entries that a share ``common`` of the toxic texts holds, and of the others those that explain a share ``least`` (two at least) that no kept one does.
-
-    Words that copies of one toxic text share go: others explain it. Looks at a bounded sample of toxic texts.
+    toxic = toxic.where(F.col("n") >= surely)
+    clean = _count(train.where("toxic = 0")).withColumnRenamed("n", "c")
+    x, c = F.col("n"), F.coalesce("c", F.lit(0))
+    good = toxic.join(clean, "entry", "left").where((x * odds / (x * odds + c + 0.5) >= max(precision, 0.9)) & (x > 3 * c)).select("entry", "n").toArrow()
+    kept: dict[str, int] = {}
+    for e, x in sorted(zip(good["entry"].to_pylist(), good["n"].to_pylist(), strict=True), key=lambda y: (-y[1], y[0])):
+        if not any(len(e) >= k and f"{e[:k]}*" in kept for k in STEMS):
+            kept[e] = x
+    return explaining(bad, kept, n[1])
+
+
+def explaining(toxic: DataFrame, lexicon: dict[str, int], texts: int, common: float = 0.03) -> list[str]:
+    """The entries that a share ``common`` of the toxic texts holds, and of the others those that explain two or more that no kept one does.
+
+    Words that copies of one toxic text share go: others explain it. ``lexicon`` has the number of toxic texts of each entry, ``texts`` is
+    that of all; of the texts without a common entry, those that hold the same entries are counted together.
     """
     import pyarrow as pa
 
-    shared = toxic.sparkSession.sparkContext.broadcast({e: i for i, e in enumerate(lexicon)})
+    names = list(lexicon)
+    kept = {i for i, e in enumerate(names) if lexicon[e] >= max(3, common * texts)}
+    shared = toxic.sparkSession.sparkContext.broadcast(({e: i for i, e in enumerate(names)}, kept))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, common = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([list(_hits(t.as_py(), shared.value)[0]) for t in batch.column(0)], pa.list_(pa.int32()))], ["at"])
+            rows = (sorted(_hits(t.as_py(), index)[0]) for t in batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([r for r in rows if r and common.isdisjoint(r)], pa.list_(pa.int32()))], ["at"])
 
-    rows = toxic.select("text").limit(sample).mapInArrow(held, "at array<int>").collect()
+    found = text_batches(toxic.select("text")).mapInArrow(held, "at array<int>").groupBy("at").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    weight = found["n"].to_pylist()
     holders: dict[int, set[int]] = {}
-    for i, r in enumerate(rows):
-        for e in r["at"]:
+    for i, at in enumerate(found["at"].to_pylist()):
+        for e in at:
             holders.setdefault(e, set()).add(i)
-    kept = {e for e, x in holders.items() if len(x) >= max(3, common * len(rows))}
-    seen = set().union(*(holders[e] for e in kept)) if kept else set()
-    heap = sorted((-len(x - seen), lexicon[e], e) for e, x in holders.items() if e not in kept)
+    seen: set[int] = set()
+    heap = sorted((-sum(weight[i] for i in x), names[e], e) for e, x in holders.items())
     while heap:  # gains only shrink: look anew at the best alone
         _, name, e = heapq.heappop(heap)
-        gain = len(holders[e] - seen)
+        gain = sum(weight[i] for i in holders[e] - seen)
         if heap and gain < -heap[0][0]:
             heapq.heappush(heap, (-gain, name, e))
-        elif gain < max(2, least * len(rows)):
+        elif gain < 2:
             break
         else:
             kept.add(e)
             seen |= holders[e]
-    return [x for i, x in enumerate(lexicon) if i in kept]
+    return [x for i, x in enumerate(names) if i in kept]
 
 
 @dataclass
@@ -238,7 +240,7 @@ def logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, width: in
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int = 16, pools: int = 4, lexicon: int = 512, broadcast_rows: int = 4_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int = 16, pools: int = 4, broadcast_rows: int = 4_000_000) -> Model:
     """Learns from the documents whose fold isn't 0 and their labels. ``sample`` bounds the rows that the classifier is fitted on.
 
     Labels of up to ``broadcast_rows`` documents (an id and a mark each) go to every task; more meet the texts in a shuffle.
@@ -249,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int
     marks = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
     labelled = materialize(train.join(marks, "doc_id").select("doc_id", "text", "toxic"), "labelled")
     n = labelled.agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("share")).first()
-    mined = mine_lexicon(labelled, lexicon)
+    mined = mine_lexicon(labelled)
     m = Model(mined, min(voices, len(mined)), pools, float(n.share or 0))
     if not mined:
         return m

@@ -279,6 +279,16 @@ def test_exchange_finds_classes():
     assert len(set(of[1:11])) == 1 and len(set(of[11:])) == 1 and of[1] != of[11]
 
 
+def test_lexicon_has_no_rank_cap(spark):
+    """Rare toxic words stay, however many entries and lexicon words are more frequent."""
+    r = random.Random(8)
+    rare = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}zz" for i in range(600)]
+    toxic = [" ".join(r.choice(WORDS) for _ in range(10)) + f" {rare[i % 600]}" for i in range(4800)]
+    clean = [" ".join(r.choice(WORDS) for _ in range(10)) for _ in range(48_000)]
+    mined = toxicity.mine_lexicon(spark.createDataFrame([(x, 1) for x in toxic] + [(x, 0) for x in clean], "text string, toxic int"))
+    assert set(mined) == set(rare)
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     rows, marks = [], []
