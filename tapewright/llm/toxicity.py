@@ -196,31 +196,71 @@ def posterior(hot: np.ndarray, prior: float, rates: np.ndarray, share: np.ndarra
     return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def label_model(patterns: dict[str, int], base: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
-    """(rates, shares, prior) from the number of documents with each combination of votes."""
-    n, hot = np.array(list(patterns.values()), float), _one_hot(list(patterns))
-    voters = hot.shape[1]
+def _sums(hot: np.ndarray, n: np.ndarray, prior: float, rates: np.ndarray, share: np.ndarray, pairs: bool) -> np.ndarray:
+    """Of documents with these votes, for either class (clean, toxic): their number, voter x vote sums, and with ``pairs`` voter x voter sums of signed votes; in one row."""
+    post = posterior(hot, prior, rates, share)
+    signed, out = hot[:, :, 0] - hot[:, :, 1], []
+    for p in (1 - post, post):
+        w = n * p
+        out += [np.array([w.sum()]), np.einsum("p,pjv->jv", w, hot).ravel(), ((signed * w[:, None]).T @ signed).ravel() if pairs else np.zeros(0)]
+    return np.concatenate(out)
+
+
+def _sums_of(votes: DataFrame, *now) -> np.ndarray:
+    """``_sums`` over the whole table (votes, n), a row from each task."""
+    import pyarrow as pa
+
+    shared = votes.sparkSession.sparkContext.broadcast(now)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                part = _sums(_one_hot(batch.column(0).to_pylist()), batch.column(1).to_numpy().astype(float), *shared.value)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    return np.sum([r.sums for r in text_batches(votes.select("votes", "n")).mapInArrow(add, "sums array<double>").collect()], axis=0)
+
+
+def label_model(votes: DataFrame, base: float, rounds: int = 60, most: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
+    """(rates, shares, prior) from ``votes`` (votes, n): the number of documents with each combination of votes.
+
+    Each round needs sums over all combinations: up to ``most`` are summed here, more by the tasks. ``votes`` is read in each round.
+    """
+    first = votes.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.first("votes").alias("v")).first()
+    voters, n = len(first.v), float(first.n)
+    if first.k <= most:
+        rows = votes.orderBy(F.desc("n"), "votes").collect()
+        hot, times = _one_hot([r.votes for r in rows]), np.array([r.n for r in rows], float)
+        sums = lambda *now: _sums(hot, times, *now)
+    else:
+        sums = lambda *now: _sums_of(votes, *now)
+
+    def split(row: np.ndarray) -> list[tuple]:
+        """For either class, clean first: number, voter x vote, voter x voter."""
+        return [(c[0], c[1 : 1 + 3 * voters].reshape(voters, 3), c[1 + 3 * voters :]) for c in np.split(row, 2)]
+
     prior, share = min(max(base, 1e-3), 0.5), np.ones(voters)
-    rates = np.zeros((voters, 2, 3))
+    rates = np.full((voters, 2, 3), 1 / 3)
+    some = sum(c[1] for c in split(sums(prior, rates, share, False))) / max(n, 1)
     for j in range(voters):
-        some = (n[:, None] * hot[:, j]).sum(0) / max(n.sum(), 1)
-        rates[j, 1], rates[j, 0] = [min(0.5, 10 * some[0] + 0.05), some[1] * 0.1, 0.5], [some[0] * 0.1, some[1], 1]
+        rates[j, 1], rates[j, 0] = [min(0.5, 10 * some[j, 0] + 0.05), some[j, 1] * 0.1, 0.5], [some[j, 0] * 0.1, some[j, 1], 1]
     rates = (rates + 1e-4) / (rates + 1e-4).sum(2, keepdims=True)
     for step in range(rounds):
-        post = posterior(hot, prior, rates, share)
-        for y, p in ((1, post), (0, 1 - post)):
-            rates[:, y] = np.einsum("p,pjv->jv", n * p, hot) + 0.1
+        classes = split(sums(prior, rates, share, step in (9, 29)))
+        for y, (_, of, _) in enumerate(classes):
+            rates[:, y] = of + 0.1
         rates /= rates.sum(2, keepdims=True)
-        prior = float(np.clip((n * post).sum() / n.sum(), 1e-4, 0.9))
+        prior = float(np.clip(classes[1][0] / n, 1e-4, 0.9))
         if step in (9, 29):  # residual correlation of votes given the class
-            signed = hot[:, :, 0] - hot[:, :, 1]
             corr = np.zeros((voters, voters))
-            for p in (post, 1 - post):
-                w = n * p
-                x = signed - (w @ signed) / max(w.sum(), 1e-9)
-                c = (x * w[:, None]).T @ x / max(w.sum(), 1e-9)
+            for w, of, both in classes:
+                mean = (of[:, 0] - of[:, 1]) / max(w, 1e-9)
+                c = both.reshape(voters, voters) / max(w, 1e-9) - np.outer(mean, mean)
                 d = np.sqrt(np.maximum(np.diag(c), 1e-9))
-                corr += w.sum() / n.sum() * np.clip(c / d / d[:, None], 0, 1)
+                corr += w / n * np.clip(c / d / d[:, None], 0, 1)
             np.fill_diagonal(corr, 0)
             share = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
     return rates, share, prior
@@ -260,17 +300,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int
 
     import pyarrow as pa
 
+    give = lambda found: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["votes", "n"])
+
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, m = shared.value
         found: Counter = Counter()
         for batch in batches:
             found.update(_votes(*_hits(t.as_py(), index), m) for t in batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["votes", "n"])
+            if len(found) > 200_000:
+                yield give(found)
+                found.clear()
+        yield give(found)
 
-    # Counts are over all training rows; combinations beyond ``sample`` of them, the rarest, don't weigh in the estimate of rates, yet get a posterior.
-    votes = train.select("text").mapInArrow(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "votes").limit(sample)
-    patterns = {r.votes: r.n for r in votes.collect()}
-    m.rates, m.share, prior = label_model(patterns, m.base)
+    votes = materialize(train.select("text").mapInArrow(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")), "votes")
+    m.rates, m.share, prior = label_model(votes, m.base)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, m = shared.value

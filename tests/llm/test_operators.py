@@ -289,6 +289,19 @@ def test_lexicon_has_no_rank_cap(spark):
     assert set(mined) == set(rare)
 
 
+def test_label_model_sees_all_combinations(spark):
+    """Tasks' sums over every combination give what one place gives, and the rarest combinations weigh in."""
+    r = random.Random(3)
+    seen = Counter()
+    for _ in range(4000):
+        toxic = r.random() < 0.3
+        seen["".join("t" if r.random() < (0.5 if toxic else 0.02) else "-" for _ in range(6)) + ("c" if not toxic and r.random() < 0.8 else "-")] += 1
+    votes = spark.createDataFrame(list(seen.items()), "votes string, n long").repartition(3)
+    here, tasks = toxicity.label_model(votes, 0.3), toxicity.label_model(votes, 0.3, most=5)
+    top = toxicity.label_model(spark.createDataFrame(seen.most_common(5), "votes string, n long"), 0.3)
+    assert all(np.allclose(a, b) for a, b in zip(here, tasks, strict=True)) and abs(here[2] - 0.3) < 0.03 and abs(top[2] - here[2]) > 0.03
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     rows, marks = [], []
