@@ -1,17 +1,18 @@
 """A class-based bigram language model (Brown classes by the exchange algorithm).
 
-Words, lower-cased A-Z and split at ASCII white space, are counted over all training documents. Units of the clustering are the
-``own`` most frequent words and, for all others, ``buckets`` groups by the word's last three bytes, so that every word ever seen
-or unseen has a unit. Bigrams of units are counted over all training documents (at most (own + buckets + 1)^2 numbers, whatever
-the corpus) and exchanges move units between classes while the bigram likelihood of the classes grows. The model is
+Words, lower-cased A-Z and split at ASCII white space, are counted over all training documents. The exchange algorithm clusters
+a core on the driver: the ``own`` most frequent words, and ``buckets`` groups of all others by the last three bytes. Then every
+other training word, however rare, leaves its group for the class that its own neighbours' classes make likeliest, by counts over
+all training documents in the tasks; the groups' classes are left to unseen words. Bigrams of the final classes are counted over
+all training documents, and the model is
 
     P(w | v) = P(class w | class v) P(w | class w)
 
 with transitions smoothed towards class shares and emissions (c + 0.5) / (class tokens + 0.5 (class words + 1)), where all unseen
 words of a class share one place. The end of a text is a word with a class of its own, which also precedes the first word.
 
-Counts of the ``frequent`` most frequent words go to every task (a bound that doesn't depend on the corpus); all other words of
-a text meet their counts in a join, so every word is scored by its exact count.
+Counts and classes of the ``frequent`` most frequent words go to every task (a bound that doesn't depend on the corpus); all other
+words of a text meet theirs in a join, so every word is scored by its exact count and its own class.
 
 Defined cases: a null or empty text is the end alone; repeated rows count and score each; a null id belongs to training (its
 crc32 is null, hence not 1); without training documents all counts are 0 and each token has probability 1 in the base and by its
@@ -93,32 +94,157 @@ def count_words(train: DataFrame) -> DataFrame:
     return text_batches(train).select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_bigrams(train: DataFrame, units: _Units) -> np.ndarray:
-    """Matrix of how often a unit follows a unit; rows: the first."""
+def encode(docs: DataFrame, units: _Units) -> DataFrame:
+    """doc_id, held_out, row, ids (units as 32-bit numbers), rare (words that have no unit of their own, in order) for each row of ``docs``."""
     import pyarrow as pa
 
-    size = units.own + units.buckets + 1
-    shared = train.sparkSession.sparkContext.broadcast(units)
+    shared = docs.sparkSession.sparkContext.broadcast(units)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for batch in batches:
+            ids, rare = [], []
+            for text in batch.column(3):
+                words = tokens(text.as_py())
+                u = np.fromiter(map(of.__getitem__, words), "<u4", len(words))
+                ids.append(u.tobytes())
+                rare.append([words[i] for i in np.flatnonzero(u > of.own)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], ["doc_id", "held_out", "row", "ids", "rare"])
+
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
+    return materialize(text_batches(asked).mapInArrow(code, "doc_id long, held_out boolean, row long, ids binary, rare array<binary>"), "encoded")
+
+
+def count_pairs(rows: DataFrame, column: str, kind: str, size: int, of: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of how often a number below ``size`` follows a number; rows: the first. ``column`` holds them as bytes of ``kind``, to be looked up in ``of`` if given."""
+    import pyarrow as pa
+
+    shared = rows.sparkSession.sparkContext.broadcast(of)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, total = shared.value, np.zeros(size * size, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                words = tokens(text.as_py())
-                u = np.zeros(len(words) + 2, np.int64)
-                u[1:-1] = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
+            for ids in batch.column(0):
+                u = np.frombuffer(ids.as_py(), kind).astype(np.int64)
+                u = np.concatenate(([END], u if of is None else of[u], [END]))
                 np.add.at(total, u[:-1] * size + u[1:], 1)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 500_000):
             part = at[i : i + 500_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["code", "n"])
 
-    found = text_batches(train).select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select(column).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[found["code"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(size, size)
 
 
+def assign_words(train: DataFrame, words: list[bytes], own: int, unit_class: np.ndarray, g: np.ndarray) -> DataFrame:
+    """(word, n, class) for each word of ``train`` (ids, rare) beyond the first ``own``: the class likeliest by the classes before and after all its n places.
+
+    unit_class: present class of each unit; g: bigrams of classes.
+    """
+    import pyarrow as pa
+
+    classes = len(g)
+    shared = train.sparkSession.sparkContext.broadcast((words, unit_class))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, of = shared.value
+        at: list[np.ndarray] = []  # (word's unit, class before, class after) of frequent words
+        rare: dict[bytes, bytearray] = {}
+
+        def give() -> Iterator[pa.RecordBatch]:
+            names, near = list(rare), [bytes(x) for x in rare.values()]
+            if at:
+                u = np.concatenate([x[0] for x in at])
+                order = np.argsort(u, kind="stable")
+                u, pairs = u[order], np.concatenate([x[1] for x in at])[order]
+                first = np.flatnonzero(np.diff(u, prepend=-1))
+                for i, j in zip(first, [*first[1:], len(u)], strict=True):
+                    names.append(words[u[i] - 1])
+                    near.append(pairs[i:j].tobytes())
+            for i in range(0, len(names), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 20_000], pa.binary()), pa.array(near[i : i + 20_000], pa.binary())], ["word", "near"])
+            at.clear()
+            rare.clear()
+
+        held = 0
+        for batch in batches:
+            for ids, few in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                u = np.frombuffer(ids.as_py(), "<u4").astype(np.int64)
+                c = np.concatenate(([END], of[u], [END])).astype(np.uint8)
+                pairs = np.stack([c[:-2], c[2:]], 1)
+                mid = (u > own) & (u <= len(words))
+                at.append((u[mid], pairs[mid]))
+                for w, p in zip(few, pairs[u > len(words)], strict=True):
+                    rare.setdefault(w, bytearray()).extend(p.tobytes())
+                held += len(u)
+            if held > 3_000_000:
+                yield from give()
+                held = 0
+        yield from give()
+
+    share = (g.sum(0) + 0.5) / (g.sum() + 0.5 * classes)
+    ahead = np.log((g + 10 * share) / (g.sum(1, keepdims=True) + 10))
+    mass = g.sum(0)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [np.frombuffer(b"".join(x), np.uint8).reshape(-1, 2) for x in batch.column(1).to_pylist()]
+            n = np.array([len(x) for x in near], np.int64)
+            at, pairs = np.repeat(np.arange(len(n)), n) * classes, np.concatenate(near) if near else np.zeros((0, 2), np.uint8)
+            before, after = (np.bincount(at + pairs[:, k], minlength=len(n) * classes).reshape(len(n), classes) for k in (0, 1))
+            gain = before @ ahead + after @ ahead.T - n[:, None] * np.log(mass + n[:, None])
+            gain[:, (mass == 0) | (np.arange(classes) == END)] = -np.inf
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(gain.argmax(1).astype(np.int32))], ["word", "n", "class"])
+
+    near = train.select("ids", "rare").mapInArrow(contexts, "word binary, near binary").groupBy("word").agg(F.collect_list("near").alias("near"))
+    return near.mapInArrow(choose, "word binary, n long, class int")
+
+
+def resolve(coded: DataFrame, words: int, counts: np.ndarray, unit_class: np.ndarray, vocabulary: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, log (of counts + 0.5, summed), classes (a byte for each word) for each row of ``coded``; all words have their own class."""
+    import pyarrow as pa
+
+    shared = coded.sparkSession.sparkContext.broadcast((counts, unit_class))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "log", "classes"]
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, of = shared.value
+        log_c = np.log10(counts + 0.5)
+        for batch in batches:
+            logs, known, classes, rare = [], [], [], []
+            for ids in batch.column(3):
+                u = np.frombuffer(ids.as_py(), "<u4").astype(np.int64)
+                often = u[u <= words]
+                logs.append(float(log_c[often - 1].sum() + log_c[-1]))
+                known.append(len(often) + int(counts[-1] > 0))
+                classes.append(of[u].astype(np.uint8).tobytes())
+                rare.append(np.flatnonzero(u > words).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(logs, pa.float64()), pa.array(known, pa.int64()), pa.array(classes, pa.binary()), pa.array(rare, pa.binary())], ["doc_id", "held_out", "row", "log", "known", "classes", "at"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs, known, classes, sizes = [], [], [], []
+            for log, k, c, at, ks, ns, cs in zip(*(batch.column(i).to_pylist() for i in range(2, 9)), strict=True):
+                at, c = np.frombuffer(at, "<u4"), np.frombuffer(c, np.uint8).copy()
+                ns = np.array(ns or [], float)  # of the rare words that training has
+                if len(ns):
+                    c[at[np.array(ks)]] = cs
+                logs.append(log + np.log10(ns + 0.5).sum() + (len(at) - len(ns)) * np.log10(0.5))
+                known.append(k + len(ns))
+                classes.append(c.tobytes())
+                sizes.append(len(c) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(classes, pa.binary())], names)
+
+    rare = coded.select("row", F.posexplode("rare").alias("k", "word")).join(vocabulary, "word")
+    found = rare.groupBy("row").agg(F.collect_list(F.struct("k", "n", "class")).alias("_f")).select("row", F.col("_f.k").alias("ks"), F.col("_f.n").alias("ns"), F.col("_f.class").alias("cs"))
+    base = coded.select("doc_id", "held_out", "row", "ids").mapInArrow(look_up, "doc_id long, held_out boolean, row long, log double, known long, classes binary, at binary")
+    both = base.join(found, "row", "left").select("doc_id", "held_out", "log", "known", "classes", "at", "ks", "ns", "cs")
+    return materialize(both.mapInArrow(fill, "doc_id long, held_out boolean, n_tokens long, n_known long, log double, classes binary"), "resolved")
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -163,76 +289,79 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return of
 
 
-def fit(docs: DataFrame, *, frequent: int = 131_072, own: int = 1024, buckets: int = 256, classes: int = 64) -> tuple[ClassModel, DataFrame]:
-    """The model of the documents that aren't held out, and the counts (word, n) of all their words."""
-    import pyarrow as pa
-
-    train = docs.where(~_held_out())
+def _fit(docs: DataFrame, frequent: int, own: int, buckets: int, classes: int) -> tuple[ClassModel, DataFrame, DataFrame]:
+    """The model, (word, n, class) of all training words, and ``docs`` as ``resolve`` gives them."""
+    if classes > 256:
+        raise ValueError("a class is a byte")
+    spark, train = docs.sparkSession, docs.where(~_held_out())
     counts = materialize(count_words(train), "word-counts")
     n_docs = train.count()
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
-    words = top["word"].to_pylist()
-    units = _Units(words[:own], buckets)
-    bigrams = count_bigrams(train, units)
+    words, often = top["word"].to_pylist(), np.append(top["n"].to_numpy(), n_docs)
+    units, core = _Units(words, buckets), _Units(words[:own], buckets)
+    to_core = np.array([END, *(core[w] for w in words), *range(core.own + 1, core.own + 1 + buckets)])
+    coded = encode(docs, units)
+    seen = coded.where("not held_out")
+    bigrams = count_pairs(seen, "ids", "<u4", core.own + buckets + 1, to_core)
     of = exchange(bigrams, classes)
-    shared = docs.sparkSession.sparkContext.broadcast((units, of))
-
-    def class_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, of = shared.value
-        found = np.zeros(classes, np.int64)
-        for batch in batches:
-            found += np.bincount(of[[units[w] for w in batch.column(0).to_pylist()]].astype(int), minlength=classes) if len(batch) else 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes, dtype=np.int32)), pa.array(found)], ["class", "v"])
-
+    member = np.eye(classes)[of]
+    unit_class = of[to_core]
+    vocabulary = assign_words(seen, words, core.own, unit_class, member.T @ bigrams @ member)
+    first = [(bytearray(w), int(n), int(of[i + 1])) for i, (w, n) in enumerate(zip(words[:own], often, strict=False))]
+    vocabulary = materialize(vocabulary.unionByName(spark.createDataFrame(first, "word binary, n long, class int")), "vocabulary")
+    unit_class = unit_class.copy()
+    known = vocabulary.orderBy(F.desc("n"), "word").limit(frequent).select("word", "class").toArrow()
+    for w, c in zip(known["word"].to_pylist(), known["class"].to_pylist(), strict=True):
+        unit_class[units[w]] = c
+    resolved = resolve(coded, len(words), often, unit_class, vocabulary)
     kinds = np.zeros(classes)
-    for r in counts.select("word").mapInArrow(class_of, "class int, v long").groupBy("class").agg(F.sum("v").alias("v")).collect():
+    for r in vocabulary.groupBy("class").agg(F.count(F.lit(1)).alias("v")).collect():
         kinds[r["class"]] = r.v
-    member = np.eye(classes)[of]
-    g = member.T @ bigrams @ member
+    g = count_pairs(resolved.where("not held_out"), "classes", "u1", classes)
     mass = g.sum(0)
     share = (mass + 0.5) / (mass.sum() + 0.5 * classes)
     transition = np.log10((g + 10 * share) / (g.sum(1, keepdims=True) + 10))
     room = np.log10(mass + 0.5 * (kinds + 1))
     room[END] = 0
-    model = ClassModel(int(total.n or 0) + n_docs, total.v + (n_docs > 0), {w: i for i, w in enumerate(words)}, np.append(top["n"].to_numpy(), n_docs), units, of, transition, room)
-    return model, counts
+    model = ClassModel(int(total.n or 0) + n_docs, total.v + (n_docs > 0), {w: i for i, w in enumerate(words)}, often, units, unit_class, transition, room)
+    return model, vocabulary, resolved
 
 
-def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
+def _judge(resolved: DataFrame, model: ClassModel) -> DataFrame:
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "model", "n_rare", "rare", "times"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    base_room = float(np.log10(model.train_tokens + 0.5 * (model.train_words + 1)))
+    shared = resolved.sparkSession.sparkContext.broadcast((model.transition, model.room))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "log", "model"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        log_c, get, units = np.log10(m.counts + 0.5), m.frequent.get, m.units
+        transition, room = shared.value
         for batch in batches:
-            rows = []
-            for text in batch.column(3):
-                words = tokens(text.as_py())
-                at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                u = np.zeros(len(words) + 2, np.int64)
-                u[1:-1] = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
-                c = m.unit_class[u]
-                rare = np.flatnonzero(at < 0)
-                seen = log_c[at[at >= 0]].sum() + log_c[-1]
-                times = Counter(words[i] for i in rare)
-                emitted = seen - log_c[-1] - m.room[c[1:]].sum()
-                rows.append((len(words) + 1, len(words) - len(rare) + int(m.counts[-1] > 0), seen, emitted + m.transition[c[:-1], c[1:]].sum(), len(rare), list(times), list(times.values())))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(kinds[i]) for i in range(3)), *(pa.array(x, k) for x, k in zip(cols, kinds[3:], strict=True))], names)
-
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
-    part = materialize(text_batches(asked).mapInArrow(judge, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, model double, n_rare long, rare array<binary>, times array<long>"), "scores")
-    rare = part.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    found = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
-    room = float(np.log10(model.train_tokens + 0.5 * (model.train_words + 1)))
-    log = F.coalesce("log", F.lit(0.0))
-    return part.drop("rare", "times").join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + log - F.col("n_tokens") * room).alias("base_score"), (F.col("model") + log).alias("score"),
+            out = []
+            for x in batch.column(5):
+                c = np.concatenate(([END], np.frombuffer(x.as_py(), np.uint8), [END])).astype(int)
+                out.append(float(transition[c[:-1], c[1:]].sum() - room[c[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(out, pa.float64())], names)
+
+    part = resolved.select("doc_id", "held_out", "n_tokens", "n_known", "log", "classes").mapInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, log double, model double")
+    return part.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        (F.col("log") - F.col("n_tokens") * base_room).alias("base_score"), (F.col("model") + F.col("log")).alias("score"),
     )
+
+
+def fit(docs: DataFrame, *, frequent: int = 131_072, own: int = 1024, buckets: int = 256, classes: int = 64) -> tuple[ClassModel, DataFrame]:
+    """The model of the documents that aren't held out, and (word, n, class) of all their words."""
+    return _fit(docs, frequent, own, buckets, classes)[:2]
+
+
+def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
+    return _judge(resolve(encode(docs, model.units), model.units.own, model.counts, model.unit_class, counts), model)
+
+
+def fit_score(docs: DataFrame, *, frequent: int = 131_072, own: int = 1024, buckets: int = 256, classes: int = 64) -> DataFrame:
+    """``score`` of the documents by their own ``fit``, whose texts are split once for both."""
+    model, _, resolved = _fit(docs, frequent, own, buckets, classes)
+    return _judge(resolved, model)

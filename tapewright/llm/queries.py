@@ -60,7 +60,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return class_lm.score(docs, *class_lm.fit(docs))
+    return class_lm.fit_score(docs)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

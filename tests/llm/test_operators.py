@@ -269,6 +269,28 @@ def test_class_lm_probabilities(spark, docs):
     assert np.allclose(mass[1:], 1)
 
 
+def test_class_lm_words_beyond_the_core(spark):
+    """Words of one ending, but with unlike neighbours, have classes of their own; those that the driver doesn't hold too."""
+    r = random.Random(6)
+    rows = []
+    for i in range(400):
+        sides = [r.choice(["ax", "by"]) for _ in range(30)]
+        rows.append((i, " ".join(f"{s[0]}{r.randrange(3)} " + (f"{s[1]}core" if r.random() < 0.5 else f"{s[1]}{r.randrange(40)}same") for s in sides)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kw = dict(frequent=20, own=8, buckets=8, classes=10)
+    model, words = class_lm.fit(docs, **kw)
+    of = {bytes(x.word).decode(): x["class"] for x in words.collect()}
+    assert len(of) == 88 and not {c for w, c in of.items() if w[0] == "x"} & {c for w, c in of.items() if w[0] == "y"}
+    out = {x.doc_id: x.score for x in class_lm.fit_score(docs, **kw).collect()}
+    again = {x.doc_id: x.score for x in class_lm.score(docs, model, words).collect()}
+    count = {bytes(x.word).decode(): x.n for x in words.collect()}
+    for i, t in rows:
+        c = [0, *(of[w] for w in t.split()), 0]
+        n = [*(count[w] for w in t.split()), model.counts[-1]]
+        want = model.transition[c[:-1], c[1:]].sum() - model.room[c[1:]].sum() + np.log10(np.array(n) + 0.5).sum()
+        assert math.isclose(out[i], want, rel_tol=1e-9) and math.isclose(again[i], want, rel_tol=1e-9)
+
+
 def test_exchange_finds_classes():
     r, order = random.Random(2), np.zeros((21, 21))
     for _ in range(20_000):  # units 1-10 are followed by 11-20 and the other way round
