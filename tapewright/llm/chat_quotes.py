@@ -10,7 +10,9 @@ answers, and quoted lines are gone from the texts.
 
 Defined cases: null ids make one conversation, null turns stand first; a null text is empty; a message all of quotes has an empty
 text; rows of one conversation and turn are alike in links (they share them) and are placed each, by role and text; empty tables give none. Of a
-hash only the first message that holds it is joined, so a line that everyone writes costs no pairs.
+hash only the first message that holds it is joined, so a line that everyone writes costs no pairs. Lines that attribute a quote ("On ...
+wrote:") are a message's own words and stay. A line may have any number of marks and a text any length; one text is held at a time.
+Columns named like an output or ``clean``, or with a leading ``_``, are dropped; others pass through.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import NULL_ID, block_offsets, id_key, materialize, ranked, without
+from tapewright.llm.common import NULL_ID, id_key, materialize, ranked, without
 
-_MARKS = r"^(?:[ \t]{0,3}>)+"
+#: Possessive, so that the engine loops over the marks and doesn't recurse.
+_MARKS = r"^(?:[ \t]{0,3}>)++"
 
 
 def normalise(text: Column) -> Column:
@@ -44,7 +47,7 @@ def parse(messages: DataFrame) -> DataFrame:
     bodies = lambda i, j: F.transform(F.slice("_lines", i + 1, F.coalesce(F.get("_starts", j + 1), F.size("_lines")) - i), lambda x: x["body"])
     out = out.withColumn("_runs", F.transform("_starts", lambda i, j: F.struct(j.alias("at"), level(i).alias("level"), bodies(i, j).alias("bodies"))))
     own = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
-    return out.withColumn("clean", F.when(F.size("_lines") > 0, F.regexp_replace(own, r"^\n+|\n+$", "")).otherwise(F.col("_text"))).drop("_starts", "_text")
+    return out.withColumn("clean", F.when(F.size("_lines") > 0, F.btrim(own, F.lit("\n"))).otherwise(F.col("_text"))).drop("_starts", "_text")
 
 
 def link_passages(parsed: DataFrame) -> DataFrame:
@@ -88,9 +91,7 @@ def link_conversations(messages: DataFrame) -> DataFrame:
     info = per.join(first, ["_c", "_t"], "left").join(tree, ["_c", "_t"], "left")
     rows = parsed.drop("_lines", "_runs").join(info, ["_c", "_t"], "left").withColumn("root", F.coalesce("root", "_t"))
     rows = materialize(rows, "messages")
-    placed = ranked(rows, ["_c", "root"], "_t", ["role", "text"], "_r")
-    threads = block_offsets(rows.groupBy("_c", "root").agg(F.count(F.lit(1)).alias("n")), ["_c"], "root", "n").select("_c", "root", "offset")
-    out = placed.join(threads, ["_c", "root"])
+    out = ranked(rows, ["_c"], ["root", "_t", "role"], "_r", ["text"])
     turn = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select(*[c for c in base.columns if not c.startswith("_")], F.col("clean").alias("clean_text"), zero("n_quotes").alias("n_quotes"), zero("n_linked").alias("n_linked"), turn("parent").alias("parent_turn"), turn("root").alias("root_turn"), zero("reply_depth").alias("reply_depth"), (F.col("offset") + F.col("_r")).alias("position"))
+    return out.select(*[c for c in base.columns if not c.startswith("_")], F.col("clean").alias("clean_text"), zero("n_quotes").alias("n_quotes"), zero("n_linked").alias("n_linked"), turn("parent").alias("parent_turn"), turn("root").alias("root_turn"), zero("reply_depth").alias("reply_depth"), F.col("_r").alias("position"))

@@ -1,4 +1,4 @@
-"""What the corpus operators share: reading tables, tables in the shared folder, and ranks without a global sort."""
+"""What the corpus operators share: reading tables, tables in the shared folder, ranks by ranges, and joins with hot keys."""
 
 from __future__ import annotations
 
@@ -61,28 +61,33 @@ def without(df: DataFrame, *outputs: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_") or c.lower() in taken])
 
 
-def block_offsets(counts: DataFrame, keys: list[str], block: str, n: str) -> DataFrame:
-    """Adds ``offset``: the sum of ``n`` over the earlier blocks of the same keys.
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", ties: list[str] | None = None) -> DataFrame:
+    """Adds a gapless rank from 0 within ``keys`` (none: over all rows), by ``order`` and ``ties``; nulls come first and equal rows in any order.
 
-    Two levels, so that a window holds at most 1,024 blocks, or one row for 1,024 blocks of a key.
-    Keys and blocks hold no nulls.
+    Rows are dealt by ranges of (keys, order) and sorted there, whatever the ids' values. Without ``ties`` the last sort column is the row's place in
+    ``df``, so that even equal rows spread; ``ties`` are for columns too long for the ranges' bounds. A range's rows of a key are numbered by place; what lies before comes from counts of (key, range), of which a key has
+    at most one for each range. ``df`` is read twice (the ranges' bounds are sampled); hand in a written table.
     """
-    by = counts.withColumn("_super", F.shiftright(block, 10))
-    upper = by.groupBy(*keys, "_super").agg(F.sum(n).alias("_n"))
-    w = W.partitionBy(*keys, F.lit(0)).orderBy("_super").rowsBetween(W.unboundedPreceding, -1)
-    upper = upper.select(*keys, "_super", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    w = W.partitionBy(*keys, "_super").orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    inner = by.withColumn("_within", F.coalesce(F.sum(n).over(w), F.lit(0)))
-    return inner.join(upper, [*keys, "_super"]).withColumn("offset", F.col("_before") + F.col("_within")).drop("_super", "_before", "_within")
-
-
-def ranked(df: DataFrame, keys: list[str], id_col: str, ties: list[str], name: str = "rank", bits: int = 8) -> DataFrame:
-    """Adds a gapless rank from 0 within ``keys``, by ``id_col`` (long, not null) and ``ties``.
-
-    Rows are dealt by key and id block of 2**bits ids, so a key that holds most rows still spreads over all tasks.
-    ``df`` is read twice; hand in a written table.
+    by = [*keys, *order] if ties else [*keys, *order, "_tie"]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by, *ties or []).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt.drop("_tie").withColumn("_range", F.shiftright("_at", 33)), "ranges")
+    found = dealt.groupBy(*keys, "_range").agg(F.min("_at").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys or [F.lit(0)]).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    found = found.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], F.col("_range").alias("_of"), (F.coalesce(before, F.lit(0)) - F.col("_least")).alias("_shift"))
+    same = F.col("_range") == F.col("_of")
+    for i, c in enumerate(keys):
+        same &= F.col(c).eqNullSafe(F.col(f"_key{i}"))
+    return dealt.join(found, same).withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has each of the ``keys`` once, with the number ``n`` of rows that hold it (dropped).
+
+    Keys of more than one in ``share`` of the rows, of which there are fewer than ``share``, go to every task; the others meet in a shuffle. Both are read more than once.
     """
-    df = df.withColumn("_block", F.shiftright(id_col, bits))
-    offsets = block_offsets(df.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n")), keys, "_block", "_n").drop("_n")
-    w = W.partitionBy(*keys, "_block").orderBy(id_col, *ties)
-    return df.withColumn("_in_block", F.row_number().over(w)).join(offsets, [*keys, "_block"]).withColumn(name, F.col("offset") + F.col("_in_block") - 1).drop("_block", "_in_block", "offset")
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = table.where(F.col(n) * share > total).drop(n)
+    if hot.isEmpty():
+        return rows.join(table.drop(n), keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(n) * share <= total).drop(n), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))

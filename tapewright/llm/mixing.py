@@ -8,7 +8,8 @@ for each source at most, whatever the number of documents); documents find their
 
 Defined cases: a null source is a source of its own; a source without documents has no block and its slots stay idle, as do
 those of a source that has run out: the others keep their proportions. Every row is placed once: none is dropped or repeated.
-Ties of doc_id are broken by text; equal rows are interchangeable. An empty table gives an empty schedule.
+Ties of doc_id are broken by a hash of the text; equal rows, however many, are dealt their places by their number among themselves. An
+empty table gives an empty schedule. Texts are of any length: they are hashed where they lie and meet their places in one join.
 Columns named like an output or with a leading ``_`` are dropped; others pass through.
 Every source has a task of its own. Only if ``max_sources`` is given do the smallest sources beyond it share one, interleaved by doc_id.
 """
@@ -16,13 +17,13 @@ Every source has a task of its own. Only if ``max_sources`` is given do the smal
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import block_offsets, id_key, materialize, ranked, without
+from tapewright.llm.common import id_key, materialize, ranked, without
 
 
 def pfair_cycle(weights: list[int]) -> list[tuple[int, int, int, int, int]]:
@@ -43,13 +44,23 @@ def pfair_cycle(weights: list[int]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def integer_weights(weights: dict, max_cycle: int) -> dict:
-    """Shares as integers of at least 1 whose sum is at most about ``max_cycle``; exact if they fit."""
-    exact = {k: Fraction(v).limit_denominator(max_cycle) for k, v in weights.items() if v > 0}
+def integer_weights(weights: dict, max_cycle: int, exact_cycle: int = 1_000_000) -> dict:
+    """Shares as integers of at least 1 in their exact proportion, if a cycle of up to ``exact_cycle`` slots has it; else of a cycle of
+    ``max_cycle`` slots (one for each source at least), by largest remainders, so that a share is less than one slot of the cycle off."""
+    exact = {k: Fraction(str(v)) for k, v in weights.items() if v > 0}
     if not exact:
         return {}
-    total = sum(exact.values())
-    return {k: max(1, round(v / total * max_cycle)) for k, v in exact.items()}
+    common = math.lcm(*(v.denominator for v in exact.values()))
+    whole = {k: int(v * common) for k, v in exact.items()}
+    least = math.gcd(*whole.values())
+    whole = {k: v // least for k, v in whole.items()}
+    total = sum(whole.values())
+    if total <= exact_cycle:
+        return whole
+    out = {k: max(1, v * max_cycle // total) for k, v in whole.items()}
+    for k in sorted(whole, key=lambda k: (-(whole[k] * max_cycle % total), str(k)))[: max(0, max_cycle - sum(out.values()))]:
+        out[k] += 1
+    return out
 
 
 def temperature_weights(docs: DataFrame, temperature: float, max_sources: int | None, max_cycle: int) -> tuple[list[tuple], list[int]]:
@@ -96,23 +107,24 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, *, temperature: fl
     names = table(tasks, {"_source": pa.string(), "_t0": pa.int32(), "_w0": pa.int64()})
     row = docs.join(small(names, len(tasks)), F.col("source").eqNullSafe(F.col("_source")), "left")
     row = row.withColumn("_task", F.coalesce("_t0", F.lit(len(tasks)))).withColumn("_w", F.coalesce("_w0", F.lit((shared or [1])[0]).cast("long"))).drop("_source", "_t0", "_w0")
-    row = row.withColumn("_k", id_key("doc_id", "text"))
-    keys = materialize(row.select("_k", "_task", "_w", F.xxhash64("text").alias("_x")), "mix-keys")
-    row = row.drop("_w")
-    at = ranked(keys, ["_task"], "_k", ["_x"], "_rank")
+    row = row.withColumns({"_k": id_key("doc_id", "text"), "_x": F.xxhash64("text")})
+    keys = materialize(row.select("_k", "_x", "_task", "_w"), "mix-keys")
+    at = ranked(keys, ["_task"], ["_k", "_x"], "_rank")
     at = at.withColumn("_b", F.floor(F.col("_rank") / block_docs))
     at = at.withColumn("_cycle", F.floor(F.col("_b") / F.col("_w"))).withColumn("_kc", F.col("_b") % F.col("_w"))
     at = at.join(small(slots, cycle), ["_task", "_kc"])
     start = F.col("_cycle") * cycle
     at = at.select("_k", "_x", "_task", "_rank", F.col("_b").alias("block"), (start + F.col("_r")).alias("release"), (start + F.col("_d")).alias("deadline"), (start + F.col("_t")).alias("slot"))
-    at = materialize(at, "mix-slots")
-    offsets = block_offsets(at.groupBy("slot").agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(0)), ["_one"], "slot", "_n").select("slot", "offset")
-    at = at.join(offsets, "slot").withColumn("position", F.col("offset") + F.col("_rank") % block_docs).drop("offset")
-    # Equal (doc_id, text) rows: dealt out by their number among themselves.
-    w = W.partitionBy("_k", "_x").orderBy("_rank")
-    at = at.withColumn("_copy", F.row_number().over(w)).drop("_rank", "_task")
-    row = row.withColumn("_x", F.xxhash64("text")).withColumn("_copy", F.row_number().over(W.partitionBy("_k", "_x").orderBy("_task"))).drop("_task")
-    # Not an equality, which would be a third join key and deal the texts out anew: they stay where the window has them.
-    at = at.withColumnsRenamed({"_k": "_ak", "_x": "_ax", "_copy": "_acopy"})
-    same = (F.col("_k") == F.col("_ak")) & (F.col("_x") == F.col("_ax")) & (F.col("_copy") <= F.col("_acopy")) & (F.col("_copy") >= F.col("_acopy"))
-    return row.join(at, same).drop("_k", "_x", "_copy", "_ak", "_ax", "_acopy")
+    at = materialize(ranked(materialize(at, "mix-slots"), [], ["slot", "_rank"], "position"), "mix-positions")
+    # Equal rows of a source have ranks in a row and are dealt places by number; all others meet theirs by id and text alone.
+    same = ["_k", "_x", "_task"]
+    repeated = materialize(at.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.min("_rank").alias("_least")).where("_n > 1"), "mix-repeated")
+    row = row.drop("_w")
+    if repeated.isEmpty():
+        return row.join(at.drop("_rank"), same).drop(*same)
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    several = small(repeated.select(*same))
+    once = row.join(several, same, "left_anti").join(at.drop("_rank"), same)
+    places = at.join(small(repeated.drop("_n")), same).withColumn("_copy", F.col("_rank") - F.col("_least")).drop("_rank", "_least")
+    copies = ranked(materialize(row.join(several, same, "left_semi"), "mix-copies"), same, [], "_copy")
+    return once.unionByName(copies.join(places, [*same, "_copy"]).select(*once.columns)).drop(*same)

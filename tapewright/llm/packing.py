@@ -8,7 +8,8 @@ the least order among their pieces, so that reading sequences in turn follows it
 
 Defined cases: a null text is an empty one, which has the end token alone; a document longer than ``size`` is cut into full
 pieces and a shorter last one; repeated rows are packed each; null ids rank first; ties of doc_id go by piece and checksum.
-An empty table gives no sequences. Tokenising keeps one document's ids in memory at a time.
+An empty table gives no sequences. Tokenising keeps one document's ids in memory at a time. Of other columns only the one named as
+``order`` is read, so names can't clash; equal orders go by doc_id, piece and checksum.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import id_key, materialize, ranked, text_batches
+from tapewright.llm.common import materialize, ranked, text_batches
 
 #: Ids of so many white-space separated strings are kept by a Python worker.
 CACHE = 500_000
@@ -147,7 +148,7 @@ def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int
     return plan
 
 
-def pack(pieces: DataFrame, size: int = 4096, order: str = "doc_id") -> DataFrame:
+def pack(pieces: DataFrame, size: int = 4096, order: list[str] | None = None) -> DataFrame:
     """``pieces`` (length in 1..size) with ``sequence_id`` and ``offset``; sequences have no gaps. ``pieces`` is read more than once.
 
     Pieces of a length take their slots by ``order``.
@@ -167,20 +168,28 @@ def pack(pieces: DataFrame, size: int = 4096, order: str = "doc_id") -> DataFram
         i = r - of[:, 1]
         return pd.DataFrame({"sequence_id": of[:, 4] + i // of[:, 3], "offset": of[:, 5] + i % of[:, 3] * n})
 
-    at = ranked(pieces.withColumn("_k", id_key(order, "ids_crc32")), ["length"], "_k", ["piece", "ids_crc32"], "_rank")
+    at = ranked(pieces, ["length"], order or ["doc_id", "piece", "ids_crc32"], "_rank")
     return at.withColumn("_s", slot("length", "_rank")).select(*pieces.columns, "_s.sequence_id", "_s.offset")
 
 
 def in_order(packed: DataFrame, order: str) -> DataFrame:
     """``packed`` with sequences numbered anew, by the least ``order`` among their pieces. ``packed`` is read twice."""
-    least = packed.groupBy("sequence_id").agg(F.min(order).alias("_first")).select("sequence_id", id_key("_first", "sequence_id").alias("_first"), F.lit(0).alias("_one"))
-    numbers = ranked(materialize(least, "sequences"), ["_one"], "_first", ["sequence_id"], "_number").select("sequence_id", "_number")
+    least = packed.groupBy("sequence_id").agg(F.min(order).alias("_first"))
+    numbers = ranked(materialize(least, "sequences"), [], ["_first", "sequence_id"], "_number").select("sequence_id", "_number")
     return packed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("_number")).select(*packed.columns)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, with_ids: bool = False, order: str | None = None) -> DataFrame:
-    """Pieces of all documents with their places; ``with_ids`` adds the token ids, ``order`` names the column that sequences follow."""
-    pieces = materialize(tokenized_pieces(docs, tokenizer, size, end_id, with_ids, order), "pieces")
-    if order is None:
-        return pack(pieces, size)
-    return in_order(materialize(pack(pieces, size, "_order"), "packed"), "_order").drop("_order")
+    """Pieces of all documents with their places; ``with_ids`` adds the token ids, ``order`` names the column that sequences follow.
+
+    Ids stay out of the placing: they are written once with a piece number and meet their place in one join.
+    """
+    made = tokenized_pieces(docs, tokenizer, size, end_id, with_ids, order)
+    pieces = materialize(made.withColumn("_p", F.monotonically_increasing_id()) if with_ids else made, "pieces")
+    light = pieces.drop("ids")
+    placed = pack(light, size, ["_order", "doc_id", "piece", "ids_crc32"] if order else None)
+    if order:
+        placed = in_order(materialize(placed, "packed"), "_order").drop("_order")
+    if with_ids:
+        placed = pieces.drop("_order").join(placed.select("_p", "sequence_id", "offset"), "_p").drop("_p")
+    return placed
