@@ -1,12 +1,13 @@
 """Line deduplication by overlapping three-line windows, in DataFrame operations only.
 
 Every run of three consecutive lines is hashed. Of a window that occurs more than once in the corpus, the first
-occurrence by (doc_id, line) stays; the lines that any later occurrence covers are removed, overlapping occurrences merged.
+occurrence by (doc_id, line) stays; the lines that any later occurrence covers are removed, overlapping occurrences merged. A later
+occurrence in the text of its own first one leaves the lines that such first occurrences cover, so ``r r r r`` keeps ``r r r``.
 
 Defined cases: a null text counts as empty and comes back as empty; documents under three lines have no window and stay as
 they are; windows of blank lines alone are no passages; lines are compared without surrounding spaces; repeated rows are one
 document, so neither is later than the other; rows without an id stand before others, and rows of one id by a hash of their texts. Long texts are one array of
-lines each. Other columns pass through, but for those named like an output or with a leading ``_``, which are dropped.
+lines each. An empty table gives an empty one. Other columns pass through, but for those named like an output or with a leading ``_``, which are dropped.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import id_key, materialize, without
+from tapewright.llm.common import id_key, join_hot, materialize, without
 
 #: Lines in a window.
 WINDOW = 3
@@ -37,8 +38,11 @@ def later_positions(docs: DataFrame) -> DataFrame:
     """(_k, _x, _covered): for each document with later occurrences, the line numbers that they cover."""
     windows = materialize(line_windows(docs), "line-windows")
     first = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "_x", "pos")).alias("first")).where("n > 1")
-    later = windows.join(first, ["h1", "h2"]).where(F.struct("_k", "_x", "pos") != F.col("first"))
-    return later.groupBy("_k", "_x").agg(F.collect_set("pos").alias("_pos")).select("_k", "_x", F.array_distinct(F.flatten(F.transform("_pos", lambda p: F.sequence(p, p + (WINDOW - 1))))).alias("_covered"))
+    later = join_hot(windows, materialize(first, "repeated-windows"), ["h1", "h2"], "n").where(F.struct("_k", "_x", "pos") != F.col("first"))
+    own = F.struct("_k", "_x") == F.struct("first._k", "first._x")
+    of = later.groupBy("_k", "_x").agg(F.collect_set(F.when(~own, F.col("pos"))).alias("other"), F.collect_set(F.when(own, F.col("pos"))).alias("own"), F.collect_set(F.when(own, F.col("first.pos"))).alias("held"))
+    covers = lambda c: F.flatten(F.transform(c, lambda p: F.sequence(p, p + (WINDOW - 1))))
+    return of.select("_k", "_x", F.array_union(covers("other"), F.array_except(covers("own"), covers("held"))).alias("_covered"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -108,8 +108,10 @@ from cleaned c left join parents p on p.conv_id = c.conv_id and p.turn = c.turn
 LINES_SQL = """
 lines as (select doc_id, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as l from {docs}),
 windows as (select doc_id, i, trim(l[i]) as a, trim(l[i+1]) as b, trim(l[i+2]) as c from lines, unnest(range(1, len(l) - 1)) as u(i)),
-ordered as (select doc_id, i, row_number() over (partition by a, b, c order by doc_id, i) as r from windows where not (a = '' and b = '' and c = '')),
-gone as (select distinct doc_id, i + d as j from ordered, unnest([0, 1, 2]) as v(d) where r > 1),
+ordered as (select doc_id, i, row_number() over w as r, first_value(doc_id) over w as fd, first_value(i) over w as fi from windows where not (a = '' and b = '' and c = '') window w as (partition by a, b, c order by doc_id, i)),
+held as (select distinct doc_id, fi + d as j from ordered, unnest([0, 1, 2]) as v(d) where r > 1 and fd = doc_id),
+own as (select distinct doc_id, i + d as j from ordered, unnest([0, 1, 2]) as v(d) where r > 1 and fd = doc_id),
+gone as (select doc_id, i + d as j from ordered, unnest([0, 1, 2]) as v(d) where r > 1 and fd <> doc_id union select * from own anti join held using (doc_id, j)),
 marks as (select doc_id, list(j) as js from gone group by doc_id),
 deduplicated as (select lines.doc_id, len(l) as n_lines, coalesce(len(js), 0) as n_removed,
   array_to_string([l[k] for k in range(1, len(l) + 1) if not list_contains(coalesce(js, []::bigint[]), k)], chr(10)) as text
