@@ -15,7 +15,10 @@ pair that shares a bucket is compared, or is in one class already. Classes are c
 
 Defined cases: words are lower-cased and split at white space; a text under five words is one shingle of all its words; null and
 empty texts are equal, hence one class; rows without an id stand before others, each text for itself, and a class that begins with
-one has no id; repeated rows are copies; an id names one text. A class id is its least doc_id. Texts are read whole, one batch in memory at a time.
+one has no id; repeated rows are copies, of which one stays. Rows are told apart by id and text, so several texts of one id are documents each,
+ordered by a hash of the text. A class id is its least doc_id. Texts are read whole, of any length, one batch in memory at a time. An empty table
+gives no rows. Columns with a leading ``_`` are dropped; others pass through ``drop_near_duplicates``. Distinct multisets are numbered in the order of
+their least (id, text), and all linking is between these numbers; what holds many rows goes by counts of them (``join_hot``).
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.common import NULL_ID, id_key, materialize, text_batches, without
+from tapewright.llm.common import NULL_ID, id_key, join_hot, materialize, text_batches, without
 
 WORDS = 5
 SLOTS, BANDS, ROWS = 128, 25, 5
@@ -136,13 +139,13 @@ def bag_minhash(bags: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(_k, h1, h2, n_shingles, sig, bands) for each row: hashes of the whole multiset, signature, and a hash for each band."""
+    """(_k, _x, h1, h2, n_shingles, sig, bands) for each row: id, hash of the text, hashes of the whole multiset, signature, and a hash for each band."""
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    names = ["_k", "h1", "h2", "n_shingles", "sig", "bands"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    names = ["_k", "_x", "h1", "h2", "n_shingles", "sig", "bands"]
 
-    def part(ids: list, bags: list[np.ndarray]) -> pa.RecordBatch:
+    def part(ids: list[tuple], bags: list[np.ndarray]) -> pa.RecordBatch:
         sig = bag_minhash(bags)
         with np.errstate(over="ignore"):
             band = np.zeros((len(bags), BANDS), _U)
@@ -152,13 +155,13 @@ def signatures(docs: DataFrame) -> DataFrame:
             whole = [((_mix(b).sum(dtype=_U) ^ _U(len(b))), _mix(b ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)) for b in bags]
         h1, h2 = (np.array([x[j] for x in whole], _U).view(np.int64) for j in (0, 1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band.reshape(-1)))
-        return pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(h1), pa.array(h2), pa.array([len(b) for b in bags], kinds[3]), pa.array([x.tobytes() for x in sig], kinds[4]), lists], names)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in ids], kinds[0]), pa.array([x for _, x in ids], kinds[1]), pa.array(h1), pa.array(h2), pa.array([len(b) for b in bags], kinds[4]), pa.array([x.tobytes() for x in sig], kinds[5]), lists], names)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, bags, held = [], [], 0
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(k)
+            for k, x, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids.append((k, x))
                 bags.append(shingles(text.as_py()))
                 held += len(bags[-1])
                 if held > 300_000 or len(ids) >= 2000:
@@ -167,7 +170,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             if ids:
                 yield part(ids, bags)
 
-    return text_batches(docs).select(id_key("doc_id", "text").alias("_k"), F.col("text").cast("string")).mapInArrow(sign, "_k long, h1 long, h2 long, n_shingles long, sig binary, bands array<long>")
+    return text_batches(docs).select(id_key("doc_id", "text").alias("_k"), F.xxhash64("text").alias("_x"), F.col("text").cast("string")).mapInArrow(sign, "_k long, _x long, h1 long, h2 long, n_shingles long, sig binary, bands array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -182,7 +185,7 @@ def _agreement(a, b):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the pairs (p, q, a, b) whose texts (_k, text) have a weighted Jaccard similarity of ``threshold`` or more."""
+    """(a, b) of the pairs (p, q, a, b) whose texts (node, text) have a weighted Jaccard similarity of ``threshold`` or more."""
     import pyarrow as pa
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +201,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(j).take(pa.array(keep, pa.int64())) for j in (1, 2)], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("_k").alias("q"), F.col("text").alias("tq")), "q").join(texts.select(F.col("_k").alias("p"), F.col("text").alias("tp")), "p")
+    both = pairs.join(texts.select(F.col("node").alias("q"), F.col("text").alias("tq")), "q").join(texts.select(F.col("node").alias("p"), F.col("text").alias("tp")), "p")
     return text_batches(both).select("p", "a", "b", "tp", "tq").mapInArrow(judge, "a long, b long")
 
 
@@ -217,7 +220,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def rest_of_buckets(members: DataFrame, store: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): links between components of buckets (bucket, _k, comp) that hold several.
+    """(a, b): links between components of buckets (bucket, node, comp) that hold several.
 
     Members outside a bucket's main component are compared with all its members, blocks of ``block`` rows against each other. A task
     gives no pairs but those that join components within its blocks. Pairs that share an earlier band are that band's.
@@ -227,11 +230,11 @@ def rest_of_buckets(members: DataFrame, store: DataFrame, threshold: float, bloc
     sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"))
     sizes = sizes.where("top < n").select("bucket", "main", F.ceil(F.col("n") / block).cast("int").alias("nm"), F.ceil((F.col("n") - F.col("top")) / block).cast("int").alias("no"))
     rows = members.join(sizes, "bucket")
-    place = lambda n: F.pmod(F.xxhash64("_k"), F.col(n)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    full = lambda df: df.join(store, "_k").select("bucket", "ob", "mb", "_k", "comp", (F.array_position("bands", F.col("bucket")) - 1).cast("int").alias("band"), "bands", "sig", "text").toDF("bucket", "ob", "mb", "_k", "comp", "band", "bands", "sig", "text")
-    outer = rows.where("comp <> main").select("bucket", "_k", "comp", place("no").alias("ob"), every("nm").alias("mb"))
-    inner = rows.select("bucket", "_k", "comp", place("nm").alias("mb"), every("no").alias("ob"))
+    full = lambda df: df.join(store, "node").select("bucket", "ob", "mb", "node", "comp", (F.array_position("bands", F.col("bucket")) - 1).cast("int").alias("band"), "bands", "sig", "text").toDF("bucket", "ob", "mb", "node", "comp", "band", "bands", "sig", "text")
+    outer = rows.where("comp <> main").select("bucket", "node", "comp", place("no").alias("ob"), every("nm").alias("mb"))
+    inner = rows.select("bucket", "node", "comp", place("nm").alias("mb"), every("no").alias("ob"))
 
     def join(o: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -269,43 +272,50 @@ def rest_of_buckets(members: DataFrame, store: DataFrame, threshold: float, bloc
 
 
 def _classes(docs: DataFrame, threshold: float, small: int, block: int) -> DataFrame:
-    """(_k, class, n_shingles) for each row of ``docs``; keys as of ``id_key``.
+    """(_k, _x, class_k, class_x, n_shingles) for each row of ``docs``: id and hash of the text of the row and of the first of its class.
 
     Members of a bucket of up to ``small`` are compared with each other, those of a larger one with its least member, which links the copies
     of one text. What is left outside a larger bucket's main component is then compared with the whole bucket, by blocks of ``block`` rows.
     """
     sigs = materialize(signatures(docs), "signatures")
-    firsts = sigs.groupBy("h1", "h2").agg(F.min("_k").alias("rep"))
-    reps = materialize(sigs.join(firsts.select(F.col("rep").alias("_k"), "h1", "h2"), ["_k", "h1", "h2"]).where("n_shingles > 0").dropDuplicates(["_k", "h1", "h2"]), "representatives")
-    banded = reps.select("_k", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("first")).where("n > 1")
-    members = materialize(banded.join(shared, "bucket").select("bucket", "_k", "n", "first"), "buckets")
+    firsts = sigs.groupBy("h1", "h2").agg(F.min(F.struct("_k", "_x")).alias("f"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "f.*")
+    # Numbers in the order of (id, text): places in sorted ranges.
+    firsts = materialize(firsts.repartitionByRange("_k", "_x").sortWithinPartitions("_k", "_x").withColumn("node", F.monotonically_increasing_id()), "firsts")
+    reps = sigs.join(firsts, ["h1", "h2", "_k", "_x"]).where("n_shingles > 0").dropDuplicates(["node"])
+    reps = materialize(reps.select("node", "_k", "_x", "sig", "bands"), "representatives")
+    banded = reps.select("node", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "node", "n", "first"), "buckets")
     # Signature and text of each representative that shares a bucket: the only texts that are read from here on.
-    wanted = members.select("_k").distinct()
-    texts = docs.select(id_key("doc_id", "text").alias("_k"), "text").join(wanted, "_k").dropDuplicates(["_k"])
-    store = materialize(texts.join(reps.select("_k", "sig", "bands").join(wanted, "_k").dropDuplicates(["_k"]), "_k"), "bucket-texts")
-    sig, texts = (lambda k, s: store.select(F.col("_k").alias(k), F.col("sig").alias(s))), store.select("_k", "text")
-    few = members.where(F.col("n") <= small).select("bucket", "_k")
-    pairs = few.withColumnRenamed("_k", "p").join(few.withColumnRenamed("_k", "q"), "bucket").where("p < q").select("p", "q")
-    pairs = pairs.unionByName(members.where((F.col("n") > small) & (F.col("_k") > F.col("first"))).select(F.col("first").alias("p"), F.col("_k").alias("q"))).distinct()
+    wanted = materialize(reps.join(members.select("node").distinct(), "node"), "wanted")
+    texts = docs.select(id_key("doc_id", "text").alias("_k"), F.xxhash64("text").alias("_x"), "text").join(wanted, ["_k", "_x"]).dropDuplicates(["node"])
+    store = materialize(texts.select("node", "text", "sig", "bands"), "bucket-texts")
+    sig, texts = (lambda k, s: wanted.select(F.col("node").alias(k), F.col("sig").alias(s))), store.select("node", "text")
+    few = members.where(F.col("n") <= small).select("bucket", "node")
+    pairs = few.withColumnRenamed("node", "p").join(few.withColumnRenamed("node", "q"), "bucket").where("p < q").select("p", "q")
+    pairs = pairs.unionByName(members.where((F.col("n") > small) & (F.col("node") > F.col("first"))).select(F.col("first").alias("p"), F.col("node").alias("q"))).distinct()
     pairs = pairs.join(sig("p", "sp"), "p").join(sig("q", "sq"), "q").where(_agreement("sp", "sq") >= threshold - SLACK).select("p", "q", F.col("p").alias("a"), F.col("q").alias("b"))
-    mappings = [components(materialize(verified(materialize(pairs, "candidates"), texts, threshold), "links"))]
-    large = members.where(F.col("n") > small).select("bucket", "_k").join(mappings[0].withColumnRenamed("node", "_k"), "_k", "left").select("bucket", "_k", F.coalesce("comp", "_k").alias("comp"))
-    mappings.append(components(materialize(rest_of_buckets(materialize(large, "large-buckets"), store, threshold, block), "links")))
-    of = sigs.select("_k", "h1", "h2", "n_shingles").join(firsts, ["h1", "h2"]).withColumn("class", F.col("rep"))
-    for mapping in mappings:
-        of = of.join(mapping.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("class", F.coalesce("comp", "class")).drop("comp")
-    return of.select("_k", "class", "n_shingles")
+    near = components(materialize(verified(materialize(pairs, "candidates"), texts, threshold), "links"))
+    large = members.where(F.col("n") > small).select("bucket", "node").join(near, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    rest = materialize(rest_of_buckets(materialize(large, "large-buckets"), store, threshold, block), "links")
+    if not rest.isEmpty():
+        near = components(near.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(rest))
+    # From nodes to the first rows of their classes, then to rows.
+    of = materialize(firsts.join(near, "node", "left").withColumn("class", F.coalesce("comp", "node")).select("h1", "h2", "n", "node", "_k", "_x", "class"), "nodes")
+    heads = of.groupBy("class").agg(F.count(F.lit(1)).alias("m")).join(of.where("node = class").select("class", F.col("_k").alias("class_k"), F.col("_x").alias("class_x")), "class")
+    of = join_hot(of.select("h1", "h2", "n", "class"), materialize(heads, "heads"), ["class"], "m")
+    return join_hot(sigs.select("_k", "_x", "h1", "h2", "n_shingles"), materialize(of.drop("class"), "classes"), ["h1", "h2"], "n")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 256) -> DataFrame:
     """A row for each row of ``docs``: doc_id, class_id (least doc_id of its class), n_shingles, is_first (it stays if one of each class does)."""
     given = lambda c: F.when(F.col(c) >= NULL_ID // 2, F.col(c))  # noqa: E731  keys below stand for rows without an id
-    return _classes(docs, threshold, small, block).select(given("_k").alias("doc_id"), given("class").alias("class_id"), "n_shingles", (F.col("_k") == F.col("class")).alias("is_first"))
+    first = (F.col("_k") == F.col("class_k")) & (F.col("_x") == F.col("class_x"))
+    return _classes(docs, threshold, small, block).select(given("_k").alias("doc_id"), given("class_k").alias("class_id"), "n_shingles", first.alias("is_first"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 256) -> DataFrame:
-    """``docs`` without the rows that have a class mate of a lower doc_id; of repeated rows one stays."""
+    """``docs`` without the rows that have a class mate of a lower doc_id; of repeated rows (equal id and text) one stays."""
     docs = without(docs)
-    keep = _classes(docs, threshold, small, block).where("_k = class").select("_k")
-    return docs.withColumn("_k", id_key("doc_id", "text")).join(keep, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    keep = _classes(docs, threshold, small, block).where("_k = class_k and _x = class_x").select("_k", "_x")
+    return docs.withColumns({"_k": id_key("doc_id", "text"), "_x": F.xxhash64("text")}).join(keep, ["_k", "_x"], "left_semi").dropDuplicates(["_k", "_x"]).drop("_k", "_x")

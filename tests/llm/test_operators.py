@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tapewright.llm import ann, chat_quotes, class_lm, fingerprints, line_dedup, mixing, near_dedup, packing, toxicity, url_filter
 
@@ -41,24 +42,50 @@ def empty(spark):
 
 
 def test_line_dedup(spark, docs):
-    rows = [(1, "a\nb\nc\nd"), (2, "z\na\nb\nc\nd\ny"), (3, None), (4, "a\nb"), (5, "\n\n\n\n"), (6, "\n\n\n"), (7, "r\nr\nr\nr"), (8, " a \nb\nc"), (8, "q")]
+    rows = [(1, "a\nb\nc\nd"), (2, "z\na\nb\nc\nd\ny"), (3, None), (4, "a\nb"), (5, "\n\n\n\n"), (6, "\n\n\n"), (7, "r\nr\nr\nr"), (8, " a \nb\nc"), (8, "q"), (9, "A\nB\nA\nB\nA\nB")]
     out = {(r.doc_id, r.text): r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _k", "2 as n_lines")).collect()}
-    assert {k[0]: k[1] for k in out if k[0] != 8} == {1: "a\nb\nc\nd", 2: "z\ny", 3: "", 4: "a\nb", 5: "\n\n\n\n", 6: "\n\n\n", 7: "r"}
+    assert {k[0]: k[1] for k in out if k[0] != 8} == {1: "a\nb\nc\nd", 2: "z\ny", 3: "", 4: "a\nb", 5: "\n\n\n\n", 6: "\n\n\n", 7: "r\nr\nr", 9: "A\nB\nA\nB"}
     assert out[(2, "z\ny")].removed_lines == [1, 2, 3, 4] and (8, "") in out
     lost = [(None, "a\nb\nc"), (None, "k\nl\nm"), (3, "a\nb\nc\nd"), (3, "a\nb\nc\nd"), (4, "k\nl\nm")]
     kept = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(lost, "doc_id long, text string")).collect()]
     assert sorted(kept, key=str) == sorted([(None, "a\nb\nc"), (None, "k\nl\nm"), (3, "d"), (3, "d"), (4, "")], key=str)
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
-    first, gone = {}, defaultdict(set)
     ordered = sorted(corpus(), key=lambda r: -1 if r[0] is None else r[0])
-    for i, t, *_ in ordered:
-        lines = [x.strip(" ") for x in (t or "").split("\n")]
+    assert got == brute_lines([(i, t) for i, t, *_ in ordered])
+
+
+def brute_lines(rows):
+    """Texts by id without the lines of later windows; rows in the order of their ids."""
+    first, out = {}, {}
+    for i, t in rows:
+        lines, gone, own, held = (t or "").split("\n"), set(), set(), set()
         for j in range(len(lines) - 2):
-            w = tuple(lines[j : j + 3])
-            if any(w) and first.setdefault(w, (i, j)) != (i, j):
-                gone[i] |= {j, j + 1, j + 2}
-    assert got == {i: "\n".join(x for j, x in enumerate((t or "").split("\n")) if j not in gone[i]) for i, t, *_ in ordered}
+            w = tuple(x.strip(" ") for x in lines[j : j + 3])
+            if any(w) and (at := first.setdefault(w, (i, j))) != (i, j):
+                if at[0] == i:
+                    own |= {j, j + 1, j + 2}
+                    held |= {at[1], at[1] + 1, at[1] + 2}
+                else:
+                    gone |= {j, j + 1, j + 2}
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone | (own - held))
+    return out
+
+
+def test_line_dedup_within_a_text(spark):
+    """Against brute force and the SQL, with many overlapping repeats inside and across texts, and one long text of them."""
+    import duckdb
+
+    from tapewright.llm.queries import ORACLE_SQL
+
+    r = random.Random(12)
+    rows = [(i, "\n".join(r.choice("abc") * (r.random() > 0.1) for _ in range(r.randint(0, 14)))) for i in range(60)]
+    rows.append((60, "\n".join(r.choice("pqrs") for _ in range(20_000))))
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(documents).collect()}
+    assert got == brute_lines(rows)
+    documents = documents.toPandas()  # noqa: F841
+    assert dict(duckdb.sql(f"select doc_id, text from ({ORACLE_SQL['op2_line_dedup']})").fetchall()) == got
 
 
 def test_best_fit_plan_is_gapless_and_full():
@@ -148,7 +175,14 @@ def test_near_duplicates(spark, docs):
     assert {r.doc_id for r in out if r.is_first} == set(brute_classes(rows).values())
     kept = near_dedup.drop_near_duplicates(docs.unionAll(docs)).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(brute_classes(rows).values())) and sum(r.doc_id is None for r in kept) == 1
-    assert near_dedup.near_duplicate_classes(empty(spark)).count() == 0
+    assert near_dedup.near_duplicate_classes(empty(spark)).count() == 0 and near_dedup.drop_near_duplicates(empty(spark)).columns == docs.columns
+    # One id with several texts: each is a document; one of them is a near copy of another id's text, and one comes twice.
+    base = prose(100, random.Random(40))
+    several = [(1, base, "x"), (1, prose(100, random.Random(41)), "x"), (1, prose(90, random.Random(42)), "x"), (2, base + " more", "x"), (2, "quite another text", "x"), (1, base, "x")]
+    clash = spark.createDataFrame(several, "doc_id long, text string, class_id string").selectExpr("*", "1 as _k", "2 as node", "3 as n")
+    left = near_dedup.drop_near_duplicates(clash)
+    assert left.columns == ["doc_id", "text", "class_id", "node", "n"] and sorted(r.text for r in left.collect()) == sorted({t for i, t, _ in several if t != base + " more"})
+    assert sorted((r.doc_id, r.class_id, r.is_first) for r in near_dedup.near_duplicate_classes(clash).collect()) == [(1, 1, True)] * 4 + [(2, 1, False), (2, 2, True)]
     lost = spark.createDataFrame([(None, "one text here"), (None, "another text there"), (None, "one text here"), (7, "another text there")], "doc_id long, text string")
     assert sorted(r.text for r in near_dedup.drop_near_duplicates(lost).collect()) == ["another text there", "one text here"]
     assert sorted((r.doc_id or 0, r.class_id, r.is_first) for r in near_dedup.near_duplicate_classes(lost).collect()) == [(0, None, True)] * 3 + [(7, None, False)]
@@ -187,6 +221,37 @@ def test_mixing(spark, docs):
     assert sorted(r.position for r in twice) == list(range(2 * len(corpus())))
 
 
+def test_mixing_to_given_weights(spark):
+    """After any number of slots each source is less than a block from its share, over 20 cycles; weights that integers hold are exact."""
+    assert mixing.integer_weights({"a": 1, "b": 5, "*": 1}, 10_000) == {"a": 1, "b": 5, "*": 1}
+    assert mixing.integer_weights({"a": 0.5, "b": 0.3, "*": 0.2, "c": 0}, 10_000) == {"a": 5, "b": 3, "*": 2}
+    odd = mixing.integer_weights({"a": 2**0.5, "b": 3**0.5, "c": 1e-9}, 10_000)
+    assert sum(odd.values()) == 10_000 and odd["c"] == 1
+    shares = {"a": 3, "b": 1, "*": 2}
+    many = spark.range(6 * 20 * 2 * 3).selectExpr("id as doc_id", "concat('t', id) as text", "element_at(array('a', 'a', 'a', 'b', 'c', 'd'), cast(id % 6 as int) + 1) as source")
+    out = mixing.mix_sources(many, shares, block_docs=3).collect()
+    slots = defaultdict(set)
+    for r in out:
+        slots["*" if r.source in "cd" else r.source].add(r.slot)
+        assert r.release <= r.slot < r.deadline
+    for upto in range(6 * 20):
+        for s, w in shares.items():
+            assert abs(sum(x <= upto for x in slots[s]) - w * (upto + 1) / 6) < 1
+
+
+def test_mixing_equal_rows(spark):
+    """Many rows that are equal, without an id or with one, in two sources: each has a place of its own, and time grows in proportion."""
+    n = 30_000
+    rows = spark.range(n).selectExpr("cast(null as long) as doc_id", "'' as text", "case when id % 3 = 0 then 'a' else 'b' end as source", "1 as position")
+    rows = rows.unionByName(spark.range(n).selectExpr("5L as doc_id", "cast(null as string) as text", "'b' as source", "2 as position")).unionByName(spark.range(100).selectExpr("id as doc_id", "'x' as text", "'a' as source", "3 as position"))
+    out = mixing.mix_sources(rows)
+    assert out.columns == ["doc_id", "text", "source", "block", "release", "deadline", "slot", "position"]
+    found = out.groupBy("source", "doc_id", "text").count().collect()
+    want = Counter({("a", None, ""): n // 3, ("b", None, ""): n - n // 3, ("b", 5, None): n}) + Counter({("a", i, "x"): 1 for i in range(100)})
+    assert {tuple(r)[:3]: r["count"] for r in found} == want
+    assert out.select("position").distinct().count() == 2 * n + 100 and out.agg(F.max("position")).first()[0] == 2 * n + 99
+
+
 def test_mixing_many_sources(spark):
     """Every source is a task of its own: blocks count within it and slots keep its releases and deadlines."""
     n = 1500
@@ -422,20 +487,81 @@ def test_quotes(spark):
     assert chat_quotes.link_conversations(df.limit(0)).count() == 0
 
 
+def test_quotes_of_many_marks(spark):
+    """A line may begin with 100,000 marks."""
+    n = 100_000
+    rows = [(1, 0, "u", "word"), (1, 1, "a", ">" * n + " word"), (1, 2, "u", "> " * n), (1, 3, "a", "> > >\nown"), (1, 4, "u", " >" * n + "    > word"), (1, 5, "u", "x " * n)]
+    out = chat_quotes.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert [(r.clean_text, r.n_quotes, r.n_linked) for r in out][:5] == [("word", 0, 0), ("", 1, 1), ("", 1, 0), ("own", 1, 0), ("", 1, 0)] and out[5].clean_text == "x " * n
+
+
+def test_quoted_replies_against_sql(spark):
+    """Some thousand replies: nested, reflowed, partial, forwarded and altered quotes, repeated turns and turns without a number."""
+    import duckdb
+
+    from tapewright.llm.queries import ORACLE_SQL
+
+    r, rows = random.Random(21), []
+    for conv in range(220):
+        texts = []
+        for turn in range(r.randint(1, 18)):
+            own = "\n".join(prose(r.randint(1, 9), r) for _ in range(r.randint(1, 4)))
+            body = own
+            if texts and r.random() < 0.8:
+                quoted = r.choice(texts[-4:]).split("\n")
+                how = r.random()
+                if how < 0.25:  # a part
+                    at = r.randrange(len(quoted))
+                    quoted = quoted[at : at + r.randint(1, 3)]
+                elif how < 0.4:  # other line breaks and case
+                    words = " ".join(quoted).upper().split(" ")
+                    quoted = [" ".join(words[i : i + 4]) for i in range(0, len(words), 4)]
+                elif how < 0.5:  # altered
+                    quoted[r.randrange(len(quoted))] = "altered " + prose(2, r)
+                mark = r.choice(["> ", ">", " > ", "  >\t"])
+                body = "\n".join(mark + x for x in quoted) + r.choice(["\n", "\n\n"]) + own
+                if r.random() < 0.2:
+                    body = own + "\n" + body + "\n> " + r.choice(texts).split("\n")[0]
+            texts.append(body)
+            rows.append((conv, turn, r.choice("ua"), body))
+            if r.random() < 0.03:
+                rows.append((conv, turn, "z", body))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_quotes.link_conversations(df).orderBy("conv_id", "position")
+    conversations = df.toPandas()  # noqa: F841
+    names = got.columns
+    asked = duckdb.sql(f"select {', '.join(names)} from ({ORACLE_SQL['op1_chat_quotes']}) order by conv_id, position").fetchall()
+    found = [tuple(x) for x in got.collect()]
+    assert len(rows) > 1500 and sum(x[names.index("n_linked")] for x in found) > 1500 and max(x[names.index("reply_depth")] for x in found) > 5
+    assert found == asked
+
+
+def test_ranks_of_scattered_ids_and_equal_rows(spark):
+    """Ids over all 64 bits, nulls and many equal rows: gapless ranks, and no range holds most rows."""
+    from tapewright.llm import common
+
+    r = random.Random(2)
+    rows = [(r.choice("ab"), r.choice([None, 7, r.getrandbits(63) - r.getrandbits(63)])) for _ in range(4000)]
+    df = common.materialize(spark.createDataFrame(rows, "g string, id long").repartition(4))
+    for keys in ([], ["g"]):
+        out = common.ranked(df, keys, ["id"]).collect()
+        groups = defaultdict(list)
+        for x in out:
+            groups[x.g if keys else 0].append((x["rank"], x.id is not None, x.id or 0))
+        for g in groups.values():
+            assert [x[0] for x in sorted(g)] == list(range(len(g))) and [x[1:] for x in sorted(g)] == sorted(x[1:] for x in g)
+    table = df.groupBy("id").agg(F.count("*").alias("n"), F.min("g").alias("least")).where("id is not null")
+    one = common.join_hot(df, table, ["id"], "n", 5).groupBy("least").count().collect()
+    assert {tuple(x) for x in one} == {tuple(x) for x in df.join(table, "id").groupBy("least").count().collect()}
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as pipeline
 
     docs.where("doc_id is not null").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     packed = pipeline.run(spark, str(tmp_path)).collect()
-    first, texts = {}, {}
-    for i, t, *_ in corpus()[:-1]:
-        lines, gone = (t or "").split("\n"), set()
-        for j in range(len(lines) - 2):
-            w = tuple(x.strip(" ") for x in lines[j : j + 3])
-            if any(w) and first.setdefault(w, (i, j)) != (i, j):
-                gone |= {j, j + 1, j + 2}
-        texts[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    texts = brute_lines([(i, t) for i, t, *_ in corpus()[:-1]])
     assert {r.doc_id for r in packed} == set(brute_classes(list(texts.items())).values())
 
 
