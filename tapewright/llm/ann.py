@@ -1,65 +1,51 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
-A vector o of length |o| is normalised and rotated; its code holds the sign of each coordinate, that is, the nearest vertex v of a
-cube inscribed in the sphere. With c = <o/|o|, v> and a rotated query q, <o/|o|, q> is estimated by <v, q> / c, and the error stays
-within |q| sqrt((1 - c^2) / c^2) epsilon / sqrt(dim - 1) except with a chance that falls fast in epsilon. <v, q> comes from packed bits:
-the query is rounded to ``levels`` bit planes, whose rounding error is bounded exactly and added. Vectors of the best estimates are
-ranked by the inner product of the original vectors; so are all others whose upper bound reaches the k-th of these.
-
-Queries and vectors are dealt in blocks: a task holds one block of each (at most about ``vector_block`` x ``query_block`` codes compared),
-keeps the best k of its vectors for each of its queries, and the best of all blocks are merged. Every row is indexed; nothing is sampled.
-
-Defined cases: vectors that are null, empty, all zero, of another length than most, or that hold null or non-finite components take no
-part, as queries or candidates, nor do rows of null id; equal scores go to the smaller id; a query isn't its own candidate (rows of the same id aren't); repeated rows of one
-id count once (the greatest vector). Fewer than k candidates give all of them. An empty table gives no rows.
+A vector o is normalised, padded with zeros to ``EXPAND`` times its length and rotated at random; its code holds the sign of each coordinate, that is,
+the nearest vertex v of a cube inscribed in the sphere. With c = <o/|o|, v> and a rotated query q, <o/|o|, q> is estimated by <v, q> / c, and
+the error stays within |q| sqrt((1 - c^2) / c^2) epsilon / sqrt(bits - 1) except with a chance that falls fast in epsilon. More bits than coordinates
+make the bound tight enough to leave out most vectors: it shrinks with the root of ``EXPAND``. Vectors whose upper bound reaches the k-th
+product found so far are ranked by the inner product of the original vectors. So are, to begin with, those of the best estimates, which gives that product.
+
+Every row is encoded once, none is sampled: code (packed bits), length and c are written beside the vector. Queries go to all tasks in turns of at most
+``query_bytes``; a task reads its part of the index in blocks of ``block`` rows, unpacks their codes, and carries each query's best k, and so the product to
+reach, from block to block. Only these k leave the task and are merged by query, so no vector is shuffled or copied.
+
+Defined cases: vectors that are null, empty, all zero, or that hold null or non-finite components take no part, as queries or candidates, nor do
+rows of null id; a query meets the vectors of its own length; every row is a candidate but the query's own, so other rows of one id
+are; equal scores go to the smaller id. Fewer than k candidates give all of them. An empty table gives no rows. Columns other than the two are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEVELS = 4  # bits of a query's coordinate
-EPSILON = 4.0  # deviations that the error bound allows for
+from tapewright.llm.common import materialize
+
+EXPAND = 8  # bits for each coordinate of a vector
+EPSILON = 4.5  # deviations that the error bound allows for
+_turns: dict[int, np.ndarray] = {}
 
 
 def rotation(dim: int, seed: int = 0) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
-
-
-def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed codes (64-bit words), lengths, and <o/|o|, v> of each row."""
-    length = np.linalg.norm(x, axis=1)
-    y = (x / length[:, None]) @ turn
-    bits = np.packbits(y >= 0, axis=1)
-    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))
-    return bits.view(np.uint64), length, np.abs(y).sum(1) / np.sqrt(x.shape[1])
-
-
-def bounds(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, c: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of queries' inner products with coded vectors, query x vector."""
-    dim, q = queries.shape[1], queries @ turn
-    low = q.min(1)
-    step = np.maximum((q.max(1) - low) / (2**LEVELS - 1), 1e-300)
-    u = np.rint((q - low[:, None]) / step[:, None]).astype(np.int64)
-    ones = np.zeros((len(q), len(codes)), np.int32)  # sum of u over the code's set bits
-    for j in range(LEVELS):
-        plane = np.packbits((u >> j) & 1 == 1, axis=1)
-        plane = np.ascontiguousarray(np.pad(plane, ((0, 0), (0, -plane.shape[1] % 8)))).view(np.uint64)
-        for w in range(codes.shape[1]):
-            ones += np.bitwise_count(codes[:, w] & plane[:, w, None]).astype(np.int32) << j
-    count = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    fixed = step * u.sum(1) + low * dim
-    dot = (2 * (step[:, None] * ones + low[:, None] * count) - fixed[:, None]) / np.sqrt(dim)  # <v, rounded q>
-    rounding = np.abs(q - (low[:, None] + step[:, None] * u)).sum(1) / np.sqrt(dim)
-    spread = np.sqrt(np.maximum(1 - c * c, 0)) * EPSILON / np.sqrt(max(dim - 1, 1))
-    error = rounding[:, None] + np.linalg.norm(queries, axis=1)[:, None] * spread
-    scale = length / c
-    return (dot - error) * scale, (dot + error) * scale
+    """dim x bits: what a random orthogonal matrix does to vectors padded with zeros."""
+    if dim not in _turns:
+        q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((-(-EXPAND * dim // 8) * 8, dim)))
+        _turns[dim] = (q * np.sign(np.diag(r))).T
+    return _turns[dim]
+
+
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed codes (bytes), lengths, and <o/|o|, v> of each row."""
+    turn = rotation(x.shape[1])
+    scale = np.abs(x).max(1)  # squares of the largest numbers don't fit
+    length = np.linalg.norm(x / scale[:, None], axis=1) * scale
+    y = (x / scale[:, None] / (length / scale)[:, None]) @ turn
+    return np.packbits(y >= 0, axis=1), length, np.abs(y).sum(1) / np.sqrt(turn.shape[1])
 
 
 def inner_products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -70,62 +56,157 @@ def inner_products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int, turn: np.ndarray, at_once: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of the best k vectors of a block for each query."""
-    codes, length, c = encode(x, turn)
-    place = {v: i for i, v in enumerate(vid.tolist())}
-    out = []
-    for start in range(0, len(q), at_once):
-        lows, highs = bounds(q[start : start + at_once], codes, length, c, turn)
-        for i, (low, high) in enumerate(zip(lows, highs, strict=True), start):
-            own = place.get(int(qid[i]))
-            if own is not None:
-                low[own] = high[own] = -np.inf
-            n = min(k, len(vid) - (own is not None))
-            if not n:
-                continue
-            # The vectors of the best estimates give a k-th product; who can't reach it by the bound is out.
-            first = np.argpartition(low + high, len(low) - min(len(low), 8 * n))[len(low) - min(len(low), 8 * n) :]
-            first = first[first != own] if own is not None else first
-            near = x[first] @ q[i]  # in any order of summation: good enough to leave out what lies clearly below
-            edge = np.partition(near, len(near) - n)[len(near) - n]
-            at = np.flatnonzero(high >= edge)
-            near = x[at] @ q[i]
-            edge = max(edge, np.partition(near, len(near) - n)[len(near) - n]) if len(at) >= n else edge
-            at = at[near >= edge - 1e-9 * max(1.0, abs(edge))]
-            s = inner_products(x[at], q[i])
-            at, s = (y[np.lexsort((vid[at], -s))[:k]] for y in (at, s))
-            out.append((np.full(len(at), qid[i]), vid[at], s))
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return tuple(np.concatenate(y) for y in zip(*out, strict=True)) if out else empty
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vector_block: int = 8192, query_block: int = 4096, seed: int = 0) -> DataFrame:
-    """vectors, queries: (vec_id, embedding). (query_id, rank, vec_id, score) of each query's k nearest."""
-    import pandas as pd
-
-    def usable(df: DataFrame) -> DataFrame:
-        e = F.col("embedding").cast("array<double>")
-        sound = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
-        return df.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e")).where(F.col("vec_id").isNotNull() & sound).groupBy("vec_id").agg(F.max("e").alias("e"))
-
-    v, q = usable(vectors), usable(queries)
-    sizes = v.groupBy(F.size("e").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim, n = (sizes.dim, sizes.n) if sizes else (1, 1)
-    v, q = v.where(F.size("e") == dim), q.where(F.size("e") == dim)
-    shards, groups = -(-n // vector_block), -(-max(q.count(), 1) // query_block)
-    turn = rotation(dim, seed)
-    spread = lambda name, m: F.pmod(F.xxhash64(name), F.lit(m)).cast("int")
-    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = v.select(spread("vec_id", shards).alias("shard"), all_of(groups).alias("grp"), "vec_id", "e")
-    right = q.select(all_of(shards).alias("shard"), spread("vec_id", groups).alias("grp"), "vec_id", "e")
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        found = best_of_block(y["vec_id"].to_numpy(), np.stack(y["e"].to_numpy()), x["vec_id"].to_numpy(), np.stack(x["e"].to_numpy()), k, turn)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    found = left.groupBy("shard", "grp").cogroup(right.groupBy("shard", "grp")).applyInPandas(best, "query_id long, vec_id long, score double")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+class Best:
+    """The k nearest rows of each query among the blocks seen so far. own: the queries' rows in the index (-1: none); rows, ids, x: their numbers, ids and vectors."""
+
+    def __init__(self, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+        self.own, self.rows, self.ids, self.x, self.k = own, rows, ids, x, k
+        turned = x @ rotation(x.shape[1])
+        self.turned, self.length = turned.astype(np.float32), np.linalg.norm(x, axis=1)
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(x)  # rows, ids, scores; best first
+        self.seen = self.ranked = 0
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, length: np.ndarray, c: np.ndarray, at_once: int = 128) -> None:
+        bits = codes.shape[1] * 8
+        signs = np.unpackbits(codes, axis=1).astype(np.float32)
+        signs += signs - 1
+        scale = (length / c / np.sqrt(bits)).astype(np.float32)
+        spread = (length * np.sqrt(np.maximum(1 - c * c, 0)) / c * EPSILON / np.sqrt(max(bits - 1, 1)) + 1e-5 * length).astype(np.float32)
+        for start in range(0, len(self.x), at_once):
+            near = (self.turned[start : start + at_once] @ signs.T) * scale
+            for i, estimate in enumerate(near, start):
+                self._one(i, estimate, estimate + np.float32(self.length[i]) * spread, rows, ids, x)
+
+    def _one(self, i: int, estimate: np.ndarray, high: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        own, q, k = self.own[i], self.x[i], self.k
+        self.seen += len(rows)
+        held = self.found[i]
+        at = np.arange(len(rows))
+        if len(held[0]) < k and len(rows) > 2 * k:  # the best estimates first, for a product to reach
+            first = np.argpartition(-estimate, 2 * k)[: 2 * k]
+            held = self._merge(held, rows[first], ids[first], inner_products(x[first], q), own)
+            self.ranked += len(first)
+            rest = np.ones(len(rows), bool)
+            rest[first] = False
+            at = np.flatnonzero(rest)
+        if len(held[0]) == k:
+            at = at[high[at] >= held[2][-1]]
+        if len(at):
+            self.ranked += len(at)
+            held = self._merge(held, rows[at], ids[at], inner_products(x[at], q), own)
+        self.found[i] = held
+
+    def _merge(self, held: tuple, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, own: int) -> tuple:
+        if own >= 0:
+            other = rows != own
+            rows, ids, scores = rows[other], ids[other], scores[other]
+        rows, ids, scores = (np.concatenate(z) for z in zip(held, (rows, ids, scores), strict=True))
+        order = np.lexsort((rows, ids, -scores))[: self.k]
+        return rows[order], ids[order], scores[order]
+
+
+def _usable(df: DataFrame, keep: Column) -> DataFrame:
+    """(vec_id, e, asked) of the rows that take part; asked: whether ``keep`` holds."""
+    e = F.col("embedding").cast("array<double>")
+    sound = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
+    return df.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"), F.coalesce(keep, F.lit(False)).alias("asked")).where(F.col("vec_id").isNotNull() & sound)
+
+
+def _matrices(batch) -> Iterator[np.ndarray]:
+    """Places of the rows of each length in a batch whose column ``e`` holds lists."""
+    sizes = np.diff(batch.column("e").offsets.to_numpy())
+    for dim in np.unique(sizes):
+        yield np.flatnonzero(sizes == dim)
+
+
+def _stack(column, at: np.ndarray) -> np.ndarray:
+    import pyarrow as pa
+
+    return column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+
+
+def index(vectors: DataFrame, keep: Column) -> DataFrame:
+    """(row, vec_id, e, asked, code, length, c) of every row that takes part, written."""
+    import pyarrow as pa
+
+    schema = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("e", pa.list_(pa.float64())), ("asked", pa.bool_()), ("code", pa.binary()), ("length", pa.float64()), ("c", pa.float64())])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in _matrices(batch):
+                codes, length, c = encode(_stack(batch.column("e"), at))
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([b.tobytes() for b in codes], pa.binary()), pa.array(length), pa.array(c)], schema=schema)
+
+    rows = _usable(vectors, keep).select(F.monotonically_increasing_id().alias("row"), "vec_id", "e", "asked")
+    return materialize(rows.mapInArrow(code, "row long, vec_id long, e array<double>, asked boolean, code binary, length double, c double"), "vectors")
+
+
+def search(vectors: DataFrame, queries: Column | DataFrame, k: int = 20, query_bytes: int = 32_000_000, block: int = 8192) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest of ``vectors`` (vec_id, embedding) to each query.
+
+    queries: a condition on the rows of ``vectors``, which aren't candidates to themselves, or a table of its own (vec_id, embedding).
+    """
+    import pyarrow as pa
+
+    own = isinstance(queries, Column)
+    held = index(vectors, queries if own else F.lit(False))
+    if own:
+        asked = held.where("asked").select("row", "vec_id", "e")
+    else:
+        asked = materialize(_usable(queries, F.lit(True)).select(F.monotonically_increasing_id().alias("row"), "vec_id", "e"), "queries")
+    size = asked.agg(F.sum(8 * (F.size("e") + 2)).alias("b")).first().b or 0
+    turns = max(1, -(-size // query_bytes))
+    kinds = "query_row long, query_id long, vec_id long, score double"
+
+    def part(turn: int) -> DataFrame:
+        found = asked.where(F.pmod(F.xxhash64("row"), F.lit(turns)) == turn).orderBy("vec_id", "row").toArrow().combine_chunks()
+        batches = found.to_batches()
+        waiting = [(b.column("row").to_numpy()[at], b.column("vec_id").to_numpy()[at], _stack(b.column("e"), at)) for b in batches for at in _matrices(b)]
+        shared = vectors.sparkSession.sparkContext.broadcast(waiting)
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {x.shape[1]: [] for *_, x in shared.value}
+            for rows, ids, x in shared.value:
+                best[x.shape[1]].append(Best(rows if own else np.full(len(rows), -1), rows, ids, x, k))
+            parts: list[pa.RecordBatch] = []
+
+            def work() -> None:
+                table = pa.Table.from_batches(parts).combine_chunks().to_batches()
+                parts.clear()
+                for b in table:
+                    for at in _matrices(b):
+                        x = _stack(b.column("e"), at)
+                        if x.shape[1] not in best:
+                            continue
+                        codes = np.frombuffer(b"".join(b.column("code").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
+                        numbers = (b.column(c).to_numpy()[at] for c in ("row", "vec_id", "length", "c"))
+                        rows, ids, length, c = numbers
+                        for q in best[x.shape[1]]:
+                            q.add(rows, ids, x, codes, length, c)
+
+            waiting = 0
+            for batch in batches:
+                if len(batch):
+                    parts.append(batch)
+                    waiting += len(batch)
+                if waiting >= block:
+                    work()
+                    waiting = 0
+            if parts:
+                work()
+            for q in (q for x in best.values() for q in x):
+                for start in range(0, len(q.x), 4096):
+                    out = [(np.full(len(f[0]), r), np.full(len(f[0]), i), f[1], f[2]) for r, i, f in zip(q.rows[start : start + 4096], q.ids[start : start + 4096], q.found[start : start + 4096], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_row", "query_id", "vec_id", "score"])
+
+        return held.select("row", "vec_id", "e", "code", "length", "c").mapInArrow(walk, kinds)
+
+    found = part(0)
+    if turns > 1:
+        parts = [materialize(part(i), "nearest") for i in range(turns)]
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+    w = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

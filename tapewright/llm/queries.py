@@ -70,8 +70,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -152,10 +151,10 @@ select q.page_id, host, path, rule, coalesce(v, 'allow') as verdict from q left
 """
 
 OP10_SQL = """
-with v as (select vec_id, embedding::double[] as e from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s as (select q.vec_id as query_id, v.vec_id, list_sum(list_transform(range(1, len(v.e) + 1), lambda i: v.e[i] * q.e[i])) as score from v join v q on q.vec_id % 20 = 0 and v.vec_id <> q.vec_id),
-r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
+with v as (select vec_id, embedding::double[] as e, row_number() over () as n from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.n as query_row, q.vec_id as query_id, v.vec_id, list_sum(list_transform(range(1, len(v.e) + 1), lambda i: v.e[i] * q.e[i])) as score from v join v q on q.vec_id % 20 = 0 and v.n <> q.n and len(v.e) = len(q.e)),
+r as (select query_id, cast(row_number() over (partition by query_row order by score desc, vec_id) as int) as rank, vec_id, score from s)
 select * from r where rank <= 20
 """
 

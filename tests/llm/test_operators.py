@@ -414,24 +414,45 @@ def test_toxicity(spark):
 
 
 def test_ann(spark):
+    import duckdb
+
+    from tapewright.llm.queries import ORACLE_SQL
+
     g = np.random.default_rng(3)
     x = g.standard_normal((700, 24)).astype(np.float32)
     x[50:80] = x[50]
-    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)] + [(800, None), (820, [0.0] * 24), (840, [float("nan")] * 24), (860, [None] + [1.0] * 23), (880, [1.0] * 5), (None, [1.0] * 24), (3, [float(v) for v in x[3]]), (900, []), (920, [float("inf")] * 24)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    out = defaultdict(list)
-    for r in ann.search(df, df.where("vec_id % 20 = 0"), vector_block=100, query_block=10).collect():
-        out[r.query_id].append((r.rank, r.vec_id, r.score))
-    y = x.astype(float)
-    assert set(out) == set(range(0, 700, 20))
-    hits = 0
-    for q, found in out.items():
-        score = [sum(a * b for a, b in zip(v, y[q], strict=True)) for v in y]
-        best = sorted((i for i in range(700) if i != q), key=lambda i: (-score[i], i))[:20]
-        assert [r for r, *_ in sorted(found)] == list(range(1, 21)) and all(math.isclose(s, score[v], rel_tol=1e-9, abs_tol=1e-12) for _, v, s in found)
-        hits += len(set(best) & {v for _, v, _ in found})
-    assert hits / (20 * len(out)) > 0.98
-    assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    as_list = lambda e: [float(v) for v in e]
+    rows = [(i, as_list(e)) for i, e in enumerate(x)] + [(800, None), (820, [0.0] * 24), (840, [float("nan")] * 24), (860, [None] + [1.0] * 23), (None, [1.0] * 24), (900, []), (920, [float("inf")] * 24)]
+    rows += [(3, as_list(x[3])), (40, as_list(x[41])), (40, as_list(x[40])), (1, [9.0] * 24)]  # ids that come again, with the same vector and with others
+    rows += [(1000 + i, as_list(e)) for i, e in enumerate(g.standard_normal((30, 5)))]  # vectors of another length meet each other
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as row", "2 as e", "3 as score")
+    embeddings = df.select("vec_id", "embedding").toPandas()  # noqa: F841
+    want = sorted((q, r, v, round(s, 9)) for q, r, v, s in duckdb.sql(f"select query_id, rank, vec_id, score from ({ORACLE_SQL['op10_ann']})").fetchall())
+    for kw in ({}, {"block": 100, "query_bytes": 3000}):
+        assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(df, F.col("vec_id") % 20 == 0, **kw).collect()) == want
+    # Queries from a table of their own have no row among the candidates.
+    some = [(v, np.array(e)) for v, e in rows if v is not None and v < 700]
+    score = sorted(((-sum(a * b for a, b in zip(e, x[60].astype(float), strict=True)), v) for v, e in some))[:5]
+    got = [(r.vec_id, round(r.score, 9)) for r in ann.search(df.where("vec_id < 700"), df.where("vec_id = 60"), k=5).orderBy("rank").collect()]
+    assert got == [(v, round(-s, 9)) for s, v in score] and 60 in dict(got)
+    assert ann.search(df.limit(0), df.limit(0)).count() == 0 and ann.search(df.limit(0), F.col("vec_id") > 0).count() == 0
+    assert ann.search(df.where("vec_id = 20"), F.lit(True)).count() == 0
+
+
+def test_ann_codes_prune():
+    """The bounds leave out most vectors, and none of the nearest."""
+    g = np.random.default_rng(5)
+    x = g.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n, ids = 100, np.arange(6000)
+    best = ann.Best(ids[:n], ids[:n], ids[:n], x[:n], 20)
+    for at in np.array_split(ids, 3):
+        best.add(at, at, x[at], *ann.encode(x[at]))
+    assert best.seen == 6000 * n and best.ranked / best.seen < 0.1
+    for i in range(n):
+        score = ann.inner_products(x, x[i])
+        score[i] = -9
+        assert best.found[i][1].tolist() == np.lexsort((ids, -score))[:20].tolist()
 
 
 def test_fingerprints(spark, docs):
