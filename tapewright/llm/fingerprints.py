@@ -1,13 +1,17 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
-A text is cut into paragraphs (lines) and these at content-defined places into pieces of about five words, so that an edit
-changes the pieces around it alone. Each piece's digest, with its number among equal pieces, is an item. A sketch of m cells adds an item to
+Paragraphs (lines) are cut at content-defined places into pieces of about three words, as many texts here have one paragraph or few, and an edit
+then changes the pieces around it alone. Each piece's digest, with its number among equal pieces, is an item. A sketch of m cells adds an item to
 three cells: a count, the xor of keys and the xor of checksums. Subtracting two sketches cancels common items; peeling cells
 that hold one item recovers the digests on either side only. If peeling fails, both texts are sketched anew with ``GROWTH`` times the cells.
-Likeness is the Jaccard similarity of the two item sets, from their sizes and the recovered difference.
+Likeness is the Jaccard similarity of the two item sets, from their sizes and the recovered difference. The rule is one for texts of any size;
+a text of one to three words is often a single piece, which any edit changes, so that its likeness to an edited copy is 0.
 
 Defined cases: a null text is an empty one, with no items; two texts without items are alike (1), one without and one with are not (0).
 Equal texts have equal sketches. The sketch of ``BASE`` cells, with the item count, is the fingerprint string (base64); ``decode`` reads it back.
+The next document is by doc_id, rows of one id by a hash of their texts, and null ids stand first, by such a hash; the last row's next is the first. Repeated
+rows are documents each and follow one another. A single row is its own next; an empty table gives no rows. Texts are whole, of any length: two
+are held beside a small batch. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -19,18 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import id_key, materialize, text_batches
+from tapewright.llm.common import id_key, text_batches
 
 #: Cells of the first sketch, each part of which takes one third; retries multiply by GROWTH.
 BASE, GROWTH, PARTS = 24, 16, 3
 #: A piece ends after a word whose hash is 0 modulo PIECE_WORDS, and after MOST_WORDS words.
-PIECE_WORDS, MOST_WORDS = 5, 16
-#: Words are items too, as an edit leaves few pieces of a short text alone: all of a text of up to so many words, and a share (64 / words)^2 of the
-#: different words of a longer one, chosen by their hashes so that versions of nearly one length choose alike.
-SHORT_WORDS = 64
+PIECE_WORDS, MOST_WORDS = 3, 8
 _U = np.uint64
 
 
@@ -79,9 +79,7 @@ def items_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         start = np.flatnonzero(place == 0)
         key = _mix(np.add.reduceat(_mix(h + _mix(place.astype(_U) + _U(0x9E3779B97F4A7C15))), start) + _U(1))
         owner = np.repeat(np.arange(len(texts)), sizes)
-        share = np.minimum(1, SHORT_WORDS / np.maximum(sizes, 1)) ** 2
-        short = (_mix(h + _U(3)) >> _U(11)).astype(float) * 2.0**-53 < share[owner]
-        key, owner = np.concatenate([key, _mix(h[short] + _U(2))]), np.concatenate([owner[start], owner[short]])
+        owner = owner[start]
         order = np.lexsort((key, owner))
         key, owner = key[order], owner[order]
         at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
@@ -231,19 +229,38 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_next(docs: DataFrame, bits: int = 8, broadcast_rows: int = 4_000_000) -> DataFrame:
-    """(doc_id, text, _block, _k, _own): rows dealt by blocks of 2**bits ids, each block with the first row of the following one (_own false), so that a
-    row's successor by doc_id is in its block. The last block gets the very first row. Up to ``broadcast_rows`` blocks, two numbers each, go to every task."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), id_key("doc_id", "text").alias("_k"))
-    rows = rows.withColumn("_block", F.shiftright("_k", bits))
-    firsts = rows.groupBy("_block").agg(F.min("_k").alias("_k")).withColumn("_super", F.shiftright("_block", 10))
-    # The block before: within 1,024 blocks by one window, between such by another over their ends.
-    ends = firsts.groupBy("_super").agg(F.max("_block").alias("_last"))
-    ends = ends.withColumn("_before", F.coalesce(F.lag("_last").over(W.partitionBy(F.lit(0)).orderBy("_super")), F.max("_last").over(W.partitionBy(F.lit(0)))))
-    firsts = firsts.join(ends.select("_super", "_before"), "_super").withColumn("_to", F.coalesce(F.lag("_block").over(W.partitionBy("_super").orderBy("_block")), "_before"))
-    firsts = materialize(firsts.select("_k", "_to"), "block-firsts")
-    firsts = F.broadcast(firsts) if firsts.count() <= broadcast_rows else firsts
-    moved = rows.drop("_block").join(firsts.select("_k", "_to"), "_k").dropDuplicates(["_k"]).select("doc_id", "text", "_k", F.col("_to").alias("_block"), F.lit(False).alias("_own"))
+def with_next(docs: DataFrame, block_rows: int = 512, most_blocks: int = 8192, seen: int = 16) -> DataFrame:
+    """(doc_id, text, _block, _k, _x, _own): rows dealt in blocks of neighbours by (id, hash of text), each block with the first row of the following one
+    (_own false), so that a row's successor is in its block. The last block gets the very first row.
+
+    The blocks, of about ``block_rows`` rows but ``most_blocks`` at most, end at quantiles of a sample of some ``seen`` ids a block, so that it doesn't
+    matter how ids are spread. The sample decides on nothing else; the driver holds it and the blocks' first ids.
+    """
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), id_key("doc_id", "text").alias("_k")).withColumn("_x", F.xxhash64("text"))
+    n = docs.count()
+    blocks = max(1, min(most_blocks, n // block_rows))
+    share = min(1.0, seen * blocks / max(n, 1))
+    some = rows.where(F.pmod(F.xxhash64("_k", "_x"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("_k", "_x").distinct().orderBy(F.xxhash64("_x", "_k")).limit(2 * seen * blocks).toArrow() if blocks > 1 else None
+    ids = sorted(zip(some["_k"].to_pylist(), some["_x"].to_pylist(), strict=True)) if some else []
+    ends = np.array(sorted({ids[len(ids) * i // blocks] for i in range(1, blocks)}), [("k", "i8"), ("x", "i8")]) if ids else np.zeros(0, [("k", "i8"), ("x", "i8")])
+    shared = spark.sparkContext.broadcast(ends)
+
+    @F.pandas_udf("int")
+    def block(k, x):
+        import pandas as pd
+
+        asked = np.zeros(len(k), shared.value.dtype)
+        asked["k"], asked["x"] = k.to_numpy(), x.to_numpy()
+        return pd.Series(np.searchsorted(shared.value, asked, "right").astype(np.int32))
+
+    rows = rows.withColumn("_block", block("_k", "_x"))
+    found = sorted((r["_block"], *r["f"]) for r in rows.groupBy("_block").agg(F.min(F.struct("_k", "_x")).alias("f")).collect())
+    to = [found[i - 1][0] for i in range(len(found))]
+    firsts = spark.createDataFrame(pa.table({"_k": pa.array([f[1] for f in found], pa.int64()), "_x": pa.array([f[2] for f in found], pa.int64()), "_to": pa.array(to, pa.int32())}))
+    moved = rows.drop("_block").join(F.broadcast(firsts), ["_k", "_x"]).dropDuplicates(["_k", "_x", "_to"]).select("doc_id", "text", "_k", "_x", F.col("_to").alias("_block"), F.lit(False).alias("_own"))
     return rows.withColumn("_own", F.lit(True)).unionByName(moved)
 
 
@@ -287,5 +304,5 @@ def compare_versions(docs: DataFrame) -> DataFrame:
         if held:
             yield compare(held)
 
-    dealt = with_next(docs).repartition("_block").sortWithinPartitions("_block", F.desc("_own"), "_k", F.xxhash64("text"))
+    dealt = with_next(docs).repartition("_block").sortWithinPartitions("_block", F.desc("_own"), "_k", "_x")
     return text_batches(dealt).select("doc_id", "text", "_block", "_own").mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -486,6 +486,27 @@ def test_fingerprints(spark, docs):
     assert fingerprints.compare_versions(empty(spark)).count() == 0 and fingerprints.compare_versions(docs.where("doc_id = 5")).count() == 1
 
 
+def test_fingerprints_of_scattered_and_repeated_ids(spark):
+    """Ids over all 64 bits, one id with many texts, null ids and repeated rows; many blocks, clashing columns, and a long text."""
+    from tapewright.llm.common import id_key as common_key
+
+    r = random.Random(31)
+    ids = [r.getrandbits(63) - 2**62 for _ in range(300)] + [5] * 200 + [None] * 60
+    rows = [(i, prose(r.randint(0, 12), r) + f" t{n // 2}") for n, i in enumerate(ids)] + [(6, None), (6, None), (7, prose(20_000, r))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _block", "2 as _k", "'x' as fingerprint")
+    texts = [(i, t or "") for i, t in rows]
+    hashed = {t: x for t, x in spark.createDataFrame([(t,) for _, t in texts], "t string").select("t", F.xxhash64("t")).distinct().collect()}
+    nulls = {x.text: x.k for x in df.where("doc_id is null").select("text", common_key("doc_id", "text").alias("k")).collect()}
+    order = sorted(texts, key=lambda row: (nulls[row[1]] if row[0] is None else row[0], hashed[row[1]]))
+    want = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        want[i, hashlib.sha256(fingerprints.edited(t, after).encode()).hexdigest()] += 1
+    out = fingerprints.with_next(df, block_rows=16)
+    assert out.select("_block").distinct().count() > 20
+    got = fingerprints.compare_versions(df).collect()
+    assert Counter((x.doc_id, x.edited_sha256) for x in got) == want
+
+
 def test_peeling_recovers_both_sides():
     g = np.random.default_rng(1)
     for n in (0, 1, 30, 3000):
