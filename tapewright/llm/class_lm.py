@@ -16,7 +16,8 @@ words of a text meet theirs in a join, so every word is scored by its exact coun
 
 Defined cases: a null or empty text is the end alone; repeated rows count and score each; a null id belongs to training (its
 crc32 is null, hence not 1); without training documents all counts are 0 and each token has probability 1 in the base and by its
-classes alone in the model. Texts are read whole.
+classes alone in the model. An empty table gives no rows. Words of equal counts rank by their bytes, words whose classes tie take the lowest.
+Texts are read whole, of any length, one at a time. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations

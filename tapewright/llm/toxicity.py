@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-1. Lexicon: of the training rows' words and word beginnings (4 to 6 letters), those that occur in toxic rows far more often than
+1. Lexicon: of the training rows' words and word beginnings (4 to 8 letters), those that occur in toxic rows far more often than
    in clean ones, by counts over all training rows.
 2. Voters: the lexicon's strongest entries vote each for itself (toxic if present, else they abstain); the others vote in pools;
    patterns (repeated hits, hits per word, no hit at all) vote too, some of them for clean.
@@ -12,7 +12,9 @@
 
 Defined cases: a null or empty text has no hits and gets the score of such texts; repeated rows score alike; a label row
 without a document counts for nothing; several labels of a document count as its greatest, null as none; without both classes in the labels every
-score is the toxic share (0 without labels). The text alone enters a score.
+score is the toxic share (0 without labels). An empty table gives no rows. The text alone enters a score, whole, of any length, one at a time.
+Entries that tie are taken in the order of their names, rows of the sample by a hash of id and text. Columns named score or predicted, or with a
+leading ``_``, are dropped; others pass through.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tapewright.llm.common import materialize, text_batches, without
 
 _word = re.compile(r"\w+").findall
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 PATTERNS = ("hits >= 2", "hits >= 3", "distinct >= 2", "hits a word >= 1/200", "no hit", "no hit in over 50 words")
 
 
@@ -320,11 +322,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int
         for batch in batches:
             hits = [_hits(t.as_py(), index) for t in batch.column(0)]
             rows = [_row(f, k, len(index)) for f, k in hits]
-            yield pa.RecordBatch.from_arrays([pa.array([_votes(f, k, m) for f, k in hits], pa.string()), pa.array([a for a, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float64())), batch.column(1)], ["votes", "at", "x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([_votes(f, k, m) for f, k in hits], pa.string()), pa.array([a for a, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["votes", "at", "x", "toxic", "h"])
 
-    share = min(1.0, sample / max(n.n, 1))
-    some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "toxic").mapInArrow(sparse, "votes string, at array<int>, x array<double>, toxic int")
-    rows = some.limit(2 * sample).collect()
+    # The rows of the least hashes; a share of them by hash first, so that only about as many meet the sort.
+    labelled, share = labelled.withColumn("h", F.xxhash64("doc_id", "text")), min(1.0, 1.1 * sample / max(n.n, 1))
+    some = labelled.where(F.pmod("h", F.lit(1_000_000)) <= int(share * 1_000_000)).select("text", "toxic", "h").mapInArrow(sparse, "votes string, at array<int>, x array<double>, toxic int, h long")
+    rows = some.orderBy("h", "votes").limit(sample).collect()
     soft = posterior(_one_hot([r.votes for r in rows]), prior, m.rates, m.share)
     data, truth = [(list(r["at"]), list(r["x"])) for r in rows], np.array([r.toxic for r in rows], float)
     m.weights, m.bias = logistic(data, soft, len(mined) + len(PATTERNS) + 1)

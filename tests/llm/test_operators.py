@@ -404,6 +404,62 @@ def test_label_model_sees_all_combinations(spark):
     assert all(np.allclose(a, b) for a, b in zip(here, tasks, strict=True)) and abs(here[2] - 0.3) < 0.03 and abs(top[2] - here[2]) > 0.03
 
 
+def test_label_model_is_em(spark):
+    """The label model against expectation maximisation written out row by row, without and with correlated voters."""
+    r = random.Random(13)
+    rows = []
+    for _ in range(3000):
+        toxic = r.random() < 0.25
+        first = r.random() < (0.6 if toxic else 0.03)
+        votes = [first, first if r.random() < 0.9 else not first, r.random() < (0.5 if toxic else 0.05)]
+        rows.append("".join("-t"[v] for v in votes) + ("c" if not toxic and r.random() < 0.7 else "-"))
+    seen = Counter(rows)
+    rates, share, prior = toxicity.label_model(spark.createDataFrame(list(seen.items()), "votes string, n long"), 0.25)
+    n, voters, kinds = len(rows), 4, "tc-"
+    p, weight = 0.25, [1.0] * voters
+    table = []
+    for j in range(voters):
+        t, c = (sum(x[j] == k for x in rows) / n for k in "tc")
+        two = [[0.1 * t, c, 1.0], [min(0.5, 10 * t + 0.05), 0.1 * c, 0.5]]
+        table.append([[(x + 1e-4) / sum(y + 1e-4 for y in row) for x in row] for row in two])
+    for step in range(60):
+        post = {}
+        for x in seen:
+            odds = math.log(p / (1 - p)) + sum(weight[j] * math.log(table[j][1][kinds.index(v)] / table[j][0][kinds.index(v)]) for j, v in enumerate(x))
+            post[x] = 1 / (1 + math.exp(-odds))
+        for j in range(voters):
+            for y in (0, 1):
+                of = [0.1 + sum(m * (post[x] if y else 1 - post[x]) for x, m in seen.items() if x[j] == k) for k in kinds]
+                table[j][y] = [v / sum(of) for v in of]
+        p = sum(m * post[x] for x, m in seen.items()) / n
+        if step in (9, 29):
+            together = np.zeros((voters, voters))
+            for y in (0, 1):
+                w = {x: m * (post[x] if y else 1 - post[x]) for x, m in seen.items()}
+                total, z = sum(w.values()), {x: np.array([{"t": 1.0, "c": -1.0, "-": 0.0}[v] for v in x]) for x in seen}
+                mean = sum(m * z[x] for x, m in w.items()) / total
+                cov = sum(m * np.outer(z[x] - mean, z[x] - mean) for x, m in w.items()) / total
+                d = np.sqrt(np.diag(cov))
+                together += total / n * np.clip(cov / np.outer(np.maximum(d, 3e-5), np.maximum(d, 3e-5)), 0, 1)
+            weight = [1 / (1 + sum(together[j, i] for i in range(voters) if i != j and together[j, i] > 0.1)) for j in range(voters)]
+    assert abs(prior - p) < 1e-6 and np.allclose(share, weight, atol=1e-6) and min(share) < 0.9
+    for j in range(voters):
+        assert np.allclose(rates[j], table[j], atol=1e-6)
+
+
+def test_logistic_reaches_the_minimum():
+    """Gradients at the fitted weights vanish, and no step to either side lowers the loss."""
+    r = np.random.default_rng(4)
+    x = r.random((200, 5)) * (r.random((200, 5)) < 0.6)
+    y = 1 / (1 + np.exp(-(x @ np.array([3.0, -2, 0, 1, 0.5]) - 1)))
+    rows = [(np.flatnonzero(a).tolist(), a[a != 0].tolist()) for a in x]
+    w, b = toxicity.logistic(rows, y, 5, steps=3000)
+    loss = lambda w, b: float(np.mean(np.logaddexp(0, x @ w + b) - y * (x @ w + b)) + 0.5e-3 * (w @ w))
+    at = loss(w, b)
+    for d in np.eye(6) * 0.02:
+        assert min(loss(w + d[:5], b + d[5]), loss(w - d[:5], b - d[5])) > at - 1e-7
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     rows, marks = [], []
@@ -613,13 +669,36 @@ def test_ranks_of_scattered_ids_and_equal_rows(spark):
 
 
 def test_pipeline(spark, docs, tmp_path):
+    """Null ids, copies, empty and long texts, an extra column that clashes: the documents that brute force keeps, whole, in token ids."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as pipeline
 
-    docs.where("doc_id is not null").write.parquet(str(tmp_path / "documents.parquet"))
+    docs.selectExpr("*", "1 as position", "2 as _k", "3 as score").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     packed = pipeline.run(spark, str(tmp_path)).collect()
-    texts = brute_lines([(i, t) for i, t, *_ in corpus()[:-1]])
-    assert {r.doc_id for r in packed} == set(brute_classes(list(texts.items())).values())
+    texts = brute_lines(sorted(((i, t) for i, t, *_ in corpus()), key=lambda r: -1 if r[0] is None else r[0]))
+    lost = texts.pop(None)
+    keep = {i: texts[i] for i in set(brute_classes(list(texts.items())).values())} | {None: lost}
+    tok = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    pieces, sequences = defaultdict(dict), defaultdict(list)
+    for r in packed:
+        pieces[r.doc_id][r.piece] = r.ids
+        sequences[r.sequence_id].append((r.offset, len(r.ids)))
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    assert {i: [x for p in sorted(v) for x in v[p]] for i, v in pieces.items()} == {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in keep.items()}
+    for at in sequences.values():
+        assert [o for o, _ in sorted(at)] == [sum(n for _, n in sorted(at)[:i]) for i in range(len(at))] and sum(n for _, n in at) <= 4096
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as pipeline
+
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline_sequences_follow_the_mix(spark, tmp_path):
