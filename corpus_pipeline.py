@@ -3,7 +3,10 @@
 1. toxicity: documents that the classifier rejects go. 2. lines: repeated three-line passages go from the later documents.
 3. near_duplicates: one document of each class stays, that of the least doc_id. 4. mix: documents are put in the order of the
 schedule that keeps sources at their target weights, held by the column ``position``. 5. pack: sequences of 4,096 tokens, whose
-pieces and numbers follow ``position``.
+pieces and numbers follow ``position``; its rows hold the token ids of each piece.
+
+Stages read the columns of ``documents`` alone, so extra columns, whatever their names, end with the first. Documents without an id stay, each for itself,
+but for copies of one text; null texts are empty ones; empty tables give no rows. Texts are whole in every stage.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs.select("doc_id", "text", "position"), word_tokenizer(), order="position")
+    return pack_documents(docs.select("doc_id", "text", "position"), word_tokenizer(), with_ids=True, order="position")
 
 
 STAGES = [("toxicity", toxicity_stage), ("lines", lines_stage), ("near_duplicates", near_duplicates_stage), ("mix", mix_stage), ("pack", pack_stage)]
