@@ -73,8 +73,13 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's operator with given shares: 30 %, 15 %, 5 %, and half for all other sources."""
+    return mix_sources(read(spark, sf_dir, "documents"), {"src0": 0.3, "src1": 0.15, "src2": 0.05, "*": 0.5}).select("doc_id", "source", "block", "release", "deadline", "slot", "position")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_quotes, op2_line_dedup, op3_fingerprints, op4_packing, op5_near_dedup, op6_mixing, op7_url_filter, op8_class_lm, op9_toxicity, op10_ann)
+    f.__name__: f for f in (op1_chat_quotes, op2_line_dedup, op3_fingerprints, op4_packing, op5_near_dedup, op6_mixing, op7_url_filter, op8_class_lm, op9_toxicity, op10_ann, mixing_to_targets)
 }
 
 OP1_SQL = r"""
@@ -117,10 +122,9 @@ deduplicated as (select lines.doc_id, len(l) as n_lines, coalesce(len(js), 0) as
   from lines left join marks using (doc_id))
 """
 
-OP6_SQL = """
-with recursive counts as (select source, count(*) as n from documents group by source),
-total as (select sum(sqrt(n)) as s from counts),
-tasks as (select source, (row_number() over (order by source nulls first) - 1) as task, greatest(1, cast(floor(sqrt(n) / s * 10000 + 0.5) as bigint)) as w from counts, total),
+#: {tasks}: common table expressions up to tasks (source, task, w); {ranked}: documents with task, w and block.
+MIX_SQL = """
+with recursive {tasks},
 cycle as (select cast(sum(w) as bigint) as q, list(w order by task) as ws, count(*) as m from tasks),
 slots(slot, task, block, done) as (
   select cast(-1 as bigint), cast(-1 as bigint), cast(-1 as bigint), list_transform(ws, lambda x: cast(0 as bigint)) from cycle
@@ -128,18 +132,32 @@ slots(slot, task, block, done) as (
   select slot + 1, pick, done[pick + 1],
     list_transform(range(1, m + 1), lambda i: done[i] + case when i = pick + 1 then 1 else 0 end)
   from (select slot, done, q, ws, m, list_min(list_transform(list_filter(range(1, m + 1), lambda i: done[i] < ws[i] and (done[i] * q) // ws[i] <= slot + 1),
-      lambda i: (-((-(done[i] + 1) * q) // ws[i])) * 100000 + i - 1)) % 100000 as pick
+      lambda i: (((done[i] + 1) * q + ws[i] - 1) // ws[i]) * 100000 + i - 1)) % 100000 as pick
     from slots, cycle where slot + 1 < q)
 ),
-ranked as (select doc_id, d.source, task, w, (row_number() over (partition by d.source order by doc_id) - 1) // 16 as block
-  from documents d join tasks t on d.source is not distinct from t.source),
+ranked as ({ranked}),
 placed as (select r.doc_id, r.source, r.block, (r.block // w) * q + s.slot as slot, (r.block // w) * q + (s.block * q) // w as release,
-    (r.block // w) * q + (-((-(s.block + 1) * q) // w)) as deadline
+    (r.block // w) * q + ((s.block + 1) * q + w - 1) // w as deadline
   from ranked r join slots s on s.task = r.task and s.block = r.block % r.w, cycle)
 select doc_id, source, cast(block as bigint) as block, cast(release as bigint) as release, cast(deadline as bigint) as deadline, cast(slot as bigint) as slot,
   row_number() over (order by slot, doc_id) - 1 as position from placed
 """
 
+OP6_SQL = MIX_SQL.format(
+    tasks="""counts as (select source, count(*) as n from documents group by source),
+total as (select sum(sqrt(n)) as s from counts),
+tasks as (select source, (row_number() over (order by source nulls first) - 1) as task, greatest(1, cast(floor(sqrt(n) / s * 10000 + 0.5) as bigint)) as w from counts, total)""",
+    ranked="""select doc_id, d.source, task, w, (row_number() over (partition by d.source order by doc_id) - 1) // 16 as block
+  from documents d join tasks t on d.source is not distinct from t.source""",
+)
+
+#: Sources that aren't named share the last task.
+TARGETS_SQL = MIX_SQL.format(
+    tasks="tasks(source, task, w) as (values ('src0', 0, 6::bigint), ('src1', 1, 3::bigint), ('src2', 2, 1::bigint), ('*', 3, 10::bigint))",
+    ranked="""select doc_id, source, task, w, (row_number() over (partition by task order by doc_id) - 1) // 16 as block
+  from (select doc_id, d.source, coalesce(t.task, 3) as task, coalesce(t.w, 10) as w from documents d left join tasks t on d.source = t.source)""",
+)
+
 OP7_SQL = r"""
 with p as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from p),
@@ -162,6 +180,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_quotes": OP1_SQL,
     "op2_line_dedup": f"with {LINES_SQL.format(docs='documents')} select doc_id, text, n_lines, cast(n_removed as bigint) as n_removed from deduplicated",
     "op6_mixing": OP6_SQL,
+    "mixing_to_targets": TARGETS_SQL,
     "op7_url_filter": OP7_SQL,
     "op10_ann": OP10_SQL,
 }
