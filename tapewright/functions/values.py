@@ -41,9 +41,21 @@ def json_map(data: Column) -> Column:
     return F.from_json(data, "map<string,string>")
 
 
+def json_fields(data: Column) -> Column:
+    """Top level of a JSON object as map<string,variant>, whose values keep their types and whatever they hold; null for anything else."""
+    return F.try_variant_get(F.try_parse_json(data), "$", "map<string,variant>")
+
+
 def stable_json(m: Column) -> Column:
     """A map as JSON with sorted keys."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+    keys = F.array_sort(F.map_keys(m))
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(m, k))))
+
+
+def last_json_object(output: Column) -> Column:
+    """The last line of a process's output that is a JSON object, as text; null without one."""
+    lines = F.transform(F.split(F.coalesce(output, F.lit("")), r"\r\n|[\n\r]"), lambda x: F.trim(x))
+    return F.get(F.reverse(F.filter(lines, lambda x: F.startswith(x, F.lit("{")) & F.try_parse_json(x).isNotNull())), F.lit(0))
 
 
 def three_valued(column: str) -> Column:

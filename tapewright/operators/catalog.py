@@ -85,9 +85,9 @@ def latest(df: DataFrame, key: list[str], when: str, tiebreak: list[str] | None
 
 def promote(df: DataFrame, keys: list[str], data: str = "data_json") -> DataFrame:
     """Splits JSON rows: ``keys`` become columns, the rest stays as JSON with sorted keys."""
-    m = V.json_map(F.col(data))
+    m, none = V.json_fields(F.col(data)), F.from_json(F.lit("{}"), "map<string,variant>")
     out = df.withColumns({k: F.get_json_object(data, f"$.{k}") for k in keys})
-    return out.withColumn(data, V.stable_json(F.map_filter(F.coalesce(m, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~k.isin(*keys))))
+    return out.withColumn(data, V.stable_json(F.map_filter(F.coalesce(m, none), lambda k, v: ~k.isin(*keys))))
 
 
 def reconstruct(df: DataFrame, keys: list[str], data: str = "data_json") -> DataFrame:
@@ -128,8 +128,7 @@ def review_clearable(reasons: Column, title_clean: Column, related: list[str]) -
 
 
 def json_set(data: Column, changes: dict[str, Column], remove: list[str] | None = None) -> Column:
-    """Top-level keys set or removed in JSON text; keys come out sorted."""
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    """Top-level keys set (to scalars or variants) or removed in JSON text; keys come out sorted, other values as they were."""
     names = [*changes, *(remove or [])]
-    kept = F.map_filter(F.coalesce(V.json_map(data), empty), lambda k, v: ~k.isin(*names))
-    return V.stable_json(F.map_concat(kept, F.create_map(*[x for k, v in changes.items() for x in (F.lit(k), v.cast("string"))])) if changes else kept)
+    kept = F.map_filter(F.coalesce(V.json_fields(data), F.from_json(F.lit("{}"), "map<string,variant>")), lambda k, v: ~k.isin(*names))
+    return V.stable_json(F.map_concat(kept, F.create_map(*[x for k, v in changes.items() for x in (F.lit(k), v.cast("variant"))])) if changes else kept)

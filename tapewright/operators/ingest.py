@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from tapewright.functions import keys as K
 from tapewright.functions import text as X
-from tapewright.operators import merge, rebroadcast
+from tapewright.functions import values as V
+from tapewright.operators import catalog, merge, rebroadcast, resolve
 
 
 def inventory_batches(listing: DataFrame, run_id: str, now: str) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +41,27 @@ def guide_batches(guides: DataFrame, broadcasts: DataFrame, now: str) -> tuple[D
     return programs, casts
 
 
+def legacy_guides(metadata: DataFrame, aliases: DataFrame, now: str, source: str = "edcb_epg") -> tuple[DataFrame, DataFrame]:
+    """(programs, broadcasts) from guide data that older versions kept as metadata rows (path_id, source, data_json).
+
+    Rows without a JSON object or a title count for nothing. A programme is its series (by ``aliases`` in the form of programme keys); its title is that of
+    its last row by path_id, and of the rows of one broadcast the last counts.
+    """
+    get = lambda k: F.get_json_object("data_json", f"$.{k}")
+    title = X.strip(F.coalesce(F.nullif(get("official_title"), F.lit("")), get("program_title"), F.lit("")))
+    rows = metadata.where((F.col("source") == source) & V.json_fields(F.col("data_json")).isNotNull()).withColumn("_title", title).where("_title <> ''")
+    rows = resolve.series_name(X.normalized_map(rows, "_title", X.nfkc, "_norm"), "_norm", aliases)
+    rows = rows.withColumn("program_key", X.program_key(F.col("series"))).withColumn("program_id", K.program_id(F.col("program_key")))
+    match = F.nullif(X.strip(X.empty(get("match_key"))), F.lit(""))
+    seed = F.concat_ws("::", "program_id", X.empty(get("air_date")), X.empty(get("start_time")), X.empty(get("broadcaster")))
+    rows = rows.withColumns({"match_key": match, "broadcast_id": K.broadcast_id(match, seed)})
+    programs = merge.last_wins(rows, ["program_id"], "path_id").select("program_id", "program_key", F.col("_title").alias("canonical_title"), F.lit(now).alias("created_at"))
+    names = ["air_date", "start_time", "end_time", "broadcaster"]
+    casts = merge.last_wins(rows, ["broadcast_id"], "path_id").withColumns({n: get(n) for n in names})
+    casts = catalog.split_broadcast(casts).withColumn("data_json", catalog.json_set(F.col("data_json"), {}, ["is_rebroadcast_flag", "epg_genres", "description", "official_title", "annotations"]))
+    return programs, casts.select("broadcast_id", "program_id", *names, "match_key", "data_json", F.lit(now).alias("created_at"), "is_rebroadcast_flag", "epg_genres", "description", "official_title", "annotations")
+
+
 def hash_batches(report: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, file_paths) of a hash report's known paths."""
     rows = report.withColumn("path", X.windows_path(F.col("path"))).join(paths.select("path_id", "path"), "path").withColumn("file_id", K.file_id(F.col("path_id")))

@@ -112,15 +112,3 @@ def remap_keys(df: DataFrame, mapping: DataFrame, column: str, key: list[str], p
     rest = [c for c in df.columns if c not in key]
     best = F.max(F.struct(F.col(prefer).isNotNull().alias("has"), F.col(prefer), *[F.col(c) for c in rest if c != prefer]))
     return out.groupBy(*key).agg(best.alias("_b")).select(*[F.col(c) if c in key else F.col(f"_b.{c}").alias(c) for c in df.columns])
-
-
-def publish(df: DataFrame, folder: str) -> None:
-    """Writes a new version beside the old and puts it in place by renaming, as far as the file system's rename is atomic; readers see either."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(f"{folder}.staged")
-    if fs.exists(path(folder)):
-        fs.delete(path(f"{folder}.previous"), True)
-        fs.rename(path(folder), path(f"{folder}.previous"))
-    fs.rename(path(f"{folder}.staged"), path(folder))

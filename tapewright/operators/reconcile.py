@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewright.operators import views
 
-def reconcile(listing: DataFrame, catalog: DataFrame, observed: DataFrame, remapped: Column | None = None) -> DataFrame:
+
+def reconcile(listing: DataFrame, catalog: DataFrame, observed: DataFrame, remapped: Column | None = None, scan_limit: int | None = None) -> DataFrame:
     """``status`` of each listed file (path, name, size, corrupt).
 
     existing: the path is catalogued and observed; missing_observation: catalogued only; remapped: its path under another root is
     catalogued; renamed: one catalogued file has its name and size; ambiguous: several have; corrupt: flagged by the scan; else new.
-    catalog: path_id, path, name; observed: path_id, size.
+    catalog: path_id, path, name; observed: path_id, size. ``scan_limit``: only the first files by path are looked at.
     """
+    listing = views.first_rows(listing, ["path"], scan_limit)
     paths = catalog.select("path", F.col("path_id").alias("same_id"))
     old = catalog.select(F.col("path").alias("_remap"), F.col("path_id").alias("remap_id"))
     by_name = catalog.select("path_id", "name").join(observed, "path_id").groupBy("name", "size").agg(F.countDistinct("path_id").alias("n_named"), F.min("path_id").alias("named_id"))

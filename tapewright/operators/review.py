@@ -44,11 +44,11 @@ def risk(df: DataFrame) -> DataFrame:
 
 
 def positional_diff(edited: DataFrame, baseline: DataFrame, row: str, content: Column) -> DataFrame:
-    """Row numbers at which two lists differ: changed, added, or removed."""
-    a, b = (t.select(row, content.alias("c")).alias(n) for t, n in ((edited, "a"), (baseline, "b")))
-    both = a.join(b, row, "full_outer").select(row, F.col("a.c").alias("new"), F.col("b.c").alias("old"))
-    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("new") != F.col("old"), "changed")
-    return both.withColumn("change", kind).where("change is not null")
+    """Row numbers at which two lists differ: changed, added, or removed. A row that is there with null content is there."""
+    a, b = (t.select(row, content.alias("c"), F.lit(True).alias("is")).alias(n) for t, n in ((edited, "a"), (baseline, "b")))
+    both = a.join(b, row, "full_outer").select(row, F.col("a.c").alias("new"), F.col("b.c").alias("old"), F.col("a.is").alias("_a"), F.col("b.is").alias("_b"))
+    kind = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(~F.col("new").eqNullSafe(F.col("old")), "changed")
+    return both.withColumn("change", kind).where("change is not null").drop("_a", "_b")
 
 
 def batch_status(inputs: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -174,11 +174,21 @@ def apply_stats(log: DataFrame, order: str, most: int = 20) -> tuple[DataFrame,
 def title_updates(df: DataFrame, changes: DataFrame, most: int = 10_000) -> DataFrame:
     """New titles by instructions (path_pattern with % and _, new_title; the first pattern counts): reviewed by a human from then on. Case is ignored.
 
-    Patterns have no key to join on, so each row is tried on each: instructions are people's, and over ``most`` are refused.
+    Patterns meet the paths in an equi-join on what stands before their first wildcard, of the lengths that occur; LIKE decides on what is left. Those
+    that begin with a wildcard have nothing to join on and are tried on each path. Instructions are people's, and over ``most`` are refused.
     """
     if changes.limit(most + 1).count() > most:
         raise ValueError(f"over {most} instructions")
-    hit = df.join(F.broadcast(changes), F.expr("path ilike path_pattern escape '~'"))
+    anchor = F.lower(F.regexp_extract("path_pattern", "^[^%_~]*", 0))
+    rules = changes.select("path_pattern", "new_title", anchor.alias("_a"), F.length(anchor).alias("_n"))
+    lengths = [r[0] for r in rules.select("_n").distinct().collect() if r[0]]  # a path's length at most
+    like, paths = F.expr("path ilike path_pattern escape '~'"), df.select("path_id", "path")
+    fits = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("path"))
+    keyed = paths.withColumn("_a", F.explode(F.transform(fits, lambda n: F.substring(F.lower("path"), F.lit(1), n))))
+    hit = keyed.join(F.broadcast(rules.where("_n > 0").drop("_n")), "_a").where(like).select("path_id", "path_pattern", "new_title")
+    free = rules.where("_n = 0").select("path_pattern", "new_title")
+    if not free.isEmpty():
+        hit = hit.unionByName(paths.join(F.broadcast(free), like).select("path_id", "path_pattern", "new_title"))
     best = hit.groupBy("path_id").agg(F.min_by("new_title", "path_pattern").alias("new_title"))
     out = df.join(best, "path_id", "left").withColumn("_c", F.col("new_title").isNotNull())
     return out.withColumns({"program_title": F.coalesce("new_title", "program_title"), "source": F.when(F.col("_c"), "human_reviewed").otherwise(F.col("source")), "human_reviewed": F.when(F.col("_c"), 1).otherwise(F.col("human_reviewed")), "needs_review": F.when(F.col("_c"), 0).otherwise(F.col("needs_review"))}).drop("_c", "new_title")

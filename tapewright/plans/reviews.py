@@ -54,6 +54,12 @@ def read_groups(path: str) -> list[tuple[str, str, str]]:
     return [(g["group_key"], c["path_id"], c["decision"]) for g in raw.get("groups", []) for c in g.get("candidates", [])]
 
 
+#: How the files of extracted rows and of their reviews are named.
+EXTRACTED, REVIEW, OTHER = "llm_filename_extract_output_", "program_aliases_review_{}.yaml", "{}_review.yaml"
+
+
 def output_name(source: str) -> str:
-    """``x.jsonl`` to ``x.review.yaml``."""
-    return str(Path(source).with_suffix("")) + ".review.yaml"
+    """Path of the review document of a file of rows, beside it."""
+    path = Path(source)
+    extracted = path.name.startswith(EXTRACTED) and path.suffix == ".jsonl"
+    return str(path.with_name(REVIEW.format(path.stem[len(EXTRACTED) :]) if extracted else OTHER.format(path.stem)))

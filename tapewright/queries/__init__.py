@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tapewright.queries.base import ORACLE_SQL, QUERIES
 
-for _name in ("ranking", "titles", "merges", "planning", "scalars", "reviews"):
+for _name in ("ranking", "titles", "merges", "planning", "scalars", "reviews", "cases", "sources", "flows"):
     import_module(f"tapewright.queries.{_name}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions import values as V
-from tapewright.operators import catalog, merge, reconcile
+from tapewright.operators import catalog, merge, reconcile, views
 from tapewright.queries.base import Tables, query
 from tapewright.streaming import ingest
 
@@ -146,7 +146,7 @@ def json_reconstruct(t: Tables) -> DataFrame:
     return catalog.reconstruct(rows, ["k"]).select("event_id", "k")
 
 
-@query("""select event_id, concat('{"k":"', json_extract_string(props, '$.k'), '","needs_review":"false"}') as data_json from events""")
+@query("""select event_id, concat('{"k":', json_extract_string(props, '$.k'), ',"needs_review":"false"}') as data_json from events""")
 def json_set_key(t: Tables) -> DataFrame:
     return t.events.select("event_id", catalog.json_set(F.col("props"), {"needs_review": F.lit("false")}, ["reason"]).alias("data_json"))
 
@@ -168,7 +168,7 @@ def transition_check(t: Tables) -> DataFrame:
 
 @query("select l_orderkey, count(*) filter (l_tax > 0.04) as n from lineitem where l_returnflag = 'R' group by 1")
 def filtered_count(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count_if(F.col("l_tax") > 0.04).alias("n"))
+    return views.counted(t.lineitem.where("l_returnflag = 'R'"), ["l_orderkey"], F.col("l_tax") > 0.04)
 
 
 @query("select event_id, json_extract_string(props, '$.k') as k, case when try_cast(json_extract_string(props, '$.k') as double) is not null then try_cast(json_extract_string(props, '$.k') as double) <> 0 end as flag from events")

@@ -9,7 +9,7 @@ from tapewright.functions import dates as D
 from tapewright.functions import keys as K
 from tapewright.functions import text as X
 from tapewright.functions import values as V
-from tapewright.operators import ingest, reconcile, resolve
+from tapewright.operators import ingest, reconcile, resolve, views
 from tapewright.queries.base import Tables, query
 
 
@@ -227,4 +227,4 @@ def case_renames(t: Tables) -> DataFrame:
 
 @query("select p_partkey, p_name from part where contains(lower(p_name), 'e') and contains(lower(p_type), 'o')")
 def title_filter(t: Tables) -> DataFrame:
-    return t.part.where(F.contains(F.lower("p_name"), F.lit("e")) & F.contains(F.lower("p_type"), F.lit("o"))).select("p_partkey", "p_name")
+    return views.matching(t.part, contains={"p_name": "E", "p_type": "o"}, exact={"p_brand": ""}, one_of={"p_size": []}).select("p_partkey", "p_name")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions import keys as K
-from tapewright.operators import catalog, extract, reconcile, resolve
+from tapewright.operators import catalog, extract, reconcile, resolve, views
 from tapewright.queries.base import Tables, query
 
 
@@ -93,23 +93,23 @@ def program_titles_view(t: Tables) -> DataFrame:
 
 @query("select doc_id, source, quality from documents join labels using (doc_id) where toxic = 1")
 def needs_review_view(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels.where("toxic = 1"), "doc_id").select("doc_id", "source", "quality")
+    return views.needs_review(t.labels, t.documents, "doc_id", "toxic").select("doc_id", "source", "quality")
 
 
 @query("select event_id, e.user_id, c_name from events e join customer on c_custkey = e.user_id where event_type <> 'error'")
 def metadata_with_paths(t: Tables) -> DataFrame:
-    return t.events.where("event_type <> 'error'").join(t.customer, F.col("c_custkey") == F.col("user_id")).select("event_id", "user_id", "c_name")
+    return views.metadata_with_paths(t.events, t.customer, ("user_id", "c_custkey"), "error", "event_type").select("event_id", "user_id", "c_name")
 
 
 @query("select o_orderkey, l_partkey, l_quantity from orders join lineitem on l_orderkey = o_orderkey where l_quantity is not null and l_shipdate >= o_orderdate")
 def programs_with_broadcasts(t: Tables) -> DataFrame:
-    return t.orders.join(t.lineitem.where("l_quantity is not null"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate >= o_orderdate").select("o_orderkey", "l_partkey", "l_quantity")
+    return views.programs_with_broadcasts(t.orders, t.lineitem, ("o_orderkey", "l_orderkey"), "l_quantity").where("l_shipdate >= o_orderdate").select("o_orderkey", "l_partkey", "l_quantity")
 
 
 @query("select c_custkey, o_orderkey, n_name from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'F' left join nation on n_nationkey = c_nationkey")
 def left_join_on_filter(t: Tables) -> DataFrame:
-    closed = t.orders.where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey")
-    return t.customer.join(closed, F.col("o_custkey") == F.col("c_custkey"), "left").join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", "o_orderkey", "n_name")
+    closed = views.linked(t.customer, t.orders, {"c_custkey": "o_custkey"}, "o_orderstatus = 'F'", "left")
+    return views.linked(closed, t.nation, {"c_nationkey": "n_nationkey"}, None, "left").select("c_custkey", "o_orderkey", "n_name")
 
 
 @query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey) and not exists (select 1 from events where user_id = c_custkey)")
@@ -129,16 +129,14 @@ def duplicate_keys(t: Tables) -> DataFrame:
 
 @query("select o_orderkey, o_totalprice from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
 def semi_ids(t: Tables) -> DataFrame:
-    return t.orders.join(t.customer.where("c_mktsegment = 'BUILDING'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("o_orderkey", "o_totalprice")
+    return views.among(t.orders, t.customer.where("c_mktsegment = 'BUILDING'"), "o_custkey", "c_custkey").select("o_orderkey", "o_totalprice")
 
 
 @query("""
 with p as (select distinct l_orderkey, l_partkey, l_suppkey from lineitem) select a.l_orderkey, a.l_partkey, a.l_suppkey as supp_a, b.l_suppkey as supp_b from p a join p b on a.l_orderkey = b.l_orderkey and a.l_partkey = b.l_partkey and a.l_suppkey < b.l_suppkey
 """)
 def self_conflict(t: Tables) -> DataFrame:
-    p = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    other = p.withColumnRenamed("l_suppkey", "supp_b")
-    return p.withColumnRenamed("l_suppkey", "supp_a").join(other, ["l_orderkey", "l_partkey"]).where("supp_a < supp_b")
+    return views.conflicting_links(t.lineitem, ["l_orderkey", "l_partkey"], "l_suppkey").withColumnsRenamed({"l_suppkey": "supp_a", "other": "supp_b"})
 
 
 @query("""
@@ -193,7 +191,7 @@ def alias_conflicts(t: Tables) -> DataFrame:
 
 @query("select distinct o_custkey from orders where o_orderstatus = 'F' except select user_id from events")
 def set_difference(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderstatus = 'F'").select("o_custkey").distinct().join(t.events.select(F.col("user_id").alias("o_custkey")), "o_custkey", "left_anti")
+    return views.difference(t.orders.where("o_orderstatus = 'F'"), t.events, "o_custkey", "user_id")
 
 
 @query("select o_custkey, substr(sha256(string_agg(cast(o_orderkey as varchar), chr(10) order by cast(o_orderkey as varchar))), 1, 16) as cohort from orders group by 1")

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.sources.scratch import put
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that aren't blank, without byte order marks."""
@@ -32,8 +34,12 @@ def counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def queue(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A queue, whose rows must all have a ``path_id``."""
-    rows = strict(spark, path, schema)
+    """A queue: a ``_meta`` row counts as such on a file's first line alone, and all other rows must have a ``path_id``; a line that isn't JSON fails."""
+    at = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    first = at.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_first"))  # one row for each file
+    text = F.regexp_replace("value", "^\ufeff", "")
+    head = F.get_json_object(text, "$._meta").isNotNull() & (F.col("_at") == F.col("_first"))
+    rows = at.join(first, "_file").where((F.trim(text) != "") & ~F.coalesce(head, F.lit(False))).select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     return rows.withColumn("path_id", F.when(F.col("path_id").isNotNull(), F.col("path_id")).otherwise(F.raise_error(F.lit("queue row without path_id"))))
 
 
@@ -41,11 +47,7 @@ def write(df: DataFrame, path: str, meta: dict | None = None) -> None:
     """Part files of JSON lines; ``meta`` in a file of its own, ``_meta.json``, which readers of the folder pass over."""
     df.write.mode("overwrite").json(path)
     if meta is not None:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_meta.json")
-        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-        out.write(bytearray(json.dumps({"_meta": meta}, ensure_ascii=False, sort_keys=True).encode()))
-        out.close()
+        put(df.sparkSession, f"{path}/_meta.json", json.dumps({"_meta": meta}, ensure_ascii=False, sort_keys=True).encode())
 
 
 def tagged(df: DataFrame, kind: str) -> DataFrame:
@@ -54,11 +56,11 @@ def tagged(df: DataFrame, kind: str) -> DataFrame:
 
 
 def hash_report(spark: SparkSession, path: str) -> DataFrame:
-    """(group_id, path, size, hash) of a duplicate finder's report: size to groups of files. Groups of under two distinct paths are left out."""
-    from pyspark.sql import Window as W
+    """(group_id, path, size, hash) of a duplicate finder's report: size to groups of files. Groups of under two distinct paths are left out.
 
+    A report file is one JSON document, hence one row of one task; many files are read side by side.
+    """
     files = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<array<struct<path:string,size:long,hash:string>>>>").alias("m"))
     groups = files.select(F.explode("m").alias("size_key", "groups")).select("size_key", F.posexplode("groups").alias("g", "files"))
     rows = groups.select(F.concat_ws("#", "size_key", "g").alias("group_id"), F.explode("files").alias("f")).select("group_id", "f.path", F.greatest("f.size", F.lit(0)).alias("size"), "f.hash").distinct()
-    n = F.size(F.collect_set("path").over(W.partitionBy("group_id")))
-    return rows.withColumn("_n", n).where("_n > 1").drop("_n")
+    return rows.join(rows.groupBy("group_id").agg(F.countDistinct("path").alias("_n")).where("_n > 1").select("group_id"), "group_id")

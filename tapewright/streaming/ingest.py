@@ -1,31 +1,34 @@
 """Incremental ingest: new files of a folder, each batch merged once.
 
-A file source with ``availableNow`` takes what is new since the checkpoint and ends; rows whose key the table has are left out,
-so running a batch again changes nothing.
+A file source with ``availableNow`` takes what is new since the checkpoint and ends; rows whose key the table has are left out. A batch
+writes a folder of its own, named by checkpoint and number and replaced as a whole, so running a batch again changes nothing, for rows without a key too.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewright.operators.merge import first_wins
 
 
 def ingest_new(spark: SparkSession, source: str, schema: str, table: str, key: str, order: str, checkpoint: str, files_per_batch: int = 50, then: Callable[[DataFrame], None] | None = None) -> None:
-    """Appends rows of new JSON files to the Parquet ``table`` unless their key is there; null keys are never there."""
+    """Adds rows of new JSON files to the Parquet ``table`` unless their key is there; null keys are never there. ``table`` is partitioned by ``batch``."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def merge(batch: DataFrame, number: int) -> None:
         fresh = first_wins(batch.where(F.col(key).isNotNull()), [key], order).unionByName(batch.where(F.col(key).isNull()))
         try:
-            there = batch.sparkSession.read.schema(batch.schema).parquet(table).select(key)
+            there = batch.sparkSession.read.schema(T.StructType([*batch.schema, T.StructField("batch", T.StringType())])).parquet(table).where(F.col("batch") != f"{name}-{number:09d}").select(key)
             fresh = fresh.join(there, key, "left_anti").select(*batch.columns)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        fresh.write.mode("append").parquet(table)
+        fresh.write.mode("overwrite").parquet(f"{table}/batch={name}-{number:09d}")
         if then:
             then(fresh)
 

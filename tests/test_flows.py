@@ -59,7 +59,7 @@ def test_review_documents(spark, tmp_path):
     plan = spark.createDataFrame([("g", "a", "p", 1, "keep"), ("g", "b", "q", 2, "drop"), ("h", "c", "r", 1, "keep")], "group_key string, path_id string, path string, size_bytes long, decision string")
     assert reviews.write_groups(dedup.review_groups(plan), path) == 1 and reviews.read_groups(path) == [("g", "a", "keep"), ("g", "b", "drop")]
     edited = spark.createDataFrame([("g", "a", "skip"), ("g", "b", "drop")], "group_key string, path_id string, decision string")
-    assert [r.group_key for r in dedup.skip_groups(plan, edited).collect()] == ["h"] and reviews.output_name("/x/y.jsonl") == "/x/y.review.yaml"
+    assert [r.group_key for r in dedup.skip_groups(plan, edited).collect()] == ["h"] and reviews.output_name("/x/y.jsonl") == "/x/y_review.yaml" and reviews.output_name("/x/llm_filename_extract_output_7.jsonl") == "/x/program_aliases_review_7.yaml"
     answers = dedup.broadcaster_answers(spark.createDataFrame([("NHK one", None), ("New", "bs_cs"), ("Odd", None)], "broadcaster string, bucket string"), {"terrestrial": ["nhk"], "bs_cs": ["BS"]})
     assert [(r.resolved_bucket, r.new_keyword, r.error) for r in answers.collect()] == [("terrestrial", None, None), ("bs_cs", "New", None), (None, None, "unknown_broadcaster_needs_bucket")]
 

@@ -1,14 +1,16 @@
 """Merges, decisions, plans, sources and the control plane: properties and edge cases beyond the queries."""
 
+import gzip
 import itertools
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tapewright.operators import catalog, dedup, extract, merge, reconcile, resolve, review
-from tapewright.plans import moves, workflow
+from tapewright.plans import moves, snapshots, workflow
 from tapewright.sources import files, guide, jsonl, rules
 from tapewright.streaming import ingest
 
@@ -39,8 +41,19 @@ def test_collision_merges_histories(spark):
 def test_publish_replaces(spark, tmp_path):
     folder = str(tmp_path / "t")
     for n in (3, 5):
-        merge.publish(spark.range(n), folder)
-        assert spark.read.parquet(folder).count() == n
+        snapshots.publish(spark.range(n), folder)
+        assert snapshots.read(spark, folder).count() == n
+    # A version that was written and not pointed at, as after a crash, is not read; backups name versions and outlive new ones.
+    spark.range(99).write.parquet(f"{folder}/version=lost")
+    assert snapshots.read(spark, folder).count() == 5
+    snapshots.backup(spark, folder, "20240102_030405", "pre_apply")
+    snapshots.publish(spark.range(7), folder)
+    snapshots.restore(spark, folder, "bak_20240102_030405_pre_apply", "20240102_030406")
+    assert snapshots.read(spark, folder).count() == 5
+    assert [(b["created_at"], b["descriptor"]) for b in snapshots.backups(spark, folder)] == [("20240102_030406", "pre_restore"), ("20240102_030405", "pre_apply")]
+    assert snapshots.rotate(spark, folder, 1) == ["bak_20240102_030405_pre_apply"] and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("version=")]) == 2
+    with pytest.raises(ValueError):
+        snapshots.restore(spark, folder, "bak_none", "20240102_030407")
 
 
 def test_reconstruct_undoes_split(spark):
@@ -184,6 +197,12 @@ def test_jsonl(spark, tmp_path):
     assert rows(jsonl.tolerant(spark, path, schema)) == [("a", 1), (None, 2)] and tuple(jsonl.counts(spark, path).first()) == (4, 3, 1)
     with pytest.raises(Exception, match="path_id|MALFORMED|PARSE|Malformed"):
         jsonl.queue(spark, path, schema).collect()
+    (tmp_path / "ok.jsonl").write_text('\ufeff{"_meta": {"x": 1}}\n\n{"path_id": "a", "n": 1}\n{"path_id": "b"}\n')
+    assert rows(jsonl.queue(spark, str(tmp_path / "ok.jsonl"), schema)) == [("a", 1), ("b", None)]
+    for n, text in enumerate(['{"path_id": "a"}\n{"_meta": {"x": 1}}\n', '\n{"_meta": {}}\n{"path_id": "a"}\n', '{"n": 1}\n']):
+        (tmp_path / f"bad{n}.jsonl").write_text(text)
+        with pytest.raises(Exception, match="queue row without path_id"):
+            jsonl.queue(spark, str(tmp_path / f"bad{n}.jsonl"), schema).collect()
     out = str(tmp_path / "out")
     jsonl.write(spark.createDataFrame([("a", 1)], schema), out, {"kind": "queue"})
     assert rows(jsonl.strict(spark, out, schema)) == [("a", 1)] and json.loads((tmp_path / "out" / "_meta.json").read_text()) == {"_meta": {"kind": "queue"}}
@@ -209,7 +228,11 @@ def test_ingest_is_incremental(spark, tmp_path):
     (tmp_path / "src" / "2.json").write_text('{"k": "a", "n": 3}\n{"k": "b", "n": 4}\n')
     run()
     run()
-    assert rows(spark.read.parquet(table)) == [("a", 1), ("b", 4), (None, 9)]
+    assert rows(spark.read.parquet(table).select("k", "n")) == [("a", 1), ("b", 4), (None, 9)]
+    (tmp_path / "state" / "commits" / "1").unlink()  # as if the second batch had written but not ended
+    (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert rows(spark.read.parquet(table).select("k", "n")) == [("a", 1), ("b", 4), (None, 9)]
 
 
 def test_workflow(tmp_path):
@@ -244,7 +267,77 @@ def test_workflow(tmp_path):
     assert not workflow.allowed("created", "applied") and workflow.allowed("review_required", "metadata_accepted")
 
 
+def test_scan_reports(spark, tmp_path):
+    """Folders that can't be listed, files that can't be read, missing roots; levels of folders."""
+    deep = tmp_path / "a" / "b" / "c"
+    deep.mkdir(parents=True)
+    (deep / "x.ts").write_bytes(b"123")
+    (tmp_path / "a" / "empty.TS").write_bytes(b"")
+    out = files.scan(spark, [str(tmp_path / "a"), str(tmp_path / "none"), str(deep / "x.ts")], [".ts"])
+    kinds = {(r.kind, r.path.replace(str(tmp_path), "")): (r.size, r.corrupt_reason, r.code) for r in out.collect()}
+    assert kinds[("file", "/a/b/c/x.ts")] == (3, None, None) and kinds[("file", "/a/empty.TS")] == (0, "size_zero", None)
+    assert kinds[("error", "/none")][2] == "root_missing" and kinds[("error", "/a/b/c/x.ts")][2] == "root_not_directory" and ("folder", "/a/b/c") in kinds
+    assert tuple(files.scan_summary(out).first()) == (2, 1, 2, 0, 2)
+
+
+def test_two_phase_without_hashes(spark):
+    """Rows without a hash or a key are in no group, and in no window."""
+    df = spark.createDataFrame([(1, None, "k", 1), (2, None, "k", 2), (3, "h", "k", 3), (4, "h", None, 4), (5, None, None, 5), (6, None, None, 6), (7, "i", "k", 7)], "id int, h string, k string, size int")
+    out = dedup.two_phase(df, "h", "k", [F.desc("size")], ["id"])
+    assert {r.id: (r.decision, r.method, r.auto_apply) for r in out.collect()} == {3: ("drop", "hash_exact", True), 4: ("keep", "hash_exact", False), 7: ("keep", "metadata", False), 1: ("drop", "metadata", False), 2: ("drop", "metadata", False)}
+    assert dedup.keep_best(df, ["h"], [F.desc("size")]).count() == 2
+
+
+def test_positional_diff_of_null_content(spark):
+    a = spark.createDataFrame([(0, None), (1, "x"), (2, None), (3, "y")], "i int, c string")
+    b = spark.createDataFrame([(0, None), (1, None), (2, "z")], "i int, c string")
+    assert {r.i: r.change for r in review.positional_diff(a, b, "i", F.col("c")).collect()} == {1: "changed", 2: "changed", 3: "added"}
+
+
+def test_json_keeps_nested_values(spark):
+    df = spark.createDataFrame([('{"a": {"b": [1, null]}, "t": "x", "n": 1.5}',), ("bad",), (None,)], "data_json string")
+    out = df.select(catalog.json_set(F.col("data_json"), {"k": F.lit(True)}, ["t"]).alias("s")).collect()
+    assert [json.loads(r.s) for r in out] == [{"a": {"b": [1, None]}, "n": 1.5, "k": True}, {"k": True}, {"k": True}]
+    assert json.loads(catalog.promote(df, ["t"]).first().data_json) == {"a": {"b": [1, None]}, "n": 1.5}
+
+
+def test_title_patterns_like_the_nested_loop(spark):
+    """Anchored and free patterns give what LIKE over all pairs gives."""
+    r = random.Random(9)
+    paths = [(i, "D:\\" + "".join(r.choice("aB_%x") for _ in range(r.randint(0, 6)))) for i in range(300)]
+    rules = sorted({("".join(r.choice(["d:\\", "a", "b", "%", "_", "~_", "~%", "x"]) for _ in range(r.randint(1, 4))), f"T{i}") for i in range(40)})
+    df = spark.createDataFrame([(i, p, "old", "llm", 0, 1) for i, p in paths], "path_id int, path string, program_title string, source string, human_reviewed int, needs_review int")
+    changes = spark.createDataFrame(rules, "path_pattern string, new_title string")
+    brute = df.join(changes, F.expr("path ilike path_pattern escape '~'")).groupBy("path_id").agg(F.min_by("new_title", F.struct("path_pattern", "new_title")).alias("t"))
+    want = {x.path_id: x.t for x in brute.collect()}
+    changes = changes.groupBy("path_pattern").agg(F.min("new_title").alias("new_title"))
+    got = {x.path_id: x.program_title for x in moves.title_updates(df, changes).collect()}
+    assert got == {i: want.get(i, "old") for i, _ in paths} and len(want) > 50
+
+
+def test_backup_names_and_follow_ups(tmp_path):
+    plan = tmp_path / "p"
+    plan.write_text("x")
+    run = workflow.Run("r", "relocate")
+    run.register("q", "relocate_metadata_queue", str(plan), "dry_run", "t")
+    run.phase = "review_required"
+    assert run.follow_ups()[0]["params"] == {"runId": "r", "artifactIds": ["q"]} and run.follow_ups()[0]["action"] == "prepare_relocate_metadata"
+    run.open_gate("g", "relocate_metadata_review", ["q"], "t")
+    assert run.follow_ups()[0]["action"] == "review_relocate_metadata" and run.follow_ups()[0]["requires_human"]
+    run.phase = "complete"
+    assert run.follow_ups() == []
+
+
 def test_rotation(tmp_path):
     for i in range(5):
         (tmp_path / f"db-{i}").mkdir()
     assert workflow.rotate(str(tmp_path), "db-", 2) == ["db-2", "db-1", "db-0"]
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for i, (name, day) in enumerate([("move_a_1", 1), ("move_a_2", 5), ("move_a_3", 5), ("move_b", 9), ("other", 50)]):
+        (logs / f"{name}.jsonl").write_text(f"{i}")
+        os.utime(logs / f"{name}.jsonl", (86_400 * day, 86_400 * day))
+    (logs / "x.txt").write_text("x")
+    out = workflow.archive_logs(str(logs), {"move_": 1, "move_a_": 2}, now=86_400 * 40, ttl_days=35)
+    assert out == {"kept": ["move_a_2.jsonl", "move_a_3.jsonl", "move_b.jsonl"], "packed": ["move_a_1.jsonl", "other.jsonl"], "deleted": ["move_a_1.jsonl.gz"]}
+    assert gzip.open(logs / "archive" / "other.jsonl.gz", "rt").read() == "4" and (logs / "x.txt").exists()
