@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_D = r"(\d{4})_(\d{2})_(\d{2})_(\d{2})_(\d{2})"
-_END = r"(?=\.[^.]+$)"
 #: Date forms at the end of file names, by precedence.
 FILE_DATES = [
-    _D + r"[-_]\(\d+\)" + _END,
-    _D + r"\(\d+\)" + _END,
-    _D + _END,
-    r"(\d{4}) (\d{2}) (\d{2}) (\d{2}) (\d{2})" + _END,
-    r"(\d{4}) (\d{2}) (\d{2}) (\d{2})[：:](\d{2})" + _END,
-    r"(\d{4})_(\d{2})_(\d{2})_(\d{4})" + _END,
-    r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})" + _END,
-    r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})" + _END,
-    r"(\d{4})-(\d{2})-(\d{2})-(\d{4})" + _END,
+    r"(\d{4})_(\d{2})_(\d{2})_(\d{2})_(\d{2})[-_]\(\d+\)(?=\.[^.]+$)",
+    r"(\d{4})_(\d{2})_(\d{2})_(\d{2})_(\d{2})\(\d+\)(?=\.[^.]+$)",
+    r"(\d{4})_(\d{2})_(\d{2})_(\d{2})_(\d{2})(?=\.[^.]+$)",
+    r"(\d{4}) (\d{2}) (\d{2}) (\d{2}) (\d{2})(?=\.[^.]+$)",
+    r"(\d{4}) (\d{2}) (\d{2}) (\d{2})[：:](\d{2})(?=\.[^.]+$)",
+    r"(\d{4})_(\d{2})_(\d{2})_(\d{4})(?=\.[^.]+$)",
+    r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(?=\.[^.]+$)",
+    r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(?=\.[^.]+$)",
+    r"(\d{4})-(\d{2})-(\d{2})-(\d{4})(?=\.[^.]+$)",
 ]
 #: Date and time anywhere in a file name, by precedence.
 FILE_TIMES = [
-    _D,
+    r"(\d{4})_(\d{2})_(\d{2})_(\d{2})_(\d{2})",
     r"(\d{4})-(\d{2})-(\d{2})-(\d{2})[：:](\d{2})",
     r"(\d{4}) (\d{2}) (\d{2}) (\d{2}) (\d{2})",
     r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})",
 ]
+#: A recording's time at the end of a stem, and the range of a guide's first line.
+RECORDED = r"(\d{4})[_\s](\d{2})[_\s](\d{2})[_\s](\d{2})[_\s](\d{2})(?:[_\s]\d{2})?(?:\.\w+)?$"
+GUIDE_RANGE = r"(\d{4})/(\d{2})/(\d{2})\([^)]*\)\s*(\d{1,2}):(\d{2})[～~](\d{1,2}):(\d{2})"
 
 
 def _date(c: Column, pattern: str) -> Column:
@@ -52,17 +53,15 @@ def file_title(name: Column) -> Column:
 
 def recording_time(stem: Column) -> Column:
     """``YYYY-MM-DD HH:MM`` that a stem ends with, null otherwise."""
-    p = r"(\d{4})[_\s](\d{2})[_\s](\d{2})[_\s](\d{2})[_\s](\d{2})(?:[_\s]\d{2})?(?:\.\w+)?$"
-    g = [F.regexp_extract(stem, p, i) for i in range(1, 6)]
-    return F.when(stem.rlike(p), F.concat(F.concat_ws("-", *g[:3]), F.lit(" "), F.concat_ws(":", *g[3:])))
+    g = [F.regexp_extract(stem, RECORDED, i) for i in range(1, 6)]
+    return F.when(stem.rlike(RECORDED), F.concat(F.concat_ws("-", *g[:3]), F.lit(" "), F.concat_ws(":", *g[3:])))
 
 
 def guide_range(line: Column) -> Column:
     """struct(air_date, start_time, end_time) of ``YYYY/MM/DD(x) H:MM~H:MM``, null if the line has none."""
-    p = r"(\d{4})/(\d{2})/(\d{2})\([^)]*\)\s*(\d{1,2}):(\d{2})[～~](\d{1,2}):(\d{2})"
-    g = [F.regexp_extract(line, p, i) for i in range(1, 8)]
+    g = [F.regexp_extract(line, GUIDE_RANGE, i) for i in range(1, 8)]
     time = lambda h, m: F.concat_ws(":", F.lpad(h, 2, "0"), m)
-    return F.when(line.rlike(p), F.struct(F.concat_ws("-", *g[:3]).alias("air_date"), time(g[3], g[4]).alias("start_time"), time(g[5], g[6]).alias("end_time")))
+    return F.when(line.rlike(GUIDE_RANGE), F.struct(F.concat_ws("-", *g[:3]).alias("air_date"), time(g[3], g[4]).alias("start_time"), time(g[5], g[6]).alias("end_time")))
 
 
 def is_iso_date(c: Column) -> Column:

@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.functions import dates as D
+
 SCHEMA = (
     "air_date string, start_time string, end_time string, broadcaster string, official_title string, title_raw string, annotations array<string>, is_rebroadcast_flag boolean, "
     "description string, epg_genres array<struct<category:string,subcategory:string>>, detail_sections map<string,string>, network_ids map<string,long>"
@@ -49,7 +51,7 @@ def _fold(text: str) -> dict | None:
     if len(lines) < 3:
         return None
     norm = [unicodedata.normalize("NFKC", x) for x in lines]
-    when = re.search(r"(\d{4})/(\d{2})/(\d{2})\([^)]*\)\s*(\d{1,2}):(\d{2})[～~](\d{1,2}):(\d{2})", norm[0])
+    when = re.search(D.GUIDE_RANGE, norm[0])
     if not when:
         return None
     y, m, d, h, mi, eh, em = when.groups()
