@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.operators.ranks import ranked
+from tapewright.sources.scratch import written
 
-__all__ = ["NULL_ID", "id_key", "join_hot", "materialize", "ranked", "read", "shared_dir", "text_batches", "without"]
+__all__ = ["NULL_ID", "id_key", "join_hot", "materialize", "ranked", "read", "text_batches", "without"]
 
 #: Where null ids stand: before all others.
 NULL_ID = -(2**63)
@@ -20,28 +18,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only on a local master without it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tapewright-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Writes ``df`` as Parquet under the shared folder and reads it back: lineage ends there and lost executors cost no recomputation.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tapewright/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet in the shared folder and read back: lineage ends there and lost executors cost no recomputation. The files go when the driver's JVM ends."""
+    return written(df, label)
 
 
 def text_batches(df: DataFrame, rows: int = 512) -> DataFrame:
