@@ -140,33 +140,47 @@ def count_pairs(rows: DataFrame, column: str, kind: str, size: int, of: np.ndarr
     return out.reshape(size, size)
 
 
-def assign_words(train: DataFrame, words: list[bytes], own: int, unit_class: np.ndarray, g: np.ndarray) -> DataFrame:
+def assign_words(train: DataFrame, words: list[bytes], often: np.ndarray, own: int, unit_class: np.ndarray, g: np.ndarray, heavy: int = 4096) -> DataFrame:
     """(word, n, class) for each word of ``train`` (ids, rare) beyond the first ``own``: the class likeliest by the classes before and after all its n places.
 
-    unit_class: present class of each unit; g: bigrams of classes.
+    unit_class: present class of each unit; g: bigrams of classes. The places of a frequent word of more than ``heavy`` occurrences are counted by class where they are read;
+    those of others travel as they are, two bytes each, so that what meets for one word stays small whatever the corpus: a word beyond the frequent ones is
+    at most one in so many of the tokens.
     """
     import pyarrow as pa
 
     classes = len(g)
-    shared = train.sparkSession.sparkContext.broadcast((words, unit_class))
+    many = np.append(False, often[: len(words)] > heavy)  # by unit
+    shared = train.sparkSession.sparkContext.broadcast((words, unit_class, many))
+    names = ["word", "near", "slot", "n"]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, of = shared.value
+        words, of, many = shared.value
         at: list[np.ndarray] = []  # (word's unit, class before, class after) of frequent words
         rare: dict[bytes, bytearray] = {}
 
+        def rows(word: list, near: list | None, slot: list | np.ndarray | None, n: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(word), 20_000):
+                part = slice(i, i + 20_000)
+                size = len(word[part])
+                column = lambda x, kind: pa.nulls(size, kind) if x is None else pa.array(x[part], kind)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(word[part], pa.binary()), column(near, pa.binary()), column(slot, pa.int32()), column(n, pa.int64())], names)
+
         def give() -> Iterator[pa.RecordBatch]:
-            names, near = list(rare), [bytes(x) for x in rare.values()]
+            which, near = list(rare), [bytes(x) for x in rare.values()]
             if at:
-                u = np.concatenate([x[0] for x in at])
-                order = np.argsort(u, kind="stable")
-                u, pairs = u[order], np.concatenate([x[1] for x in at])[order]
+                u, pairs = (np.concatenate([x[k] for x in at]) for k in (0, 1))
+                hot = many[u]
+                for k in (0, 1):
+                    code, n = np.unique(u[hot] * 2 * classes + k * classes + pairs[hot, k], return_counts=True)
+                    yield from rows([words[w - 1] for w in code // (2 * classes)], None, (code % (2 * classes)).astype(np.int32), n)
+                order = np.argsort(u[~hot], kind="stable")
+                u, pairs = u[~hot][order], pairs[~hot][order]
                 first = np.flatnonzero(np.diff(u, prepend=-1))
-                for i, j in zip(first, [*first[1:], len(u)], strict=True):
-                    names.append(words[u[i] - 1])
+                for i, j in zip(first, np.append(first, len(u))[1:], strict=True):
+                    which.append(words[u[i] - 1])
                     near.append(pairs[i:j].tobytes())
-            for i in range(0, len(names), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 20_000], pa.binary()), pa.array(near[i : i + 20_000], pa.binary())], ["word", "near"])
+            yield from rows(which, near, None, None)
             at.clear()
             rare.clear()
 
@@ -192,16 +206,28 @@ def assign_words(train: DataFrame, words: list[bytes], own: int, unit_class: np.
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [np.frombuffer(b"".join(x), np.uint8).reshape(-1, 2) for x in batch.column(1).to_pylist()]
-            n = np.array([len(x) for x in near], np.int64)
-            at, pairs = np.repeat(np.arange(len(n)), n) * classes, np.concatenate(near) if near else np.zeros((0, 2), np.uint8)
-            before, after = (np.bincount(at + pairs[:, k], minlength=len(n) * classes).reshape(len(n), classes) for k in (0, 1))
+            size = len(batch)
+            counted = np.zeros((size, 2 * classes))
+            near = [np.frombuffer(b"".join(x or []), np.uint8).reshape(-1, 2) for x in batch.column(1).to_pylist()]
+            k = np.array([len(x) for x in near], np.int64)
+            at, pairs = np.repeat(np.arange(size), k) * classes, np.concatenate(near) if near else np.zeros((0, 2), np.uint8)
+            for side in (0, 1):
+                counted[:, side * classes : (side + 1) * classes] = np.bincount(at + pairs[:, side], minlength=size * classes).reshape(size, classes)
+            for row, (slots, ns) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if slots:
+                    counted[row, slots] += ns
+            before, after = counted[:, :classes], counted[:, classes:]
+            n = before.sum(1)
             gain = before @ ahead + after @ ahead.T - n[:, None] * np.log(mass + n[:, None])
             gain[:, (mass == 0) | (np.arange(classes) == END)] = -np.inf
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(gain.argmax(1).astype(np.int32))], ["word", "n", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(gain.argmax(1).astype(np.int32))], ["word", "n", "class"])
 
-    near = train.select("ids", "rare").mapInArrow(contexts, "word binary, near binary").groupBy("word").agg(F.collect_list("near").alias("near"))
-    return near.mapInArrow(choose, "word binary, n long, class int")
+    found = materialize(train.select("ids", "rare").mapInArrow(contexts, "word binary, near binary, slot int, n long"), "contexts")
+    few = found.where("slot is null").groupBy("word").agg(F.collect_list("near").alias("near"))
+    hot = found.where("slot is not null").groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("s"))  # 2 x classes of them
+    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    both = few.select("word", "near", none("int").alias("slots"), none("long").alias("ns")).unionByName(hot.select("word", none("binary").alias("near"), F.col("s.slot").alias("slots"), F.col("s.n").alias("ns")))
+    return both.mapInArrow(choose, "word binary, n long, class int")
 
 
 def resolve(coded: DataFrame, words: int, counts: np.ndarray, unit_class: np.ndarray, vocabulary: DataFrame) -> DataFrame:
@@ -290,7 +316,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return of
 
 
-def _fit(docs: DataFrame, frequent: int, own: int, buckets: int, classes: int) -> tuple[ClassModel, DataFrame, DataFrame]:
+def _fit(docs: DataFrame, frequent: int, own: int, buckets: int, classes: int, heavy: int = 4096) -> tuple[ClassModel, DataFrame, DataFrame]:
     """The model, (word, n, class) of all training words, and ``docs`` as ``resolve`` gives them."""
     if classes > 256:
         raise ValueError("a class is a byte")
@@ -308,7 +334,7 @@ def _fit(docs: DataFrame, frequent: int, own: int, buckets: int, classes: int) -
     of = exchange(bigrams, classes)
     member = np.eye(classes)[of]
     unit_class = of[to_core]
-    vocabulary = assign_words(seen, words, core.own, unit_class, member.T @ bigrams @ member)
+    vocabulary = assign_words(seen, words, often, core.own, unit_class, member.T @ bigrams @ member, heavy)
     first = [(bytearray(w), int(n), int(of[i + 1])) for i, (w, n) in enumerate(zip(words[:own], often, strict=False))]
     vocabulary = materialize(vocabulary.unionByName(spark.createDataFrame(first, "word binary, n long, class int")), "vocabulary")
     unit_class = unit_class.copy()
@@ -352,9 +378,9 @@ def _judge(resolved: DataFrame, model: ClassModel) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, *, frequent: int = 131_072, own: int = 1024, buckets: int = 256, classes: int = 64) -> tuple[ClassModel, DataFrame]:
+def fit(docs: DataFrame, *, frequent: int = 131_072, own: int = 1024, buckets: int = 256, classes: int = 64, heavy: int = 4096) -> tuple[ClassModel, DataFrame]:
     """The model of the documents that aren't held out, and (word, n, class) of all their words."""
-    return _fit(docs, frequent, own, buckets, classes)[:2]
+    return _fit(docs, frequent, own, buckets, classes, heavy)[:2]
 
 
 def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:

@@ -361,6 +361,10 @@ def test_class_lm_words_beyond_the_core(spark):
     model, words = class_lm.fit(docs, **kw)
     of = {bytes(x.word).decode(): x["class"] for x in words.collect()}
     assert len(of) == 88 and not {c for w, c in of.items() if w[0] == "x"} & {c for w, c in of.items() if w[0] == "y"}
+    # Places counted where they are read, or sent as they are: the same classes. (Frequent words are those of 20 places and more here.)
+    counted = {bytes(x.word).decode(): (x.n, x["class"]) for x in class_lm.fit(docs, heavy=2, **kw | {"frequent": 60})[1].collect()}
+    sent = {bytes(x.word).decode(): (x.n, x["class"]) for x in class_lm.fit(docs, heavy=10**9, **kw | {"frequent": 60})[1].collect()}
+    assert counted == sent and {w: c for w, (_, c) in sent.items()} == of
     out = {x.doc_id: x.score for x in class_lm.fit_score(docs, **kw).collect()}
     again = {x.doc_id: x.score for x in class_lm.score(docs, model, words).collect()}
     count = {bytes(x.word).decode(): x.n for x in words.collect()}
