@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Characters that names can't hold, and what counts as space.
 FORBIDDEN = r'[<>:"/\\|?*]'
 SPACES = r"(?U)[\s\u3000]+"
 #: Marks that separate a programme's title from its subtitle.
 SEPARATORS = "[▽▼◇「]"
+#: An episode's number, a number at the end, a quoted subtitle, and words and a mark that label a programme.
+EPISODE, FINAL_NUMBER = r"(?U)第\s*(\d+)\s*話", r"(?U)\((\d+)\)\s*$"
+QUOTED, LABELS, LABEL_MARK = "「([^」]{1,120})」", "名作選|傑作選", "選"
 
 
 def strip(c: Column) -> Column:
@@ -171,16 +175,16 @@ def genre_matches(genre: Column, pattern: Column) -> Column:
 
 def episode_number(c: Column) -> Column:
     """``第N話``, else a final ``(N)``."""
-    a, b = F.regexp_extract(c, r"(?U)第\s*(\d+)\s*話", 1), F.regexp_extract(c, r"(?U)\((\d+)\)\s*$", 1)
+    a, b = F.regexp_extract(c, EPISODE, 1), F.regexp_extract(c, FINAL_NUMBER, 1)
     return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))).try_cast("int")
 
 
 def quoted_subtitle(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, "「([^」]{1,120})」", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, QUOTED, 1), F.lit(""))
 
 
 def drop_labels(c: Column) -> Column:
-    return F.regexp_replace(F.replace(F.regexp_replace(c, "名作選|傑作選", ""), F.lit("選"), F.lit("")), "^[ _-]+|[ _-]+$", "")
+    return F.regexp_replace(F.replace(F.regexp_replace(c, LABELS, ""), F.lit(LABEL_MARK), F.lit("")), "^[ _-]+|[ _-]+$", "")
 
 
 #: Forms of a file's base name, by precedence, and the titles that two of them stand for; label words; lengths.
