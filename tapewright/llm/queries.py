@@ -122,6 +122,19 @@ deduplicated as (select lines.doc_id, len(l) as n_lines, coalesce(len(js), 0) as
   from lines left join marks using (doc_id))
 """
 
+#: All pairs that share a shingle, by exact multiset overlap, and what they connect.
+OP5_SQL = r"""
+with recursive t as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end as s from t),
+n as (select doc_id, len(s) as n from s),
+c as (select doc_id, x, count(*) as c from (select doc_id, unnest(s) as x from s) group by all),
+p as (select a.doc_id as a, b.doc_id as b, sum(least(a.c, b.c)) as m from c a join c b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where cast(m as double) / (x.n + y.n - m) >= 0.8 union all select x.doc_id, y.doc_id from n x join n y on x.n = 0 and y.n = 0 and x.doc_id < y.doc_id),
+edges as (select a, b from links union select b, a from links),
+reach(a, b) as (select doc_id, doc_id from n union select r.a, e.b from reach r join edges e on e.a = r.b)
+select doc_id, min(b) as class_id, any_value(n) as n_shingles, doc_id = min(b) as is_first from reach join n on doc_id = a group by doc_id
+"""
+
 #: {tasks}: common table expressions up to tasks (source, task, w); {ranked}: documents with task, w and block.
 MIX_SQL = """
 with recursive {tasks},
@@ -179,6 +192,7 @@ select * from r where rank <= 20
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_quotes": OP1_SQL,
     "op2_line_dedup": f"with {LINES_SQL.format(docs='documents')} select doc_id, text, n_lines, cast(n_removed as bigint) as n_removed from deduplicated",
+    "op5_near_dedup": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "mixing_to_targets": TARGETS_SQL,
     "op7_url_filter": OP7_SQL,

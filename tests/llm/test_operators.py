@@ -122,7 +122,8 @@ def test_packing_tokens(spark, docs):
     path = public.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     extra = spark.createDataFrame([(1000, "I'm don't a.b,c Ünïcode ΣΊΣ İx e\u0301 <|endoftext|>x 12.5, ﬁ ½ \x1c a\x1cb \u00a0y\u0085z", "", "", 0)], DOCS)
-    out = packing.pack_documents(docs.union(extra), path, with_ids=True).collect()
+    clash = docs.union(extra).selectExpr("*", "1 as sequence_id", "2 as _p", "3 as length", "'x' as ids")
+    out = packing.pack_documents(clash, path, with_ids=True).collect()
     want = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t, *_ in [*corpus(), (1000, extra.first().text)]}
     got = defaultdict(dict)
     for r in out:
@@ -175,17 +176,14 @@ def test_near_duplicates(spark, docs):
     assert {r.doc_id for r in out if r.is_first} == set(brute_classes(rows).values())
     kept = near_dedup.drop_near_duplicates(docs.unionAll(docs)).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(brute_classes(rows).values())) and sum(r.doc_id is None for r in kept) == 1
-    assert near_dedup.near_duplicate_classes(empty(spark)).count() == 0 and near_dedup.drop_near_duplicates(empty(spark)).columns == docs.columns
-    # One id with several texts: each is a document; one of them is a near copy of another id's text, and one comes twice.
-    base = prose(100, random.Random(40))
-    several = [(1, base, "x"), (1, prose(100, random.Random(41)), "x"), (1, prose(90, random.Random(42)), "x"), (2, base + " more", "x"), (2, "quite another text", "x"), (1, base, "x")]
+    assert near_dedup.drop_near_duplicates(empty(spark)).columns == docs.columns and near_dedup.near_duplicate_classes(empty(spark)).count() == 0
+    # One id with several texts: each is a document; one of them is a near copy of another id's text, and one comes twice. Rows without an id are told apart by their texts.
+    base, some, other = (prose(n, random.Random(n)) for n in (100, 101, 90))
+    several = [(1, base, "x"), (1, some, "x"), (1, other, "x"), (2, base + " more", "x"), (2, "quite another text", "x"), (1, base, "x"), (None, "one text here", "x"), (None, "another text there", "x"), (None, "one text here", "x"), (7, "another text there", "x")]
     clash = spark.createDataFrame(several, "doc_id long, text string, class_id string").selectExpr("*", "1 as _k", "2 as node", "3 as n")
     left = near_dedup.drop_near_duplicates(clash)
     assert left.columns == ["doc_id", "text", "class_id", "node", "n"] and sorted(r.text for r in left.collect()) == sorted({t for i, t, _ in several if t != base + " more"})
-    assert sorted((r.doc_id, r.class_id, r.is_first) for r in near_dedup.near_duplicate_classes(clash).collect()) == [(1, 1, True)] * 4 + [(2, 1, False), (2, 2, True)]
-    lost = spark.createDataFrame([(None, "one text here"), (None, "another text there"), (None, "one text here"), (7, "another text there")], "doc_id long, text string")
-    assert sorted(r.text for r in near_dedup.drop_near_duplicates(lost).collect()) == ["another text there", "one text here"]
-    assert sorted((r.doc_id or 0, r.class_id, r.is_first) for r in near_dedup.near_duplicate_classes(lost).collect()) == [(0, None, True)] * 3 + [(7, None, False)]
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.is_first) for r in near_dedup.near_duplicate_classes(clash).collect()) == [(0, 0, True)] * 3 + [(1, 1, True)] * 4 + [(2, 1, False), (2, 2, True), (7, 0, False)]
 
 
 def test_bag_minhash_is_unbiased():
@@ -323,7 +321,8 @@ def test_cascade_is_exact():
 
 
 def test_class_lm(spark, docs):
-    out = {r.doc_id: r for r in class_lm.score(docs, *class_lm.fit(docs, frequent=50, own=20, buckets=8, classes=6)).collect()}
+    clash = docs.selectExpr("*", "1 as ids", "2 as held_out", "3 as row", "'x' as word", "4 as score")
+    out = {r.doc_id: r for r in class_lm.score(clash, *class_lm.fit(clash, frequent=50, own=20, buckets=8, classes=6)).collect()}
     count, words = Counter(), {}
     for i, t, *_ in corpus():
         words[i] = [*(t or "").encode().lower().split(), None]
@@ -362,8 +361,8 @@ def test_class_lm_words_beyond_the_core(spark):
     of = {bytes(x.word).decode(): x["class"] for x in words.collect()}
     assert len(of) == 88 and not {c for w, c in of.items() if w[0] == "x"} & {c for w, c in of.items() if w[0] == "y"}
     # Places counted where they are read, or sent as they are: the same classes. (Frequent words are those of 20 places and more here.)
-    counted = {bytes(x.word).decode(): (x.n, x["class"]) for x in class_lm.fit(docs, heavy=2, **kw | {"frequent": 60})[1].collect()}
-    sent = {bytes(x.word).decode(): (x.n, x["class"]) for x in class_lm.fit(docs, heavy=10**9, **kw | {"frequent": 60})[1].collect()}
+    counted = {bytes(x.word).decode(): (x.n, x["class"]) for x in class_lm.fit(docs, most=2, **kw | {"frequent": 60})[1].collect()}
+    sent = {bytes(x.word).decode(): (x.n, x["class"]) for x in class_lm.fit(docs, most=10**9, **kw | {"frequent": 60})[1].collect()}
     assert counted == sent and {w: c for w, (_, c) in sent.items()} == of
     out = {x.doc_id: x.score for x in class_lm.fit_score(docs, **kw).collect()}
     again = {x.doc_id: x.score for x in class_lm.score(docs, model, words).collect()}
