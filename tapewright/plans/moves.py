@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -164,6 +165,61 @@ def move_errors(src: Column, dst: Column, src_exists: Column, dst_exists: Column
     )
 
 
+def apply_moves(plan: DataFrame, move: Callable[[str, str], None], exists: Callable[[str], bool], rename: bool = False) -> DataFrame:
+    """Log (path_id, src, dst, ok, error) of a plan's moves (path_id, src, dst, each destination once), made by the tasks and written once.
+
+    move, exists: what moves a file and tells whether one is there; handed in, as they know the machine. A move is made if ``move_errors`` has nothing against it; what
+    ``move`` raises becomes its error. With ``rename`` a file whose destination is taken goes to the first free ``__dupN`` beside it.
+    """
+    import pandas as pd
+
+    from tapewright.sources.scratch import written
+
+    schema = "path_id string, src string, dst string"
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            there = {c: [bool(p) and exists(p) for p in part[c]] for c in ("src", "dst")}
+            yield part.assign(src_exists=there["src"], dst_exists=there["dst"])
+
+    def act(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for key, src, dst, error in part.itertuples(index=False):
+                if error == "rename_suffix":
+                    stem, dot, ext = dst.rpartition(".")
+                    stem, ext = (stem, dot + ext) if stem and "\\" not in ext else (dst, "")
+                    n = 1
+                    while exists(f"{stem}__dup{n}{ext}"):
+                        n += 1
+                    dst, error = f"{stem}__dup{n}{ext}", None
+                if error is None:
+                    try:
+                        move(src, dst)
+                    except Exception as e:  # the log says so; other moves go on
+                        error = str(e)
+                out.append((key, src, dst, error is None, error))
+            yield pd.DataFrame(out, columns=["path_id", "src", "dst", "ok", "error"])
+
+    seen = plan.select(*[F.col(c).cast("string").alias(c) for c in ("path_id", "src", "dst")]).mapInPandas(look, f"{schema}, src_exists boolean, dst_exists boolean")
+    checked = seen.select("path_id", "src", "dst", move_errors(F.col("src"), F.col("dst"), F.col("src_exists"), F.col("dst_exists"), rename).alias("error"))
+    return written(checked.mapInPandas(act, f"{schema}, ok boolean, error string"), "moves")
+
+
+def apply_renames(renames: DataFrame, rename: Callable[[str, str], None]) -> list[tuple[str, str, str | None]]:
+    """(src, dst, error) of folder renames (src, dst, depth) made one after the other, parents first, each by way of a name of its own, as many
+    file systems take names that differ in case for one. Folders are few; they come a partition at a time."""
+    done = []
+    for r in renames.orderBy("depth", F.lower("src"), "src").toLocalIterator():
+        try:
+            rename(r.src, f"{r.src}__case")
+            rename(f"{r.src}__case", r.dst)
+            done.append((r.src, r.dst, None))
+        except Exception as e:
+            done.append((r.src, r.dst, str(e)))
+    return done
+
+
 def apply_stats(log: DataFrame, order: str, most: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(totals, errors by class, first failures in order) of applied moves (ok, error)."""
     failed = log.where(~F.col("ok"))

@@ -236,6 +236,43 @@ def planned_moves(t: Tables) -> DataFrame:
     return moves.move_plan(moves.plan_rows(listing, md), routes).select(F.col("path_id").cast("long").alias("id"), "skip_reason", "dst")
 
 
+@query(r"""
+select n_name, case n_nationkey % 7 when 6 then concat('D:\taken', n_name, '__dup2.ts') when 5 then '' when 3 then concat('D:\x\E:\', n_name) else concat(case n_nationkey % 7 when 2 then 'D:\taken' when 4 then 'D:\full' else 'D:\out\' end, n_name, '.ts') end as dst,
+  case n_nationkey % 7 when 1 then 'src_not_found' when 3 then 'invalid_path_embedded_drive' when 4 then 'mkdir_failed: no room' when 5 then 'missing_src_or_dst' when 2 then case when n_nationkey < 14 then 'dst_exists' end end as error
+from nation where n_nationkey % 7 <> 2 or n_nationkey < 14
+""")
+def applied_moves(t: Tables) -> DataFrame:
+    """Moves made by a mover that is handed in: missing sources, taken destinations with and without a suffix, refused paths, and one that fails."""
+    n = F.col("n_nationkey") % 7
+    root = F.when(n.isin(2, 6), "D:\\taken").when(n == 4, "D:\\full").otherwise("D:\\out\\")
+    dst = F.when(n == 3, F.concat(F.lit("D:\\x\\E:\\"), "n_name")).when(n == 5, "").otherwise(F.concat(root, "n_name", F.lit(".ts")))
+    plan = t.nation.where("n_nationkey % 7 <> 2 or n_nationkey < 14").select(F.col("n_name").alias("path_id"), F.concat(F.when(n == 1, "D:\\none\\").otherwise("D:\\in\\"), "n_name").alias("src"), dst.alias("dst"), n.alias("n"))
+
+    def exists(path: str) -> bool:
+        return path.startswith("D:\\in") or (path.startswith("D:\\taken") and "__dup2" not in path)
+
+    def move(src: str, dst: str) -> None:
+        if dst.startswith("D:\\full"):
+            raise OSError("mkdir_failed: no room")
+
+    log = moves.apply_moves(plan.where("n <> 6"), move, exists).unionByName(moves.apply_moves(plan.where("n = 6"), move, exists, rename=True))
+    return log.select(F.col("path_id").alias("n_name"), "dst", "error")
+
+
+@query(r"""
+with p as (select distinct lower(p_brand) as b, p_brand as w from part) select concat('D:\', b) as src, concat('D:\', w) as dst, case when w = 'Brand#11' then 'busy' end as error from p where b <> w
+""")
+def applied_renames(t: Tables) -> DataFrame:
+    tail = F.concat(F.lit("\\"), F.col("p_partkey").cast("string"))
+    rows = t.part.select(F.concat(F.lit("D:\\"), F.lower("p_brand"), tail).alias("now"), F.concat(F.lit("D:\\"), "p_brand", tail).alias("wanted"))
+
+    def rename(src: str, dst: str) -> None:
+        if dst == "D:\\Brand#11":
+            raise OSError("busy")
+
+    return t.spark.createDataFrame(moves.apply_renames(reconcile.case_renames(rows, "now", "wanted"), rename), "src string, dst string, error string")
+
+
 @query("""
 with l as (select n_name as path, n_name as name, length(n_name) as size from nation order by n_name limit 10)
 select path, case when n_nationkey % 2 = 0 then 'existing' else 'new' end as status from l join nation on n_name = path
