@@ -140,49 +140,60 @@ def count_pairs(rows: DataFrame, column: str, kind: str, size: int, of: np.ndarr
     return out.reshape(size, size)
 
 
-def assign_words(train: DataFrame, words: list[bytes], often: np.ndarray, own: int, unit_class: np.ndarray, g: np.ndarray, heavy: int = 4096) -> DataFrame:
+def assign_words(train: DataFrame, words: list[bytes], distinct: int, own: int, unit_class: np.ndarray, g: np.ndarray, bucket_words: int = 5_000, most: int | None = None) -> DataFrame:
     """(word, n, class) for each word of ``train`` (ids, rare) beyond the first ``own``: the class likeliest by the classes before and after all its n places.
 
-    unit_class: present class of each unit; g: bigrams of classes. The places of a frequent word of more than ``heavy`` occurrences are counted by class where they are read;
-    those of others travel as they are, two bytes each, so that what meets for one word stays small whatever the corpus: a word beyond the frequent ones is
-    at most one in so many of the tokens.
+    unit_class: present class of each unit; g: bigrams of classes; distinct: number of words, which gives the number of buckets (of about ``bucket_words`` each).
+    A task hands on, now and then, a row for each bucket: its words and the classes beside each of their places, two bytes a place, or how often each
+    class stands there for words of more than ``most`` places (where that is shorter). Buckets are merged row by row, so no word's places are held together.
     """
     import pyarrow as pa
 
-    classes = len(g)
-    many = np.append(False, often[: len(words)] > heavy)  # by unit
-    shared = train.sparkSession.sparkContext.broadcast((words, unit_class, many))
-    names = ["word", "near", "slot", "n"]
+    classes, buckets = len(g), max(16, distinct // bucket_words)
+    most = 4 * classes if most is None else most
+    shared = train.sparkSession.sparkContext.broadcast((words, unit_class))
+    names = ["bucket", "counted", "words", "sizes", "near"]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, of, many = shared.value
-        at: list[np.ndarray] = []  # (word's unit, class before, class after) of frequent words
+        words, of = shared.value
+        in_bucket = lambda some: np.fromiter(map(zlib.crc32, some), np.uint32, len(some)).astype(np.int64) % buckets
+        bucket_of = np.append(0, in_bucket(words))  # by unit
+        at: list[tuple] = []  # (word's unit, class before, class after) of frequent words
         rare: dict[bytes, bytearray] = {}
 
-        def rows(word: list, near: list | None, slot: list | np.ndarray | None, n: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(word), 20_000):
-                part = slice(i, i + 20_000)
-                size = len(word[part])
-                column = lambda x, kind: pa.nulls(size, kind) if x is None else pa.array(x[part], kind)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(word[part], pa.binary()), column(near, pa.binary()), column(slot, pa.int32()), column(n, pa.int64())], names)
+        def rows(some: list, bucket: np.ndarray, sizes: np.ndarray | None, near: bytes, width: np.ndarray) -> Iterator[tuple]:
+            """For each bucket one; all in the order of buckets, ``width`` bytes of ``near`` for each word."""
+            edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            byte = np.append(0, np.cumsum(width))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                yield int(bucket[a]), sizes is None, b"\n".join(some[a:b]), b"" if sizes is None else sizes[a:b].astype("<u4").tobytes(), near[byte[a] : byte[b]]
 
         def give() -> Iterator[pa.RecordBatch]:
-            which, near = list(rare), [bytes(x) for x in rare.values()]
+            out: list[tuple] = []
             if at:
                 u, pairs = (np.concatenate([x[k] for x in at]) for k in (0, 1))
-                hot = many[u]
-                for k in (0, 1):
-                    code, n = np.unique(u[hot] * 2 * classes + k * classes + pairs[hot, k], return_counts=True)
-                    yield from rows([words[w - 1] for w in code // (2 * classes)], None, (code % (2 * classes)).astype(np.int32), n)
-                order = np.argsort(u[~hot], kind="stable")
-                u, pairs = u[~hot][order], pairs[~hot][order]
+                order = np.argsort(bucket_of[u] << 32 | u, kind="stable")
+                u, pairs = u[order], pairs[order]
                 first = np.flatnonzero(np.diff(u, prepend=-1))
-                for i, j in zip(first, np.append(first, len(u))[1:], strict=True):
-                    which.append(words[u[i] - 1])
-                    near.append(pairs[i:j].tobytes())
-            yield from rows(which, near, None, None)
+                n = np.diff(np.append(first, len(u)))
+                dense = n > most
+                few, many = np.repeat(~dense, n), np.flatnonzero(dense)
+                w = u[first]
+                out += rows([words[x - 1] for x in w[~dense]], bucket_of[w[~dense]], n[~dense], pairs[few].tobytes(), 2 * n[~dense])
+                table = np.stack([np.bincount(np.concatenate([pairs[f : f + k, 0], pairs[f : f + k, 1].astype(np.int64) + classes]), minlength=2 * classes) for f, k in zip(first[many], n[many], strict=True)]) if len(many) else np.zeros((0, 2 * classes))
+                out += rows([words[x - 1] for x in w[many]], bucket_of[w[many]], None, table.astype("<u4").tobytes(), np.full(len(many), 8 * classes))
+            if rare:
+                some = list(rare)
+                bucket = in_bucket(some)
+                order = np.argsort(bucket, kind="stable").tolist()
+                some = [some[x] for x in order]
+                n = np.fromiter((len(rare[x]) // 2 for x in some), np.int64, len(some))
+                out += rows(some, bucket[order], n, b"".join([rare[x] for x in some]), 2 * n)
             at.clear()
             rare.clear()
+            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+            for i in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 256], strict=True), kinds, strict=True)], names)
 
         held = 0
         for batch in batches:
@@ -205,29 +216,37 @@ def assign_words(train: DataFrame, words: list[bytes], often: np.ndarray, own: i
     mass = g.sum(0)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, index, counted = -1, {}, np.zeros((1024, 2 * classes))
+
+        def chosen() -> Iterator[pa.RecordBatch]:
+            some = list(index)
+            for i in range(0, len(some), 20_000):
+                before, after = (counted[i : min(i + 20_000, len(some)), k * classes : (k + 1) * classes] for k in (0, 1))
+                n = before.sum(1)
+                gain = before @ ahead + after @ ahead.T - n[:, None] * np.log(mass + n[:, None])
+                gain[:, (mass == 0) | (np.arange(classes) == END)] = -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 20_000], pa.binary()), pa.array(n.astype(np.int64)), pa.array(gain.argmax(1).astype(np.int32))], ["word", "n", "class"])
+
         for batch in batches:
-            size = len(batch)
-            counted = np.zeros((size, 2 * classes))
-            near = [np.frombuffer(b"".join(x or []), np.uint8).reshape(-1, 2) for x in batch.column(1).to_pylist()]
-            k = np.array([len(x) for x in near], np.int64)
-            at, pairs = np.repeat(np.arange(size), k) * classes, np.concatenate(near) if near else np.zeros((0, 2), np.uint8)
-            for side in (0, 1):
-                counted[:, side * classes : (side + 1) * classes] = np.bincount(at + pairs[:, side], minlength=size * classes).reshape(size, classes)
-            for row, (slots, ns) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if slots:
-                    counted[row, slots] += ns
-            before, after = counted[:, :classes], counted[:, classes:]
-            n = before.sum(1)
-            gain = before @ ahead + after @ ahead.T - n[:, None] * np.log(mass + n[:, None])
-            gain[:, (mass == 0) | (np.arange(classes) == END)] = -np.inf
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(gain.argmax(1).astype(np.int32))], ["word", "n", "class"])
-
-    found = materialize(train.select("ids", "rare").mapInArrow(contexts, "word binary, near binary, slot int, n long"), "contexts")
-    few = found.where("slot is null").groupBy("word").agg(F.collect_list("near").alias("near"))
-    hot = found.where("slot is not null").groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("s"))  # 2 x classes of them
-    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
-    both = few.select("word", "near", none("int").alias("slots"), none("long").alias("ns")).unionByName(hot.select("word", none("binary").alias("near"), F.col("s.slot").alias("slots"), F.col("s.n").alias("ns")))
-    return both.mapInArrow(choose, "word binary, n long, class int")
+            for here, dense, some, sizes, near in (tuple(x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):
+                if here != bucket:
+                    yield from chosen()
+                    bucket, index = here, {}
+                    counted[:] = 0
+                some = some.split(b"\n")
+                at = np.fromiter((index.setdefault(w, len(index)) for w in some), np.int64, len(some))
+                if len(index) > len(counted):
+                    counted = np.concatenate([counted, np.zeros((max(len(index) - len(counted), len(counted)), 2 * classes))])
+                if dense:
+                    counted[at] += np.frombuffer(near, "<u4").reshape(len(some), -1)
+                else:
+                    pairs, at = np.frombuffer(near, np.uint8).reshape(-1, 2), np.repeat(at, np.frombuffer(sizes, "<u4")) * (2 * classes)
+                    for k in (0, 1):
+                        np.add.at(counted.reshape(-1), at + pairs[:, k] + k * classes, 1)
+        yield from chosen()
+
+    found = train.select("ids", "rare").mapInArrow(contexts, "bucket int, counted boolean, words binary, sizes binary, near binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(choose, "word binary, n long, class int")
 
 
 def resolve(coded: DataFrame, words: int, counts: np.ndarray, unit_class: np.ndarray, vocabulary: DataFrame) -> DataFrame:
@@ -316,7 +335,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return of
 
 
-def _fit(docs: DataFrame, frequent: int, own: int, buckets: int, classes: int, heavy: int = 4096) -> tuple[ClassModel, DataFrame, DataFrame]:
+def _fit(docs: DataFrame, frequent: int, own: int, buckets: int, classes: int, most: int | None = None) -> tuple[ClassModel, DataFrame, DataFrame]:
     """The model, (word, n, class) of all training words, and ``docs`` as ``resolve`` gives them."""
     if classes > 256:
         raise ValueError("a class is a byte")
@@ -334,7 +353,7 @@ def _fit(docs: DataFrame, frequent: int, own: int, buckets: int, classes: int, h
     of = exchange(bigrams, classes)
     member = np.eye(classes)[of]
     unit_class = of[to_core]
-    vocabulary = assign_words(seen, words, often, core.own, unit_class, member.T @ bigrams @ member, heavy)
+    vocabulary = assign_words(seen, words, int(total.v), core.own, unit_class, member.T @ bigrams @ member, most=most)
     first = [(bytearray(w), int(n), int(of[i + 1])) for i, (w, n) in enumerate(zip(words[:own], often, strict=False))]
     vocabulary = materialize(vocabulary.unionByName(spark.createDataFrame(first, "word binary, n long, class int")), "vocabulary")
     unit_class = unit_class.copy()
@@ -378,9 +397,9 @@ def _judge(resolved: DataFrame, model: ClassModel) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, *, frequent: int = 131_072, own: int = 1024, buckets: int = 256, classes: int = 64, heavy: int = 4096) -> tuple[ClassModel, DataFrame]:
+def fit(docs: DataFrame, *, frequent: int = 131_072, own: int = 1024, buckets: int = 256, classes: int = 64, most: int | None = None) -> tuple[ClassModel, DataFrame]:
     """The model of the documents that aren't held out, and (word, n, class) of all their words."""
-    return _fit(docs, frequent, own, buckets, classes, heavy)[:2]
+    return _fit(docs, frequent, own, buckets, classes, most)[:2]
 
 
 def score(docs: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
