@@ -1,11 +1,11 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
-Paragraphs (lines) are cut at content-defined places into pieces of about three words, as many texts here have one paragraph or few, and an edit
-then changes the pieces around it alone. Each piece's digest, with its number among equal pieces, is an item. A sketch of m cells adds an item to
+Paragraphs (lines) are hashed whole, and again in pieces of a few words, cut at content-defined places: many texts have one paragraph or few, and an edit
+changes the pieces around it alone. Each digest, with its number among equal ones, is an item. A sketch of m cells adds an item to
 three cells: a count, the xor of keys and the xor of checksums. Subtracting two sketches cancels common items; peeling cells
 that hold one item recovers the digests on either side only. If peeling fails, both texts are sketched anew with ``GROWTH`` times the cells.
 Likeness is the Jaccard similarity of the two item sets, from their sizes and the recovered difference. The rule is one for texts of any size;
-a text of one to three words is often a single piece, which any edit changes, so that its likeness to an edited copy is 0.
+a text of one to four words is often a single piece, which any edit changes, so that its likeness to an edited copy is 0.
 
 Defined cases: a null text is an empty one, with no items; two texts without items are alike (1), one without and one with are not (0).
 Equal texts have equal sketches. The sketch of ``BASE`` cells, with the item count, is the fingerprint string (base64); ``decode`` reads it back.
@@ -30,56 +30,57 @@ from tapewright.llm.common import id_key, text_batches
 #: Cells of the first sketch, each part of which takes one third; retries multiply by GROWTH.
 BASE, GROWTH, PARTS = 24, 16, 3
 #: A piece ends after a word whose hash is 0 modulo PIECE_WORDS, and after MOST_WORDS words.
-PIECE_WORDS, MOST_WORDS = 3, 8
+PIECE_WORDS, MOST_WORDS = 2, 6
 _U = np.uint64
 
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hash = _WordHash()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
+#: Which bytes are white space, and a random number for each byte at each place (modulo 64) of a word.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+with np.errstate(over="ignore"):
+    _BYTES = _mix(np.arange(1, 64 * 256 + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+
+
 def items_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, owners): for each text, by its number, the distinct 64-bit keys of its pieces, ascending within a text.
+    """(keys, owners): for each text, by its number, the distinct 64-bit keys of its paragraphs and their pieces, ascending within a text.
 
-    White space at a line's ends and between words doesn't count, nor do blank lines.
+    Words end at ASCII white space. White space at a line's ends and between words doesn't count, nor do blank lines.
     """
-    words: list[str] = []
-    ends, sizes = [], []
-    for text in texts:
-        before = len(words)
-        for line in text.split("\n"):
-            words += line.split()
-            ends.append(len(words))
-        sizes.append(len(words) - before)
-    n = len(words)
+    coded = [t.encode() for t in texts]
+    data = np.frombuffer(b"\n".join([*coded, b""]), np.uint8)
+    space = _SPACE[data] if len(data) else np.zeros(0, bool)
+    start = np.flatnonzero(~space & np.append(True, space[:-1]))  # of words; each ends before a space, as each text does
+    n = len(start)
     if not n:
         return np.zeros(0, _U), np.zeros(0, np.int64)
+    end = np.flatnonzero(space & np.append(False, ~space[:-1]))
     with np.errstate(over="ignore"):
-        h = np.fromiter(map(_hash.__getitem__, words), _U, n)
+        at = np.flatnonzero(~space)
+        place = at - np.repeat(start, end - start)
+        h = _BYTES[(place & 63) << 8 | data[at]]
+        if (end - start).max() > 64:
+            h = h * ((place >> 6).astype(_U) * _U(2) + _U(1))
+        first = np.cumsum(end - start) - (end - start)
+        h = _mix(np.add.reduceat(h, first) + (end - start).astype(_U))
         cut = _mix(h) % _U(PIECE_WORDS) == 0
-        last = np.array(ends)
-        cut[last[last > 0] - 1] = True
-        start = np.append(0, np.flatnonzero(cut)[:-1] + 1)
-        place = (np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))) % MOST_WORDS
-        start = np.flatnonzero(place == 0)
-        key = _mix(np.add.reduceat(_mix(h + _mix(place.astype(_U) + _U(0x9E3779B97F4A7C15))), start) + _U(1))
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        owner = owner[start]
+        lines = np.flatnonzero(data == 10)
+        last = np.searchsorted(start, lines) - 1  # the word before each line's end
+        last = np.unique(last[last >= 0])
+        cut[last] = True
+        line = np.append(0, last[:-1] + 1)  # first word of each paragraph
+        place = np.arange(n) - np.repeat(line, np.diff(np.append(line, n)))
+        whole = _mix(np.add.reduceat(_mix(h + _mix(place.astype(_U))), line) + _U(2))
+        start_of = np.append(0, np.flatnonzero(cut)[:-1] + 1)
+        place = (np.arange(n) - np.repeat(start_of, np.diff(np.append(start_of, n)))) % MOST_WORDS
+        begin = np.flatnonzero(place == 0)
+        key = _mix(np.add.reduceat(_mix(h + _mix(place.astype(_U) + _U(0x9E3779B97F4A7C15))), begin) + _U(1))
+        key, begin = np.concatenate([key, whole]), np.concatenate([begin, line])
+        owner = np.searchsorted(np.cumsum([len(c) + 1 for c in coded]), start[begin], "right")
         order = np.lexsort((key, owner))
         key, owner = key[order], owner[order]
         at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
@@ -137,22 +138,25 @@ def _peel(count: np.ndarray, key: np.ndarray, check: np.ndarray, third: np.ndarr
     (keys, sides, owners) recovered and whether each pair's cells came out empty.
     """
     base = np.cumsum(PARTS * third) - PARTS * third
-    out: list[tuple] = []
+    part = np.repeat(np.tile(np.arange(PARTS), len(third)), np.repeat(third, PARTS))
+    cells = [np.flatnonzero(part == p) for p in range(PARTS)]
+    out: list[tuple] = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     with np.errstate(over="ignore"):
-        pure = np.arange(len(count))
-        while len(pure):
-            pure = pure[(np.abs(count[pure]) == 1) & (_check(key[pure]) == check[pure])]
-            _, first = np.unique(_mix(key[pure] + owner[pure].astype(_U) * _U(0x9E3779B97F4A7C15)), return_index=True)
-            pure = pure[first]
-            found, sign, of = key[pure].copy(), count[pure].copy(), owner[pure]
-            sums, touched = _check(found), []
-            for at in _places(found, third[of], base[of]):
-                np.subtract.at(count, at, sign)
-                np.bitwise_xor.at(key, at, found)
-                np.bitwise_xor.at(check, at, sums)
-                touched.append(at)
+        idle = turn = 0
+        while idle < PARTS and turn < 1000 * PARTS:  # a part after the other: an item has one cell in each, so none is found twice
+            at = cells[turn % PARTS]
+            at = at[np.abs(count[at]) == 1]
+            at = at[_check(key[at]) == check[at]]
+            turn, idle = turn + 1, 0 if len(at) else idle + 1
+            if not len(at):
+                continue
+            found, sign, of = key[at].copy(), count[at].copy(), owner[at]
+            sums = _check(found)
+            for x in _places(found, third[of], base[of]):
+                np.subtract.at(count, x, sign)
+                np.bitwise_xor.at(key, x, found)
+                np.bitwise_xor.at(check, x, sums)
             out.append((found, sign, of))
-            pure = np.unique(np.concatenate(touched))
         left = np.unique(owner[(count != 0) | (key != 0) | (check != 0)])
     clean = np.ones(len(third), bool)
     clean[left] = False
