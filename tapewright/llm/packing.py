@@ -90,14 +90,20 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, parts = [], []
             for doc_id, text, at_order in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = token_bytes(text.as_py() or "", tokenizer) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *[np.frombuffer(part, "<u4").astype(np.int32).tolist()] * with_ids, *[at_order] * bool(order)))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids, *[pa.int64()] * bool(order)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *[at_order] * bool(order)))
+                    if with_ids:
+                        parts.append(part)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int64()] * bool(order)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
+            if with_ids:
+                ends = np.cumsum([0] + [len(x) // 4 for x in parts], dtype=np.int32)
+                columns.insert(5, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<u4").view(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", _order long" * bool(order)
     return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(order) if order else F.lit(None)).cast("long")).mapInArrow(cut, schema)
