@@ -40,6 +40,7 @@ class _Ids(dict):
 
         made = Tokenizer.from_file(path)
         self.encode, self.word = made.encode, made.model.tokenize
+        self.four = [i.to_bytes(4, "little") for i in range(made.get_vocab_size())]
         # Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
@@ -54,7 +55,8 @@ class _Ids(dict):
         """A lower-case word of letters is one piece to the tokenizer, which goes to its merges straight."""
         if not word.isascii():
             word = "".join(map(self.alphabet.__getitem__, word.encode()))
-        return b"".join([t.id.to_bytes(4, "little") for t in self.word(word)])
+        four = self.four
+        return b"".join([four[t.id] for t in self.word(word)])
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk.islower() and chunk.isalpha():
