@@ -11,12 +11,12 @@ all training documents, and the model is
 with transitions smoothed towards class shares and emissions (c + 0.5) / (class tokens + 0.5 (class words + 1)), where all unseen
 words of a class share one place. The end of a text is a word with a class of its own, which also precedes the first word.
 
-Counts and classes of the ``frequent`` most frequent words go to every task (a bound that doesn't depend on the corpus); all other
+Counts and classes of the most frequent words, ``frequent`` at most (a bound that doesn't depend on the corpus), go to every task; all other
 words of a text meet theirs in a join, so every word is scored by its exact count and its own class.
 
 Defined cases: a null or empty text is the end alone; repeated rows count and score each; a null id belongs to training (its
 crc32 is null, hence not 1); without training documents all counts are 0 and each token has probability 1 in the base and by its
-classes alone in the model. An empty table gives no rows. Words of equal counts rank by their bytes, words whose classes tie take the lowest.
+classes alone in the model. An empty table gives no rows. Words of equal counts are frequent all or none, and rank by their bytes; words whose classes tie take the lowest.
 Texts are read whole, of any length, one at a time. Only doc_id and text are read, so other columns can't clash.
 """
 
@@ -95,6 +95,23 @@ def count_words(train: DataFrame) -> DataFrame:
     return text_batches(train).select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _level():
+    """A word's number of occurrences on a scale of 64 levels a doubling."""
+    return F.floor(F.log2("n") * 64).cast("int")
+
+
+def frequent_level(counts: DataFrame, most: int) -> int:
+    """The lowest level from which on there are at most ``most`` words: found by counts of levels, without an order of all words in one task."""
+    found, held = sorted(((r.level, r.k) for r in counts.groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True), 0
+    least = 1 << 30
+    for level, k in found:
+        held += k
+        if held > most:
+            break
+        least = level
+    return least
+
+
 def encode(docs: DataFrame, units: _Units) -> DataFrame:
     """doc_id, held_out, row, ids (units as 32-bit numbers), rare (words that have no unit of their own, in order) for each row of ``docs``."""
     import pyarrow as pa
@@ -343,8 +360,10 @@ def _fit(docs: DataFrame, frequent: int, own: int, buckets: int, classes: int, m
     counts = materialize(count_words(train), "word-counts")
     n_docs = train.count()
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
-    words, often = top["word"].to_pylist(), np.append(top["n"].to_numpy(), n_docs)
+    least = frequent_level(counts, frequent)
+    top = counts.where(_level() >= least).toArrow()
+    order = sorted(zip((-top["n"].to_numpy()).tolist(), top["word"].to_pylist(), strict=True))
+    words, often = [w for _, w in order], np.array([-n for n, _ in order] + [n_docs], np.int64)
     units, core = _Units(words, buckets), _Units(words[:own], buckets)
     to_core = np.array([END, *(core[w] for w in words), *range(core.own + 1, core.own + 1 + buckets)])
     coded = encode(docs, units)
@@ -357,7 +376,7 @@ def _fit(docs: DataFrame, frequent: int, own: int, buckets: int, classes: int, m
     first = [(bytearray(w), int(n), int(of[i + 1])) for i, (w, n) in enumerate(zip(words[:own], often, strict=False))]
     vocabulary = materialize(vocabulary.unionByName(spark.createDataFrame(first, "word binary, n long, class int")), "vocabulary")
     unit_class = unit_class.copy()
-    known = vocabulary.orderBy(F.desc("n"), "word").limit(frequent).select("word", "class").toArrow()
+    known = vocabulary.where(_level() >= least).select("word", "class").toArrow()
     for w, c in zip(known["word"].to_pylist(), known["class"].to_pylist(), strict=True):
         unit_class[units[w]] = c
     resolved = resolve(coded, len(words), often, unit_class, vocabulary)
