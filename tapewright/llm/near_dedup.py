@@ -205,18 +205,23 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return text_batches(both).select("p", "a", "b", "tp", "tq").mapInArrow(judge, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for all nodes of ``links`` (a, b) but the least of each component, which is comp. Large-star and small-star steps in turn until only stars are left."""
+def components(links: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(node, comp) for all nodes of ``links`` (a, b) but the least of each component, which is comp. Large-star and small-star steps in turn until only stars are left.
+
+    Least neighbours of up to ``broadcast_rows`` edges go to every task; of more, those of nodes with many edges do.
+    """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
         edges = materialize(edges, "edges")
         if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        few = edges.count() <= broadcast_rows
+        meet = lambda rows, table: rows.join(F.broadcast(table.drop("n")), "u") if few else join_hot(rows, materialize(table, "least"), ["u"], "n")  # noqa: B023, E731
+        least = lambda rows: rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        large = meet(both.where("v > u"), least(both).withColumn("m", F.least("u", "m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = meet(large, least(large))
+        edges = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
 
 
 def rest_of_buckets(members: DataFrame, store: DataFrame, threshold: float, block: int) -> DataFrame:

@@ -186,6 +186,26 @@ def test_near_duplicates(spark, docs):
     assert sorted((r.doc_id or 0, r.class_id or 0, r.is_first) for r in near_dedup.near_duplicate_classes(clash).collect()) == [(0, 0, True)] * 3 + [(1, 1, True)] * 4 + [(2, 1, False), (2, 2, True), (7, 0, False)]
 
 
+def test_components(spark):
+    """A hub with many neighbours, chains, cycles and pairs, with least neighbours broadcast and joined."""
+    r = random.Random(17)
+    links = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000 + i, 5000 + (i + 1) % 9) for i in range(9)] + [(7, 1020)] + [(r.randrange(9000, 9200), r.randrange(9000, 9200)) for _ in range(120)]
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for p in links for x in p if find(x) != x}
+    df = spark.createDataFrame(links, "a long, b long")
+    for rows in (10**6, 0):
+        assert {x.node: x.comp for x in near_dedup.components(df, rows).collect()} == want
+
+
 def test_bag_minhash_is_unbiased():
     r, errors = random.Random(1), []
     for _ in range(20):
