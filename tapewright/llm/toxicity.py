@@ -282,10 +282,10 @@ def logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, width: in
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int = 16, pools: int = 4, broadcast_rows: int = 4_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, voices: int = 16, pools: int = 4, broadcast_rows: int = 1_000_000) -> Model:
     """Learns from the documents whose fold isn't 0 and their labels. ``sample`` bounds the rows that the classifier is fitted on.
 
-    Labels of up to ``broadcast_rows`` documents (an id and a mark each) go to every task; more meet the texts in a shuffle.
+    Labels of up to ``broadcast_rows`` documents (an id and a mark each, some 50 MB as a hash table) go to every task; more meet the texts in a shuffle.
     """
     marks = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     train = docs.select("doc_id", "text").where(fold() != 0)
