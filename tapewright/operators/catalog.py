@@ -37,6 +37,8 @@ REFERENCES = [
     ("path_tags", "path_id", "paths"), ("path_tags", "tag_id", "tags"), ("path_metadata", "path_id", "paths"), ("broadcasts", "program_id", "programs"),
     ("path_programs", "path_id", "paths"), ("path_programs", "program_id", "programs"), ("broadcast_group_members", "group_id", "broadcast_groups"),
 ]
+#: Fixed value: the source that marks guide data among metadata rows.
+GUIDE_SOURCE = "edcb_epg"
 #: Columns of path_metadata that aren't kept in its JSON.
 PROMOTED = ["program_title", "air_date", "needs_review", "episode_no", "subtitle", "broadcaster", "human_reviewed"]
 

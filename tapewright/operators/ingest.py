@@ -41,7 +41,7 @@ def guide_batches(guides: DataFrame, broadcasts: DataFrame, now: str) -> tuple[D
     return programs, casts
 
 
-def legacy_guides(metadata: DataFrame, aliases: DataFrame, now: str, source: str = "edcb_epg") -> tuple[DataFrame, DataFrame]:
+def legacy_guides(metadata: DataFrame, aliases: DataFrame, now: str, source: str = catalog.GUIDE_SOURCE) -> tuple[DataFrame, DataFrame]:
     """(programs, broadcasts) from guide data that older versions kept as metadata rows (path_id, source, data_json).
 
     Rows without a JSON object or a title count for nothing. A programme is its series (by ``aliases`` in the form of programme keys); its title is that of

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.operators import catalog
+
 
 def linked(left: DataFrame, right: DataFrame, on: dict[str, str], where: Column | str | None = None, how: str = "inner") -> DataFrame:
     """``left`` joined with the rows of ``right`` that ``where`` keeps; it is applied before the join, so that an outer join keeps rows of ``left``."""
@@ -14,7 +16,7 @@ def linked(left: DataFrame, right: DataFrame, on: dict[str, str], where: Column
     return left.join(chosen, reduce(lambda a, b: a & b, [F.col(k) == F.col(v) for k, v in on.items()]), how)
 
 
-def metadata_with_paths(metadata: DataFrame, paths: DataFrame, key: tuple[str, str] = ("path_id", "path_id"), without_source: str | None = "edcb_epg", source: str = "source", outer: bool = False) -> DataFrame:
+def metadata_with_paths(metadata: DataFrame, paths: DataFrame, key: tuple[str, str] = ("path_id", "path_id"), without_source: str | None = catalog.GUIDE_SOURCE, source: str = "source", outer: bool = False) -> DataFrame:
     """Metadata beside its path, without rows of one source; ``outer`` keeps metadata whose path is gone."""
     rows = metadata if without_source is None else metadata.where(F.col(source) != without_source)
     how = "left" if outer else "inner"

@@ -214,7 +214,7 @@ def legacy_guides(t: Tables) -> DataFrame:
     """Guide data of metadata rows as programmes and broadcasts; rows without an object or a title are left out."""
     n, title = F.col("o_orderkey"), F.concat(F.lit("Show "), F.col("o_custkey").cast("string"))
     data = F.when(n % 7 == 0, F.when(n % 2 == 0, "[]").otherwise('{"official_title":" "}')).otherwise(F.to_json(F.struct(F.concat(title, F.lit("▽x")).alias("official_title"), F.concat(F.lit("2024-01-0"), (n % 2 + 1).cast("string")).alias("air_date"), F.lit("Ch").alias("broadcaster"), F.array(F.lit("a")).alias("annotations"))))
-    md = t.orders.select(F.lpad(n.cast("string"), 12, "0").alias("path_id"), F.when(n % 3 == 0, "edcb_epg").otherwise("llm").alias("source"), data.alias("data_json"))
+    md = t.orders.select(F.lpad(n.cast("string"), 12, "0").alias("path_id"), F.when(n % 3 == 0, catalog.GUIDE_SOURCE).otherwise("llm").alias("source"), data.alias("data_json"))
     aliases = t.customer.where("c_custkey % 4 = 0").select(X.program_key(F.concat(F.lit("Show "), F.col("c_custkey").cast("string"))).alias("alias"), F.lit("Series").alias("canonical"))
     programs, casts = ingest.legacy_guides(md, aliases, "now")
     n_casts = casts.groupBy("program_id").agg(F.count(F.lit(1)).alias("n_broadcasts"))
