@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import ann, class_lm
+from tapewright.llm import ann, byte_bpe, class_lm
 from tapewright.llm.chat_quotes import link_conversations
 from tapewright.llm.common import read
 from tapewright.llm.fingerprints import compare_versions
+from tapewright.llm.lexical import rank_documents
 from tapewright.llm.line_dedup import dedup_lines
 from tapewright.llm.mixing import mix_sources
 from tapewright.llm.near_dedup import near_duplicate_classes
 from tapewright.llm.packing import pack_documents
 from tapewright.llm.toxicity import fit, fold, score_toxicity
 from tapewright.llm.url_filter import judge_urls, parse_rule
+from tapewright.llm.vector_codes import compress_and_sum
 
 #: The fixed rules of op7.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
@@ -73,13 +75,31 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_and_sum(read(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6's operator with given shares: 30 %, 15 %, 5 %, and half for all other sources."""
     return mix_sources(read(spark, sf_dir, "documents"), {"src0": 0.3, "src1": 0.15, "src2": 0.05, "*": 0.5}).select("doc_id", "source", "block", "release", "deadline", "slot", "position")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_quotes, op2_line_dedup, op3_fingerprints, op4_packing, op5_near_dedup, op6_mixing, op7_url_filter, op8_class_lm, op9_toxicity, op10_ann, mixing_to_targets)
+    f.__name__: f
+    for f in (
+        op1_chat_quotes, op2_line_dedup, op3_fingerprints, op4_packing, op5_near_dedup, op6_mixing, op7_url_filter, op8_class_lm, op9_toxicity, op10_ann,
+        op11_lexical, op12_vector_codes, op13_byte_bpe, mixing_to_targets,
+    )
 }
 
 OP1_SQL = r"""
@@ -189,6 +209,46 @@ r as (select query_id, cast(row_number() over (partition by query_row order by s
 select * from r where rank <= 20
 """
 
+OP11_SQL = r"""
+with t as (select row_number() over () as d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+docs as (select d, any_value(doc_id) as doc_id, count(*) as n from t group by d),
+corpus as (select count(*) as docs, cast(sum(n) as bigint) as terms from docs),
+ms as (select d, doc_id, 50 + (50 * n * docs) // terms as m from docs, corpus),
+tfs as (select d, term, count(*) as tf from t group by all),
+ws as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from tfs, corpus group by term, docs),
+q as (select distinct i, item_id, term from (select row_number() over () as i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark)),
+s as (select i, any_value(item_id) as item_id, d, any_value(doc_id) as doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+  from q join ws using (term) join tfs using (term) join ms using (d) group by i, d),
+r as (select item_id, cast(row_number() over (partition by i order by score desc, doc_id nulls first) as int) as rank, doc_id, score from s where score > 0)
+select * from r where rank <= 50
+"""
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Each round as a pair of tables: the nearest entry of each part, then the entries' means. Floors of negative quotients go down, as DuckDB's // does not."""
+    out = [
+        """ints as materialized (select row_number() over (order by vec_id, embedding) as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(x::double * 1024) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"cut as materialized (select r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] as x from ints, range({parts}) as u(p))",
+        f"book0 as materialized (select p, r - 1 as e, x as c from cut where r <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        out.append(
+            f"""near{i} as materialized (select r, p, any_value(x) as x, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, e := e)) as b
+  from cut join book{i} using (p) group by r, p)"""
+        )
+        if i < rounds:
+            out.append(
+                f"""book{i + 1} as materialized (select p, e, case when s is null then c else list_transform(s, lambda z: cast(floor(z / n) as bigint)) end as c from book{i} left join
+  (select p, e, list(cast(t as bigint) order by j) as s, any_value(n) as n from
+    (select p, b.e as e, j, sum(x[j]) as t, count(*) as n from near{i}, unnest(range(1, len(x) + 1)) as w(j) group by all) group by p, e) using (p, e))"""
+            )
+    return f"""with {", ".join(out)},
+coded as (select r, string_agg(printf('%02x', b.e), '' order by p) as code, cast(sum(b.d) as bigint) as error from near{rounds} group by r),
+sha as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded join ints using (r), sha"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_quotes": OP1_SQL,
     "op2_line_dedup": f"with {LINES_SQL.format(docs='documents')} select doc_id, text, n_lines, cast(n_removed as bigint) as n_removed from deduplicated",
@@ -197,4 +257,6 @@ ORACLE_SQL: dict[str, str] = {
     "mixing_to_targets": TARGETS_SQL,
     "op7_url_filter": OP7_SQL,
     "op10_ann": OP10_SQL,
+    "op11_lexical": OP11_SQL,
+    "op12_vector_codes": _codes_sql(),
 }
