@@ -8,8 +8,8 @@ a segment: the places of its documents and how often each holds it; a row withou
 
 A search reads the rows of the queries' terms alone, as does the count of documents that hold a term. Rows of a segment meet in one task; there each term's postings are ordered by
 impact, equal impacts forming a group, and a query takes the groups of all its terms from the highest impact down, adding to its documents' sums. Between steps the bound of a document is its sum and
-the highest impact left in each term it hasn't met yet. The query stops only when at most k documents have a bound that reaches the k-th sum (or
-what is known to be reached elsewhere); their sums are then completed from the postings not yet processed, and the k best leave the segment. The first segments (one of ``lead``) are searched before the
+the highest impact left in each term it hasn't met yet. The query stops only when the bounds prove that the k best are among few documents, those whose bound reaches the k-th sum (or
+what is known to be reached elsewhere); their scores are then completed from the postings not yet processed, and the k best leave the segment. The first segments (one of ``lead``) are searched before the
 others, and their k-th scores are what the others must reach. So no segment, and no task, holds more than its segment's postings, whatever a term's frequency.
 
 Defined cases: null and empty texts, and texts without a term, have no postings and count in neither N nor L; null query texts have no results; every document row and every query row stands for itself, also
@@ -109,14 +109,13 @@ def _query_terms(queries: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(split, "query long, item_id long, term binary"), "query-terms")
 
 
-class _Postings:
-    """Postings of one term in one segment: places and impacts (without the term's weight) by descending impact, and by place."""
+class Postings:
+    """Postings of one term in one segment: places, and impacts without the term's weight, by descending impact; and both by place."""
 
     def __init__(self, places: np.ndarray, impacts: np.ndarray):
         self.places, self.impacts = places, impacts
         order = np.argsort(-impacts, kind="stable")
         self.down, self.by_impact = impacts[order], places[order]
-        self.rising = -self.down
 
     def of(self, places: np.ndarray) -> np.ndarray:
         """Impacts at these places, 0 where the term isn't held."""
@@ -124,41 +123,37 @@ class _Postings:
         return np.where(self.places[at] == places, self.impacts[at], 0)
 
 
-def top(lists: list[tuple[int, _Postings]], size: int, k: int, reach: int = 1, share: int = 8) -> tuple[np.ndarray, np.ndarray, int, int]:
+def top(lists: list[tuple[int, Postings]], size: int, k: int, reach: int = 1, steps: int = 8) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(places, scores, processed, postings): all of the segment's ``size`` documents that can be among its k best with ``reach`` at least; lists: (weight, postings) of a query's terms.
 
-    Of equal scores at the k-th place all are given. A step takes every group with an impact above a share of the highest one left, so groups are processed whole, from the highest down.
+    Of equal scores at the k-th place all are given. Groups of equal impact are processed whole, from the highest down, and the bounds are worked out after each ``1 / steps`` of the postings.
+    Processing stops when they prove that the k best are among so few documents that their scores take less to complete than the postings that are left.
     """
     weights = np.array([w for w, _ in lists], np.int64)
-    at = [0] * len(lists)
-    heads = np.array([w * p.down[0] for w, p in lists], np.int64)
-    sums, met = np.zeros(size, np.int64), np.zeros((len(lists), size), bool)
-    total, done, checked = sum(len(p.down) for _, p in lists), 0, 0
-    while True:
-        cut = int(heads.max()) * (share - 1) // share
-        for t in np.flatnonzero(heads > cut):
-            w, p = lists[t]
-            end = int(np.searchsorted(p.rising, -(cut // int(w)), "left"))  # impacts above cut / w
-            places = p.by_impact[at[t] : end]
-            sums[places] += w * p.down[at[t] : end]
-            met[t, places] = True
-            done, at[t] = done + end - at[t], end
-            heads[t] = w * p.down[end] if end < len(p.down) else 0
-        if not heads.any():
-            break
-        if done - checked < total // 16:  # proofs cost time; a few postings change little
-            continue
-        checked = done
-        bounds = sums + heads.sum() - heads @ met
+    sizes = np.array([len(p.down) for _, p in lists])
+    starts = np.cumsum(sizes) - sizes
+    impacts = np.concatenate([w * p.down for w, p in lists])
+    order = np.argsort(-impacts, kind="stable")  # merges runs that are in order
+    total, falling = len(order), impacts[order]
+    places = np.concatenate([p.by_impact for _, p in lists])[order]
+    of = np.repeat(np.arange(len(lists)), sizes)[order]
+    sums, met, taken, done = np.zeros(size, np.int64), np.zeros((len(lists), size), bool), np.zeros(len(lists), np.int64), 0
+    while done < total:
+        least_here = falling[min(done + -(-total // steps), total) - 1]
+        end = total - int(np.searchsorted(falling[::-1], least_here, "left"))  # the group is whole
+        np.add.at(sums, places[done:end], falling[done:end])
+        met[of[done:end], places[done:end]] = True
+        taken += np.bincount(of[done:end], minlength=len(lists))
+        done = end
         least = max(reach, int(np.partition(sums, size - k)[size - k]) if size > k else 0)
+        heads = np.where(taken < sizes, impacts[np.minimum(starts + taken, total - 1)], 0)
+        bounds = sums + heads.sum() - heads @ met
         live = np.flatnonzero(bounds >= least)
-        if len(live) <= k:
-            scores = sum(w * p.of(live) for w, p in lists) if len(live) else np.zeros(0, np.int64)
-            keep = scores >= reach
-            return live[keep], scores[keep], done, total
-    least = max(reach, int(np.partition(sums, size - k)[size - k]) if size > k else 0)
-    live = np.flatnonzero(sums >= least)
-    return live, sums[live], done, total
+        if len(live) <= k or len(live) * len(lists) < total - done or done == total:
+            break
+    scores = sum(w * p.of(live) for w, p in zip(weights.tolist(), (p for _, p in lists), strict=True)) if done < total and len(live) else sums[live]
+    keep = scores >= reach
+    return live[keep], scores[keep], done, total
 
 
 def search(postings: DataFrame, queries: DataFrame, k: int = 50, query_bytes: int = 16_000_000, lead: int = 16) -> DataFrame:
@@ -221,7 +216,7 @@ def _searched(held: DataFrame, shared, n_docs: int, n_terms: int, k: int) -> Dat
         for term, places, counts in zip(table.column("term").to_pylist(), table.column("places"), table.column("counts"), strict=True):
             if term is not None:
                 at, tf = places.values.to_numpy(), counts.values.to_numpy().astype(np.int64)
-                lists[term] = _Postings(at, 1_000_000_000 * tf // (1000 * tf + 20 * m[at]))
+                lists[term] = Postings(at, 1_000_000_000 * tf // (1000 * tf + 20 * m[at]))
         out = []
         for query, held in asked.items():
             mine = [(w, lists[t]) for t, w in held if t in lists]
