@@ -9,7 +9,7 @@ all training documents, and the model is
     P(w | v) = P(class w | class v) P(w | class w)
 
 with transitions smoothed towards class shares and emissions (c + 0.5) / (class tokens + 0.5 (class words + 1)), where all unseen
-words of a class share one place. The end of a text is a word with a class of its own, which also precedes the first word.
+words of a class share one place. The end of a text is a word with a class of its own, which also precedes the first word. Next tokens' probabilities sum to 1, so no score is above 0.
 
 Counts and classes of the most frequent words, ``frequent`` at most (a bound that doesn't depend on the corpus), go to every task; all other
 words of a text meet theirs in a join, so every word is scored by its exact count and its own class.
@@ -387,8 +387,7 @@ def _fit(docs: DataFrame, frequent: int, own: int, buckets: int, classes: int, m
     mass = g.sum(0)
     share = (mass + 0.5) / (mass.sum() + 0.5 * classes)
     transition = np.log10((g + 10 * share) / (g.sum(1, keepdims=True) + 10))
-    room = np.log10(mass + 0.5 * (kinds + 1))
-    room[END] = 0
+    room = np.log10(mass + 0.5 * (kinds + 1))  # END's is that of its own count, so the end's probability given its class is 1
     model = ClassModel(int(total.n or 0) + n_docs, total.v + (n_docs > 0), {w: i for i, w in enumerate(words)}, often, units, unit_class, transition, room)
     return model, vocabulary, resolved
 

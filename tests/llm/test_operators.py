@@ -357,15 +357,20 @@ def test_class_lm(spark, docs):
 
 
 def test_class_lm_probabilities(spark, docs):
-    """The classes of all known words and one unseen word of each class share the whole mass."""
+    """Behind every class, all known words, one unseen word of each class, and the end share the whole mass; no text is likelier than certain."""
     model, counts = class_lm.fit(docs, frequent=1000, own=20, buckets=8, classes=6)
-    assert np.allclose((10**model.transition).sum(1), 1)
     mass = np.zeros(6)
     for r in counts.collect():
-        c = model.unit_class[model.units[bytes(r.word)]]
-        mass[c] += (r.n + 0.5) / 10 ** model.room[c]
-    mass[1:] += 0.5 / 10 ** model.room[1:]
-    assert np.allclose(mass[1:], 1)
+        mass[model.unit_class[model.units[bytes(r.word)]]] += r.n + 0.5
+    mass[1:] += 0.5
+    mass[0] = model.counts[-1] + 0.5  # there is no unseen end
+    assert np.allclose(10**model.transition @ (mass / 10**model.room), 1)
+    texts = [(i, t) for i, t in enumerate(["", None, "a", "b a", "never seen", " ".join(WORDS), "w1"])] + [(100 + i, t) for i, t, *_ in corpus()]
+    scored = class_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), model, counts).collect()
+    assert len(scored) == len(texts) and all(r.score < 0 for r in scored)
+    many = spark.createDataFrame([(i, "") for i in range(1000)] + [(1000 + i, "a b") for i in range(10)], "doc_id long, text string")
+    out = class_lm.fit_score(many).collect()
+    assert max(r.score for r in out) <= 0 and min(r.score for r in out if r.doc_id < 1000) > -0.1
 
 
 def test_class_lm_words_beyond_the_core(spark):
