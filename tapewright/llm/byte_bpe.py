@@ -4,7 +4,8 @@ Merging always joins the pair of least rank, so a sequence of tokens is what mer
 theirs. That gives a nondeterministic transducer: a branch holds the last token and the bytes read since, which must begin some token; where they are one that may
 follow the last, a new branch starts behind it. For every prefix of the input one branch ends there. ``Transducer`` runs all branches at once: a state is the
 tuple of (last token, bytes since, tokens not yet emitted) of the living ones, and a step emits what all agree on. How long a token waits is bounded by the
-vocabulary, since no branch reads further than the longest token. States and steps are made when first met, and dropped when there are more than a set number.
+vocabulary, since no branch reads further than the longest token. States and steps are made when first met. A set number of them are kept: beyond it new ones serve once, and all are dropped
+when too many are needed anew.
 
 Text is split by the pattern first; each match is encoded separately, and a match that is a token is that token. The pattern's classes are those that
 the tokenizer library knows, asked of it once on the driver (Unicode versions differ between libraries), and go to the tasks as ranges.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import text_batches
 
-#: Ids of so many strings without spaces, and so many states, are kept by a Python worker.
-CACHE, STATES = 300_000, 300_000
+#: Ids of so many strings without spaces (in each of two generations), and so many states, are kept by a Python worker.
+CACHE, STATES = 200_000, 200_000
 _loaded: dict = {}
 
 
@@ -95,7 +96,7 @@ class Transducer:
 
     def clear(self) -> None:
         self.start = State(((-1, b"", ()),))
-        self.states = {self.start.branches: self.start}
+        self.states, self.missed = {self.start.branches: self.start}, 0
 
     def edge(self, token: int) -> tuple:
         """(sound, first, last) of a token: whether merging its bytes makes it, and the parts that begin and end it on the way, each with the rank of the merge that takes it in."""
@@ -160,12 +161,16 @@ class Transducer:
                 while waiting[:agreed] != out[:agreed]:
                     agreed -= 1
         branches = tuple([(last, since, waiting[agreed:]) for last, since, waiting in live]) if agreed else tuple(live)
-        after = self.states.get(branches)
-        if after is None:
-            if len(self.states) >= STATES:
+        made = self.states.get(branches), out[:agreed]
+        if made[0] is None:
+            made = State(branches), made[1]
+            if len(self.states) >= STATES:  # the first ones met are the frequent ones, and stay as long as they serve
+                self.missed += 1
+                if self.missed < 20 * STATES:
+                    return made
                 self.clear()
-            after = self.states[branches] = State(branches)
-        made = state.steps[byte] = (after, out[:agreed])
+            self.states[branches] = made[0]
+        state.steps[byte] = made
         return made
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
@@ -292,56 +297,68 @@ def _of_worker(key: tuple, make):
     return _loaded[key]
 
 
+def _encoder(shared, path: str, pattern: str) -> Encoder:
+    gc.set_threshold(1_000_000)  # states stay, and looking through them again and again costs a fifth of the time
+    return _of_worker(("encoder", path, pattern), lambda: Encoder(*shared.value))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every document."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((read_ranks(path), compiled(pattern)))  # as large as the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(path), compiled(pattern)))  # as large as the vocabulary
     kinds = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.set_threshold(1_000_000)  # states stay, and looking through them again and again costs a fifth of the time
-        encoder = _of_worker(("encoder", path, pattern), lambda: Encoder(*shared.value))
+        encoder = _encoder(shared, path, pattern)
         for batch in batches:
             made = [encoder.ids(text.as_py() or "") for text in batch.column(1)]
             ends = np.cumsum([0] + [len(x) // 4 for x in made], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], schema=kinds)
 
-    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(encode, "doc_id long, ids array<int>")
 
 
-def _decoded(encoded: DataFrame, path: str, row, schema: str) -> DataFrame:
-    """doc_id and what ``row`` makes of a fresh decoder, the ids and their decimal forms."""
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text) of rows (doc_id, ids); null ids are none, bytes that are no characters U+FFFD."""
     import pyarrow as pa
 
-    spark = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(sorted((i, t) for t, i in read_ranks(path).items()))
+    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, decimals = _of_worker(("decoder", path), lambda: (dict(shared.value), {i: b"%d" % i for i, _ in shared.value}))
+        tokens = _of_worker(("decoder", path), lambda: {i: t for t, i in shared.value.items()})
         for batch in batches:
-            ids = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in batch.column(1))
-            columns = list(zip(*(row(Decoder(tokens), x, decimals) for x in ids), strict=True))
-            if columns:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", *(c.split()[0] for c in schema.split(", "))])
+            texts = [Decoder(tokens).text(x.values.to_numpy()) if x.is_valid else "" for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return text_batches(encoded).select("doc_id", "ids").mapInArrow(decode, f"doc_id long, {schema}")
-
-
-def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids); null ids are none, bytes that are no characters U+FFFD."""
-    return _decoded(encoded, path, lambda decoder, ids, decimals: (decoder.text(ids),), "text string")
+    return text_batches(encoded).select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(decode, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): documents encoded, and decoded from their ids."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): documents encoded, and decoded from their ids alone, where the ids are made."""
+    import pyarrow as pa
 
-    def digests(decoder: Decoder, ids: np.ndarray, decimals: dict) -> tuple:
-        held = hashlib.sha256()
-        for part in decoder.parts(ids):
-            held.update(part)
-        return len(ids), hashlib.sha256(b" ".join(map(decimals.__getitem__, ids.tolist()))).hexdigest(), held.hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(path), compiled(pattern)))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    return _decoded(encode_documents(docs, path, pattern), path, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared, path, pattern)
+        tokens = encoder.transducer.tokens
+        decimals = _of_worker(("decimals", path), lambda: {i: b"%d" % i for i in tokens})
+        for batch in batches:
+            sizes, of_ids, of_bytes = [], [], []
+            for text in batch.column(1):
+                ids, held = np.frombuffer(encoder.ids(text.as_py() or ""), "<i4"), hashlib.sha256()
+                for part in Decoder(tokens).parts(ids):
+                    held.update(part)
+                sizes.append(len(ids))
+                of_ids.append(hashlib.sha256(b" ".join(map(decimals.__getitem__, ids.tolist()))).hexdigest())
+                of_bytes.append(held.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names)
+
+    return _texts(docs).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
