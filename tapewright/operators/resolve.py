@@ -1,7 +1,6 @@
 """Titles: prefix families, longest-prefix and contained matches, aliases, and what follows from them.
 
-Prefix matches never compare all titles with all: a title yields its own prefixes, of the lengths that the dictionary's entries have, and these meet
-the dictionary in an equi-join. Lengths are few (a title's most), whatever the number of entries.
+Prefix matches scan sorted ranges (``prefixes``), contained ones run automata (``matching``): neither compares all titles with all.
 """
 
 from __future__ import annotations
@@ -11,30 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapewright.functions import text as X
-
-
-def lengths_of(entries: DataFrame, norm: str) -> list[int]:
-    return sorted(r[0] for r in entries.select(F.length(norm)).where(F.col(norm).isNotNull()).distinct().collect())
-
-
-def prefixes(norm: Column, least: int, extra: int, lengths: list[int]) -> Column:
-    """Prefixes of these lengths, of ``least`` characters and more, that leave at least ``extra`` out."""
-    asked = F.array(*[F.lit(n) for n in lengths if n >= least]).cast("array<int>")
-    return F.transform(F.filter(asked, lambda n: n <= F.length(norm) - extra), lambda n: F.substring(norm, F.lit(1), n))
-
-
-def prefix_family(titles: DataFrame, norm: str, least: int = 4) -> DataFrame:
-    """Distinct normal titles that are a strict prefix of another one."""
-    known = titles.select(norm).distinct()
-    return known.join(known.select(F.explode(prefixes(F.col(norm), least, 1, lengths_of(known, norm))).alias(norm)).distinct(), norm, "left_semi")
-
-
-def longest_prefix(df: DataFrame, id_col: str, norm: str, dictionary: DataFrame, extra: int = 3, least: int = 1) -> DataFrame:
-    """(id, title) of the longest dictionary entry (norm, title) that ``norm`` begins with and exceeds by ``extra``; equal ones by least title."""
-    probe = df.select(id_col, F.explode(prefixes(F.col(norm), least, extra, lengths_of(dictionary, "norm"))).alias("_p"))
-    hit = probe.join(dictionary.select(F.col("norm").alias("_p"), "title"), "_p")
-    best = F.min(F.struct((-F.length("_p")).alias("n"), "title"))
-    return hit.groupBy(id_col).agg(best.alias("b")).select(id_col, F.col("b.title").alias("title"))
+from tapewright.operators.matching import first_contained, longest_contained  # noqa: F401
+from tapewright.operators.prefixes import longest_prefix, prefix_family  # noqa: F401
 
 
 def resolve(df: DataFrame, id_col: str, norm: str, sources: list[tuple[str, DataFrame]], extra: int = 3) -> DataFrame:
@@ -57,27 +34,6 @@ def with_separator(df: DataFrame, title: str) -> DataFrame:
     return df.withColumns({"match_source": F.when(usable, "separator_split").otherwise(F.col("match_source")), "suggested": F.when(usable, cut).otherwise(F.col("suggested"))})
 
 
-def longest_contained(df: DataFrame, id_col: str, norm: str, dictionary: DataFrame, least: int = 2, small: int = 2000) -> DataFrame:
-    """(id, title) of the longest dictionary entry (norm, title) inside ``norm``; equal ones by least title.
-
-    Up to ``small`` entries are looked for one after the other, longest first, without a shuffle. Of a larger dictionary, texts yield
-    their substrings of the lengths that entries have, and these meet the entries in an equi-join.
-    """
-    usable = dictionary.where(F.length("norm") >= least).groupBy("norm").agg(F.min("title").alias("title"))
-    first = usable.orderBy(F.desc(F.length("norm")), "title").limit(small + 1).collect()
-    if len(first) <= small:
-        entries = F.array(*[F.struct(F.lit(r.norm).alias("norm"), F.lit(r.title).alias("title")) for r in first]) if first else F.array().cast("array<struct<norm:string,title:string>>")
-        found = F.get(F.filter(entries, lambda e: F.contains(F.col(norm), e["norm"])), F.lit(0))
-        return df.select(id_col, found["title"].alias("title")).where("title is not null")
-    probe = df.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(*[_grams(norm, n) for n in lengths_of(usable, "norm")])))).alias("_g"))
-    hit = probe.join(usable.withColumnRenamed("norm", "_g"), "_g")
-    return hit.groupBy(id_col).agg(F.min(F.struct((-F.length("_g")).alias("n"), "title")).alias("b")).select(id_col, F.col("b.title").alias("title"))
-
-
-def _grams(text: str, n: int) -> Column:
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-
 def first_alias(norm: Column, aliases: list[tuple[str, str]]) -> Column:
     """Title of the first alias (alias, title) that ``norm`` holds, in the list's order."""
     return F.coalesce(*[F.when(F.contains(norm, F.lit(a)), F.lit(t)) for a, t in aliases], F.lit(None).cast("string"))

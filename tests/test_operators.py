@@ -89,7 +89,7 @@ def test_contained_small_and_large_dictionaries(spark):
     df = spark.createDataFrame([(1, "the red fox"), (2, "nothing"), (3, "foxred")], "id int, norm string")
     words = spark.createDataFrame([("red", "Red"), ("the red", "The Red"), ("fox", "Fox"), ("x", "X")], "norm string, title string")
     want = [(1, "The Red"), (3, "Fox")]
-    assert rows(resolve.longest_contained(df, "id", "norm", words)) == rows(resolve.longest_contained(df, "id", "norm", words, small=1)) == want
+    assert rows(resolve.longest_contained(df, "id", "norm", words)) == rows(resolve.longest_contained(df, "id", "norm", words, shard_bytes=30)) == want
 
 
 def test_series_name(spark):
