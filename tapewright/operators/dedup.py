@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewright.operators.groups import with_groups
+
 KEEP, DROP, REVIEW = "keep", "drop", "manual_review_required"
 
 
@@ -15,25 +17,23 @@ def keep_order(not_corrupt: str, resolution: str, size: str, mtime: str, path: s
 
 def keep_best(df: DataFrame, key: list[str], order: list[Column], most_groups: int | None = None) -> DataFrame:
     """keep or drop for the rows of groups of two and more; rows with a null in the key are in no group. With ``most_groups`` (a person's number) the first groups by key alone."""
-    w = W.partitionBy(*key)
-    out = df.dropna(subset=key).withColumn("group_size", F.count(F.lit(1)).over(w)).where("group_size > 1")
+    out = with_groups(df, key, order).where("group_size > 1")
     if most_groups is not None:
-        out = out.join(F.broadcast(out.select(*key).distinct().orderBy(*key).limit(most_groups)), key)
-    return out.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("decision", F.when(F.col("rank") == 1, KEEP).otherwise(DROP))
+        out = out.join(df.dropna(subset=key).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").orderBy(*key).limit(most_groups).drop("_n"), key)
+    return out.withColumn("decision", F.when(F.col("_best"), KEEP).otherwise(DROP)).drop("_best")
 
 
 def two_phase(df: DataFrame, hash_col: str, key_col: str, order: list[Column], columns: list[str]) -> DataFrame:
     """Exact groups first, whose members (the kept one too) take no part in the groups by key; then the rest by key.
 
     ``method`` is hash_exact or metadata; only hash_exact drops may be applied without review (``auto_apply``).
-    Rows without a hash, which may be most, and rows without a key stay out of the windows.
+    Rows without a hash, which may be most, and rows without a key are in no group.
     """
-    h = W.partitionBy(hash_col)
-    hashed = df.where(F.col(hash_col).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(h))
-    exact = hashed.where("_n > 1").withColumn("_r", F.row_number().over(h.orderBy(*order))).withColumn("method", F.lit("hash_exact"))
-    k = W.partitionBy(key_col)
-    rest = hashed.where("_n = 1").drop("_n").unionByName(df.where(F.col(hash_col).isNull())).where(F.col(key_col).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(k)).where("_n > 1").withColumn("_r", F.row_number().over(k.orderBy(*order))).withColumn("method", F.lit("metadata"))
-    out = exact.unionByName(rest).withColumn("decision", F.when(F.col("_r") == 1, KEEP).otherwise(DROP))
+    hashed = with_groups(df, [hash_col], order)
+    exact = hashed.where("group_size > 1").withColumn("method", F.lit("hash_exact"))
+    rest = hashed.where("group_size = 1").select(*df.columns).unionByName(df.where(F.col(hash_col).isNull()))
+    rest = with_groups(rest, [key_col], order).where("group_size > 1").withColumn("method", F.lit("metadata"))
+    out = exact.unionByName(rest).withColumn("decision", F.when(F.col("_best"), KEEP).otherwise(DROP))
     return out.select(*columns, "decision", "method", ((F.col("decision") == DROP) & (F.col("method") == "hash_exact")).alias("auto_apply"))
 
 
@@ -51,21 +51,17 @@ def bucket_of(explicit: Column, sources: list[Column], rules: dict[str, list[str
 
 def bucket_policy(df: DataFrame, key: str, bucket: str, order: list[Column]) -> DataFrame:
     """Groups by key split by bucket. A group that mixes unknown with known buckets goes to review; single rows of a bucket stay. Rows without a key are in no group."""
-    g = W.partitionBy(key)
-    out = df.where(F.col(key).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(g)).where("_n > 1")
-    unknown = F.max((F.col(bucket) == "unknown").cast("int")).over(g) == 1
-    known = F.max((F.col(bucket) != "unknown").cast("int")).over(g) == 1
-    best = F.row_number().over(W.partitionBy(key, bucket).orderBy(*order)) == 1
-    return out.withColumn("_mixed", unknown & known).withColumn("decision", F.when(F.col("_mixed"), REVIEW).when(best, KEEP).otherwise(DROP)).drop("_n", "_mixed")
+    unknown = (F.col(bucket) == "unknown").cast("int")
+    out = with_groups(df, [key], order, [bucket], {"_unknown": unknown, "_known": 1 - unknown}).where("group_size > 1")
+    mixed = (F.col("_unknown") > 0) & (F.col("_known") > 0)
+    return out.withColumn("decision", F.when(mixed, REVIEW).when(F.col("_best"), KEEP).otherwise(DROP)).drop("group_size", "_best", "_unknown", "_known")
 
 
 def eligible_keep(df: DataFrame, key: list[str], eligible: Column, order: list[Column]) -> DataFrame:
     """Groups of two and more: with under two eligible rows all are for review; else the best eligible row stays, other eligible ones drop, the rest are for review. Rows with a null in the key are in no group."""
-    g = W.partitionBy(*key)
-    out = df.dropna(subset=key).withColumn("_e", eligible).withColumn("_n", F.count(F.lit(1)).over(g)).where("_n > 1")
-    enough = F.sum(F.col("_e").cast("int")).over(g) >= 2
-    best = F.row_number().over(g.orderBy(F.desc("_e"), *order)) == 1
-    return out.withColumn("_ok", enough & F.col("_e")).withColumn("decision", F.when(~F.col("_ok"), REVIEW).when(best, KEEP).otherwise(DROP)).drop("_e", "_n", "_ok")
+    out = with_groups(df.withColumn("_e", eligible), key, [F.desc("_e"), *order], sums={"_eligible": F.col("_e").cast("int")}).where("group_size > 1")
+    ok = (F.col("_eligible") >= 2) & F.col("_e")
+    return out.withColumn("decision", F.when(~F.coalesce(ok, F.lit(False)), REVIEW).when(F.col("_best"), KEEP).otherwise(DROP)).drop("_e", "_eligible", "group_size", "_best")
 
 
 def hash_groups(report: DataFrame, candidates: DataFrame, path: str = "path") -> DataFrame:
