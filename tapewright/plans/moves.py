@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import dates as D
 from tapewright.functions import text as X
 from tapewright.functions import values as V
+from tapewright.operators import matching as M
 
 #: Words in genre texts and titles, and the genre that each means; the first found counts.
 GENRES = {
@@ -141,6 +142,11 @@ def outcome(planned: int, suspicious: int, unreviewed: int, missing: int) -> str
     return "plan_ready" if planned else "metadata_missing" if missing else "nothing_to_do"
 
 
+def outcomes(planned: Column, suspicious: Column, unreviewed: Column, missing: Column) -> Column:
+    """``outcome`` of each row of counters."""
+    return F.when((suspicious > 0) | (unreviewed > 0), "review_required").when(planned > 0, "plan_ready").when(missing > 0, "metadata_missing").otherwise("nothing_to_do")
+
+
 def route_histogram(plan: DataFrame) -> DataFrame:
     return plan.where("skip_reason is null").groupBy("genre_route").agg(F.count(F.lit(1)).alias("n"))
 
@@ -165,11 +171,11 @@ def move_errors(src: Column, dst: Column, src_exists: Column, dst_exists: Column
     )
 
 
-def apply_moves(plan: DataFrame, move: Callable[[str, str], None], exists: Callable[[str], bool], rename: bool = False) -> DataFrame:
-    """Log (path_id, src, dst, ok, error) of a plan's moves (path_id, src, dst, each destination once), made by the tasks and written once.
+def intend_moves(plan: DataFrame, exists: Callable[[str], bool], rename: bool = False) -> DataFrame:
+    """What is going to be done for each row of a plan (path_id, src, dst), written before anything moves: (path_id, src, dst, error).
 
-    move, exists: what moves a file and tells whether one is there; handed in, as they know the machine. A move is made if ``move_errors`` has nothing against it; what
-    ``move`` raises becomes its error. With ``rename`` a file whose destination is taken goes to the first free ``__dupN`` beside it.
+    A move with an error (``move_errors``) isn't made. With ``rename`` a file whose destination is taken gets a free ``__dupN`` beside it: rows of one destination, whatever its case, take the free
+    numbers by their rank, and no name that is another row's destination.
     """
     import pandas as pd
 
@@ -182,18 +188,46 @@ def apply_moves(plan: DataFrame, move: Callable[[str, str], None], exists: Calla
             there = {c: [bool(p) and exists(p) for p in part[c]] for c in ("src", "dst")}
             yield part.assign(src_exists=there["src"], dst_exists=there["dst"])
 
+    @F.pandas_udf("string")
+    def free_name(dst, place):
+        out = []
+        for d, left in zip(dst, place, strict=True):
+            stem, dot, ext = d.rpartition(".")
+            stem, ext = (stem, dot + ext) if stem and "\\" not in ext else (d, "")
+            n = 1
+            while (taken := exists(f"{stem}__dup{n}{ext}")) or left > 1:
+                n, left = n + 1, left - (not taken)
+            out.append(f"{stem}__dup{n}{ext}")
+        return pd.Series(out)
+
+    rows = plan.select(*[F.col(c).cast("string").alias(c) for c in ("path_id", "src", "dst")])
+    seen = rows.mapInPandas(look, f"{schema}, src_exists boolean, dst_exists boolean")
+    checked = written(seen.select("path_id", "src", "dst", move_errors(F.col("src"), F.col("dst"), F.col("src_exists"), F.col("dst_exists"), rename).alias("error")), "checked")
+    if not rename:
+        return checked
+    taken = F.col("error") == "rename_suffix"
+    place = F.row_number().over(W.partitionBy(F.lower("dst")).orderBy("path_id", "src"))
+    named = checked.where(taken).withColumn("dst", free_name("dst", place)).withColumn("_name", F.lower("dst"))
+    named = named.join(checked.select(F.lower("dst").alias("_name"), F.lit("dst_exists").alias("_why")).distinct(), "_name", "left")
+    named = named.select("path_id", "src", "dst", F.col("_why").alias("error"))
+    return written(checked.where(taken.isNull() | ~taken).unionByName(named), "intents")
+
+
+def carry_out(intents: DataFrame, move: Callable[[str, str], None], exists: Callable[[str], bool]) -> DataFrame:
+    """Log (path_id, src, dst, ok, error) of intended moves, made by the tasks and written once. What ``move`` raises becomes the error.
+
+    A task that runs again finds what its first attempt has moved: the source has gone and the destination, which was free when the intent was written, is there. Such a move is done and not made
+    twice, so the log is the same however often tasks are lost.
+    """
+    import pandas as pd
+
+    from tapewright.sources.scratch import written
+
     def act(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for key, src, dst, error in part.itertuples(index=False):
-                if error == "rename_suffix":
-                    stem, dot, ext = dst.rpartition(".")
-                    stem, ext = (stem, dot + ext) if stem and "\\" not in ext else (dst, "")
-                    n = 1
-                    while exists(f"{stem}__dup{n}{ext}"):
-                        n += 1
-                    dst, error = f"{stem}__dup{n}{ext}", None
-                if error is None:
+                if error is None and not (exists(dst) and not exists(src)):
                     try:
                         move(src, dst)
                     except Exception as e:  # the log says so; other moves go on
@@ -201,9 +235,15 @@ def apply_moves(plan: DataFrame, move: Callable[[str, str], None], exists: Calla
                 out.append((key, src, dst, error is None, error))
             yield pd.DataFrame(out, columns=["path_id", "src", "dst", "ok", "error"])
 
-    seen = plan.select(*[F.col(c).cast("string").alias(c) for c in ("path_id", "src", "dst")]).mapInPandas(look, f"{schema}, src_exists boolean, dst_exists boolean")
-    checked = seen.select("path_id", "src", "dst", move_errors(F.col("src"), F.col("dst"), F.col("src_exists"), F.col("dst_exists"), rename).alias("error"))
-    return written(checked.mapInPandas(act, f"{schema}, ok boolean, error string"), "moves")
+    return written(intents.mapInPandas(act, "path_id string, src string, dst string, ok boolean, error string"), "moves")
+
+
+def apply_moves(plan: DataFrame, move: Callable[[str, str], None], exists: Callable[[str], bool], rename: bool = False) -> DataFrame:
+    """Log of a plan's moves (path_id, src, dst, each destination once): first all intents, then the moves.
+
+    move, exists: what moves a file and tells whether one is there; handed in, as they know the machine.
+    """
+    return carry_out(intend_moves(plan, exists, rename), move, exists)
 
 
 def apply_renames(renames: DataFrame, rename: Callable[[str, str], None]) -> list[tuple[str, str, str | None]]:
@@ -230,21 +270,19 @@ def apply_stats(log: DataFrame, order: str, most: int = 20) -> tuple[DataFrame,
 def title_updates(df: DataFrame, changes: DataFrame, most: int = 10_000) -> DataFrame:
     """New titles by instructions (path_pattern with % and _, new_title; the first pattern counts): reviewed by a human from then on. Case is ignored.
 
-    Patterns meet the paths in an equi-join on what stands before their first wildcard, of the lengths that occur; LIKE decides on what is left. Those
-    that begin with a wildcard have nothing to join on and are tried on each path. Instructions are people's, and over ``most`` are refused.
+    Patterns with three literal characters together meet the paths that hold one of their trigrams (``matching.like_candidates``), whatever they begin with, and LIKE decides on
+    what is left; only those with fewer, which have nothing to join on, are tried on each path. Instructions are people's, and over ``most`` are refused.
     """
     if changes.limit(most + 1).count() > most:
         raise ValueError(f"over {most} instructions")
-    anchor = F.lower(F.regexp_extract("path_pattern", "^[^%_~]*", 0))
-    rules = changes.select("path_pattern", "new_title", anchor.alias("_a"), F.length(anchor).alias("_n"))
-    lengths = [r[0] for r in rules.select("_n").distinct().collect() if r[0]]  # a path's length at most
-    like, paths = F.expr("path ilike path_pattern escape '~'"), df.select("path_id", "path")
-    fits = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("path"))
-    keyed = paths.withColumn("_a", F.explode(F.transform(fits, lambda n: F.substring(F.lower("path"), F.lit(1), n))))
-    hit = keyed.join(F.broadcast(rules.where("_n > 0").drop("_n")), "_a").where(like).select("path_id", "path_pattern", "new_title")
-    free = rules.where("_n = 0").select("path_pattern", "new_title")
-    if not free.isEmpty():
-        hit = hit.unionByName(paths.join(F.broadcast(free), like).select("path_id", "path_pattern", "new_title"))
+    rules, like, paths = changes.select("path_pattern", "new_title"), F.expr("path ilike path_pattern escape '~'"), df.select("path_id", "path")
+    keyed = F.length(M.literal_of("path_pattern")) >= 3
+    parts = [M.like_candidates(paths, "path", rules.where(keyed), "path_pattern")]
+    if not (few := rules.where(~keyed)).isEmpty():
+        parts.append(paths.join(F.broadcast(few), like))
+    hit = parts[0].where(like).select("path_id", "path_pattern", "new_title")
+    for part in parts[1:]:
+        hit = hit.unionByName(part.select("path_id", "path_pattern", "new_title"))
     best = hit.groupBy("path_id").agg(F.min_by("new_title", "path_pattern").alias("new_title"))
     out = df.join(best, "path_id", "left").withColumn("_c", F.col("new_title").isNotNull())
     return out.withColumns({"program_title": F.coalesce("new_title", "program_title"), "source": F.when(F.col("_c"), "human_reviewed").otherwise(F.col("source")), "human_reviewed": F.when(F.col("_c"), 1).otherwise(F.col("human_reviewed")), "needs_review": F.when(F.col("_c"), 0).otherwise(F.col("needs_review"))}).drop("_c", "new_title")
