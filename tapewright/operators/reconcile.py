@@ -36,6 +36,18 @@ def drive_map(pairs: dict[str, str]) -> dict[str, str]:
     return {clean(k): clean(v) for k, v in pairs.items() if k.strip() and v.strip()}
 
 
+def drive(text: Column) -> Column:
+    """A drive letter with colon, upper case, of a key such as ``d``, ``D:`` or ``D:\\``."""
+    return F.concat(F.upper(F.regexp_replace(F.regexp_replace(F.trim(text), r"[\\/]+$", ""), ":+$", "")), F.lit(":"))
+
+
+def remap_drives(df: DataFrame, path: str, pairs: DataFrame) -> DataFrame:
+    """``old_path``: the path under its old drive by a table (new, old) of drives, null if its drive isn't there; of several pairs of a drive the least counts."""
+    known = pairs.where((F.trim("new") != "") & (F.trim("old") != "")).select(drive(F.col("new")).alias("_d"), drive(F.col("old")).alias("_o")).groupBy("_d").agg(F.min("_o").alias("_o"))
+    out = df.withColumn("_d", F.upper(F.substring(path, 1, 2))).join(known, "_d", "left")
+    return out.withColumn("old_path", F.concat("_o", F.substring(path, 3, 1 << 30))).drop("_d", "_o")
+
+
 def remap_drive(path: Column, pairs: dict[str, str]) -> Column:
     """The path under its old drive, null if its drive isn't in the map (new to old)."""
     table = F.create_map(*[F.lit(x) for kv in drive_map(pairs).items() for x in kv]) if pairs else F.lit(None).cast("map<string,string>")

@@ -75,6 +75,11 @@ def gate(raw: bool, changed: int, risky: int, allow: bool) -> str | None:
     return "rows_still_need_review" if risky and not allow else None
 
 
+def refusal(raw: Column, changed: Column, risky: Column, allow: Column) -> Column:
+    """``gate`` of each row."""
+    return F.when(raw, "raw_extraction_file").when(changed == 0, "no_changes").when((risky > 0) & ~allow, "rows_still_need_review")
+
+
 def newest(df: DataFrame, group: str, when: str, name: str, n: int) -> DataFrame:
     """The newest ``n`` of each group, ties by name, with ``action``: keep those, rotate others."""
     place = F.row_number().over(W.partitionBy(group).orderBy(F.desc(when), name))

@@ -1,11 +1,16 @@
-"""Review documents for people: written from small tables, read back into rules and decisions."""
+"""Review documents for people: written from tables, read back into rules and decisions.
+
+A document is one file on the driver (``write_titles``, ``write_groups``), or a folder of parts that the tasks write and read (``write_parts``): each part is a list of YAML items in the order of the
+table, of at most a set number of rows, and the committed folder has a ``_SUCCESS`` mark. People edit parts in place.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _rows(df: DataFrame) -> Iterator[dict]:
@@ -54,6 +59,68 @@ def read_groups(path: str) -> list[tuple[str, str, str]]:
     return [(g["group_key"], c["path_id"], c["decision"]) for g in raw.get("groups", []) for c in g.get("candidates", [])]
 
 
+def write_parts(df: DataFrame, folder: str, rows: int = 5000) -> None:
+    """Each row of ``df`` as a YAML item, in parts of at most ``rows`` items."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def item(text):
+        import json
+
+        import yaml
+
+        dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
+        return pd.Series([yaml.dump([json.loads(t)], Dumper=dumper, allow_unicode=True, sort_keys=False).rstrip("\n") for t in text])
+
+    df.select(item(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value")).write.option("maxRecordsPerFile", rows).text(folder)
+
+
+def read_parts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Items of such a folder, edited or not, as rows of ``schema``. An edited part that is no list is an error."""
+    import pandas as pd
+
+    @F.pandas_udf("array<string>")
+    def items(text):
+        import json
+
+        import yaml
+
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        out = []
+        for t in text:
+            found = yaml.load(t.removeprefix("\ufeff"), Loader=loader) or []
+            if not isinstance(found, list):
+                raise ValueError("a part of a review document must be a list")
+            out.append([json.dumps(x, ensure_ascii=False, default=str) for x in found])
+        return pd.Series(out)
+
+    texts = spark.read.text(folder, wholetext=True)
+    return texts.select(F.explode(items("value")).alias("t")).select(F.from_json("t", schema).alias("r")).select("r.*")
+
+
+def title_parts(stats: DataFrame, folder: str) -> None:
+    """``write_titles`` in parts."""
+    known = stats.where("program_title <> 'UNKNOWN'").orderBy(F.desc("n_rows"), "program_title")
+    write_parts(known.select(F.col("program_title").alias("canonical_title"), F.array("program_title").alias("aliases"), F.col("n_rows").alias("count"), F.col("n_review").alias("needs_review"), "cohort", "samples"), folder)
+
+
+def title_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(alias, title, cohort) of an edited document in parts; of an alias that several titles have the greatest title counts."""
+    read = read_parts(spark, folder, "canonical_title string, aliases array<string>, cohort string")
+    return read.select(F.explode("aliases").alias("alias"), F.struct(F.col("canonical_title").alias("title"), "cohort").alias("t")).groupBy("alias").agg(F.max("t").alias("t")).select("alias", "t.title", "t.cohort")
+
+
+def group_parts(groups: DataFrame, folder: str) -> None:
+    """``write_groups`` in parts."""
+    write_parts(groups, folder)
+
+
+def group_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(group_key, path_id, decision) rows of an edited document in parts."""
+    read = read_parts(spark, folder, "group_key string, candidates array<struct<path_id:string,decision:string>>")
+    return read.select("group_key", F.explode("candidates").alias("c")).select("group_key", "c.path_id", "c.decision")
+
+
 #: How the files of extracted rows and of their reviews are named.
 EXTRACTED, REVIEW, OTHER = "llm_filename_extract_output_", "program_aliases_review_{}.yaml", "{}_review.yaml"
 
@@ -63,3 +130,12 @@ def output_name(source: str) -> str:
     path = Path(source)
     extracted = path.name.startswith(EXTRACTED) and path.suffix == ".jsonl"
     return str(path.with_name(REVIEW.format(path.stem[len(EXTRACTED) :]) if extracted else OTHER.format(path.stem)))
+
+
+def output_names(source: Column) -> Column:
+    """``output_name`` of each row."""
+    folder, name = F.regexp_extract(source, r"^(.*/)?([^/]*)$", 1), F.regexp_extract(source, r"^(.*/)?([^/]*)$", 2)
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    extracted = name.startswith(EXTRACTED) & name.endswith(".jsonl")
+    before, after = REVIEW.split("{}")
+    return F.concat(folder, F.when(extracted, F.concat(F.lit(before), F.substring(stem, len(EXTRACTED) + 1, 1 << 30), F.lit(after))).otherwise(F.concat(stem, F.lit(OTHER.replace("{}", "")))))

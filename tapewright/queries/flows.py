@@ -50,7 +50,7 @@ def hash_ingest(t: Tables) -> DataFrame:
 
 
 @query("""
-with r as (select o_orderkey as path_id, concat('k', cast(o_custkey as varchar)) as k, strftime(o_orderdate, '%Y-%m-%d') as d, o_orderstatus as b, case o_orderkey % 3 when 0 then true when 1 then false end as f from orders where o_custkey < 200),
+with r as (select o_orderkey as path_id, concat('k', cast(o_custkey as varchar)) as k, strftime(o_orderdate, '%Y-%m-%d') as d, o_orderstatus as b, case o_orderkey % 3 when 0 then true when 1 then false end as f from orders),
 g as (select k from r group by 1 having count(*) >= 2 and (count(distinct d) > 1 or count(distinct b) > 1)),
 s as (select k, bool_or(f) as any_true, bool_or(f is not null) as known, arg_min(path_id, struct_pack(a := d, b := lpad(cast(path_id as varchar), 12, '0'))) as title from r group by 1)
 select cast(path_id as varchar) as path_id, substr(sha256(k), 1, 16) as group_id, case when coalesce(any_true, false) then case when coalesce(f, false) then 'rebroadcast' else 'original' end when known then 'original' else 'unknown' end as broadcast_type, concat('T', cast(title as varchar)) as program_title
@@ -58,7 +58,7 @@ from r join g using (k) join s using (k)
 """)
 def group_ingest(t: Tables) -> DataFrame:
     n = F.col("o_orderkey")
-    rows = t.orders.where("o_custkey < 200").select(F.lpad(n.cast("string"), 12, "0").alias("path_id"), F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("episode_key"), F.concat(F.lit("T"), n.cast("string")).alias("program_title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("air_date"), F.col("o_orderstatus").alias("broadcaster"), F.when(n % 3 == 0, True).when(n % 3 == 1, False).alias("flag"))
+    rows = t.orders.select(F.lpad(n.cast("string"), 12, "0").alias("path_id"), F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("episode_key"), F.concat(F.lit("T"), n.cast("string")).alias("program_title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("air_date"), F.col("o_orderstatus").alias("broadcaster"), F.when(n % 3 == 0, True).when(n % 3 == 1, False).alias("flag"))
     groups, members = ingest.group_batches(rows, "t")
     return members.join(groups.select("group_id", "program_title"), "group_id").select(F.col("path_id").cast("long").cast("string").alias("path_id"), "group_id", "broadcast_type", "program_title")
 

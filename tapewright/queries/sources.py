@@ -186,18 +186,16 @@ def review_titles(t: Tables) -> DataFrame:
     return read.join(stats.select(F.col("program_title").alias("alias"), "n_rows", "n_review"), "alias").select("title", "n_rows", "n_review", "cohort")
 
 
-@query("select concat('g', cast(o_custkey as varchar)) as group_key, cast(o_orderkey as varchar) as path_id, case when o_orderkey % 3 = 0 then 'drop' else 'keep' end as decision from orders where o_custkey in (select o_custkey from orders where o_orderkey % 3 = 0) and o_custkey < 100")
+@query("select concat('g', cast(o_custkey as varchar)) as group_key, cast(o_orderkey as varchar) as path_id, case when o_orderkey % 3 = 0 then 'drop' else 'keep' end as decision from orders where o_custkey in (select o_custkey from orders where o_orderkey % 3 = 0)")
 def review_groups(t: Tables) -> DataFrame:
     """Groups with drops written for people and read back."""
     from tapewright.operators import dedup
 
     key = F.concat(F.lit("g"), F.col("o_custkey").cast("string"))
-    plan = t.orders.where("o_custkey < 100").select(key.alias("group_key"), F.col("o_orderkey").cast("string").alias("path_id"), F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("size_bytes"), F.when(F.col("o_orderkey") % 3 == 0, "drop").otherwise("keep").alias("decision"))
-    path = _local("")
-    reviews.write_groups(dedup.review_groups(plan), path)
-    rows = reviews.read_groups(path)
-    os.unlink(path)
-    return t.spark.createDataFrame(rows, "group_key string, path_id string, decision string")
+    plan = t.orders.select(key.alias("group_key"), F.col("o_orderkey").cast("string").alias("path_id"), F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("size_bytes"), F.when(F.col("o_orderkey") % 3 == 0, "drop").otherwise("keep").alias("decision"))
+    folder = scratch.folder(t.spark, "groups")
+    reviews.group_parts(dedup.review_groups(plan), folder)
+    return reviews.group_rows(t.spark, folder)
 
 
 @query("select cast(n_nationkey as varchar) as file_id, cast(n_regionkey as bigint) as size_bytes, cast(null as varchar) as content_hash, cast(null as bigint) as width from nation")

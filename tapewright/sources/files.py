@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.functions import text as X
@@ -16,6 +16,13 @@ def extensions(given: list[str]) -> list[str]:
     return sorted({"." + e.strip().lower().removeprefix(".") for e in given if e and e.strip()})
 
 
+def extension_set(given: Column) -> Column:
+    """``extensions`` of an array of each row."""
+    clean = F.transform(given, lambda e: F.regexp_replace(F.lower(F.trim(e)), r"^\.", ""))
+    kept = F.filter(F.arrays_zip(given.alias("g"), clean.alias("c")), lambda x: F.trim(x["g"]) != "")
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.concat(F.lit("."), x["c"]))))
+
+
 SCAN = "kind string, root string, path string, size long, mtime timestamp, corrupt boolean, corrupt_reason string, code string, message string"
 
 

@@ -1,10 +1,18 @@
-"""Rule files on the driver: small ordered lists that become expressions or broadcast tables."""
+"""Rule files: small ordered lists that become expressions on the driver, or tables, parsed by the tasks, whatever their number and size.
+
+``rows`` makes a table of the texts of many files: a row for each alias, rule, pattern and list item, with the file's number and the place in it; the tables below follow from it by
+``max_by`` where later ones win.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from tapewright.plans.moves import Route, Routes
 
 
@@ -73,3 +81,71 @@ def hints(paths: list[str]) -> tuple[dict[str, str], list[dict], dict[str, int]]
             if r.get("enabled", True):
                 rules.append({"regex": r["match"]["regex"], "field": r["match"].get("field", "base"), "title": r["set"]["program_title"]})
     return aliases, rules, seen
+
+
+def files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, path, text) of rule files that Spark reads, by their number in the list; a missing one has null text."""
+    found = spark.createDataFrame([], "file int, path string, text string")
+    for i, p in enumerate(paths):  # people's lists of files, a few
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        one = spark.read.text(p, wholetext=True).agg(F.first("value").alias("text")) if there else spark.range(1).select(F.lit(None).cast("string").alias("text"))
+        found = found.unionByName(one.select(F.lit(i).alias("file"), F.lit(p).alias("path"), "text"))
+    return found
+
+
+def _parsed(text: str) -> Iterator[tuple]:
+    """(kind, name, value, field) of what a rule file says, in its order."""
+    import yaml
+
+    raw = yaml.load(text.removeprefix("\ufeff"), Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or {}
+    for h in raw.get("hints") or []:
+        for alias in [h["canonical_title"], *(h.get("aliases") or [])]:
+            yield "alias", re.sub(r"\s+", " ", alias).strip().lower(), h["canonical_title"], None
+    for r in raw.get("rules") or []:
+        if "match" in r:
+            if r.get("enabled", True):
+                yield "rule", r["match"]["regex"], r["set"]["program_title"], r["match"].get("field", "base")
+        elif isinstance(r.get("franchise"), str) and isinstance(r.get("title_patterns"), list):
+            for pattern in r["title_patterns"]:
+                if isinstance(pattern, str):
+                    yield "franchise", r["franchise"], pattern, None
+    for r in raw.get("routes") or []:
+        if r.get("genre"):
+            yield "route", str(r["genre"]), str(r.get("dest_root") or ""), str(r.get("layout") or "by_program_year_month")
+            for pattern in r.get("title_patterns") or ():
+                yield "route_title", str(r["genre"]), str(pattern), None
+
+
+def _listed(text: str) -> Iterator[tuple]:
+    for key, items in simple_lists(text).items():
+        for item in items:
+            yield "item", key, item, None
+
+
+def rows(texts: DataFrame, lists: bool = False) -> DataFrame:
+    """(file, place, kind, name, value, field) of rule files (file, text); null texts have none. With ``lists`` the files are ``simple_lists``. A file that can't be read is an error."""
+    import pandas as pd
+
+    parse = _listed if lists else _parsed
+
+    @F.pandas_udf("array<struct<kind:string,name:string,value:string,field:string>>")
+    def parsed(text):
+        return pd.Series([[] if t is None else [dict(zip(("kind", "name", "value", "field"), x, strict=True)) for x in parse(t)] for t in text])
+
+    return texts.select("file", F.posexplode(parsed("text")).alias("place", "r")).select("file", "place", "r.*")
+
+
+def alias_table(found: DataFrame) -> DataFrame:
+    """(alias, title): of an alias that several hints have the last, by file and place."""
+    return found.where("kind = 'alias'").groupBy(F.col("name").alias("alias")).agg(F.max_by("value", F.struct("file", "place")).alias("title"))
+
+
+def rule_table(found: DataFrame) -> DataFrame:
+    """(file, place, regex, field, title) of the rules that are on."""
+    return found.where("kind = 'rule'").select("file", "place", F.col("name").alias("regex"), "field", F.col("value").alias("title"))
+
+
+def franchise_table(found: DataFrame) -> DataFrame:
+    """(franchise, pattern, file, place) of series rules."""
+    return found.where("kind = 'franchise'").select(F.col("name").alias("franchise"), F.col("value").alias("pattern"), "file", "place")
