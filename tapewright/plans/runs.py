@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewright.operators.prefixes import longest_prefix
 from tapewright.sources.scratch import written
 
 GATE = "struct<id:string,type:string,status:string,artifact_ids:array<string>>"
-ARTIFACT = "struct<id:string,type:string,path:string,sha256:string,stage:string>"
+ARTIFACT = "struct<id:string,type:string,path:string,sha256:string,status:string>"
 MANIFEST = f"run_id string, flow string, phase string, gates map<string,{GATE}>, artifacts map<string,{ARTIFACT}>"
 
 
@@ -44,6 +45,44 @@ def dangling(runs: DataFrame) -> DataFrame:
     return waits.join(runs.select("run_id", F.explode(F.map_keys("artifacts")).alias("artifact_id")), ["run_id", "artifact_id"], "left_anti").select("run_id", "gate", "artifact_id")
 
 
+def _gate(status: list[str], type: str | None = None) -> Column:
+    """Whether the run has a gate of such a status."""
+    return F.coalesce(F.exists(F.map_values("gates"), lambda g: g["status"].isin(*status) & (F.lit(True) if type is None else g["type"] == type)), F.lit(False))
+
+
+def _current(type: Column | str) -> Column:
+    return F.coalesce(F.exists(F.map_values("artifacts"), lambda a: (a["status"] == "current") & (a["type"] == type)), F.lit(False))
+
+
+def next_steps(held: DataFrame) -> DataFrame:
+    """``follow_up`` of each run, what a person or caller does next (as ``workflow.Run.follow_ups`` of one), null for nothing: by flow, phase, open gates and current artefacts."""
+    source = F.col("flow") == "source_root"
+    reviewed = F.when(source, F.when(_gate(["open"], "metadata_review"), "review_metadata")).when(_gate(["open"], "relocate_metadata_review"), "review_relocate_metadata")
+    reviewed = reviewed.when(_current("relocate_metadata_queue") | _current("relocate_diagnostics"), "prepare_relocate_metadata")
+    planned = F.when(_current(F.when(source, "source_root_move_plan").otherwise("relocate_plan")), "review_plan")
+    return held.withColumn("follow_up", F.when(F.col("phase") == "plan_ready", planned).when(F.col("phase") == "review_required", reviewed))
+
+
+def apply_checks(held: DataFrame, artifact: str, flow: str, plan_type: str, files: DataFrame) -> DataFrame:
+    """``apply`` of each run: ok if its plan may be applied now, else the first check that fails (as ``workflow.Run.check_apply`` of one). files: (path, sha256) of what is there."""
+    plan = F.get(F.array(F.col("artifacts")[artifact]), F.lit(0))
+    out = held.withColumn("_plan", plan).withColumn("_path", F.col("_plan.path")).join(files.groupBy(F.col("path").alias("_path")).agg(F.max("sha256").alias("_sha")), "_path", "left")
+    refused = (
+        F.when(~F.col("flow").eqNullSafe(F.lit(flow)), "wrong_flow").when(~F.col("phase").eqNullSafe(F.lit("plan_ready")), "wrong_phase").when(_gate(["open", "rejected"]), "blocking_gate")
+        .when(F.col("_plan").isNull(), "unknown_artifact").when(~F.col("_plan.type").eqNullSafe(F.lit(plan_type)), "wrong_artifact_type").when(~F.col("_plan.status").eqNullSafe(F.lit("current")), "stale_artifact")
+        .when(F.col("_sha").isNull(), "artifact_missing").when(~F.col("_sha").eqNullSafe(F.col("_plan.sha256")), "checksum_mismatch").otherwise("ok")
+    )
+    return out.withColumn("apply", refused).drop("_plan", "_path", "_sha")
+
+
+def illegal_steps(events: DataFrame) -> DataFrame:
+    """Rows (run_id, at, before, after) of phase changes that aren't allowed, by the table of transitions."""
+    from tapewright.plans.workflow import TRANSITIONS
+
+    pairs = events.sparkSession.createDataFrame([(a, b) for a, after in TRANSITIONS.items() for b in after], "before string, after string")
+    return events.join(F.broadcast(pairs), ["before", "after"], "left_anti")
+
+
 def archive_actions(files: DataFrame, prefixes: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
     """``action`` for each log (name, mtime, packed): the newest ``keep`` of each prefix stay, ties by name, others are packed; packed ones older than ``ttl_days`` go.
 
@@ -51,8 +90,6 @@ def archive_actions(files: DataFrame, prefixes: DataFrame, now: Column, ttl_days
     each task, so a prefix may hold most files.
     """
     rows = written(files.withColumn("_id", F.monotonically_increasing_id()), "logs")
-    from tapewright.operators.prefixes import longest_prefix
-
     under = longest_prefix(rows.where("not packed"), "_id", "name", prefixes.select(F.col("prefix").alias("norm"), F.col("prefix").alias("title")), extra=0)
     live = rows.where("not packed").join(under.withColumnRenamed("title", "prefix"), "_id").join(prefixes.groupBy("prefix").agg(F.max("keep").alias("keep")), "prefix")
     most = prefixes.agg(F.max("keep")).first()[0] or 0

@@ -69,17 +69,3 @@ def by_case(table: str, key: str, given: list[tuple], want: list[tuple], names:
         return f
 
     return register
-
-
-def listed(given: list, want: list[tuple], names: str, schema: str):
-    """Registers a function of a session and a given value, on the driver, whose results are rows of a table."""
-
-    def register(f):
-        def run(t: Tables) -> DataFrame:
-            return t.spark.createDataFrame([(i, *f(g)) for i, g in enumerate(given)], f"i int, {schema}")
-
-        run.__name__ = f.__name__
-        query(f"select cast(i as int) as i, {names} from {values(want, names)}")(run)
-        return f
-
-    return register

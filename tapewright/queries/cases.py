@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tapewright.functions import dates as D
 from tapewright.functions import text as X
 from tapewright.functions import values as V
-from tapewright.operators import reconcile, resolve, review
-from tapewright.plans import moves, reviews
-from tapewright.queries.base import by_case, listed
-from tapewright.sources import files, guide, rules
+from tapewright.operators import reconcile, resolve
+from tapewright.plans import moves
+from tapewright.queries.base import by_case
+from tapewright.sources import guide
 
 
 def _joined(array, by: str = ","):
@@ -197,54 +197,3 @@ def case_franchise(title, path):
 )
 def case_first_alias(c):
     return resolve.first_alias(c, [("show", "S"), ("two", "T")])
-
-
-@listed([["MP4", ".ts", " mp4 ", ""], [".M2TS", "avi"], []], [(".mp4,.ts",), (".avi,.m2ts",), ("",)], "exts", "exts string")
-def case_extensions(given):
-    return (",".join(files.extensions(given)),)
-
-
-@listed([{"d": "e", "F:": "g:\\"}, {" ": "x"}, {"x": "y/"}], [("D:=E:,F:=G:",), ("",), ("X:=Y:",)], "pairs", "pairs string")
-def case_drive_map(given):
-    return (",".join(f"{k}={v}" for k, v in sorted(reconcile.drive_map(given).items())),)
-
-
-@listed(["/x/llm_filename_extract_output_0001.jsonl", "/x/rows.jsonl", "a.b.jsonl"], [("/x/program_aliases_review_0001.yaml",), ("/x/rows_review.yaml",), ("a.b_review.yaml",)], "path", "path string")
-def case_review_path(given):
-    return (reviews.output_name(given),)
-
-
-@listed(
-    [(1, 0, 0, 0), (0, 1, 0, 0), (5, 0, 2, 0), (0, 0, 0, 2), (0, 0, 0, 0), (3, 0, 0, 4)],
-    [("plan_ready",), ("review_required",), ("review_required",), ("metadata_missing",), ("nothing_to_do",), ("plan_ready",)], "outcome", "outcome string",
-)
-def case_relocate_outcome(given):
-    return (moves.outcome(*given),)
-
-
-@listed(
-    [(True, 1, 0, False), (False, 0, 0, False), (False, 2, 1, False), (False, 2, 1, True), (False, 2, 0, False)],
-    [("raw_extraction_file",), ("no_changes",), ("rows_still_need_review",), (None,), (None,)], "refusal", "refusal string",
-)
-def case_review_gate(given):
-    return (review.gate(*given),)
-
-
-_LISTS = ["a:\n- x\n- 'y z'\nb: 5\n", "# c\nk:\n  - \"q\"\n\nk2: text\n", "- orphan", "a: 1\n- x"]
-
-
-def _lists(text: str, scalars: bool) -> tuple[str]:
-    try:
-        return (str(sorted(rules.simple_lists(text, scalars).items())),)
-    except ValueError:
-        return ("error",)
-
-
-@listed(_LISTS, [("[('a', ['x', 'y z']), ('b', [])]",), ("[('k', ['q']), ('k2', [])]",), ("error",), ("error",)], "found", "found string")
-def case_rule_lists(given):
-    return _lists(given, False)
-
-
-@listed(_LISTS, [("[('a', ['x', 'y z']), ('b', 5)]",), ("[('k', ['q']), ('k2', 'text')]",), ("error",), ("error",)], "found", "found string")
-def case_rule_scalars(given):
-    return _lists(given, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapewright.operators import dedup, merge, reconcile, review
@@ -110,6 +111,49 @@ def newest_runs(t: Tables) -> DataFrame:
     return runs.recent(_manifests(t), 20).select("run_id", "flow", "place")
 
 
+@query("""
+with l as (select l_orderkey, l_linenumber, min(case when l_linestatus = 'O' then 'open' when l_quantity > 45 then 'rejected' else 'approved' end || '|' || case l_returnflag when 'R' then 'metadata_review' when 'A' then 'relocate_metadata_review' else 'review' end) as g from lineitem group by all),
+g as (select l_orderkey, bool_or(g like 'open|%' or g like 'rejected|%') as blocked, bool_or(g = 'open|metadata_review') as a, bool_or(g = 'open|relocate_metadata_review') as b from l group by 1),
+r as (select o_orderkey, case when o_custkey % 2 = 0 then 'source_root' else 'relocate' end as flow, case o_orderstatus when 'F' then 'complete' when 'O' then 'plan_ready' else 'review_required' end as phase,
+  case when o_custkey % 3 = 0 then 'relocate_plan' else 'source_root_move_plan' end as kind, o_orderpriority = '5-LOW' as stale, o_orderpriority = '1-URGENT' as queue, o_orderkey % 7 as f, coalesce(blocked, false) as blocked, coalesce(a, false) as a, coalesce(b, false) as b from orders left join g on l_orderkey = o_orderkey)
+select concat('run', cast(o_orderkey as varchar)) as run_id,
+  case phase when 'plan_ready' then case when not stale and kind = case flow when 'source_root' then 'source_root_move_plan' else 'relocate_plan' end then 'review_plan' end
+    when 'review_required' then case when flow = 'source_root' then case when a then 'review_metadata' end when b then 'review_relocate_metadata' when queue then 'prepare_relocate_metadata' end end as follow_up,
+  case when flow <> 'source_root' then 'wrong_flow' when phase <> 'plan_ready' then 'wrong_phase' when blocked then 'blocking_gate' when kind <> 'source_root_move_plan' then 'wrong_artifact_type' when stale then 'stale_artifact' when f = 0 then 'artifact_missing' when f = 1 then 'checksum_mismatch' else 'ok' end as apply
+from r
+""")
+def run_steps(t: Tables) -> DataFrame:
+    """What follows for each order's run, and whether its plan may be applied: some plans' files have gone or changed."""
+    status = F.when(F.col("l_linestatus") == "O", "open").when(F.col("l_quantity") > 45, "rejected").otherwise("approved")
+    kind = F.when(F.col("l_returnflag") == "R", "metadata_review").when(F.col("l_returnflag") == "A", "relocate_metadata_review").otherwise("review")
+    gate = F.struct(F.col("l_linenumber").cast("string").alias("k"), F.struct(status.alias("status"), kind.alias("type")).alias("v"))
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(gate).alias("g")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list("g")).alias("gates"))
+    n, path = F.col("o_orderkey"), F.concat(F.lit("plans/"), F.col("o_orderkey").cast("string"))
+    plan = F.struct(F.when(F.col("o_custkey") % 3 == 0, "relocate_plan").otherwise("source_root_move_plan").alias("type"), F.when(F.col("o_orderpriority") == "5-LOW", "superseded").otherwise("current").alias("status"), path.alias("path"), F.sha2(path, 256).alias("sha256"))
+    queue = F.struct(F.lit("relocate_metadata_queue").alias("type"), F.when(F.col("o_orderpriority") == "1-URGENT", "current").otherwise("superseded").alias("status"), F.lit("q").alias("path"), F.lit("").alias("sha256"))
+    run = F.struct(
+        F.concat(F.lit("run"), n.cast("string")).alias("run_id"), F.when(F.col("o_custkey") % 2 == 0, "source_root").otherwise("relocate").alias("flow"), F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "plan_ready").otherwise("review_required").alias("phase"),
+        "gates", F.create_map(F.lit("plan"), plan, F.lit("queue"), queue).alias("artifacts"),
+    )
+    held = t.orders.join(lines, F.col("l_orderkey") == n, "left").select(F.lit("x").alias("name"), F.col("o_orderdate").alias("changed_at"), F.to_json(run).alias("value"))
+    files = t.orders.where(n % 7 != 0).select(path.alias("path"), F.sha2(F.when(n % 7 == 1, "changed").otherwise(path), 256).alias("sha256"))
+    return runs.apply_checks(runs.next_steps(runs.parsed(held)), "plan", "source_root", "source_root_move_plan", files).select("run_id", "follow_up", "apply")
+
+
+@query("""
+with e as (select user_id, event_id, case event_type when 'view' then 'created' when 'click' then 'plan_ready' when 'purchase' then 'applied' when 'error' then 'failed' else 'complete' end as phase from events),
+s as (select user_id, event_id, lag(phase) over (partition by user_id order by event_id) as before, phase as after from e),
+a(before, after) as (values ('created', 'plan_ready'), ('created', 'failed'), ('plan_ready', 'applied'), ('plan_ready', 'complete'), ('plan_ready', 'failed'), ('applied', 'complete'), ('applied', 'failed'))
+select user_id, event_id, before, after from s anti join a using (before, after) where before is not null
+""")
+def illegal_steps(t: Tables) -> DataFrame:
+    """Users' events as phases of runs: the changes that a run may not make."""
+    kind = F.col("event_type")
+    phase = F.when(kind == "view", "created").when(kind == "click", "plan_ready").when(kind == "purchase", "applied").when(kind == "error", "failed").otherwise("complete")
+    steps = t.events.select("user_id", "event_id", F.lag(phase).over(W.partitionBy("user_id").orderBy("event_id")).alias("before"), phase.alias("after")).where("before is not null")
+    return runs.illegal_steps(steps).select("user_id", "event_id", "before", "after")
+
+
 @query("""
 with f as (select o_orderkey, concat('log', cast(o_custkey % 40 as varchar), '_', cast(o_orderkey as varchar)) as name, o_orderdate as mtime, o_orderstatus = 'F' as packed from orders),
 p(prefix, keep) as (values ('log1', 5), ('log12', 2), ('log2', 0), ('log3_', 1)),

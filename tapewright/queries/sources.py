@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.operators import catalog
-from tapewright.plans import reviews, snapshots, workflow
+from tapewright.plans import reviews, runs, snapshots
 from tapewright.queries.base import Tables, query
 from tapewright.sources import files, guide, jsonl, rules, scratch
 from tapewright.streaming import ingest
@@ -136,40 +134,24 @@ def hash_report(t: Tables) -> DataFrame:
     return jsonl.hash_report(t.spark, file)
 
 
-def _local(text: str) -> str:
-    """A small file on the driver, which rules are read from."""
-    with tempfile.NamedTemporaryFile("w", suffix=".yaml", delete=False) as f:
-        f.write(text)
-    return f.name
-
-
 @query("select lower(n_name) as alias, r_name as title from nation join region on r_regionkey = n_regionkey union select lower(r_name), r_name from region where r_name <> 'ASIA' union all select 'asia', 'Last'")
 def hint_aliases(t: Tables) -> DataFrame:
-    """Aliases of titles from two files, of which the later wins; a missing one is passed over."""
-    import yaml
-
-    names = {r.r_regionkey: r.r_name for r in t.region.collect()}
-    found: dict = {}
-    for r in t.nation.collect():
-        found.setdefault(names[r.n_regionkey], []).append(f" {r.n_name} ")
-    first = yaml.safe_dump({"hints": [{"canonical_title": k, "aliases": v} for k, v in found.items()], "rules": [{"match": {"regex": "x"}, "set": {"program_title": "T"}}, {"match": {"regex": "y"}, "set": {"program_title": "U"}, "enabled": False}]})
-    paths = [_local(first), _local("hints:\n- canonical_title: Last\n  aliases: [ASIA]\n"), "/none/such.yaml"]
-    aliases, ordered, seen = rules.hints(paths)
-    for p in paths[:2]:
-        os.unlink(p)
-    extra = [] if (len(ordered), seen) == (1, {"loaded": 2, "missing": 1}) else [("wrong", str(seen))]
-    return t.spark.createDataFrame([x for x in aliases.items() if x[0] != "last"] + extra, "alias string, title string")
+    """Aliases of titles from two sets of files, of which the later wins; a missing file has nothing."""
+    named = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("  - ' "), "n_name", F.lit(" '\n")))), "")
+    first = named.groupBy("r_name").agg(lines.alias("x")).select(F.lit(0).alias("file"), F.concat(F.lit("hints:\n- canonical_title: "), "r_name", F.lit("\n  aliases:\n"), "x", F.lit("rules:\n- match: {regex: x}\n  set: {program_title: T}\n")).alias("text"))
+    last = t.region.where("r_name = 'ASIA'").select(F.lit(1).alias("file"), F.concat(F.lit("hints:\n- canonical_title: Last\n  aliases: ["), "r_name", F.lit("]\n")).alias("text"))
+    texts = first.unionByName(last).unionByName(t.region.select(F.lit(2).alias("file"), F.lit(None).cast("string").alias("text")))
+    return rules.alias_table(rules.rows(texts)).where("alias <> 'last'")
 
 
 @query("select r_name as franchise, cast(count(*) as int) as n from region join nation on r_regionkey = n_regionkey group by 1")
 def franchise_rules(t: Tables) -> DataFrame:
-    import yaml
-
-    found = [{"franchise": r.r_name, "title_patterns": [n.n_name for n in t.nation.where(F.col("n_regionkey") == r.r_regionkey).collect()] + [5]} for r in t.region.collect()]
-    path = _local(yaml.safe_dump({"rules": [*found, {"franchise": 3, "title_patterns": []}, {"franchise": "x"}]}))
-    made = rules.franchises(path)
-    os.unlink(path)
-    return t.spark.createDataFrame([(f, len(p)) for f, p in made], "franchise string, n int")
+    """Series rules of each region, with its nations as patterns, among others that say nothing."""
+    named = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
+    text = F.concat(F.lit("rules:\n- franchise: "), "r_name", F.lit("\n  title_patterns: ["), F.array_join(F.collect_list("n_name"), ", "), F.lit(", 5]\n- franchise: 3\n  title_patterns: []\n- franchise: x\n"))
+    found = rules.franchise_table(rules.rows(named.groupBy("r_name").agg(text.alias("text")).select(F.lit(0).alias("file"), "text")))
+    return found.groupBy("franchise").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 @query("select c_mktsegment as title, count(*) as n_rows, cast(count(*) filter (c_acctbal < 0) as bigint) as n_review, substr(sha256(string_agg(c_name, chr(10) order by c_name)), 1, 16) as cohort from customer group by 1")
@@ -178,12 +160,9 @@ def review_titles(t: Tables) -> DataFrame:
     from tapewright.operators import review
 
     stats = review.title_stats(t.customer.withColumn("program_title", F.col("c_mktsegment")), "program_title", F.col("c_acctbal") < 0, "c_name", "c_address" if "c_address" in t.customer.columns else "c_name", "c_custkey")
-    path = _local("")
-    reviews.write_titles(stats, path, "customers")
-    aliases, cohorts = reviews.read_titles(path)
-    os.unlink(path)
-    read = t.spark.createDataFrame([(a, title, cohorts[title]) for a, title in aliases.items()], "alias string, title string, cohort string")
-    return read.join(stats.select(F.col("program_title").alias("alias"), "n_rows", "n_review"), "alias").select("title", "n_rows", "n_review", "cohort")
+    folder = scratch.folder(t.spark, "titles")
+    reviews.title_parts(stats, folder)
+    return reviews.title_rows(t.spark, folder).join(stats.select(F.col("program_title").alias("alias"), "n_rows", "n_review"), "alias").select("title", "n_rows", "n_review", "cohort")
 
 
 @query("select concat('g', cast(o_custkey as varchar)) as group_key, cast(o_orderkey as varchar) as path_id, case when o_orderkey % 3 = 0 then 'drop' else 'keep' end as decision from orders where o_custkey in (select o_custkey from orders where o_orderkey % 3 = 0)")
@@ -231,16 +210,11 @@ def restored_version(t: Tables) -> DataFrame:
 @query("select concat('run', cast(r_regionkey as varchar)) as run_id, cast(row_number() over (order by r_regionkey desc) as int) as place, case when r_regionkey % 2 = 0 then 'gate' end as gate from region order by r_regionkey desc limit 3")
 def recent_runs(t: Tables) -> DataFrame:
     """The newest three manifests of runs, with their open gates."""
-    with tempfile.TemporaryDirectory() as folder:
-        store = workflow.Store(folder)
-        for r in t.region.collect():
-            run = workflow.Run(f"run{r.r_regionkey}", "relocate")
-            if r.r_regionkey % 2 == 0:
-                run.open_gate("gate", "review", [], "t")
-            store.save(run)
-            os.utime(f"{folder}/{run.run_id}.json", (1000 + r.r_regionkey, 1000 + r.r_regionkey))
-        rows = [(run.run_id, i, next((g.id for g in run.gates.values() if g.status == "open"), None)) for i, run in enumerate(store.recent(3), 1)]
-    return t.spark.createDataFrame(rows, "run_id string, place int, gate string")
+    key = F.col("r_regionkey")
+    gate = F.when(key % 2 == 0, F.create_map(F.lit("gate"), F.struct(F.lit("gate").alias("id"), F.lit("open").alias("status"))))
+    text = F.to_json(F.struct(F.concat(F.lit("run"), key.cast("string")).alias("run_id"), gate.alias("gates")))
+    held = runs.recent(runs.parsed(t.region.select(F.concat(F.lit("run"), key.cast("string")).alias("name"), F.timestamp_seconds(1000 + key).alias("changed_at"), text.alias("value"))), 3)
+    return held.join(runs.gates(held).select("run_id", "gate"), "run_id", "left").select("run_id", "place", "gate")
 
 
 @query("select o_custkey as k, min(o_orderkey) as n from orders where o_custkey % 3 <> 0 group by 1 union all select null, o_orderkey from orders where o_custkey % 3 = 0")
@@ -270,13 +244,9 @@ def audit_trail(t: Tables) -> DataFrame:
 
 @query("select n_name as name, case when row_number() over (partition by n_regionkey order by n_nationkey desc) <= 2 then 'kept' else 'packed' end as action from nation")
 def rotated_logs(t: Tables) -> DataFrame:
-    """Logs by prefix: the newest two of each stay, older ones are packed; packed ones that are too old go."""
-    with tempfile.TemporaryDirectory() as folder:
-        for r in t.nation.collect():
-            path = f"{folder}/log{r.n_regionkey}_{r.n_name}.jsonl"
-            with open(path, "w") as f:
-                f.write(r.n_name)
-            os.utime(path, (86_400 * (100 + r.n_nationkey),) * 2)
-        out = workflow.archive_logs(folder, {f"log{i}_": 2 for i in range(5)}, now=86_400 * 126, ttl_days=30)
-        rows = [(x.split("_", 1)[1].removesuffix(".jsonl"), kind) for kind in ("kept", "packed") for x in out[kind]]
-    return t.spark.createDataFrame(rows, "name string, action string")
+    """Logs by prefix: the newest two of each stay, older ones are packed."""
+    name = F.concat(F.lit("log"), F.col("n_regionkey").cast("string"), F.lit("_"), "n_name")
+    logs = t.nation.select(name.alias("name"), F.timestamp_seconds(86_400 * (100 + F.col("n_nationkey"))).alias("mtime"), F.lit(False).alias("packed"))
+    prefixes = t.region.select(F.concat(F.lit("log"), F.col("r_regionkey").cast("string"), F.lit("_")).alias("prefix"), F.lit(2).alias("keep"))
+    done = runs.act(runs.archive_actions(logs, prefixes, F.timestamp_seconds(F.lit(86_400 * 126)), 30), {})
+    return done.select(F.regexp_replace("name", "^log[0-9]+_", "").alias("name"), F.when(F.col("action") == "keep", "kept").otherwise("packed").alias("action"))

@@ -245,3 +245,17 @@ def test_plan_functions_by_column(spark):
     df = spark.createDataFrame([("D:\\a",), ("f:\\b",), ("Q:\\c",), (None,)], "p string")
     out = reconcile.remap_drives(df, "p", spark.createDataFrame(list(pairs.items()), "new string, old string"))
     assert rows(out) == rows(df.withColumn("old_path", reconcile.remap_drive(F.col("p"), pairs)))
+
+
+def test_driver_helpers():
+    """The small functions for one value, which the columns above follow."""
+    assert files.extensions(["MP4", ".ts", " mp4 ", ""]) == [".mp4", ".ts"] and files.extensions([".M2TS", "avi"]) == [".avi", ".m2ts"]
+    assert reconcile.drive_map({"d": "e", "F:": "g:\\"}) == {"D:": "E:", "F:": "G:"} and reconcile.drive_map({" ": "x"}) == {} and reconcile.drive_map({"x": "y/"}) == {"X:": "Y:"}
+    assert [reviews.output_name(x) for x in ("/x/llm_filename_extract_output_0001.jsonl", "/x/rows.jsonl", "a.b.jsonl")] == ["/x/program_aliases_review_0001.yaml", "/x/rows_review.yaml", "a.b_review.yaml"]
+    assert [moves.outcome(*x) for x in ((1, 0, 0, 0), (0, 1, 0, 0), (5, 0, 2, 0), (0, 0, 0, 2), (0, 0, 0, 0), (3, 0, 0, 4))] == ["plan_ready", "review_required", "review_required", "metadata_missing", "nothing_to_do", "plan_ready"]
+    assert [review.gate(*x) for x in ((True, 1, 0, False), (False, 0, 0, False), (False, 2, 1, False), (False, 2, 1, True), (False, 2, 0, False))] == ["raw_extraction_file", "no_changes", "rows_still_need_review", None, None]
+    assert rules.simple_lists("a:\n- x\n- 'y z'\nb: 5\n") == {"a": ["x", "y z"], "b": []} and rules.simple_lists("a:\n- x\n- 'y z'\nb: 5\n", True) == {"a": ["x", "y z"], "b": 5}
+    assert rules.simple_lists('# c\nk:\n  - "q"\n\nk2: text\n') == {"k": ["q"], "k2": []} and rules.simple_lists('# c\nk:\n  - "q"\n\nk2: text\n', True) == {"k": ["q"], "k2": "text"}
+    for text, scalars in (("- orphan", False), ("- orphan", True), ("a: 1\n- x", False), ("a: 1\n- x", True)):
+        with pytest.raises(ValueError):
+            rules.simple_lists(text, scalars)
