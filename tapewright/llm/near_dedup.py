@@ -10,7 +10,7 @@ are never made: a horizon is set from the number of shingles, and a text with an
 Texts with equal multisets are one class representative. Bands of the signature deal representatives into buckets. All pairs of a
 small bucket are candidates; in a large one each member is compared with the least, which links the copies of one text in linear
 time. Members that this leaves outside a bucket's main component are compared with all of the bucket, in blocks of bounded size
-that give links between components alone, never pairs. Candidates are verified by exact multiset overlap of their texts, so each
+that give links between components alone, never pairs; texts go there only where signatures agree. Candidates are verified by exact multiset overlap of their texts, so each
 pair that shares a bucket is compared, or is in one class already. Classes are connected components of the verified pairs.
 
 Defined cases: words are lower-cased and split at white space; a text under five words is one shingle of all its words; null and
@@ -27,14 +27,17 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.common import NULL_ID, id_key, join_hot, materialize, text_batches, without
+from tapewright.llm.common import join_hot, materialize, text_batches, without
 
 WORDS = 5
 SLOTS, BANDS, ROWS = 128, 25, 5
+KEYS = ["_g", "_k", "_x"]
+#: A pivot's pairs that go to one task with one copy of its text.
+OFTEN = 20_000
 #: Signatures that agree in so much less than the threshold are not verified: over four standard deviations of the estimate.
 SLACK = 0.17
 _U = np.uint64
@@ -138,12 +141,16 @@ def bag_minhash(bags: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
             horizon[short] *= 2
 
 
+def _keys() -> list[Column]:
+    """What tells rows apart, in their order: whether there is an id, the id, or a hash of the text where there is none, and a hash of the text."""
+    return [F.col("doc_id").isNotNull().cast("int").alias("_g"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_k"), F.xxhash64("text").alias("_x")]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(_k, _x, h1, h2, n_shingles, sig, bands) for each row: id, hash of the text, hashes of the whole multiset, signature, and a hash for each band."""
+    """(_g, _k, _x, h1, h2, n_shingles, sig, bands) for each row: whether it has an id, id, hash of the text, hashes of the whole multiset, signature, and a hash for each band."""
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    names = ["_k", "_x", "h1", "h2", "n_shingles", "sig", "bands"]
+    names = ["_g", "_k", "_x", "h1", "h2", "n_shingles", "sig", "bands"]
 
     def part(ids: list[tuple], bags: list[np.ndarray]) -> pa.RecordBatch:
         sig = bag_minhash(bags)
@@ -155,13 +162,14 @@ def signatures(docs: DataFrame) -> DataFrame:
             whole = [((_mix(b).sum(dtype=_U) ^ _U(len(b))), _mix(b ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)) for b in bags]
         h1, h2 = (np.array([x[j] for x in whole], _U).view(np.int64) for j in (0, 1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bags) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band.reshape(-1)))
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in ids], kinds[0]), pa.array([x for _, x in ids], kinds[1]), pa.array(h1), pa.array(h2), pa.array([len(b) for b in bags], kinds[4]), pa.array([x.tobytes() for x in sig], kinds[5]), lists], names)
+        keys = [pa.array(column, kind) for column, kind in zip(zip(*ids, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(h1), pa.array(h2), pa.array([len(b) for b in bags], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary()), lists], names)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, bags, held = [], [], 0
-            for k, x, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids.append((k, x))
+            for *key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                ids.append(key)
                 bags.append(shingles(text.as_py()))
                 held += len(bags[-1])
                 if held > 300_000 or len(ids) >= 2000:
@@ -170,7 +178,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             if ids:
                 yield part(ids, bags)
 
-    return text_batches(docs).select(id_key("doc_id", "text").alias("_k"), F.xxhash64("text").alias("_x"), F.col("text").cast("string")).mapInArrow(sign, "_k long, _x long, h1 long, h2 long, n_shingles long, sig binary, bands array<long>")
+    return text_batches(docs).select(*_keys(), F.col("text").cast("string")).mapInArrow(sign, "_g int, _k long, _x long, h1 long, h2 long, n_shingles long, sig binary, bands array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -201,7 +209,12 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(j).take(pa.array(keep, pa.int64())) for j in (1, 2)], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("node").alias("q"), F.col("text").alias("tq")), "q").join(texts.select(F.col("node").alias("p"), F.col("text").alias("tp")), "p")
+    # A pivot of many pairs goes to several tasks, with so many copies of its text.
+    often = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN).select("p", F.ceil(F.col("n") / OFTEN).cast("int").alias("parts"))
+    often = F.broadcast(often.limit(0) if pairs.count() <= OFTEN else often)  # at most one of them for each ``OFTEN`` pairs
+    first = texts.select(F.col("node").alias("p"), F.col("text").alias("tp")).join(often, "p", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    dealt = pairs.join(often, "p", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    both = dealt.join(texts.select(F.col("node").alias("q"), F.col("text").alias("tq")), "q").join(first, ["p", "part"])
     return text_batches(both).select("p", "a", "b", "tp", "tq").mapInArrow(judge, "a long, b long")
 
 
@@ -227,32 +240,46 @@ def components(links: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
 def rest_of_buckets(members: DataFrame, store: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b): links between components of buckets (bucket, node, comp) that hold several.
 
-    Members outside a bucket's main component are compared with all its members, blocks of ``block`` rows against each other. A task
+    Members outside a bucket's main component are compared with all its members, blocks of ``block`` rows against each other: first by the low bytes of their signatures alone, which is all
+    that is sent to every block. Rows that agree with one of another component there are sent again, with their texts, to the blocks where they do, and verified. A task
     gives no pairs but those that join components within its blocks. Pairs that share an earlier band are that band's.
     """
     import pandas as pd
 
+    least = (threshold - SLACK) * SLOTS
     sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"))
-    sizes = sizes.where("top < n").select("bucket", "main", F.ceil(F.col("n") / block).cast("int").alias("nm"), F.ceil((F.col("n") - F.col("top")) / block).cast("int").alias("no"))
-    rows = members.join(sizes, "bucket")
+    sizes = sizes.where("top < n").select("bucket", "main", "n", F.ceil(F.col("n") / block).cast("int").alias("nm"), F.ceil((F.col("n") - F.col("top")) / block).cast("int").alias("no"))
+    rows = join_hot(members, materialize(sizes.withColumn("size", F.col("n")), "sizes"), ["bucket"], "size")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    full = lambda df: df.join(store, "node").select("bucket", "ob", "mb", "node", "comp", (F.array_position("bands", F.col("bucket")) - 1).cast("int").alias("band"), "bands", "sig", "text").toDF("bucket", "ob", "mb", "node", "comp", "band", "bands", "sig", "text")
-    outer = rows.where("comp <> main").select("bucket", "node", "comp", place("no").alias("ob"), every("nm").alias("mb"))
-    inner = rows.select("bucket", "node", "comp", place("nm").alias("mb"), every("no").alias("ob"))
+    key, kept = ["bucket", "ob", "mb"], ["bucket", "ob", "mb", "node", "comp"]
+    rows = materialize(rows.join(store.select("node", _low("sig").alias("low")), "node"), "low-bytes")
+    outer = rows.where("comp <> main").select("bucket", "node", "comp", "low", place("no").alias("ob"), every("nm").alias("mb")).select(*kept, "low")
+    inner = rows.select("bucket", "node", "comp", "low", place("nm").alias("mb"), every("no").alias("ob")).select(*kept, "low")
+
+    def screen(o: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(o) and len(m):
+            low, comp = [np.frombuffer(b"".join(x["low"]), np.uint8).reshape(len(x), -1) for x in (o, m)], [x["comp"].to_numpy() for x in (o, m)]
+            found = np.zeros(len(m), bool)
+            for i in range(len(o)):
+                at = ((low[1] == low[0][i]).sum(axis=1, dtype=np.uint8) >= least) & (comp[1] != comp[0][i])  # equal slots have equal low bytes
+                if at.any():
+                    found |= at
+                    out.append((True, o, i))
+            out += [(False, m, j) for j in np.flatnonzero(found)]
+        return pd.DataFrame([(*x[kept].iloc[i], side) for side, x, i in out], columns=[*kept, "outer"])
 
     def join(o: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(o) and len(m):
             sig, bands = ([np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1) for x in (o, m)], [np.stack(x["bands"].to_numpy()) for x in (o, m)])
-            band, comp = int(o["band"].iloc[0]), [x["comp"].to_numpy() for x in (o, m)]
-            low, found = [x.astype(np.uint8) for x in sig], []
+            band, comp = int(np.flatnonzero(bands[0][0] == o["bucket"].iloc[0])[0]), [x["comp"].to_numpy() for x in (o, m)]
+            found = []
             for i in range(len(o)):
-                # Equal slots have equal low bytes, which are quicker to compare.
-                at = np.flatnonzero(((low[1] == low[0][i]).sum(axis=1, dtype=np.uint8) >= (threshold - SLACK) * SLOTS) & (comp[1] != comp[0][i]))
-                agree = (sig[1][at] == sig[0][i]).mean(axis=1)
-                fits = (agree >= threshold - SLACK) & ~(bands[1][at, :band] == bands[0][i, :band]).any(axis=1)
-                found += [(-x, i, j) for x, j in zip(agree[fits], at[fits], strict=True)]
+                agree = (sig[1] == sig[0][i]).mean(axis=1)
+                fits = (agree >= threshold - SLACK) & (comp[1] != comp[0][i]) & ~(bands[1][:, :band] == bands[0][i, :band]).any(axis=1)
+                found += [(-agree[j], i, j) for j in np.flatnonzero(fits)]
             root: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -273,28 +300,41 @@ def rest_of_buckets(members: DataFrame, store: DataFrame, threshold: float, bloc
                     out.append((min(a, b), max(a, b)))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    key = ["bucket", "ob", "mb"]
-    return full(outer).groupBy(*key).cogroup(full(inner).groupBy(*key)).applyInPandas(join, "a long, b long")
+    outer, inner = (x.toDF(*kept, "low") for x in (outer, inner))
+    near = outer.groupBy(*key).cogroup(inner.groupBy(*key)).applyInPandas(screen, "bucket long, ob int, mb int, node long, comp long, outer boolean")
+    near = materialize(near, "screened")
+    full = near.join(store, "node")
+    o, m = (full.where(x).toDF(*full.columns) for x in ("outer", "not outer"))
+    return o.groupBy(*key).cogroup(m.groupBy(*key)).applyInPandas(join, "a long, b long")
+
+
+@F.pandas_udf(T.BinaryType())
+def _low(sig):
+    """The low byte of each slot."""
+    import pandas as pd
+
+    return pd.Series([np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in sig])
 
 
 def _classes(docs: DataFrame, threshold: float, small: int, block: int) -> DataFrame:
-    """(_k, _x, class_k, class_x, n_shingles) for each row of ``docs``: id and hash of the text of the row and of the first of its class.
+    """(_g, _k, _x, class_g, class_k, class_x, n_shingles) for each row of ``docs``: ``_keys`` of the row and of the first of its class.
 
     Members of a bucket of up to ``small`` are compared with each other, those of a larger one with its least member, which links the copies
     of one text. What is left outside a larger bucket's main component is then compared with the whole bucket, by blocks of ``block`` rows.
     """
     sigs = materialize(signatures(docs), "signatures")
-    firsts = sigs.groupBy("h1", "h2").agg(F.min(F.struct("_k", "_x")).alias("f"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "f.*")
+    firsts = sigs.groupBy("h1", "h2").agg(F.min(F.struct(*KEYS)).alias("f"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "f.*")
     # Numbers in the order of (id, text): places in sorted ranges.
-    firsts = materialize(firsts.repartitionByRange("_k", "_x").sortWithinPartitions("_k", "_x").withColumn("node", F.monotonically_increasing_id()), "firsts")
-    reps = sigs.join(firsts, ["h1", "h2", "_k", "_x"]).where("n_shingles > 0").dropDuplicates(["node"])
-    reps = materialize(reps.select("node", "_k", "_x", "sig", "bands"), "representatives")
+    firsts = materialize(firsts.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).withColumn("node", F.monotonically_increasing_id()), "firsts")
+    reps = sigs.join(firsts, ["h1", "h2", *KEYS]).where("n_shingles > 0").dropDuplicates(["node"])
+    reps = materialize(reps.select("node", *KEYS, "sig", "bands"), "representatives")
     banded = reps.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-    members = materialize(banded.join(shared, "bucket").select("bucket", "node", "n", "first"), "buckets")
+    shared = materialize(shared.withColumn("size", F.col("n")), "shared")
+    members = materialize(join_hot(banded, shared, ["bucket"], "size").select("bucket", "node", "n", "first"), "buckets")
     # Signature and text of each representative that shares a bucket: the only texts that are read from here on.
     wanted = materialize(reps.join(members.select("node").distinct(), "node"), "wanted")
-    texts = docs.select(id_key("doc_id", "text").alias("_k"), F.xxhash64("text").alias("_x"), "text").join(wanted, ["_k", "_x"]).dropDuplicates(["node"])
+    texts = docs.select(*_keys(), "text").join(wanted, KEYS).dropDuplicates(["node"])
     store = materialize(texts.select("node", "text", "sig", "bands"), "bucket-texts")
     sig, texts = (lambda k, s: wanted.select(F.col("node").alias(k), F.col("sig").alias(s))), store.select("node", "text")
     few = members.where(F.col("n") <= small).select("bucket", "node")
@@ -309,21 +349,24 @@ def _classes(docs: DataFrame, threshold: float, small: int, block: int) -> DataF
         if not rest.isEmpty():
             near = components(near.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(rest))
     # From nodes to the first rows of their classes, then to rows.
-    of = materialize(firsts.join(near, "node", "left").withColumn("class", F.coalesce("comp", "node")).select("h1", "h2", "n", "node", "_k", "_x", "class"), "nodes")
-    heads = of.groupBy("class").agg(F.count(F.lit(1)).alias("m")).join(of.where("node = class").select("class", F.col("_k").alias("class_k"), F.col("_x").alias("class_x")), "class")
+    of = materialize(firsts.join(near, "node", "left").withColumn("class", F.coalesce("comp", "node")).select("h1", "h2", "n", "node", *KEYS, "class"), "nodes")
+    heads = of.groupBy("class").agg(F.count(F.lit(1)).alias("m")).join(of.where("node = class").select("class", *[F.col(c).alias(f"class{c}") for c in KEYS]), "class")
     of = join_hot(of.select("h1", "h2", "n", "class"), materialize(heads, "heads"), ["class"], "m")
-    return join_hot(sigs.select("_k", "_x", "h1", "h2", "n_shingles"), materialize(of.drop("class"), "classes"), ["h1", "h2"], "n")
+    return join_hot(sigs.select(*KEYS, "h1", "h2", "n_shingles"), materialize(of.drop("class"), "classes"), ["h1", "h2"], "n")
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 256) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 1024) -> DataFrame:
     """A row for each row of ``docs``: doc_id, class_id (least doc_id of its class), n_shingles, is_first (it stays if one of each class does)."""
-    given = lambda c: F.when(F.col(c) >= NULL_ID // 2, F.col(c))  # noqa: E731  keys below stand for rows without an id
-    first = (F.col("_k") == F.col("class_k")) & (F.col("_x") == F.col("class_x"))
-    return _classes(docs, threshold, small, block).select(given("_k").alias("doc_id"), given("class_k").alias("class_id"), "n_shingles", first.alias("is_first"))
+    given = lambda c: F.when(F.col(f"{c}_g") == 1, F.col(f"{c}_k"))
+    return _classes(docs, threshold, small, block).select(given("").alias("doc_id"), given("class").alias("class_id"), "n_shingles", _is_first().alias("is_first"))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 256) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 1024) -> DataFrame:
     """``docs`` without the rows that have a class mate of a lower doc_id; of repeated rows (equal id and text) one stays."""
     docs = without(docs)
-    keep = _classes(docs, threshold, small, block).where("_k = class_k and _x = class_x").select("_k", "_x")
-    return docs.withColumns({"_k": id_key("doc_id", "text"), "_x": F.xxhash64("text")}).join(keep, ["_k", "_x"], "left_semi").dropDuplicates(["_k", "_x"]).drop("_k", "_x")
+    keep = _classes(docs, threshold, small, block).where(_is_first()).select(*KEYS)
+    return docs.select("*", *_keys()).join(keep, KEYS, "left_semi").dropDuplicates(KEYS).drop(*KEYS)
+
+
+def _is_first() -> Column:
+    return (F.col("_g") == F.col("class_g")) & (F.col("_k") == F.col("class_k")) & (F.col("_x") == F.col("class_x"))

@@ -340,6 +340,39 @@ def test_cascade_is_exact():
     assert (cascade.listed(*keys) == (np.arange(30_000) < 500)).all()
 
 
+def test_near_duplicates_of_any_id(spark):
+    """The least ids there are come back whole; rows without an id stand before all, whatever their texts hash to."""
+    low = [-(2**63), -(2**62) - 5, -1, 0, 2**63 - 1]
+    texts = [prose(50, random.Random(i)) for i in range(len(low))]
+    rows = [(i, t) for i, t in zip(low, texts)] + [(7, texts[0]), (8, texts[1]), (None, texts[4]), (None, "alone"), (None, "alone too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.is_first) for r in near_dedup.near_duplicate_classes(df).collect()), key=str)
+    want = [(i, i, True) for i in low[:4]] + [(7, low[0], False), (8, low[1], False), (low[4], None, False)] + [(None, None, True)] * 3
+    assert got == sorted(want, key=str)
+    assert sorted((str(r.doc_id), r.text) for r in near_dedup.drop_near_duplicates(df).collect()) == sorted([*((str(i), t) for i, t in zip(low[:4], texts)), ("None", texts[4]), ("None", "alone"), ("None", "alone too")])
+
+
+def test_a_large_bucket_of_unlike_texts_sends_no_texts(spark):
+    """Members of one bucket with signatures that don't agree: none passes the screen, and of two that do only these are sent again."""
+    r = np.random.default_rng(3)
+    sigs = r.integers(0, 2**32, (300, near_dedup.SLOTS), np.uint32)
+    words = [prose(60, random.Random(i)) for i in range(300)]
+    sigs[7], words[7] = sigs[250], words[250] + " more"
+    sigs[7, :5] = 0
+    store = spark.createDataFrame([(i, words[i], sigs[i].tobytes(), [5, i + 1000]) for i in range(300)], "node long, text string, sig binary, bands array<long>")
+    members = spark.createDataFrame([(5, i, i) for i in range(300)], "bucket long, node long, comp long")
+    assert [(x.a, x.b) for x in near_dedup.rest_of_buckets(members, store, 0.8, 64).distinct().collect()] == [(7, 250)]
+    low = store.select(near_dedup._low("sig").alias("low")).first().low
+    assert bytes(low) == bytes(sigs[0].astype(np.uint8))
+
+
+def test_pairs_of_a_frequent_pivot_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "OFTEN", 10)
+    texts = spark.createDataFrame([(i, f"{prose(40, random.Random(1))} x{i % 3}") for i in range(60)], "node long, text string")
+    pairs = spark.createDataFrame([(0, i, 0, i) for i in range(1, 60)] + [(1, 2, 1, 2)], "p long, q long, a long, b long")
+    assert sorted((x.a, x.b) for x in near_dedup.verified(pairs, texts, 0.8).collect()) == sorted([(0, i) for i in range(1, 60)] + [(1, 2)])
+
+
 def test_class_lm(spark, docs):
     clash = docs.selectExpr("*", "1 as ids", "2 as held_out", "3 as row", "'x' as word", "4 as score")
     out = {r.doc_id: r for r in class_lm.score(clash, *class_lm.fit(clash, frequent=50, own=20, buckets=8, classes=6)).collect()}
