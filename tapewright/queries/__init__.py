@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tapewright.queries.base import ORACLE_SQL, QUERIES
 
-for _name in ("ranking", "titles", "matching", "merges", "planning", "scalars", "reviews", "cases", "sources", "documents", "flows"):
+for _name in ("ranking", "titles", "matching", "merges", "planning", "scalars", "reviews", "cases", "texts", "sources", "documents", "flows"):
     import_module(f"tapewright.queries.{_name}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
