@@ -258,17 +258,15 @@ def rest_of_buckets(members: DataFrame, store: DataFrame, threshold: float, bloc
     inner = rows.select("bucket", "node", "comp", "low", place("nm").alias("mb"), every("no").alias("ob")).select(*kept, "low")
 
     def screen(o: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        here, there = [], np.zeros(len(m), bool)
         if len(o) and len(m):
             low, comp = [np.frombuffer(b"".join(x["low"]), np.uint8).reshape(len(x), -1) for x in (o, m)], [x["comp"].to_numpy() for x in (o, m)]
-            found = np.zeros(len(m), bool)
             for i in range(len(o)):
                 at = ((low[1] == low[0][i]).sum(axis=1, dtype=np.uint8) >= least) & (comp[1] != comp[0][i])  # equal slots have equal low bytes
                 if at.any():
-                    found |= at
-                    out.append((True, o, i))
-            out += [(False, m, j) for j in np.flatnonzero(found)]
-        return pd.DataFrame([(*x[kept].iloc[i], side) for side, x, i in out], columns=[*kept, "outer"])
+                    there |= at
+                    here.append(i)
+        return pd.concat([o[kept].iloc[here].assign(outer=True), m[kept].iloc[np.flatnonzero(there)].assign(outer=False)])
 
     def join(o: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -355,13 +353,13 @@ def _classes(docs: DataFrame, threshold: float, small: int, block: int) -> DataF
     return join_hot(sigs.select(*KEYS, "h1", "h2", "n_shingles"), materialize(of.drop("class"), "classes"), ["h1", "h2"], "n")
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 1024) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 256) -> DataFrame:
     """A row for each row of ``docs``: doc_id, class_id (least doc_id of its class), n_shingles, is_first (it stays if one of each class does)."""
     given = lambda c: F.when(F.col(f"{c}_g") == 1, F.col(f"{c}_k"))
     return _classes(docs, threshold, small, block).select(given("").alias("doc_id"), given("class").alias("class_id"), "n_shingles", _is_first().alias("is_first"))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 1024) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, small: int = 32, block: int = 256) -> DataFrame:
     """``docs`` without the rows that have a class mate of a lower doc_id; of repeated rows (equal id and text) one stays."""
     docs = without(docs)
     keep = _classes(docs, threshold, small, block).where(_is_first()).select(*KEYS)
