@@ -15,11 +15,13 @@ OLD, NEW = "o", "n"
 
 
 def last_wins(batch: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The row of greatest ``order`` of each key, a null key's too. Spark limits a window whose rank is asked to be 1 before the exchange, so a key's task gets one row from each other task."""
     w = W.partitionBy(*key).orderBy(F.desc(order))
     return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def first_wins(batch: DataFrame, key: list[str | Column], order: str) -> DataFrame:
+    """The row of least ``order`` of each key, likewise."""
     w = W.partitionBy(*key).orderBy(order)
     return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapewright.functions import keys as K
 from tapewright.functions import values as V
+from tapewright.operators.groups import join_groups
+from tapewright.sources.scratch import written
 
 
 def groups(df: DataFrame, key: str, date: str, broadcaster: str) -> DataFrame:
@@ -18,12 +19,14 @@ def groups(df: DataFrame, key: str, date: str, broadcaster: str) -> DataFrame:
 
 
 def classify(df: DataFrame, key: str, flag: str) -> DataFrame:
-    """``broadcast_type``: with a true flag in the group rebroadcast for true ones and original for others; with known flags original; else unknown."""
-    g = W.partitionBy(key)
-    some_true = F.coalesce(F.bool_or(flag).over(g), F.lit(False))
-    known = F.max(F.col(flag).isNotNull()).over(g)
-    kind = F.when(some_true, F.when(F.coalesce(F.col(flag), F.lit(False)), "rebroadcast").otherwise("original")).when(known, "original").otherwise("unknown")
-    return df.withColumn("broadcast_type", kind)
+    """``broadcast_type``: with a true flag in the group rebroadcast for true ones and original for others; with known flags original; else unknown. Rows without a key are one group.
+
+    Flags are put together by the tasks first, and a group with much of the table gets them by a broadcast.
+    """
+    rows = written(df.withColumns({"_keyed": F.col(key).isNotNull(), "_key": F.coalesce(F.col(key).cast("string"), F.lit(""))}), "episodes")
+    found = rows.groupBy("_keyed", "_key").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.bool_or(flag), F.lit(False)).alias("_some"), F.max(F.col(flag).isNotNull()).alias("_known"))
+    kind = F.when(F.col("_some"), F.when(F.coalesce(F.col(flag), F.lit(False)), "rebroadcast").otherwise("original")).when(F.col("_known"), "original").otherwise("unknown")
+    return join_groups(rows, written(found, "flags"), ["_keyed", "_key"], "_n").withColumn("broadcast_type", kind).select(*df.columns, "broadcast_type")
 
 
 def flags_by_path(links: DataFrame, broadcasts: DataFrame) -> DataFrame:

@@ -57,6 +57,18 @@ def keyword_lists(t: Tables) -> DataFrame:
     return found.join(first, ["p_brand", "key"]).withColumn("place", F.col("place") - F.col("_first") + 1).drop("_first")
 
 
+@query("""
+with b as (select p_brand, count(*) as n, max(p_type) as t from part group by 1)
+select p_brand, 'limit' as name, cast(n as varchar) as value, 'number' as field from b union all select p_brand, 'layout', lower(t), 'text' from b union all select p_brand, 'types', p_type, null from part group by all
+""")
+def setting_files(t: Tables) -> DataFrame:
+    """Lists with settings among them: a file for each brand with a number, a word, and its types."""
+    made = t.part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.max("p_type").alias("t"), F.array_join(F.transform(F.array_sort(F.collect_set("p_type")), lambda x: F.concat(F.lit("- '"), x, F.lit("'\n"))), "").alias("types"))
+    text = F.concat(F.lit("limit: "), F.col("n").cast("string"), F.lit("\ntypes:\n"), "types", F.lit("layout:  "), F.lower("t"), F.lit(" \n"))
+    found = rules.rows(made.select(F.substring("p_brand", 7, 9).cast("int").alias("file"), text.alias("text")), lists=True, scalars=True)
+    return found.select(F.concat(F.lit("Brand#"), F.col("file").cast("string")).alias("p_brand"), "name", "value", "field")
+
+
 @query("""
 with s as (select p_type, count(*) as n_rows, cast(count(*) filter (p_size > 40) as bigint) as n_review, substr(sha256(string_agg(cast(p_partkey as varchar), chr(10) order by cast(p_partkey as varchar))), 1, 16) as cohort from part group by 1)
 select p_type as title, n_rows, n_review, cohort from s

@@ -117,17 +117,20 @@ def _parsed(text: str) -> Iterator[tuple]:
                 yield "route_title", str(r["genre"]), str(pattern), None
 
 
-def _listed(text: str) -> Iterator[tuple]:
-    for key, items in simple_lists(text).items():
-        for item in items:
-            yield "item", key, item, None
+def _listed(text: str, scalars: bool) -> Iterator[tuple]:
+    for key, items in simple_lists(text, scalars).items():
+        if isinstance(items, list):
+            for item in items:
+                yield "item", key, item, None
+        else:
+            yield "scalar", key, str(items), "number" if isinstance(items, int) else "text"
 
 
-def rows(texts: DataFrame, lists: bool = False) -> DataFrame:
-    """(file, place, kind, name, value, field) of rule files (file, text); null texts have none. With ``lists`` the files are ``simple_lists``. A file that can't be read is an error."""
+def rows(texts: DataFrame, lists: bool = False, scalars: bool = False) -> DataFrame:
+    """(file, place, kind, name, value, field) of rule files (file, text); null texts have none. With ``lists`` the files are ``simple_lists``, with or without ``scalars``. A file that can't be read is an error."""
     import pandas as pd
 
-    parse = _listed if lists else _parsed
+    parse = (lambda text: _listed(text, scalars)) if lists else _parsed
 
     @F.pandas_udf("array<struct<kind:string,name:string,value:string,field:string>>")
     def parsed(text):
