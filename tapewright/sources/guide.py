@@ -16,6 +16,9 @@ SCHEMA = (
 )
 #: Network identifiers, and below in ``_fold`` the section heads, of a sidecar.
 _IDS = re.compile(r"(OriginalNetworkID|TransportStreamID|ServiceID|EventID):(\d+)")
+#: A mark in a title, the mark of a rebroadcast, and the parts of a genre's line.
+MARK, AGAIN = r"\[([^\]]*)\]", "再"
+GENRE_LINE = r"(.+?)\s*-\s*(.+)"
 
 
 def find(spark: SparkSession, root: str) -> DataFrame:
@@ -24,19 +27,19 @@ def find(spark: SparkSession, root: str) -> DataFrame:
 
 
 def annotations(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(r"\[([^\]]*)\]"), 1)
+    return F.regexp_extract_all(line, F.lit(MARK), 1)
 
 
 def title_line(line: Column) -> Column:
     """struct(official_title, annotations, is_rebroadcast_flag) of a line in NFKC."""
     marks = annotations(line)
-    return F.struct(F.regexp_replace(F.regexp_replace(line, r"\[[^\]]*\]", ""), r"(?U)^\s+|\s+$", "").alias("official_title"), marks.alias("annotations"), F.array_contains(marks, "再").alias("is_rebroadcast_flag"))
+    return F.struct(F.regexp_replace(F.regexp_replace(line, MARK, ""), r"(?U)^\s+|\s+$", "").alias("official_title"), marks.alias("annotations"), F.array_contains(marks, AGAIN).alias("is_rebroadcast_flag"))
 
 
 def genres(lines: Column) -> Column:
     """Lines ``category - subcategory`` as structs; the section's own head and blank lines don't count."""
-    part = lambda i: lambda x: F.trim(F.regexp_extract(x, r"(?U)^(.+?)\s*-\s*(.+)$", i))
-    two = lambda x: x.rlike(r"(?U)^.+?\s*-\s*.+$")
+    part = lambda i: lambda x: F.trim(F.regexp_extract(x, f"(?U)^{GENRE_LINE}$", i))
+    two = lambda x: x.rlike(f"(?U)^{GENRE_LINE}$")
     kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^ジャンル ?:$"))
     return F.transform(kept, lambda x: F.struct(F.when(two(x), part(1)(x)).otherwise(x).alias("category"), F.when(two(x), part(2)(x)).otherwise("").alias("subcategory")))
 
@@ -71,11 +74,11 @@ def _fold(text: str) -> dict | None:
             details[name := x[2:].strip()] = []
         elif name is not None:
             details[name].append(x)
-    marks = re.findall(r"\[([^\]]*)\]", norm[2])
-    pairs = [re.match(r"(.+?)\s*-\s*(.+)", x) for x in sections["genre"] if x]
+    marks = re.findall(MARK, norm[2])
+    pairs = [re.match(GENRE_LINE, x) for x in sections["genre"] if x]
     return {
         "air_date": f"{y}-{m}-{d}", "start_time": f"{int(h):02d}:{mi}", "end_time": f"{int(eh):02d}:{em}", "broadcaster": norm[1].strip(),
-        "official_title": re.sub(r"\[[^\]]*\]", "", norm[2]).strip(), "title_raw": lines[2].strip(), "annotations": marks, "is_rebroadcast_flag": "再" in marks,
+        "official_title": re.sub(MARK, "", norm[2]).strip(), "title_raw": lines[2].strip(), "annotations": marks, "is_rebroadcast_flag": AGAIN in marks,
         "description": "\n".join(sections["text"]).strip(), "detail_sections": {k: "\n".join(v).strip() for k, v in details.items() if v},
         "epg_genres": [{"category": p[1].strip(), "subcategory": p[2].strip()} if p else {"category": x, "subcategory": ""} for p, x in zip(pairs, [x for x in sections["genre"] if x], strict=True)],
         "network_ids": {k: int(v) for k, v in (_IDS.match(x).groups() for x in sections["ids"] if _IDS.match(x))},
