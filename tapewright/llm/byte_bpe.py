@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tapewright.llm.common import text_batches
 
 #: Ids of so many strings without spaces (in each of two generations), and so many states, are kept by a Python worker.
-CACHE, STATES = 200_000, 200_000
+CACHE, STATES = 300_000, 300_000
 _loaded: dict = {}
 
 
@@ -72,30 +72,38 @@ def compiled(pattern: str) -> str:
     return "".join(out)
 
 
-class State:
-    """branches: (last token, bytes since, tokens not yet emitted), the latest last; steps: byte -> (state, tokens emitted)."""
+class State(dict):
+    """byte -> (state, tokens emitted). branches: (last token, node of the bytes since, tokens not yet emitted), the latest last; rest: what is left to emit where the input ends."""
 
-    __slots__ = ("branches", "steps")
+    __slots__ = ("branches", "rest")
 
     def __init__(self, branches: tuple):
-        self.branches, self.steps = branches, {}
-
-    @property
-    def rest(self) -> tuple:
-        """What is left to emit where the input ends."""
-        return self.branches[-1][2]
+        self.branches, self.rest = branches, branches[-1][2]
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.beginnings = {t[:n] for t in ranks for n in range(1, len(t))}
         self.edges: dict[int, tuple] = {}
+        self.pairs: dict[int, bool] = {}
+        self.children: dict[int, int] = {}  # node and byte -> node; node 0 is that of no bytes
+        self.token_at, self.inner = [-1], [True]
+        for token, i in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                at = node << 8 | byte
+                node = self.children.get(at)
+                if node is None:
+                    node = self.children[at] = len(self.inner)
+                    self.token_at.append(-1)
+                    self.inner.append(False)
+            self.token_at[node] = i
         self.clear()
 
     def clear(self) -> None:
-        self.start = State(((-1, b"", ()),))
+        self.start = State(((-1, 0, ()),))
         self.states, self.missed = {self.start.branches: self.start}, 0
 
     def edge(self, token: int) -> tuple:
@@ -119,10 +127,17 @@ class Transducer:
         return known
 
     def follows(self, last: int, token: int) -> bool:
-        """Whether ``token`` may stand behind ``last`` (-1: at the start): no merge across their border comes before the merges that make them.
+        """Whether ``token`` may stand behind ``last`` (-1: at the start)."""
+        pair = (last + 1) << 24 | token
+        known = self.pairs.get(pair)
+        if known is None:
+            if len(self.pairs) >= 2 * STATES:
+                self.pairs.clear()
+            known = self.pairs[pair] = self._stands(last, token)
+        return known
 
-        The parts at the border grow as the ranks rise; of equal ranks the left merge comes first.
-        """
+    def _stands(self, last: int, token: int) -> bool:
+        """No merge across the border of the two comes before the merges that make them. The parts at the border grow as the ranks rise; of equal ranks the left merge comes first."""
         sound, first, _ = self.edge(token)
         if last < 0 or not sound:
             return sound
@@ -142,15 +157,15 @@ class Transducer:
 
     def step(self, state: State, byte: int) -> tuple[State, tuple]:
         """Made when first met."""
-        live, latest, more = [], None, bytes((byte,))
-        for last, since, waiting in state.branches:
-            since += more
-            if latest is None:
-                token = self.ranks.get(since)
-                if token is not None and self.follows(last, token):
-                    latest = (token, b"", (*waiting, token))
-            if since in self.beginnings:
-                live.append((last, since, waiting))
+        live, latest, child, token_at, inner = [], None, self.children.get, self.token_at, self.inner
+        for last, node, waiting in state.branches:
+            node = child(node << 8 | byte)
+            if node is None:
+                continue
+            if latest is None and (token := token_at[node]) >= 0 and self.follows(last, token):
+                latest = (token, 0, (*waiting, token))
+            if inner[node]:
+                live.append((last, node, waiting))
         if latest is None:
             raise ValueError(f"byte {byte} is no token")
         live.append(latest)
@@ -160,7 +175,7 @@ class Transducer:
             for _, _, waiting in live:
                 while waiting[:agreed] != out[:agreed]:
                     agreed -= 1
-        branches = tuple([(last, since, waiting[agreed:]) for last, since, waiting in live]) if agreed else tuple(live)
+        branches = tuple([(last, node, waiting[agreed:]) for last, node, waiting in live]) if agreed else tuple(live)
         made = self.states.get(branches), out[:agreed]
         if made[0] is None:
             made = State(branches), made[1]
@@ -170,14 +185,14 @@ class Transducer:
                     return made
                 self.clear()
             self.states[branches] = made[0]
-        state.steps[byte] = made
+        state[byte] = made
         return made
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
         """Ids of the bytes of one match, each as soon as no later byte can change it."""
         state = self.start
         for byte in data:
-            state, out = state.steps.get(byte) or self.step(state, byte)
+            state, out = state.get(byte) or self.step(state, byte)
             yield from out
         yield from state.rest
 
@@ -188,10 +203,14 @@ class Transducer:
             return [whole]
         state, ids = self.start, []
         for byte in data:
-            state, out = state.steps.get(byte) or self.step(state, byte)
+            try:
+                state, out = state[byte]
+            except KeyError:
+                state, out = self.step(state, byte)
             if out:
                 ids += out
-        return ids + [*state.rest]
+        ids += state.rest
+        return ids
 
 
 class Encoder(dict):
