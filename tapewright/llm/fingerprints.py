@@ -10,7 +10,7 @@ a text of one to four words is often a single piece, which any edit changes, so
 Defined cases: a null text is an empty one, with no items; two texts without items are alike (1), one without and one with are not (0).
 Equal texts have equal sketches. The sketch of ``BASE`` cells, with the item count, is the fingerprint string (base64); ``decode`` reads it back.
 The next document is by doc_id, rows of one id by a hash of their texts, and null ids stand first, by such a hash; the last row's next is the first. Repeated
-rows are documents each and follow one another. A single row is its own next; an empty table gives no rows. Texts are whole, of any length: two
+rows are documents each and follow one another; rows repeated more than 512 times are compared once and dealt out. A single row is its own next; an empty table gives no rows. Texts are whole, of any length: two
 are held beside a small batch. Only doc_id and text are read, so other columns can't clash.
 """
 
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import id_key, text_batches
+from tapewright.llm.common import id_key, materialize, text_batches
 
 #: Cells of the first sketch, each part of which takes one third; retries multiply by GROWTH.
 BASE, GROWTH, PARTS = 24, 16, 3
@@ -233,7 +233,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_next(docs: DataFrame, block_rows: int = 512, most_blocks: int = 8192, seen: int = 16) -> DataFrame:
+def with_next(docs: DataFrame, block_rows: int = 512, most_blocks: int = 65_536, seen: int = 8) -> DataFrame:
     """(doc_id, text, _block, _k, _x, _own): rows dealt in blocks of neighbours by (id, hash of text), each block with the first row of the following one
     (_own false), so that a row's successor is in its block. The last block gets the very first row.
 
@@ -268,8 +268,39 @@ def with_next(docs: DataFrame, block_rows: int = 512, most_blocks: int = 8192, s
     return rows.withColumn("_own", F.lit(True)).unionByName(moved)
 
 
-def compare_versions(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``docs`` (doc_id, text)."""
+def repeated(docs: DataFrame, more_than: int = 512, share: int = 100_000) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, copies): ``docs`` (doc_id, text) with one row of those repeated more often than ``more_than`` times, and than one in ``share`` of all rows; and these, with how many more there are (``n``).
+
+    There are fewer than ``share`` repeated rows, whose keys go to every task. Copies are None where no row is so frequent.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = rows.withColumns({"_k": id_key("doc_id", "text"), "_x": F.xxhash64("text")})
+    counts = materialize(keyed.groupBy("_k", "_x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than), "repeated-rows")
+    if counts.isEmpty():
+        return rows, None
+    often = F.broadcast(counts.where(F.col("n") * share > docs.count()))
+    first = materialize(keyed.join(often, ["_k", "_x"]).dropDuplicates(["_k", "_x"]).select("doc_id", "text", (F.col("n") - 1).alias("n")), "first-copies")
+    return keyed.join(often, ["_k", "_x"], "left_anti").select("doc_id", "text").unionByName(first.drop("n")), first
+
+
+def compare_versions(docs: DataFrame, at_once: int = 1000) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``docs`` (doc_id, text).
+
+    The next of a repeated row is its copy, but for the last one: copies of frequent rows are compared once, and their results dealt out as often as there are copies.
+    """
+    rows, copies = repeated(docs)
+    out = _compared(with_next(rows))
+    if copies is None:
+        return out
+    numbered = materialize(copies.withColumn("_r", F.monotonically_increasing_id()), "numbered")
+    twice = numbered.select(F.col("_r").alias("doc_id"), "text", F.col("_r").alias("_block"), F.explode(F.array(F.lit(True), F.lit(False))).alias("_own"), F.lit(0).alias("_k"), F.lit(0).alias("_x"))  # each row before itself
+    found = _compared(twice).withColumnRenamed("doc_id", "_r").join(numbered.select("_r", "doc_id", "n"), "_r")
+    dealt = found.withColumn("_part", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / at_once)))).repartition("_r", "_part")
+    return out.unionByName(dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(at_once), F.col("n") - (F.col("_part") - 1) * at_once)))).select(*out.columns))
+
+
+def _compared(dealt: DataFrame) -> DataFrame:
+    """``compare_versions`` of blocks of rows that stand before their successors."""
     import pyarrow as pa
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -308,5 +339,5 @@ def compare_versions(docs: DataFrame) -> DataFrame:
         if held:
             yield compare(held)
 
-    dealt = with_next(docs).repartition("_block").sortWithinPartitions("_block", F.desc("_own"), "_k", "_x")
+    dealt = dealt.repartition("_block").sortWithinPartitions("_block", F.desc("_own"), "_k", "_x")
     return text_batches(dealt).select("doc_id", "text", "_block", "_own").mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -624,6 +624,34 @@ def test_fingerprints_of_scattered_and_repeated_ids(spark):
     assert Counter((x.doc_id, x.edited_sha256) for x in got) == want
 
 
+def test_fingerprints_of_many_equal_rows(spark):
+    """A third of the rows without id and text, another frequent row: as if each were walked, but no block or task holds a run of them."""
+    rows = [(None, None)] * 4000 + [(5, "twice one two three")] * 1500 + [(i, prose(20, random.Random(i))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held, copies = fingerprints.repeated(df)
+    assert held.count() == 3002 and sorted((r.doc_id is None, r.n) for r in copies.collect()) == [(False, 1499), (True, 3999)]
+    blocks = [r.n for r in fingerprints.with_next(held).where("_own").groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(blocks) < 2 * sum(blocks) / len(blocks)
+    out = fingerprints.compare_versions(df, at_once=100).collect()
+    assert len(out) == len(rows)
+    whole = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hash_of(spark, r[1]) if r[0] == 5 else 0))
+    counts = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.near_next) for r in out)
+    want = Counter()
+    for (i, text), (_, after) in zip(whole, whole[1:] + whole[:1]):
+        text, after = text or "", after or ""
+        n = len(text) // 4
+        want[i, len(text), hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()] += 1
+    assert Counter({k[:3]: 0 for k in counts}).keys() == want.keys() and all(sum(c for k, c in counts.items() if k[:3] == w) == n for w, n in want.items())
+    fives = [r for r in out if r.doc_id == 5 and r.n_chars == 19]
+    assert len(fives) == 1500 and sum(r.near_next == 1.0 for r in fives) >= 1499 and len({r.fingerprint for r in fives}) == 1
+
+
+def hash_of(spark, text, known={}):
+    if text not in known:
+        known[text] = spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0]
+    return known[text]
+
+
 def test_peeling_recovers_both_sides():
     g = np.random.default_rng(1)
     for n in (0, 1, 30, 3000):
