@@ -94,11 +94,21 @@ def mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), {"src0": 0.3, "src1": 0.15, "src2": 0.05, "*": 0.5}).select("doc_id", "source", "block", "release", "deadline", "slot", "position")
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3's operator that SQL can state: lengths, and digests of the edited texts."""
+    return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column of op13's operator that SQL can state: decoding gives the texts back."""
+    return op13_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_quotes, op2_line_dedup, op3_fingerprints, op4_packing, op5_near_dedup, op6_mixing, op7_url_filter, op8_class_lm, op9_toxicity, op10_ann,
-        op11_lexical, op12_vector_codes, op13_byte_bpe, mixing_to_targets,
+        op11_lexical, op12_vector_codes, op13_byte_bpe, mixing_to_targets, fingerprint_edits, bpe_decoded,
     )
 }
 
@@ -259,4 +269,9 @@ ORACLE_SQL: dict[str, str] = {
     "op10_ann": OP10_SQL,
     "op11_lexical": OP11_SQL,
     "op12_vector_codes": _codes_sql(),
+    "fingerprint_edits": """
+with d as (select doc_id, coalesce(text, '') as t, coalesce(lead(coalesce(text, '')) over (order by doc_id), first(coalesce(text, '')) over (order by doc_id)) as f from documents)
+select doc_id, length(t) as n_chars, sha256(concat(substr(t, 1, length(t) - length(t) // 4), substr(f, 1, length(t) // 4))) as edited_sha256 from d
+""",
+    "bpe_decoded": "select doc_id, sha256(coalesce(text, '')) as decoded_sha256 from documents",
 }
