@@ -398,7 +398,7 @@ def test_class_lm_probabilities(spark, docs):
     mass[1:] += 0.5
     mass[0] = model.counts[-1] + 0.5  # there is no unseen end
     assert np.allclose(10**model.transition @ (mass / 10**model.room), 1)
-    texts = [(i, t) for i, t in enumerate(["", None, "a", "b a", "never seen", " ".join(WORDS), "w1"])] + [(100 + i, t) for i, t, *_ in corpus()]
+    texts = [(i, t) for i, t in enumerate(["", None, "a", "b a", "never seen", " ".join(WORDS), "w1", *(t for _, t, *_ in corpus())])]
     scored = class_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), model, counts).collect()
     assert len(scored) == len(texts) and all(r.score < 0 for r in scored)
     many = spark.createDataFrame([(i, "") for i in range(1000)] + [(1000 + i, "a b") for i in range(10)], "doc_id long, text string")
