@@ -259,3 +259,26 @@ def test_driver_helpers():
     for text, scalars in (("- orphan", False), ("- orphan", True), ("a: 1\n- x", False), ("a: 1\n- x", True)):
         with pytest.raises(ValueError):
             rules.simple_lists(text, scalars)
+
+
+def test_candidates_meet_once_for_each_list(spark, monkeypatch):
+    """Repeated titles go before the join and ids with the same keys share a list: no step has more rows than the result; ids of several rows and null keys keep their candidates."""
+    from tapewright.operators import extract
+
+    made = {}
+    plain = extract.written
+    monkeypatch.setattr(extract, "written", lambda df, label: made.setdefault(label, plain(df, label)))
+    entries = [("a", "x", f"n{i % 3}", i) for i in range(300)] + [("a", "y", "n9", 5), ("a", None, "n8", 1), ("b", "7", "n1", 0), ("b", "7", "m", 2)]
+    asks = [(i, "x", "7" if i % 2 else None) for i in range(400)] + [(1000, "y", None), (1000, "x", "7"), (None, None, "7"), (1001, None, None)]
+    dictionary = spark.createDataFrame(entries, "kind string, key string, norm string, at int")
+    out = extract.candidates(spark.createDataFrame(asks, "id int, a string, b string"), "id", ["a", "b"], dictionary, "norm", "at", at_once=50)
+    want = set()
+    for i in {x[0] for x in asks}:
+        found = {}
+        for p, k, norm, at in sorted((p, *e[1:]) for asked in asks if asked[0] == i for p, kind in enumerate("ab") for e in entries if e[0] == kind and e[1] is not None and e[1] == asked[p + 1] for e in [(kind, e[3], e[2], e[3])]):
+            found.setdefault(norm, (p, at, norm))
+        want |= {(i, norm, at, n) for n, (p, at, norm) in enumerate(sorted(found.values()), 1)}
+    rows = [tuple(r) for r in out.select("id", "norm", "at", "place").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert made["entries"].count() == 6 and made["found"].count() < 20
+    assert max(r["_slices"] for r in made["sizes"].collect()) > 5
