@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.plans.moves import Route, Routes
+from tapewright.sources import yamls
 
 
 def simple_lists(text: str, scalars: bool = False) -> dict:
@@ -94,31 +96,32 @@ def files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return found
 
 
-def _parsed(text: str) -> Iterator[tuple]:
-    """(kind, name, value, field) of what a rule file says, in its order."""
-    import yaml
-
-    raw = yaml.load(text.removeprefix("\ufeff"), Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or {}
-    for h in raw.get("hints") or []:
-        for alias in [h["canonical_title"], *(h.get("aliases") or [])]:
-            yield "alias", re.sub(r"\s+", " ", alias).strip().lower(), h["canonical_title"], None
-    for r in raw.get("rules") or []:
-        if "match" in r:
-            if r.get("enabled", True):
-                yield "rule", r["match"]["regex"], r["set"]["program_title"], r["match"].get("field", "base")
-        elif isinstance(r.get("franchise"), str) and isinstance(r.get("title_patterns"), list):
-            for pattern in r["title_patterns"]:
-                if isinstance(pattern, str):
-                    yield "franchise", r["franchise"], pattern, None
-    for r in raw.get("routes") or []:
-        if r.get("genre"):
-            yield "route", str(r["genre"]), str(r.get("dest_root") or ""), str(r.get("layout") or "by_program_year_month")
-            for pattern in r.get("title_patterns") or ():
-                yield "route_title", str(r["genre"]), str(pattern), None
-
-
-def _listed(text: str, scalars: bool) -> Iterator[tuple]:
-    for key, items in simple_lists(text, scalars).items():
+def _parsed(parts: Iterator[str]) -> Iterator[tuple]:
+    """(kind, name, value, field) of what a rule file, read in pieces, says, in its order."""
+    for section, found in yamls.sections(parts):
+        if section == "hints":
+            for h in found or []:
+                for alias in [h["canonical_title"], *(h.get("aliases") or [])]:
+                    yield "alias", re.sub(r"\s+", " ", alias).strip().lower(), h["canonical_title"], None
+        elif section == "rules":
+            for r in found or []:
+                if "match" in r:
+                    if r.get("enabled", True):
+                        yield "rule", r["match"]["regex"], r["set"]["program_title"], r["match"].get("field", "base")
+                elif isinstance(r.get("franchise"), str) and isinstance(r.get("title_patterns"), list):
+                    for pattern in r["title_patterns"]:
+                        if isinstance(pattern, str):
+                            yield "franchise", r["franchise"], pattern, None
+        elif section == "routes":
+            for r in found or []:
+                if r.get("genre"):
+                    yield "route", str(r["genre"]), str(r.get("dest_root") or ""), str(r.get("layout") or "by_program_year_month")
+                    for pattern in r.get("title_patterns") or ():
+                        yield "route_title", str(r["genre"]), str(pattern), None
+
+
+def _listed(parts: Iterator[str], scalars: bool) -> Iterator[tuple]:
+    for key, items in simple_lists("".join(parts), scalars).items():
         if isinstance(items, list):
             for item in items:
                 yield "item", key, item, None
@@ -128,15 +131,21 @@ def _listed(text: str, scalars: bool) -> Iterator[tuple]:
 
 def rows(texts: DataFrame, lists: bool = False, scalars: bool = False) -> DataFrame:
     """(file, place, kind, name, value, field) of rule files (file, text); null texts have none. With ``lists`` the files are ``simple_lists``, with or without ``scalars``. A file that can't be read is an error."""
-    import pandas as pd
+    parse = (lambda parts: _listed(parts, scalars)) if lists else _parsed
 
-    parse = (lambda text: _listed(text, scalars)) if lists else _parsed
+    def parsed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    @F.pandas_udf("array<struct<kind:string,name:string,value:string,field:string>>")
-    def parsed(text):
-        return pd.Series([[] if t is None else [dict(zip(("kind", "name", "value", "field"), x, strict=True)) for x in parse(t)] for t in text])
+        for (file,), parts in yamls.by_text(batches):
+            numbered = enumerate(parse(parts))
+            while said := list(islice(numbered, 5000)):
+                columns = zip(*[x for _, x in said], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(said), pa.int64()), pa.array([n for n, _ in said], pa.int32()), *[pa.array(c, pa.string()) for c in columns]], ["file", "place", "kind", "name", "value", "field"])
 
-    return texts.select("file", F.posexplode(parsed("text")).alias("place", "r")).select("file", "place", "r.*")
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.sparkSession.sparkContext.defaultParallelism)
+    spread = texts.select(F.col("file").cast("long").alias("file"), "text").repartition(tasks, F.xxhash64("file", "text"))
+    found = yamls.pieces(spread, F.col("text"), "file").mapInArrow(parsed, "file long, place int, kind string, name string, value string, field string")
+    return found.withColumn("file", F.col("file").cast(texts.schema["file"].dataType))
 
 
 def alias_table(found: DataFrame) -> DataFrame:

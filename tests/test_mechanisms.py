@@ -282,3 +282,26 @@ def test_candidates_meet_once_for_each_list(spark, monkeypatch):
     assert len(rows) == len(want) and set(rows) == want
     assert made["entries"].count() == 6 and made["found"].count() < 20
     assert max(r["_slices"] for r in made["sizes"].collect()) > 5
+
+
+def test_rule_files_are_read_item_by_item(spark):
+    """Rules come out of a file without an end, whatever piece they begin in; values are PyYAML's."""
+    import yaml
+
+    from tapewright.sources import yamls
+
+    def endless(text):
+        yield "﻿rules:\n- match: {regex: é"
+        while True:
+            yield text
+
+    found = rules._parsed(endless("}\n  set: {program_title: 'a'}\n- match: {regex: é"))
+    assert [next(found) for _ in range(50)] == [("rule", "é", "a", "base")] * 50
+    text = "- &a {k: 1, t: [yes, ~, 0x1F, 2.5, 'no', 2020-01-01]}\n- {<<: *a, k: 3}\n- *a\n- |\n  x\n   y\n- !!set {p, q}\n- \"m\n- n\"\n- - []\n  - {}\n"
+    for n in (1, 7, 1000):
+        assert list(yamls.items(text[i : i + n] for i in range(0, len(text), n))) == yaml.safe_load(text)
+    for bad in ("a: 1", "- *x", "- a\n---\n- b", "- [a", "- &a x\n- &a y", "- !foo x"):
+        with pytest.raises((ValueError, yaml.YAMLError)):
+            list(yamls.items(iter([bad])))
+    long = "rules:\n" + "- match: {regex: '^😀x'}\n  set: {program_title: T}\n" * 8000
+    assert rules.rows(spark.createDataFrame([(0, long), (1, None), (2, "")], "file int, text string")).groupBy("file", "name", "value").count().collect() == [(0, "^😀x", "T", 8000)]
