@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.sources import yamls
+from tapewright.sources.scratch import text_batches
+
 
 def _rows(df: DataFrame) -> Iterator[dict]:
     """All rows, fetched a partition at a time."""
@@ -59,43 +62,50 @@ def read_groups(path: str) -> list[tuple[str, str, str]]:
     return [(g["group_key"], c["path_id"], c["decision"]) for g in raw.get("groups", []) for c in g.get("candidates", [])]
 
 
-def write_parts(df: DataFrame, folder: str, rows: int = 5000) -> None:
-    """Each row of ``df`` as a YAML item, in parts of at most ``rows`` items."""
-    import pandas as pd
+def write_parts(df: DataFrame, folder: str, rows: int = 5000, chars: int = 2_000_000) -> None:
+    """Each row of ``df`` as a YAML item, in parts of at most ``rows`` items and, but for single items, ``chars`` characters."""
 
-    @F.pandas_udf("string")
-    def item(text):
+    def parts(batches: Iterator) -> Iterator:
         import json
 
-        import yaml
+        import pyarrow as pa
 
-        dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
-        return pd.Series([yaml.dump([json.loads(t)], Dumper=dumper, allow_unicode=True, sort_keys=False).rstrip("\n") for t in text])
+        dump, held, size = yamls.dumper(), [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                item = dump(json.loads(text.as_py()))
+                if held and (len(held) >= rows or size + len(item) > chars):
+                    yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)])], ["value"])
+                    held, size = [], 0
+                held.append(item)
+                size += len(item) + 1
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)])], ["value"])
 
-    df.select(item(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value")).write.option("maxRecordsPerFile", rows).text(folder)
+    texts = text_batches(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    texts.mapInArrow(parts, "value string").write.option("maxRecordsPerFile", 1).text(folder)
 
 
 def read_parts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Items of such a folder, edited or not, as rows of ``schema``. An edited part that is no list is an error."""
-    import pandas as pd
 
-    @F.pandas_udf("array<string>")
-    def items(text):
+    def items(batches: Iterator) -> Iterator:
         import json
 
-        import yaml
+        import pyarrow as pa
 
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-        out = []
-        for t in text:
-            found = yaml.load(t.removeprefix("\ufeff"), Loader=loader) or []
-            if not isinstance(found, list):
-                raise ValueError("a part of a review document must be a list")
-            out.append([json.dumps(x, ensure_ascii=False, default=str) for x in found])
-        return pd.Series(out)
+        held, size = [], 0
+        for _, parts in yamls.by_text(batches):
+            for x in yamls.items(parts):
+                held.append(json.dumps(x, ensure_ascii=False, default=str))
+                size += len(held[-1])
+                if size > 1_000_000 or len(held) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["t"])
+                    held, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["t"])
 
-    texts = spark.read.text(folder, wholetext=True)
-    return texts.select(F.explode(items("value")).alias("t")).select(F.from_json("t", schema).alias("r")).select("r.*")
+    texts = yamls.pieces(spark.read.text(folder, wholetext=True), F.col("value"))
+    return texts.mapInArrow(items, "t string").select(F.from_json("t", schema).alias("r")).select("r.*")
 
 
 def title_parts(stats: DataFrame, folder: str) -> None:

@@ -305,3 +305,16 @@ def test_rule_files_are_read_item_by_item(spark):
             list(yamls.items(iter([bad])))
     long = "rules:\n" + "- match: {regex: '^😀x'}\n  set: {program_title: T}\n" * 8000
     assert rules.rows(spark.createDataFrame([(0, long), (1, None), (2, "")], "file int, text string")).groupBy("file", "name", "value").count().collect() == [(0, "^😀x", "T", 8000)]
+
+
+def test_review_parts_are_bounded(spark, tmp_path):
+    """Parts end at a number of characters too; items longer than that stand alone, and all is read back."""
+    import yaml
+
+    folder = str(tmp_path / "parts")
+    given = [{"group_key": f"g{i:03}", "candidates": [{"path_id": f"p{j}\n'x", "decision": "keep"} for j in range(200 if i == 50 else 3)]} for i in range(300)]
+    reviews.write_parts(spark.createDataFrame(given, "group_key string, candidates array<struct<path_id:string,decision:string>>").coalesce(1), folder, rows=100, chars=3000)
+    texts = [(tmp_path / "parts" / n).read_text() for n in sorted(os.listdir(folder)) if n.startswith("part")]
+    assert len(texts) > 10 and sorted(map(len, texts))[-2] <= 3001
+    assert [x for t in texts for x in yaml.safe_load(t)] == given
+    assert rows(reviews.group_rows(spark, folder)) == sorted(((g["group_key"], c["path_id"], c["decision"]) for g in given for c in g["candidates"]), key=str)
