@@ -1,7 +1,7 @@
 """Entries of a dictionary inside texts, found by Aho-Corasick automata: one pass over a text, whatever the number of entries.
 
 The entries' bytes are counted first. Those of a shard (at most ``shard_bytes``) go to every task as plain lists, of which each Python worker builds its automaton; texts stay where
-they are. A dictionary of one shard needs no shuffle; with more of them a text is read once for each, and its finds meet by the row's number.
+they are. A dictionary of one shard needs no shuffle; with more of them a text is read once for each, and its finds meet by the row's number. Texts go to Python in batches of 512 rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from operator import itemgetter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.sources.scratch import written
+from tapewright.sources.scratch import text_batches, written
 
 _built: dict = {}
 
@@ -61,6 +61,7 @@ def first_contained(df: DataFrame, id_col: str, text: str, entries: DataFrame, s
     if size is None:
         return df.select(id_col, F.lit(None).cast("string").alias("title")).limit(0)
     shards = -(-size // shard_bytes)
+    df = text_batches(df)
     if shards == 1:
         return df.select(id_col, _first(held, text).alias("_f")).where("_f.place is not null").select(id_col, F.col("_f.title").alias("title"))
     rows = written(df.select(F.monotonically_increasing_id().alias("_row"), id_col, F.col(text).alias("_text")), "texts")

@@ -87,3 +87,16 @@ def test_wildcard_patterns_meet_by_trigrams(spark):
     assert out == {str(i): want.get(str(i), "t") for i in range(len(paths))}
     long = moves.title_updates(df, table.where("length(path_pattern) >= 5 and path_pattern not like '%~~%'"))
     assert "NestedLoop" not in long._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_go_in_short_batches(spark):
+    """Texts may be long, so a batch has few of them, whatever the session's setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        entries = spark.createDataFrame([("abc", "T", 1)], "norm string, title string, place long")
+        assert matching.first_contained(spark.range(3).selectExpr("id", "'xabcx' as text"), "id", "text", entries).count() == 3
+        assert int(spark.conf.get(name)) <= 512
+    finally:
+        spark.conf.set(name, before)
