@@ -47,9 +47,9 @@ def json_fields(data: Column) -> Column:
 
 
 def stable_json(m: Column) -> Column:
-    """A map as JSON with sorted keys."""
-    keys = F.array_sort(F.map_keys(m))
-    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(m, k))))
+    """A map as JSON with sorted keys. The map is evaluated once."""
+    by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m), by_key)))
 
 
 def last_json_object(output: Column) -> Column:

@@ -111,3 +111,12 @@ def test_keys(spark):
 def test_affected_root(spark):
     rows = [("B:\\lib\\Old\\2024\\01\\a.mp4", "Old"), ("B:/lib/Old/a.mp4", "Old"), ("B:\\x\\a.mp4", "Old"), ("", "Old"), (None, "x")]
     assert apply(spark, resolve.affected_root, *rows, types="a string, b string") == ["B:\\lib", "B:\\lib", "B:\\", None, None]
+
+
+def test_stable_json_evaluates_its_map_once(spark):
+    from tapewright.functions import values
+
+    out = values.stable_json(values.json_fields(F.col("x")))
+    assert str(out).count("try_parse_json") == 1
+    given = [('{"b":1,"a":{"z":[1,null]},"é":"x","B":null}',), ("{}",), (None,), ("[1]",)]
+    assert [r[0] for r in spark.createDataFrame(given, "x string").select(out).collect()] == ['{"B":null,"a":{"z":[1,null]},"b":1,"é":"x"}', "{}", None, None]
