@@ -16,9 +16,14 @@ URLS = str(uuid.NAMESPACE_URL)
 
 
 def uuid5(namespace: str, name: Column) -> Column:
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
-    variant = F.lower(F.hex((F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F)).bitwiseOR(0x80)))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
+    """The digest, and ``name`` with it, is evaluated once for a row, inside a CASE too."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+
+    def parts(h: Column) -> Column:
+        variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+        return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+    return F.get(F.transform(F.array(digest), parts), F.lit(0))
 
 
 def path_id(path: Column, namespace: str = PATHS) -> Column:
@@ -34,7 +39,8 @@ def program_id(key: Column) -> Column:
 
 
 def broadcast_id(match_key: Column, seed: Column) -> Column:
-    return F.when(X.empty(match_key) != "", uuid5(URLS, F.concat(F.lit("broadcast_match_key:"), match_key))).otherwise(uuid5(URLS, F.concat(F.lit("broadcast_fallback:"), X.empty(seed))))
+    name = F.when(match_key != "", F.concat(F.lit("broadcast_match_key:"), match_key)).otherwise(F.concat(F.lit("broadcast_fallback:"), X.empty(seed)))
+    return uuid5(URLS, name)
 
 
 def franchise_id(name: Column) -> Column:

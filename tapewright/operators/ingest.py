@@ -10,6 +10,7 @@ from tapewright.functions import keys as K
 from tapewright.functions import text as X
 from tapewright.functions import values as V
 from tapewright.operators import catalog, merge, rebroadcast, resolve
+from tapewright.sources.scratch import written
 
 
 def inventory_batches(listing: DataFrame, run_id: str, now: str) -> tuple[DataFrame, DataFrame]:
@@ -45,19 +46,21 @@ def legacy_guides(metadata: DataFrame, aliases: DataFrame, now: str, source: str
     """(programs, broadcasts) from guide data that older versions kept as metadata rows (path_id, source, data_json).
 
     Rows without a JSON object or a title count for nothing. A programme is its series (by ``aliases`` in the form of programme keys); its title is that of
-    its last row by path_id, and of the rows of one broadcast the last counts.
+    its last row by path_id, and of the rows of one broadcast the last counts. JSON is read once for a row, and series and keys are made once for a title.
     """
+    names = ["air_date", "start_time", "end_time", "broadcaster"]
     get = lambda k: F.get_json_object("data_json", f"$.{k}")
     title = X.strip(F.coalesce(F.nullif(get("official_title"), F.lit("")), get("program_title"), F.lit("")))
-    rows = metadata.where((F.col("source") == source) & V.json_fields(F.col("data_json")).isNotNull()).withColumn("_title", title).where("_title <> ''")
-    rows = resolve.series_name(X.normalized_map(rows, "_title", X.nfkc, "_norm"), "_norm", aliases)
-    rows = rows.withColumn("program_key", X.program_key(F.col("series"))).withColumn("program_id", K.program_id(F.col("program_key")))
     match = F.nullif(X.strip(X.empty(get("match_key"))), F.lit(""))
-    seed = F.concat_ws("::", "program_id", X.empty(get("air_date")), X.empty(get("start_time")), X.empty(get("broadcaster")))
-    rows = rows.withColumns({"match_key": match, "broadcast_id": K.broadcast_id(match, seed)})
+    read = metadata.where((F.col("source") == source) & V.json_fields(F.col("data_json")).isNotNull())
+    rows = written(read.select("path_id", "data_json", title.alias("_title"), match.alias("match_key"), *[get(n).alias(n) for n in names]), "guide-rows").where("_title <> ''")
+    titles = resolve.series_name(X.normalized_map(rows.select("_title").distinct(), "_title", X.nfkc, "_norm"), "_norm", aliases)
+    titles = titles.select("_title", X.program_key(F.col("series")).alias("program_key")).withColumn("program_id", K.program_id(F.col("program_key")))
+    rows = rows.join(titles, "_title")
+    seed = F.concat_ws("::", "program_id", X.empty(F.col("air_date")), X.empty(F.col("start_time")), X.empty(F.col("broadcaster")))
+    rows = written(rows.withColumn("broadcast_id", K.broadcast_id(F.col("match_key"), seed)), "guide-keys")
     programs = merge.last_wins(rows, ["program_id"], "path_id").select("program_id", "program_key", F.col("_title").alias("canonical_title"), F.lit(now).alias("created_at"))
-    names = ["air_date", "start_time", "end_time", "broadcaster"]
-    casts = merge.last_wins(rows, ["broadcast_id"], "path_id").withColumns({n: get(n) for n in names})
+    casts = merge.last_wins(rows, ["broadcast_id"], "path_id")
     casts = catalog.split_broadcast(casts).withColumn("data_json", catalog.json_set(F.col("data_json"), {}, ["is_rebroadcast_flag", "epg_genres", "description", "official_title", "annotations"]))
     return programs, casts.select("broadcast_id", "program_id", *names, "match_key", "data_json", F.lit(now).alias("created_at"), "is_rebroadcast_flag", "epg_genres", "description", "official_title", "annotations")
 

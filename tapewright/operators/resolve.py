@@ -50,15 +50,14 @@ def series_name(df: DataFrame, title: str, aliases: DataFrame) -> DataFrame:
 
     Titles are in NFKC; empty ones are UNKNOWN.
     """
-    full = X.strip(X.empty(F.col(title)))
-    bare = X.strip(F.regexp_replace(full, EPISODE_SUFFIX, ""))
-    head = X.strip(F.split(full, SERIES_END, 2)[0])
-    out = df
+    full, bare, head = (F.col(f"_t{i}") for i in range(3))  # columns of their own, so that each is evaluated once
+    out = df.withColumn("_t0", X.strip(X.empty(F.col(title))))
+    out = out.withColumns({"_t1": X.strip(F.regexp_replace(full, EPISODE_SUFFIX, "")), "_t2": X.strip(F.split(full, SERIES_END, 2)[0])})
     for i, form in enumerate((full, bare, head)):
         one = aliases.groupBy(F.col("alias").alias(f"_k{i}")).agg(F.min("canonical").alias(f"_a{i}"))
         out = out.withColumn(f"_k{i}", X.program_key(form)).join(one, f"_k{i}", "left")
     series = F.when(full == "", "UNKNOWN").otherwise(F.coalesce("_a0", F.when(bare != "", F.col("_a1")), F.when(head != "", F.coalesce("_a2", head)), full))
-    return out.withColumn("series", series).drop(*[f"_{x}{i}" for x in "ka" for i in range(3)])
+    return out.withColumn("series", series).drop(*[f"_{x}{i}" for x in "kat" for i in range(3)])
 
 
 def long_title_fix(df: DataFrame, title: str, aliases: DataFrame, known: DataFrame, longest: int = 25, extra: int = 3) -> DataFrame:

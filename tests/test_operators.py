@@ -9,7 +9,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.operators import catalog, dedup, extract, merge, reconcile, resolve, review
+from tapewright.functions import keys
+from tapewright.operators import catalog, dedup, extract, ingest as batches, merge, reconcile, resolve, review
 from tapewright.plans import moves, snapshots, workflow
 from tapewright.sources import files, guide, jsonl, rules
 from tapewright.streaming import ingest
@@ -341,3 +342,18 @@ def test_rotation(tmp_path):
     out = workflow.archive_logs(str(logs), {"move_": 1, "move_a_": 2}, now=86_400 * 40, ttl_days=35)
     assert out == {"kept": ["move_a_2.jsonl", "move_a_3.jsonl", "move_b.jsonl"], "packed": ["move_a_1.jsonl", "other.jsonl"], "deleted": ["move_a_1.jsonl.gz"]}
     assert gzip.open(logs / "archive" / "other.jsonl.gz", "rt").read() == "4" and (logs / "x.txt").exists()
+
+
+def test_ids_are_hashed_once(spark):
+    ids = spark.range(1).select(keys.broadcast_id(F.col("id").cast("string"), F.concat(F.lit("s"), "id")).alias("b"))
+    assert ids._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+
+
+def test_legacy_guides_read_json_once(spark):
+    data = ['{"official_title":"Show▽1","air_date":"2024-01-01"}', '{"program_title":"show","match_key":" k "}', '{"official_title":"show▽2","match_key":"k","air_date":"2024-01-03"}', "[]", None, '{"official_title":" "}']
+    metadata = spark.createDataFrame([(f"p{i}", catalog.GUIDE_SOURCE, d) for i, d in enumerate(data)], "path_id string, source string, data_json string")
+    aliases = spark.createDataFrame([], "alias string, canonical string")
+    programs, casts = batches.legacy_guides(metadata, aliases, "now")
+    assert rows(programs.select("program_key", "canonical_title")) == [("show", "show▽2")]
+    assert rows(casts.select("match_key", "air_date", "official_title")) == [("k", "2024-01-03", "show▽2"), (None, "2024-01-01", "Show▽1")]
+    assert "get_json_object" not in programs._jdf.queryExecution().optimizedPlan().toString()
