@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import text_batches
 
-#: Ids of so many strings without spaces (in each of two generations), and so many states, are kept by a Python worker.
-CACHE, STATES = 300_000, 300_000
+#: Ids of so many strings without spaces (in each of two generations), and so many states, are kept by a Python worker: some 140 and 700 bytes each.
+CACHE, STATES = 300_000, 150_000
 _loaded: dict = {}
 
 
@@ -73,12 +73,17 @@ def compiled(pattern: str) -> str:
 
 
 class State(dict):
-    """byte -> (state, tokens emitted). branches: (last token, node of the bytes since, tokens not yet emitted), the latest last; rest: what is left to emit where the input ends."""
+    """byte -> (state, tokens emitted). branches: last token, node of the bytes since, tokens not yet emitted of each, one behind the other, the latest last."""
 
-    __slots__ = ("branches", "rest")
+    __slots__ = ("branches",)
 
     def __init__(self, branches: tuple):
-        self.branches, self.rest = branches, branches[-1][2]
+        self.branches = branches
+
+    @property
+    def rest(self) -> tuple:
+        """What is left to emit where the input ends."""
+        return self.branches[-1]
 
 
 class Transducer:
@@ -88,7 +93,7 @@ class Transducer:
         self.edges: dict[int, tuple] = {}
         self.pairs: dict[int, bool] = {}
         self.children: dict[int, int] = {}  # node and byte -> node; node 0 is that of no bytes
-        self.token_at, self.inner = [-1], [True]
+        self.token_at, self.inner, self.states = [-1], [True], {}
         for token, i in ranks.items():
             node = 0
             for byte in token:
@@ -103,8 +108,11 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.start = State(((-1, 0, ()),))
+        for state in self.states.values():  # they may lead to one another in a circle
+            state.clear()
+        self.start = State((-1, 0, ()))
         self.states, self.missed = {self.start.branches: self.start}, 0
+        self.waits: dict[tuple, tuple] = {}  # states share the tokens that wait in them
 
     def edge(self, token: int) -> tuple:
         """(sound, first, last) of a token: whether merging its bytes makes it, and the parts that begin and end it on the way, each with the rank of the merge that takes it in."""
@@ -158,24 +166,27 @@ class Transducer:
     def step(self, state: State, byte: int) -> tuple[State, tuple]:
         """Made when first met."""
         live, latest, child, token_at, inner = [], None, self.children.get, self.token_at, self.inner
-        for last, node, waiting in state.branches:
+        parts = iter(state.branches)
+        for last, node, waiting in zip(parts, parts, parts):
             node = child(node << 8 | byte)
             if node is None:
                 continue
             if latest is None and (token := token_at[node]) >= 0 and self.follows(last, token):
                 latest = (token, 0, (*waiting, token))
             if inner[node]:
-                live.append((last, node, waiting))
+                live += last, node, waiting
         if latest is None:
             raise ValueError(f"byte {byte} is no token")
-        live.append(latest)
-        out, agreed = latest[2], 0
-        if live[0][2]:  # the oldest branch has something to emit
-            agreed = min([len(x[2]) for x in live])
-            for _, _, waiting in live:
+        live += latest
+        out, agreed = live[-1], 0
+        if live[2]:  # the oldest branch has something to emit
+            agreed = min(map(len, live[2::3]))
+            for waiting in live[2::3]:
                 while waiting[:agreed] != out[:agreed]:
                     agreed -= 1
-        branches = tuple([(last, node, waiting[agreed:]) for last, node, waiting in live]) if agreed else tuple(live)
+        if agreed:
+            live[2::3] = [waiting[agreed:] for waiting in live[2::3]]
+        branches = tuple(live)
         made = self.states.get(branches), out[:agreed]
         if made[0] is None:
             made = State(branches), made[1]
@@ -184,6 +195,8 @@ class Transducer:
                 if self.missed < 20 * STATES:
                     return made
                 self.clear()
+            live[2::3] = map(self.waits.setdefault, live[2::3], live[2::3])
+            made[0].branches = branches = tuple(live)
             self.states[branches] = made[0]
         state[byte] = made
         return made

@@ -247,6 +247,30 @@ def test_transducer_emits_before_the_end(bpe, monkeypatch):
         assert list(small.stream(data[n:])) == list(machine.stream(data[n:])) and len(small.states) <= 50
 
 
+def test_transducer_states_are_small_and_go(bpe):
+    import gc
+    import tracemalloc
+
+    machine, r = byte_bpe.Transducer(bpe[3].transducer.ranks), random.Random(7)
+    words = [(" " + "".join(r.choices(["th", "an", "ion", "er", "st", "ea", "ou", "nt"], k=r.randint(2, 9)))).encode() for _ in range(5000)]
+    for word in words:  # tokens and pairs are met
+        machine.encode(word)
+    machine.clear()
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for word in words:
+            machine.encode(word)
+        states, held = len(machine.states), tracemalloc.get_traced_memory()[0]
+        machine.clear()
+        left = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert states > 4000 and held < 750 * states and left < held / 2, (states, held / states, left / held)
+
+
 def test_decoder_is_incremental(bpe):
     *_, library, encoder = bpe
     tokens = encoder.transducer.tokens
