@@ -3,7 +3,8 @@
 Paragraphs (lines) are hashed whole, and again in pieces of a few words, cut at content-defined places: many texts have one paragraph or few, and an edit
 changes the pieces around it alone. Each digest, with its number among equal ones, is an item. A sketch of m cells adds an item to
 three cells: a count, the xor of keys and the xor of checksums. Subtracting two sketches cancels common items; peeling cells
-that hold one item recovers the digests on either side only. If peeling fails, both texts are sketched anew with ``GROWTH`` times the cells.
+that hold one item recovers the digests on either side only. Sketches that are compared hold sums modulo 2^64 in place of xors and are sized by the
+difference that a fourth of the keys lets expect; if peeling fails, both texts are sketched anew with ``GROWTH`` times the cells.
 Likeness is the Jaccard similarity of the two item sets, from their sizes and the recovered difference. The rule is one for texts of any size;
 a text of one to four words is often a single piece, which any edit changes, so that its likeness to an edited copy is 0.
 
@@ -117,14 +118,15 @@ class Sketch:
         return Sketch(self.n - other.n, self.count - other.count, self.key ^ other.key, self.check ^ other.check)
 
 
-def _fill(keys: np.ndarray, cells: int, third, base) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fill(keys: np.ndarray, cells: int, third, base, put=np.bitwise_xor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, keys and checksums of cells, the latter two by xor, or as sums modulo 2^64 where ``put`` is np.add, which numpy does several times as fast."""
     with np.errstate(over="ignore"):
         check = _check(keys)
         count, key, sums = np.zeros(cells, np.int64), np.zeros(cells, _U), np.zeros(cells, _U)
         for at in _places(keys, third, base):
             count += np.bincount(at, minlength=cells)
-            np.bitwise_xor.at(key, at, keys)
-            np.bitwise_xor.at(sums, at, check)
+            put.at(key, at, keys)
+            put.at(sums, at, check)
     return count, key, sums
 
 
@@ -132,30 +134,40 @@ def sketch(keys: np.ndarray, cells: int = BASE) -> Sketch:
     return Sketch(len(keys), *_fill(keys, cells, cells // PARTS, 0))
 
 
-def _peel(count: np.ndarray, key: np.ndarray, check: np.ndarray, third: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Peels the differences of many pairs at once, each in cells of its own. third: of each pair; owner: of each cell.
+def _peel(count: np.ndarray, key: np.ndarray, check: np.ndarray, third: np.ndarray, owner: np.ndarray, take=np.bitwise_xor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Peels the differences of many pairs at once, each in cells of its own. third: of each pair; owner: of each cell; take: np.subtract where cells hold sums.
 
     (keys, sides, owners) recovered and whether each pair's cells came out empty.
     """
     base = np.cumsum(PARTS * third) - PARTS * third
     part = np.repeat(np.tile(np.arange(PARTS), len(third)), np.repeat(third, PARTS))
-    cells = [np.flatnonzero(part == p) for p in range(PARTS)]
+    waiting = [[np.flatnonzero(part == p)] for p in range(PARTS)]  # cells to look at: all, then those that an item was taken from
     out: list[tuple] = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     with np.errstate(over="ignore"):
         idle = turn = 0
         while idle < PARTS and turn < 1000 * PARTS:  # a part after the other: an item has one cell in each, so none is found twice
-            at = cells[turn % PARTS]
-            at = at[np.abs(count[at]) == 1]
-            at = at[_check(key[at]) == check[at]]
+            here = turn % PARTS
+            first = turn < PARTS
+            at = waiting[here][0] if first else np.concatenate([np.zeros(0, np.int64), *waiting[here]])
+            at, waiting[here] = at[np.abs(count[at]) == 1], []
+            side = _U(1) if take is np.bitwise_xor else count[at].astype(_U)
+            at = at[_check(key[at] * side) == check[at] * side]
             turn, idle = turn + 1, 0 if len(at) else idle + 1
             if not len(at):
                 continue
-            found, sign, of = key[at].copy(), count[at].copy(), owner[at]
-            sums = _check(found)
-            for x in _places(found, third[of], base[of]):
+            if not first:
+                at = np.sort(at)
+                at = at[np.append(True, at[1:] != at[:-1])]
+            sign, of = count[at], owner[at]
+            side = _U(1) if take is np.bitwise_xor else sign.astype(_U)
+            found = key[at] * side
+            gone, sums = found * side, _check(found) * side
+            for p, x in enumerate(_places(found, third[of], base[of])):
                 np.subtract.at(count, x, sign)
-                np.bitwise_xor.at(key, x, found)
-                np.bitwise_xor.at(check, x, sums)
+                take.at(key, x, gone)
+                take.at(check, x, sums)
+                if p != here:
+                    waiting[p].append(x)
             out.append((found, sign, of))
         left = np.unique(owner[(count != 0) | (key != 0) | (check != 0)])
     clean = np.ones(len(third), bool)
@@ -170,15 +182,34 @@ def peel(diff: Sketch) -> tuple[np.ndarray, np.ndarray] | None:
     return (found[sign > 0], found[sign < 0]) if clean[0] else None
 
 
+def _rows_of(texts: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where the items of these texts stand, text by text."""
+    many = size[texts]
+    return np.repeat(start[texts], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _expected(keys: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, share: int = 4) -> np.ndarray:
+    """For each pair about how many items are on one side only, by one key in ``share``. It only sizes sketches; what they give is exact."""
+    some = keys % _U(share) == 0
+    keys, size = keys[some], np.bincount(owner[some], minlength=n)
+    start = np.cumsum(size) - size
+    pair = np.concatenate([np.repeat(np.arange(len(left)), size[side]) for side in (left, right)])
+    key = keys[np.concatenate([_rows_of(side, start, size) for side in (left, right)])]
+    order = np.lexsort((key, pair))
+    key, pair = key[order], pair[order]
+    again = np.flatnonzero((key[1:] == key[:-1]) & (pair[1:] == pair[:-1]))  # keys of a text are distinct: on both sides
+    return share * (np.bincount(pair, minlength=len(left)) - 2 * np.bincount(pair[again], minlength=len(left)))
+
+
 def differences(keys: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pairs of texts (left, right: their numbers; keys and owner as of ``items_of``) the recovered keys, their sides (1, -1) and pairs.
 
-    Sketches of BASE cells first; pairs whose peeling fails are sketched anew with GROWTH times as many. Sizes that the difference of the
-    item counts alone must overfill are passed over.
+    The first sketches have BASE cells and twice as many as a fourth of the keys, chosen by their bits, lets expect to differ; pairs whose peeling fails are
+    sketched anew with GROWTH times as many. Sizes that the difference of the item counts alone must overfill are passed over.
     """
     size = np.bincount(owner, minlength=n)
     start = np.cumsum(size) - size
-    cells = np.full(len(left), BASE)
+    cells = BASE + PARTS * (-(-2 * _expected(keys, owner, n, left, right) // PARTS))
     todo, out = np.arange(len(left)), []
     while len(todo):
         while (small := cells[todo] < np.abs(size[left[todo]] - size[right[todo]])).any():
@@ -187,11 +218,10 @@ def differences(keys: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, r
         base = np.cumsum(PARTS * third) - PARTS * third
         sides = []
         for side in (left[todo], right[todo]):
-            many = size[side]
-            pick = np.repeat(start[side], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            sides.append(_fill(keys[pick], int(PARTS * third.sum()), np.repeat(third, many), np.repeat(base, many)))
+            many, pick = size[side], _rows_of(side, start, size)
+            sides.append(_fill(keys[pick], int(PARTS * third.sum()), np.repeat(third, many), np.repeat(base, many), np.add))
         (c, k, s), (d, l, t) = sides  # noqa: E741
-        found, sign, of, clean = _peel(c - d, k ^ l, s ^ t, third, np.repeat(np.arange(len(todo)), PARTS * third))
+        found, sign, of, clean = _peel(c - d, k - l, s - t, third, np.repeat(np.arange(len(todo)), PARTS * third), np.subtract)
         good = clean[of]
         out.append((found[good], sign[good], todo[of[good]]))
         todo = todo[~clean]

@@ -652,6 +652,19 @@ def hash_of(spark, text, known={}):
     return known[text]
 
 
+def test_sketches_have_the_size_of_the_difference(monkeypatch):
+    cells, fill = [], fingerprints._fill
+    monkeypatch.setattr(fingerprints, "_fill", lambda keys, n, *more: cells.append(n) or fill(keys, n, *more))
+    keys = np.unique(np.random.default_rng(3).integers(0, 2**64, 2600, dtype=np.uint64, endpoint=False))
+    mine, others, common = keys[::13], keys[1::13], np.delete(keys, np.concatenate([np.arange(0, len(keys), 13), np.arange(1, len(keys), 13)]))
+    for pick in (keys >= 0, keys % np.uint64(4) != 0):  # of the second keys none is among those that sizes are told by
+        only = [x[np.isin(x, keys[pick])] for x in (mine, others)]
+        left, right = fingerprints.difference(*(np.sort(np.concatenate([common, x])) for x in only))
+        assert set(left) == set(only[0]) and set(right) == set(only[1])
+        if pick.all():
+            assert sum(cells) <= 2 * 4 * (len(mine) + len(others)), cells
+
+
 def test_peeling_recovers_both_sides():
     g = np.random.default_rng(1)
     for n in (0, 1, 30, 3000):
