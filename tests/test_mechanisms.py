@@ -284,6 +284,35 @@ def test_candidates_meet_once_for_each_list(spark, monkeypatch):
     assert max(r["_slices"] for r in made["sizes"].collect()) > 5
 
 
+def test_candidates_keep_no_row_for_each_list_and_entry(spark, monkeypatch):
+    """Lists that share a key share its entries: what is kept grows with ids and entries, not with their product, and blocks go to a bounded number of slices. Titles found again, by whichever of three keys, keep places gapless."""
+    import random
+
+    from tapewright.operators import extract
+
+    made = {}
+    plain = extract.written
+    monkeypatch.setattr(extract, "written", lambda df, label: made.setdefault(label, plain(df, label)))
+    rng = random.Random(5)
+    entries = [("a", "x", f"n{i}", i) for i in range(600)] + [("b", str(i), f"n{i}" if i % 2 else f"m{i}", i) for i in range(120)]
+    entries += [(k, rng.choice("uvw"), rng.choice([None, *(f"t{j}" for j in range(40))]), 1000 + i) for i in range(400) for k in [rng.choice("abc")]]
+    asks = [(i, "x", str(i % 120), None) for i in range(360)] + [(1000 + i, *(rng.choice(["u", "v", "w", "none", None]) for _ in range(3))) for i in range(60)] + [(1000, "u", "v", "w"), (None, "u", None, "v"), (1, "x", "1", None)]
+    dictionary = spark.createDataFrame(entries, "kind string, key string, norm string, at int")
+    out = extract.candidates(spark.createDataFrame(asks, "id int, a string, b string, c string"), "id", ["a", "b", "c"], dictionary, "norm", "at", at_once=1, share=8)
+    want = []
+    for i in {x[0] for x in asks}:
+        found = {}
+        for p, at, norm in sorted({(p, at, norm) for asked in asks if asked[0] == i for p, kind in enumerate("abc") for k, key, norm, at in entries if (k, key) == (kind, asked[p + 1])}, key=lambda x: x[:2]):
+            found.setdefault(norm, (at, norm))
+        want += [(i, norm, at, n) for n, (at, norm) in enumerate(found.values(), 1)]
+    rows = [tuple(r) for r in out.select("id", "norm", "at", "place").collect()]
+    assert sorted(rows, key=str) == sorted(want, key=str) and len(rows) > 200_000
+    kept = {label: df.count() for label, df in made.items()}
+    assert sum(kept.values()) < 3 * (len(asks) + len(entries)), kept
+    sizes = [r["_slices"] for r in made["sizes"].collect()]
+    assert 2 < max(sizes) and sum(sizes) <= 8 + 1 + len(sizes)
+
+
 def test_rule_files_are_read_item_by_item(spark):
     """Rules come out of a file without an end, whatever piece they begin in; values are PyYAML's."""
     import yaml
